@@ -1,0 +1,57 @@
+"""Model inputs: median fill, missing indicators, scaling, one vector column."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.ranking import exact_medians
+
+
+@dataclass(frozen=True)
+class Design:
+    """Fitted input preparation; a handful of numbers, kept as JSON."""
+
+    features: tuple[str, ...]
+    medians: dict[str, float]
+    indicators: tuple[str, ...]
+    means: dict[str, float]
+    scales: dict[str, float]
+
+    def columns(self) -> dict[str, Column]:
+        out = {f"_f_{f}": F.coalesce(F.col(f).cast("double"), F.lit(self.medians[f]))
+               for f in self.features}
+        out.update({f"_m_{f}": F.col(f).isNull().cast("double") for f in self.indicators})
+        if self.scales:
+            out = {n: (c - F.lit(self.means[n])) / F.lit(self.scales[n]) for n, c in out.items()}
+        return out
+
+    def vector(self, df: DataFrame, out: str = "features") -> DataFrame:
+        parts = self.columns()
+        prepared = df.withColumns(parts)
+        return VectorAssembler(inputCols=list(parts), outputCol=out).transform(prepared).drop(
+            *parts)
+
+
+def fit_design(df: DataFrame, features: Sequence[str], scale: bool) -> Design:
+    """Medians and null counts of the training rows; with ``scale`` also mean
+    and population deviation after the fill (0 counts as 1)."""
+    features = list(features)
+    medians = exact_medians(df, features)
+    nulls = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    usable = tuple(f for f in features if f in medians)  # wholly empty columns go
+    design = Design(usable, {f: medians[f] for f in usable},
+                    tuple(f for f in usable if nulls[f]), {}, {})
+    if not scale:
+        return design
+    parts = design.columns()
+    stats = df.select(*[c.alias(n) for n, c in parts.items()]).agg(
+        *[F.avg(n).alias(f"a_{n}") for n in parts],
+        *[F.stddev_pop(n).alias(f"s_{n}") for n in parts]).first()
+    return Design(design.features, design.medians, design.indicators,
+                  {n: stats[f"a_{n}"] for n in parts},
+                  {n: (stats[f"s_{n}"] or 1.0) for n in parts})

@@ -91,3 +91,35 @@ def numbered_slugs(df: DataFrame, slug: str, order: str, out: str = "slug_id") -
     numbered = running_number(df, [slug], order, out="_n")
     return numbered.withColumn(out, F.when(F.col("_n") == 1, F.col(slug)).otherwise(
         F.concat_ws("_", F.col(slug), F.col("_n").cast("string")))).drop("_n")
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], ranges: int = 256) -> dict[str, float]:
+    """Interpolated exact median of every column, read back as a dictionary.
+
+    Values are counted (partial counts combine before the shuffle), the counts
+    are split into value ranges, and running totals are taken per range: no
+    task sees all values of a column.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
+                                for c in columns]))
+    counts = (df.select(pairs.alias("p")).select("p.*").where("v is not null")
+              .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = counts.groupBy("c").agg(
+        F.array_distinct(F.percentile_approx("v", points, F.lit(10_000))).alias("b"))
+    tagged = counts.join(F.broadcast(bounds), "c").withColumn(  # one row per column
+        "r", F.size(F.filter("b", lambda b: b <= F.col("v")))).drop("b")
+    sizes = tagged.groupBy("c", "r").agg(F.sum("n").alias("s"))
+    by_range = Window.partitionBy("c").orderBy("r")
+    sizes = sizes.withColumn("before", F.sum("s").over(by_range) - F.col("s")).withColumn(
+        "total", F.sum("s").over(Window.partitionBy("c")))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+    # Only the ranges that hold a middle rank are opened.
+    middle = sizes.where((F.col("before") < high) & (F.col("before") + F.col("s") >= low))
+    inside = Window.partitionBy("c", "r").orderBy("v")
+    ranked = tagged.join(F.broadcast(middle), ["c", "r"]).withColumn(
+        "upto", F.col("before") + F.sum("n").over(inside))
+    rows = ranked.groupBy("c").agg(
+        F.min(F.when(F.col("upto") >= low, F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") >= high, F.col("v"))).alias("b")).collect()
+    return {r["c"]: (r["a"] + r["b"]) / 2.0 for r in rows}

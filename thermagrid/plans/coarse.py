@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import micros, minutes_from_target, pixel_id, within_hours
+from ..functions.calendar import (MICROS_PER_HOUR, micros, minutes_from_target, pixel_id,
+                                  within_hours)
 from ..functions.quality import coarse_status, rounded_flags
 from ..operators.contract import (COARSE_COLUMNS, coarse_renames, ordered, rename_present,
                                   require_and_select)
 from ..operators.groups import min_max_axis
 from ..operators.impute import fill_from_nearest_time
+from ..operators.lookups import dense_panel
 from ..operators.near_space import radius_mean
 from ..operators.near_time import nearest_time, rows_of_nearest
 from ..operators.ranking import first_value_per_column, keep_first
+from ..operators.zonal import raster_boxes
 
 
 def daily_products(products: DataFrame, *, first_hour: int, last_hour: int, target_hour: float,
@@ -92,7 +95,6 @@ def raster_pixels(raster: DataFrame, *, x0: float, y0: float, resolution: float,
                   area_box: tuple[float, float, float, float],
                   max_uncertainty_k: float = 5.0) -> DataFrame:
     """Valid pixels of an eight-band pixel table that touch the area's box."""
-    from ..operators.zonal import raster_boxes
     xmin, ymin, xmax, ymax = area_box
     boxed = raster_boxes(raster, x0, y0, resolution).where(
         (F.col("pxmin") <= xmax) & (F.col("pxmax") >= xmin)
@@ -108,34 +110,33 @@ def raster_pixels(raster: DataFrame, *, x0: float, y0: float, resolution: float,
 
 def with_fine_covariates(pixels: DataFrame, scenes: DataFrame, node_static: DataFrame, *,
                          values: Sequence[str], static_values: Sequence[str], radius_m: float,
-                         max_days: int) -> DataFrame:
+                         max_days: int, area: str = "area_id") -> DataFrame:
     """Average the nearest scene's node values, and the static node values,
-    over a disc around every coarse pixel.
+    over a disc around every coarse pixel of the same area.
 
-    pixels: s3_pixel_id, acquisition_dt_utc, x, y
-    scenes: node_id, s2_source_dt_utc, values;  node_static: node_id, x, y, statics
+    pixels: area, s3_pixel_id, acquisition_dt_utc, x, y
+    scenes: area, node_id, s2_source_dt_utc, values
+    node_static: area, node_id, x, y, statics
     """
-    day = 24 * 3_600_000_000
-    wanted = pixels.select(micros("acquisition_dt_utc").alias("_t")).distinct()
-    rows = scenes.withColumn("_s", micros("s2_source_dt_utc")).select("node_id", "_s", *values)
-    assigned = rows_of_nearest(wanted, rows, time="_t", row_time="_s",
+    day = 24 * MICROS_PER_HOUR
+    keyed = pixels.withColumn("_t", micros("acquisition_dt_utc"))
+    wanted = keyed.select(area, "_t").distinct()
+    rows = scenes.select(area, "node_id", micros("s2_source_dt_utc").alias("_s"), *values)
+    assigned = rows_of_nearest(wanted, rows, time="_t", row_time="_s", by=[area],
                                tolerance_micros=max_days * day, bucket_micros=day)
     # Nodes the scene missed still take part with their static values.
-    acquisitions = pixels.select(micros("acquisition_dt_utc").alias("_t")).distinct()
-    from ..operators.lookups import dense_panel
-    nodes = dense_panel(node_static.withColumn("_all", F.lit(1)),
-                        acquisitions.withColumn("_all", F.lit(1)), "_t", "_all").drop("_all")
-    fine = nodes.join(assigned.select("_t", "node_id", "_s", *values), ["_t", "node_id"], "left")
-    targets = pixels.select("s3_pixel_id", "x", "y", micros("acquisition_dt_utc").alias("_t"))
+    nodes = dense_panel(node_static, wanted, "_t", area)
+    fine = nodes.join(assigned.select(area, "_t", "node_id", *values),
+                      [area, "_t", "node_id"], "left")
     means = radius_mean(
-        targets, fine, target_id=["s3_pixel_id"], target_xy=("x", "y"), source_xy=("x", "y"),
-        source_id=["node_id"], values=[*values, *static_values], radius=radius_m, by=["_t"],
+        keyed.select(area, "_t", "s3_pixel_id", "x", "y"), fine, target_id=["s3_pixel_id"],
+        target_xy=("x", "y"), source_xy=("x", "y"), source_id=["node_id"],
+        values=[*values, *static_values], radius=radius_m, by=[area, "_t"],
         suffix="_mean_1km", count="n_nodes_aggregated")
-    source = assigned.groupBy("_t").agg(F.timestamp_micros(F.first("_s", ignorenulls=True))
-                                        .alias("s2_source_dt_utc"))
-    keyed = pixels.withColumn("_t", micros("acquisition_dt_utc"))
-    return (keyed.join(means, ["_t", "s3_pixel_id"], "left")
-            .join(F.broadcast(source), "_t", "left").drop("_t"))
+    source = assigned.groupBy(area, "_t").agg(
+        F.timestamp_micros(F.min("_s")).alias("s2_source_dt_utc"))
+    return (keyed.join(means, [area, "_t", "s3_pixel_id"], "left")
+            .join(source, [area, "_t"], "left").drop("_t"))
 
 
 def coarse_table(pixels: DataFrame, *, indices: Sequence[str] = (), extra: Sequence[str] = ()
