@@ -11,6 +11,14 @@ from ..functions.core import complete_case, number
 from .contract import IDENTITY_COLUMNS, MATCH_COLUMNS, QUALITY_COLUMNS
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows that have both; NULL when either is
+    constant (the built-in aggregate raises there in ANSI mode)."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def group_coverage(df: DataFrame, keys: Sequence[str], day: str, medians: Sequence[str] = (),
                    means: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(
@@ -152,7 +160,7 @@ def source_agreement(joined: DataFrame, variables: Sequence[str], suffixes: tupl
     out = long.groupBy("variable").agg(
         F.count(F.lit(1)).alias("compared"), F.avg(F.abs(d)).alias("mae"),
         F.avg(d).alias("mean_bias"), F.max(F.abs(d)).alias("max_absolute_error"),
-        F.corr("va", "vb").alias("correlation"), F.max("tolerance").alias("tolerance"))
+        correlation(F.col("va"), F.col("vb")).alias("correlation"), F.max("tolerance").alias("tolerance"))
     return out.withColumn("passes", F.col("max_absolute_error") <= F.col("tolerance"))
 
 
@@ -168,7 +176,7 @@ def feature_screen(df: DataFrame, features: Sequence[str], target: str) -> DataF
         enough = (F.count_if(both) > 2) & (F.count_distinct(F.when(both, value)) > 1)
         aggs.append(F.struct(
             n.alias("n"), distinct.alias("distinct"),
-            F.when(enough, F.abs(F.corr(value, F.col(target)))).alias("corr")).alias(f"c_{f}"))
+            F.when(enough, F.abs(correlation(value, F.col(target)))).alias("corr")).alias(f"c_{f}"))
     row = df.agg(*aggs)
     empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("distinct"),
                      F.lit(None).cast("double").alias("corr"))
