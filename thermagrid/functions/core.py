@@ -82,3 +82,9 @@ def first_present(df: DataFrame, names: Iterable[str]) -> Column:
     if not have:
         raise ValueError(f"none of the columns {list(names)} is present")
     return F.coalesce(*have)
+
+
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` computed once per row. A plain Column used
+    inside a lambda would be computed again for every array element."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import col
+from .core import col, let
 
 # Mean Earth radius, GRS80 ellipsoid, UTM constants.
 EARTH_RADIUS_M = 6_371_008.8
@@ -149,31 +149,30 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def _cross(e: Column, o: Column) -> Column:
+    """Cross product of an edge's ends about ``o``."""
+    return ((e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"])
+            - (e["b"]["x"] - o["x"]) * (e["a"]["y"] - o["y"]))
+
+
 def ring_area(ring: str | Column) -> Column:
     """Shoelace area about the first vertex, so large coordinates do not cancel."""
-    ring = col(ring)
-    o = F.element_at(ring, 1)
-    twice = _sum(F.transform(edges(ring), lambda e: (
-        (e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"])
-        - (e["b"]["x"] - o["x"]) * (e["a"]["y"] - o["y"]))))
-    return F.abs(twice) / F.lit(2.0)
+    return let(col(ring), lambda v: let(F.element_at(v, 1), lambda o: F.abs(
+        _sum(F.transform(edges(v), lambda e: _cross(e, o)))) / F.lit(2.0)))
 
 
 def ring_centroid(ring: str | Column) -> tuple[Column, Column]:
-    ring = col(ring)
-    o = F.element_at(ring, 1)
-
-    def cross(e: Column) -> Column:
-        return ((e["a"]["x"] - o["x"]) * (e["b"]["y"] - o["y"])
-                - (e["b"]["x"] - o["x"]) * (e["a"]["y"] - o["y"]))
-
-    twice = _sum(F.transform(edges(ring), cross))
-    mx = _sum(F.transform(edges(ring), lambda e: (
-        e["a"]["x"] + e["b"]["x"] - o["x"] * F.lit(2.0)) * cross(e)))
-    my = _sum(F.transform(edges(ring), lambda e: (
-        e["a"]["y"] + e["b"]["y"] - o["y"] * F.lit(2.0)) * cross(e)))
-    return (o["x"] + F.try_divide(mx, twice * F.lit(3.0)),
-            o["y"] + F.try_divide(my, twice * F.lit(3.0)))
+    def moment(v: Column, o: Column, axis: str) -> Column:
+        twice = _sum(F.transform(edges(v), lambda e: _cross(e, o)))
+        m = _sum(F.transform(edges(v), lambda e: (
+            e["a"][axis] + e["b"][axis] - o[axis] * F.lit(2.0)) * _cross(e, o)))
+        return o[axis] + F.try_divide(m, twice * F.lit(3.0))
+
+    def along(axis: str) -> Column:
+        return let(col(ring), lambda v: let(
+            F.element_at(v, 1), lambda o: moment(v, o, axis)))
+
+    return along("x"), along("y")
 
 
 def clipped_area(ring: str | Column, xmin, ymin, xmax, ymax) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import col
+from .core import col, let
 
 
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
@@ -55,40 +56,40 @@ def word_grams(plain: Column, longest: int) -> Column:
     """All distinct runs of 1..longest words, with what stands between them.
 
     The text is cut at word edges, so pieces alternate between words and
-    separators; a run of n words is 2n-1 consecutive pieces.
+    separators; a run of n words is 2n-1 consecutive pieces. Runs that start
+    on a separator are harmless: no term starts with one.
     """
     word = "[a-z0-9_]"
     cuts = f"(?<!{word})(?={word})|(?<={word})(?!{word})"
-    pieces = F.filter(F.split(plain, cuts), lambda p: p != "")
-    last = F.size(pieces)
 
-    def grams(n: int) -> Column:
-        width = 2 * n - 1
-        starts = F.when(last >= width, F.sequence(F.lit(1), last - width + 1)).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, width), ""))
+    def runs(pieces: Column) -> Column:
+        def of(n: int) -> Column:
+            width = 2 * n - 1
+            starts = F.when(F.size(pieces) >= width, F.sequence(
+                F.lit(1), F.size(pieces) - width + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, width), ""))
+        return reduce(F.concat, [pieces] + [of(n) for n in range(2, longest + 1)])
 
-    return F.array_distinct(reduce(F.concat, [grams(n) for n in range(1, longest + 1)]))
+    return F.array_distinct(let(F.split(plain, cuts), runs))
 
 
 def tag_terms(text: str | Column, aliases: dict[str, str]) -> Column:
     """Canonical names whose alias stands in the text on word edges, ordered by
     the alias's first position. One narrow projection: no join, no explode."""
-    import re
-
-    plain = normalize_text(text)
-    words = {a: len(re.findall("[a-z0-9_]+", a)) for a in aliases}
-    usable = {a: n for a, n in aliases.items()
-              if words[a] and re.match("[a-z0-9_].*[a-z0-9_]$|[a-z0-9_]$", a)}
+    usable = {a: n for a, n in aliases.items() if re.fullmatch(r"[a-z0-9_](.*[a-z0-9_])?", a)}
     if not usable:
         return F.array().cast("array<string>")
     known = F.array(*[F.lit(a) for a in usable])
     names = F.create_map(*[F.lit(x) for kv in usable.items() for x in kv])
-    longest = max(words[a] for a in usable)
-    found = F.array_intersect(word_grams(plain, longest), known)
-    placed = F.transform(found, lambda a: F.struct(
-        F.instr(plain, a).alias("pos"), F.element_at(names, a).alias("name")))
-    return F.array_distinct(F.transform(F.array_sort(placed), lambda p: p["name"]))
+    longest = max(len(re.findall("[a-z0-9_]+", a)) for a in usable)
+
+    def tags(plain: Column) -> Column:
+        found = F.array_intersect(word_grams(plain, longest), known)
+        placed = F.transform(found, lambda a: F.struct(
+            F.instr(plain, a).alias("pos"), F.element_at(names, a).alias("name")))
+        return F.array_distinct(F.transform(F.array_sort(placed), lambda p: p["name"]))
+
+    return let(normalize_text(text), tags)
 
 
 # Request-text patterns (accent-free lower-case text).

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.core import col
+from ..functions.core import col, let
 
 
 def node_grid(areas: DataFrame, spacing_m: float, zone: int = 30) -> DataFrame:
@@ -104,18 +104,21 @@ def boundary_coverage(boundary: str | Column, square: str | Column) -> Column:
     Both rings in metres. In the square's own axes the square is a plain box,
     so the boundary is turned there and measured against the box.
     """
-    boundary, square = col(boundary), col(square)
-    o, along = F.element_at(square, 1), F.element_at(square, 2)
-    side = F.hypot(along["x"] - o["x"], along["y"] - o["y"])
-    ux, uy = (along["x"] - o["x"]) / side, (along["y"] - o["y"]) / side
-
-    def into_axes(p: Column) -> Column:
-        dx, dy = p["x"] - o["x"], p["y"] - o["y"]
-        return geo.point(dx * ux + dy * uy, dy * ux - dx * uy)
-
-    turned = F.transform(boundary, into_axes)
-    inside = geo.clipped_area(turned, F.lit(0.0), F.lit(0.0), side, side)
-    return F.try_divide(inside * F.lit(100.0), geo.ring_area(boundary))
+    def share(edge: Column, outline: Column) -> Column:
+        o, along = edge["a"], edge["b"]
+        side = F.hypot(along["x"] - o["x"], along["y"] - o["y"])
+        ux, uy = (along["x"] - o["x"]) / side, (along["y"] - o["y"]) / side
+
+        def into_axes(p: Column) -> Column:
+            dx, dy = p["x"] - o["x"], p["y"] - o["y"]
+            return geo.point(dx * ux + dy * uy, dy * ux - dx * uy)
+
+        inside = geo.clipped_area(F.transform(outline, into_axes), F.lit(0.0), F.lit(0.0),
+                                  side, side)
+        return F.try_divide(inside * F.lit(100.0), geo.ring_area(outline))
+
+    first = F.element_at(geo.edges(col(square)), 1)
+    return let(first, lambda e: let(col(boundary), lambda v: share(e, v)))
 
 
 def recovered_square(ring: str | Column, half_side: str | Column,

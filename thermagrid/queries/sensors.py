@@ -51,7 +51,7 @@ def _index_sql(suffix: str) -> str:
         "BSI": g("(swir1 + red) - (nir + blue)", "(swir1 + red) + (nir + blue)"),
         "urban_index": g("swir2 - nir", "swir2 + nir"),
     }
-    return ", ".join(f"{s_r(v, 7)} AS {k}{suffix}" for k, v in items.items())
+    return ", ".join(f"{s_r(v, 11)} AS {k}{suffix}" for k, v in items.items())
 
 
 def _dn_sql(bands: dict) -> str:
@@ -62,30 +62,30 @@ FINE_SQL = (
     f"WITH dn AS (SELECT l_orderkey, l_linenumber, {_dn_sql(FINE_DN)} FROM lineitem), r AS (SELECT *, "
     + ", ".join(f"{src} * 2.75e-5::DOUBLE - 0.2::DOUBLE AS {b}" for b, src in spectral.FINE_BANDS.items())
     + f" FROM dn) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, "
-    f"{s_r('ST_B10 * 0.00341802::DOUBLE + 149.0::DOUBLE', 7)} AS LST_K, {_index_sql('')}, "
-    + ", ".join(f"{s_r(b, 7)} AS SR_{b}" for b in spectral.FINE_BANDS)
-    + f", {s_r('ST_EMIS * 0.0001::DOUBLE', 7)} AS surface_emissivity, {s_r('ST_EMSD * 0.0001::DOUBLE', 7)} AS emissivity_uncertainty"
-    f", {s_r('ST_ATRAN * 0.0001::DOUBLE', 7)} AS atmospheric_transmittance, {s_r('ST_CDIST * 0.01::DOUBLE', 7)} AS cloud_distance_km"
-    f", {s_r('ST_QA * 0.01::DOUBLE', 7)} AS LST_uncertainty_K FROM r")
+    f"{s_r('ST_B10 * 0.00341802::DOUBLE + 149.0::DOUBLE', 11)} AS LST_K, {_index_sql('')}, "
+    + ", ".join(f"{s_r(b, 11)} AS SR_{b}" for b in spectral.FINE_BANDS)
+    + f", {s_r('ST_EMIS * 0.0001::DOUBLE', 11)} AS surface_emissivity, {s_r('ST_EMSD * 0.0001::DOUBLE', 11)} AS emissivity_uncertainty"
+    f", {s_r('ST_ATRAN * 0.0001::DOUBLE', 11)} AS atmospheric_transmittance, {s_r('ST_CDIST * 0.01::DOUBLE', 11)} AS cloud_distance_km"
+    f", {s_r('ST_QA * 0.01::DOUBLE', 11)} AS LST_uncertainty_K FROM r")
 
 COVARIATE_SQL = (
     f"WITH dn AS (SELECT l_orderkey, l_linenumber, {_dn_sql(COVARIATE_DN)} FROM lineitem), r AS (SELECT *, "
     + ", ".join(f"{src} / 10000.0::DOUBLE AS {b}" for b, src in spectral.COVARIATE_BANDS.items())
     + f" FROM dn) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {_index_sql('_S2')}, "
-    + ", ".join(f"{s_r(b, 7)} AS SR_{b}_S2" for b in spectral.COVARIATE_BANDS)
-    + f", {s_r('AOT * 0.001::DOUBLE', 7)} AS AOT_S2, {s_r('WVP * 0.001::DOUBLE', 7)} AS water_vapour_cm_S2 FROM r")
+    + ", ".join(f"{s_r(b, 11)} AS SR_{b}_S2" for b in spectral.COVARIATE_BANDS)
+    + f", {s_r('AOT * 0.001::DOUBLE', 11)} AS AOT_S2, {s_r('WVP * 0.001::DOUBLE', 11)} AS water_vapour_cm_S2 FROM r")
 
 
 @query("spectral_indices", FINE_SQL)
 def spectral_indices(spark, sf):
     out = spectral.with_fine_variables(band_rows(spark, sf, FINE_DN), FINE_EXTRA)
-    return out.select(*KEY, *[r(c, 7).alias(c) for c in spectral.fine_output_names(FINE_EXTRA)])
+    return out.select(*KEY, *[r(c, 11).alias(c) for c in spectral.fine_output_names(FINE_EXTRA)])
 
 
 @query("covariate_indices", COVARIATE_SQL)
 def covariate_indices(spark, sf):
     out = spectral.with_covariate_variables(band_rows(spark, sf, COVARIATE_DN), COVARIATE_EXTRA)
-    return out.select(*KEY, *[r(c, 7).alias(c)
+    return out.select(*KEY, *[r(c, 11).alias(c)
                               for c in spectral.covariate_output_names(COVARIATE_EXTRA)])
 
 
