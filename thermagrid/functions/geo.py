@@ -138,11 +138,15 @@ def rotated_square(x, y, half_side, rotation_deg) -> Column:
 
 def edges(ring: Column) -> Column:
     """Array of (start, end) pairs of a ring; an open ring is closed."""
-    closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(
-        F.concat(ring, F.slice(ring, 1, 1)))
-    count = F.size(closed) - 1
-    return F.zip_with(F.slice(closed, F.lit(1), count), F.slice(closed, F.lit(2), count),
-                      lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    def closed(v: Column) -> Column:
+        return F.when(F.element_at(v, 1) == F.element_at(v, -1), v).otherwise(
+            F.concat(v, F.slice(v, 1, 1)))
+
+    def pairs(v: Column) -> Column:
+        return F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1),
+                          lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return let(let(ring, closed), pairs)
 
 
 def _sum(values: Column) -> Column:
@@ -232,15 +236,19 @@ def ring_to_degrees(ring: str | Column, zone: int = 30) -> Column:
 
 def edge_rotation_deg(ring: str | Column) -> Column:
     """Direction of the first edge longer than a micrometre, folded to [0, 90)."""
+    def turn(e: Column) -> Column:
+        return F.pmod(F.degrees(F.atan2(e["b"]["y"] - e["a"]["y"], e["b"]["x"] - e["a"]["x"])),
+                      F.lit(90.0))
+
+    def folded(t: Column) -> Column:
+        return F.when(F.abs(t - F.lit(90.0)) <= F.lit(1e-6), F.lit(0.0)).otherwise(t)
+
     long_edges = F.filter(edges(col(ring)), lambda e: F.hypot(
         e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]) > F.lit(1e-6))
-    first = F.try_element_at(long_edges, F.lit(1))
-    turn = F.pmod(F.degrees(F.atan2(first["b"]["y"] - first["a"]["y"],
-                                    first["b"]["x"] - first["a"]["x"])), F.lit(90.0))
-    return F.when(F.abs(turn - F.lit(90.0)) <= F.lit(1e-6), F.lit(0.0)).otherwise(turn)
+    return let(let(F.try_element_at(long_edges, F.lit(1)), turn), folded)
 
 
-def era_cells(span_a: Column, span_b: Column, step: float = 0.1) -> Column:
+def raster_cells(span_a: Column, span_b: Column, step: float = 0.1) -> Column:
     """Cells of a regular ``step`` degree raster that two spans touch."""
     def count(span: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil(F.abs(span) / F.lit(step)).cast("int") + 1)

@@ -37,21 +37,27 @@ class Design:
             *parts)
 
 
-def fit_design(df: DataFrame, features: Sequence[str], scale: bool) -> Design:
-    """Medians and null counts of the training rows; with ``scale`` also mean
-    and population deviation after the fill (0 counts as 1)."""
+def fit_design(df: DataFrame, features: Sequence[str], scale: bool,
+               also: dict[str, Column] | None = None) -> tuple[Design, dict[str, float]]:
+    """Medians and gaps of the training rows; with ``scale`` also mean and
+    population deviation after the fill (0 counts as 1). ``also`` names more
+    aggregates to read in the same pass. Two small reads in all."""
     features = list(features)
-    medians = exact_medians(df, features)
-    nulls = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
-    usable = tuple(f for f in features if f in medians)  # wholly empty columns go
-    design = Design(usable, {f: medians[f] for f in usable},
-                    tuple(f for f in usable if nulls[f]), {}, {})
-    if not scale:
-        return design
-    parts = design.columns()
-    stats = df.select(*[c.alias(n) for n, c in parts.items()]).agg(
-        *[F.avg(n).alias(f"a_{n}") for n in parts],
-        *[F.stddev_pop(n).alias(f"s_{n}") for n in parts]).first()
-    return Design(design.features, design.medians, design.indicators,
-                  {n: stats[f"a_{n}"] for n in parts},
-                  {n: (stats[f"s_{n}"] or 1.0) for n in parts})
+    known = exact_medians(df.withColumn("_rows", F.lit(0.0)), [*features, "_rows"])
+    total = known.pop("_rows", (0.0, 0))[1]
+    usable = tuple(f for f in features if f in known)  # wholly empty columns go
+    design = Design(usable, {f: known[f][0] for f in usable},
+                    tuple(f for f in usable if known[f][1] < total), {}, {})
+    extra = dict(also or {})
+    parts = design.columns() if scale else {}
+    if not parts and not extra:
+        return design, {}
+    stats = df.select("*", *[c.alias(n) for n, c in parts.items()]).agg(
+        F.lit(0).alias("_"), *[F.avg(n).alias(f"a_{n}") for n in parts],
+        *[F.stddev_pop(n).alias(f"s_{n}") for n in parts],
+        *[c.alias(n) for n, c in extra.items()]).first()
+    if scale:
+        design = Design(design.features, design.medians, design.indicators,
+                        {n: stats[f"a_{n}"] for n in parts},
+                        {n: (stats[f"s_{n}"] or 1.0) for n in parts})
+    return design, {n: stats[n] for n in extra}

@@ -83,8 +83,9 @@ def area_squares(areas: DataFrame, zone: int = 30) -> DataFrame:
 
 def move_areas(areas: DataFrame, east_m: Column, north_m: Column, zone: int = 30) -> DataFrame:
     x, y = geo.utm_forward("center_lat", "center_lon", zone)
-    lat, lon = geo.utm_inverse(x + east_m, y + north_m, zone)
-    return areas.withColumns({"center_lat": lat, "center_lon": lon})
+    placed = areas.withColumns({"_x": x + east_m, "_y": y + north_m})
+    lat, lon = geo.utm_inverse("_x", "_y", zone)
+    return placed.withColumns({"center_lat": lat, "center_lon": lon}).drop("_x", "_y")
 
 
 def direction_offsets(direction: str | Column, metres: str | Column) -> tuple[Column, Column]:
@@ -121,18 +122,18 @@ def boundary_coverage(boundary: str | Column, square: str | Column) -> Column:
     return let(first, lambda e: let(col(boundary), lambda v: share(e, v)))
 
 
-def recovered_square(ring: str | Column, half_side: str | Column,
-                     zone: int = 30) -> dict[str, Column]:
-    """Centre and rotation of an edited square (ring in degrees); ``valid``
-    asks for at most 15 percent change of area."""
-    metres = geo.ring_to_utm(ring, zone)
-    x, y = geo.ring_centroid(metres)
-    lat, lon = geo.utm_inverse(x, y, zone)
-    side = col(half_side) * F.lit(2.0)
-    drift = F.try_divide(F.abs(geo.ring_area(metres) - side * side), side * side)
-    return {"center_lat": lat, "center_lon": lon,
-            "rotation_deg": geo.edge_rotation_deg(metres),
-            "valid": F.coalesce(drift <= F.lit(0.15), F.lit(False))}
+def recover_squares(areas: DataFrame, ring: str, half_side: str, zone: int = 30) -> DataFrame:
+    """Centre and rotation of edited squares (ring in degrees); ``valid`` asks
+    for at most 15 percent change of area."""
+    metres = areas.withColumn("_metres", geo.ring_to_utm(ring, zone))
+    x, y = geo.ring_centroid("_metres")
+    side = F.col(half_side) * F.lit(2.0)
+    drift = F.try_divide(F.abs(geo.ring_area("_metres") - side * side), side * side)
+    placed = metres.withColumns({
+        "_x": x, "_y": y, "rotation_deg": geo.edge_rotation_deg("_metres"),
+        "valid": F.coalesce(drift <= F.lit(0.15), F.lit(False))})
+    lat, lon = geo.utm_inverse("_x", "_y", zone)
+    return placed.withColumns({"center_lat": lat, "center_lon": lon}).drop("_metres", "_x", "_y")
 
 
 def grid_edges(nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:

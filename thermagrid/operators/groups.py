@@ -36,12 +36,21 @@ def recentred(df: DataFrame, keys: Sequence[str], column: str, out: str) -> Data
     return within_group_deltas(df, keys, {column: out})
 
 
-def with_date_weights(df: DataFrame, day: str = "date", out: str = "weight") -> DataFrame:
+def with_date_sizes(df: DataFrame, day: str = "date", out: str = "date_rows") -> DataFrame:
+    """Number of rows of the row's day."""
+    sizes = df.groupBy(day).agg(F.count(F.lit(1)).cast("double").alias(out))
+    return df.join(sizes, day, "left")
+
+
+def with_date_weights(df: DataFrame, day: str = "date", out: str = "weight",
+                      size: str | None = None) -> DataFrame:
     """Weight of a row = mean over rows of their day's size / size of its day,
-    so that a day with many rows does not dominate a fit."""
-    sizes = df.groupBy(day).agg(F.count(F.lit(1)).cast("double").alias("_size"))
-    mean_size = sizes.agg(F.sum(F.col("_size") * F.col("_size")) / F.sum("_size")).scalar()
-    return df.join(sizes, day, "left").withColumn(out, mean_size / F.col("_size")).drop("_size")
+    so that a day with many rows does not dominate a fit. ``size`` names a
+    column that already holds the day sizes."""
+    sized = df if size else with_date_sizes(df, day, "_size")
+    n = F.col(size or "_size")
+    mean_size = sized.agg(F.avg(n)).scalar()
+    return sized.withColumn(out, mean_size / n).drop("_size")
 
 
 def first_static_value(df: DataFrame, key: str, columns: Sequence[str],

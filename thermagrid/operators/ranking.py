@@ -93,8 +93,10 @@ def numbered_slugs(df: DataFrame, slug: str, order: str, out: str = "slug_id") -
         F.concat_ws("_", F.col(slug), F.col("_n").cast("string")))).drop("_n")
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], ranges: int = 256) -> dict[str, float]:
-    """Interpolated exact median of every column, read back as a dictionary.
+def exact_medians(df: DataFrame, columns: Sequence[str], ranges: int = 256
+                  ) -> dict[str, tuple[float, int]]:
+    """(interpolated exact median, number of known values) of every column that
+    has values, read back as a dictionary.
 
     Values are counted (partial counts combine before the shuffle), the counts
     are split into value ranges, and running totals are taken per range: no
@@ -121,5 +123,6 @@ def exact_medians(df: DataFrame, columns: Sequence[str], ranges: int = 256) -> d
         "upto", F.col("before") + F.sum("n").over(inside))
     rows = ranked.groupBy("c").agg(
         F.min(F.when(F.col("upto") >= low, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") >= high, F.col("v"))).alias("b")).collect()
-    return {r["c"]: (r["a"] + r["b"]) / 2.0 for r in rows}
+        F.min(F.when(F.col("upto") >= high, F.col("v"))).alias("b"),
+        F.max("total").alias("n")).collect()  # one row per column
+    return {r["c"]: ((r["a"] + r["b"]) / 2.0, r["n"]) for r in rows}

@@ -1,4 +1,5 @@
 """Imports every query module so that the registry is complete."""
 
-from . import matching, panels, payload_queries, sensors, series  # noqa: F401
+from . import (grids, matching, modelling, panels, payload_queries, sensors,  # noqa: F401
+               series)
 from .base import ORACLES, REGISTRY  # noqa: F401

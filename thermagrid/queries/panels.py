@@ -480,7 +480,7 @@ def scope_choice(spark, sf):
     x = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").alias("area_id"), day("o_orderdate").alias("date"),
         F.col("o_totalprice").alias("y"))
-    middle = exact_medians(x, ["y"])["y"]
+    middle = exact_medians(x, ["y"])["y"][0]
     local = x.groupBy("area_id").agg(F.median("y").alias("lm"))
     scored = x.join(F.broadcast(local), "area_id").withColumn("gm", F.lit(middle))
     g = reports.macro_mae(scored, "y", "gm", "date", by=["area_id"], out="general_mae")
