@@ -198,16 +198,26 @@ def clipped_area(ring: str | Column, xmin, ymin, xmax, ymax) -> Column:
         return (F.when(v < 0, F.lit(0.0)).when(v <= width, v * v / F.lit(2.0))
                 .otherwise(width * v - width * width / F.lit(2.0)))
 
+    def mean_x(v: Column) -> Column:
+        """Mean of the bounded x between two x values."""
+        flat = F.abs(v["x1"] - v["x0"]) <= F.lit(1e-9) * width
+        return F.when(flat, bounded((v["x0"] + v["x1"]) / F.lit(2.0), width)).otherwise(
+            F.try_divide(antiderivative(v["x1"]) - antiderivative(v["x0"]), v["x1"] - v["x0"]))
+
+    def crossing(v: Column) -> Column:
+        slope = (v["bx"] - v["ax"]) / (v["by"] - v["ay"])
+        ends = F.struct((v["ax"] + slope * (v["y0"] - v["ay"])).alias("x0"),
+                        (v["ax"] + slope * (v["y1"] - v["ay"])).alias("x1"))
+        # A level edge, or one above or below the box, adds nothing.
+        return F.when(v["y0"] == v["y1"], F.lit(0.0)).otherwise(
+            (v["y1"] - v["y0"]) * let(ends, mean_x))
+
     def contribution(e: Column) -> Column:
-        ax, ay = e["a"]["x"] - xmin, e["a"]["y"] - ymin
-        bx, by = e["b"]["x"] - xmin, e["b"]["y"] - ymin
-        y0, y1 = bounded(ay, height), bounded(by, height)
-        slope = F.try_divide(bx - ax, by - ay)
-        x0, x1 = ax + slope * (y0 - ay), ax + slope * (y1 - ay)
-        flat = F.abs(x1 - x0) <= F.lit(1e-9) * width
-        mean = F.when(flat, bounded((x0 + x1) / F.lit(2.0), width)).otherwise(
-            F.try_divide(antiderivative(x1) - antiderivative(x0), x1 - x0))
-        return F.coalesce((y1 - y0) * mean, F.lit(0.0))
+        ay, by = e["a"]["y"] - ymin, e["b"]["y"] - ymin
+        return let(F.struct(
+            (e["a"]["x"] - xmin).alias("ax"), ay.alias("ay"), (e["b"]["x"] - xmin).alias("bx"),
+            by.alias("by"), bounded(ay, height).alias("y0"), bounded(by, height).alias("y1")),
+            crossing)
 
     return F.abs(_sum(F.transform(edges(ring), contribution)))
 

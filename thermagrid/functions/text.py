@@ -36,9 +36,10 @@ def ascii_fold(text: str | Column) -> Column:
     c = col(text)
     expanded = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])),
                       FOLD_SEVERAL.items(), c)
-    rare = "[" + "".join(FOLD_SEVERAL) + "]"
-    c = F.when(c.rlike(rare), expanded).otherwise(c)
-    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
+    rare = F.length(F.translate(c, "".join(FOLD_SEVERAL), "")) < F.length(c)
+    folded = F.regexp_replace(F.translate(F.when(rare, expanded).otherwise(c), FOLD_FROM, FOLD_TO),
+                              r"[^\x00-\x7F]", "")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)  # ASCII stays
 
 
 def normalize_text(text: str | Column) -> Column:

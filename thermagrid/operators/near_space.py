@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import let
 from ..functions.geo import EARTH_RADIUS_M, haversine_m, planar_m, scaled_degrees_sq
 from ..session import cut_lineage
 
@@ -40,6 +41,17 @@ class _Metric:
         r = F.lit(EARTH_RADIUS_M)
         return [r * F.cos(lat) * F.cos(lon), r * F.cos(lat) * F.sin(lon), r * F.sin(lat)]
 
+    def bound_sq(self, site: Column) -> Column:
+        """Cheap squared distance that orders sites as the real one does, up to
+        rounding; the query's axes and weight are columns ``_a*`` and ``_w``."""
+        total = F.lit(0.0)
+        for i in range(self.n_axes):
+            gap = F.col(f"_a{i}") - site[f"a{i}"]
+            if self.kind == "scaled_degrees" and i == 1:
+                gap = gap * F.col("_w")
+            total = total + gap * gap if i else gap * gap
+        return total
+
     def weight(self, u: Column) -> Column:
         return F.cos(F.radians(u)) if self.kind == "scaled_degrees" else F.lit(1.0)
 
@@ -50,6 +62,14 @@ class _Metric:
             return scaled_degrees_sq(qu, qv, su, sv)
         return planar_m(qu, qv, su, sv)
 
+    def loosened(self, squared: Column) -> Column:
+        """An upper limit that no rounding of the bounds can undercut. Chords
+        are differences of Earth-sized numbers, good to about a nanometre."""
+        relaxed = squared * F.lit(1.0 + SLACK) + F.lit(1e-18)
+        if self.kind != "haversine":
+            return relaxed
+        return relaxed + F.sqrt(squared) * F.lit(2e-6) + F.lit(1e-12)
+
     @property
     def n_axes(self) -> int:
         return 3 if self.kind == "haversine" else 2
@@ -117,7 +137,8 @@ def _keyed(points: DataFrame, u: str, v: str, extent: tuple, bits: int,
     return points.withColumns(columns)
 
 
-def _survey(sites: DataFrame, by: list[str], u: str, v: str, leaf: int) -> tuple[tuple, int]:
+def _survey(sites: DataFrame, by: list[str], u: str, v: str, leaf: int,
+            small: int) -> tuple[tuple, int]:
     """Extent of the sites and the tree depth at which no leaf holds more than
     ``leaf`` sites: at most two small aggregates read on the driver."""
     row = (
@@ -128,7 +149,7 @@ def _survey(sites: DataFrame, by: list[str], u: str, v: str, leaf: int) -> tuple
     if row[0] is None:
         return (0.0, 1.0, 0.0, 1.0), 0
     extent = (row[0], max(row[1] - row[0], 1e-12), row[2], max(row[3] - row[2], 1e-12))
-    if row[4] <= leaf:
+    if row[4] <= max(leaf, small):
         return extent, 0
     keyed = _keyed(sites, u, v, extent, MAX_BITS, _Metric("planar"))
     levels = list(range(0, MAX_BITS + 1, STEP_BITS))
@@ -156,14 +177,17 @@ def nearest_site(
     by: Sequence[str] = (),
     metric: str = "haversine",
     distance: str = "distance",
-    leaf: int = 32,
+    leaf: int = 24,
+    small: int = 128,
 ) -> DataFrame:
     """Nearest site of every query, within the same ``by`` group.
 
-    ``query_uv`` / ``site_uv`` are (latitude, longitude) or (x, y). Returns one
-    row per query id: id columns, ``by``, payload columns and the distance.
+    ``query_uv`` / ``site_uv`` are (latitude, longitude) or (x, y); ``query_id``
+    and ``by`` identify a query. Returns one row per query: ``by``, id columns,
+    payload columns and the distance.
     Queries in a group without sites, and rows without coordinates, are absent.
-    Equal distances go to the smallest ``tie`` columns.
+    Equal distances go to the smallest ``tie`` columns. Groups of at most
+    ``small`` sites are searched directly; otherwise leaves hold ``leaf`` sites.
     """
     m = _Metric(metric)
     by = list(by)
@@ -178,35 +202,51 @@ def nearest_site(
         .groupBy(*by, F.col(su).alias("_su"), F.col(sv).alias("_sv"))
         .agg(F.min_by(s_row, F.struct(*tie)).alias("_pay"), F.min(F.struct(*tie)).alias("_tie"))
     )
-    extent, bits = _survey(s, by, "_su", "_sv", leaf)
-    if bits == 0 and by:
-        # No group holds more than ``leaf`` sites: a bounded equi-join on the group.
-        pairs = q.join(s, by, "inner")
-    elif bits == 0:
-        # The whole site table was counted: at most ``leaf`` rows to broadcast.
-        root = ["_kx", "_ky"]
-        pairs = _keyed(q, "_qu", "_qv", extent, 0, m).join(
-            F.broadcast(_keyed(s, "_su", "_sv", extent, 0, m).select(
-                *root, "_su", "_sv", "_pay", "_tie")), root, "inner")
+    extent, bits = _survey(s, by, "_su", "_sv", leaf, small)
+    ids = list(dict.fromkeys([*by, *query_id]))
+    qk = _keyed(q, "_qu", "_qv", extent, bits, m)
+    sk = _keyed(s, "_su", "_sv", extent, bits, m)
+    # The sites of a leaf travel as one array: the survey bounds its length.
+    axes = [f"_a{i}" for i in range(m.n_axes)]
+    arrays = sk.groupBy(*by, F.col("_kx").alias("_skx"), F.col("_ky").alias("_sky")).agg(
+        F.collect_list(F.struct("_su", "_sv", "_tie", "_pay", *[
+            F.col(a).alias(a[1:]) for a in axes])).alias("_sites"))
+    point = [*ids, "_qu", "_qv", "_w", *axes]
+    if bits == 0:
+        # One leaf per group: one row per query comes out of the join.
+        tree = qk.select(*point, F.col("_kx").alias("_skx"), F.col("_ky").alias("_sky"))
+        arrays = arrays if by else F.broadcast(arrays)  # without groups: a single row
+        best = tree.join(arrays, [*by, "_skx", "_sky"], "inner").select(
+            *ids, _nearest_of_array(m).alias("_best"))
     else:
-        qk = _keyed(q, "_qu", "_qv", extent, bits, m)
-        sk = _keyed(s, "_su", "_sv", extent, bits, m)
         frontier = _walk_down(_cells(qk, by, m), _cells(sk, by, m), by, bits, m)
         leaves = frontier.select(
             *by, F.col("q_kx").alias("_kx"), F.col("q_ky").alias("_ky"),
             F.col("s_kx").alias("_skx"), F.col("s_ky").alias("_sky"))
-        s_leaf = sk.select(*by, F.col("_kx").alias("_skx"), F.col("_ky").alias("_sky"),
-                           "_su", "_sv", "_pay", "_tie")
-        q_leaf = qk.select(*dict.fromkeys([*by, *query_id]), "_qu", "_qv", "_kx", "_ky")
-        pairs = (q_leaf.join(leaves, [*by, "_kx", "_ky"], "inner")
-                 .join(s_leaf, [*by, "_skx", "_sky"], "inner"))
-    pairs = pairs.withColumn("_d", m.distance("_qu", "_qv", "_su", "_sv"))
-    best = pairs.groupBy(*dict.fromkeys([*by, *query_id])).agg(
-        F.min_by(F.struct("_pay", "_d"), F.struct("_d", "_tie")).alias("_best"))
+        loaded = leaves.join(arrays, [*by, "_skx", "_sky"], "inner")
+        pairs = qk.select(*point, "_kx", "_ky").join(
+            loaded, [*by, "_kx", "_ky"], "inner").select(*ids, _nearest_of_array(m).alias("_best"))
+        best = pairs.groupBy(*ids).agg(F.min("_best").alias("_best"))
     return best.select(
-        *dict.fromkeys([*by, *query_id]),
-        *[F.col("_best._pay")[f"p{i}"].alias(c) for i, c in enumerate(payload)],
-        F.col("_best._d").alias(distance))
+        *ids, *[F.col("_best.pay")[f"p{i}"].alias(c) for i, c in enumerate(payload)],
+        F.col("_best.d").alias(distance))
+
+
+def _nearest_of_array(m: _Metric) -> Column:
+    """(distance, tie, payload) of the nearest site in ``_sites``. The cheap
+    distance leaves the sites that may win, the real one decides among them."""
+    def exact(t: Column) -> Column:
+        return F.struct(m.distance("_qu", "_qv", t["_su"], t["_sv"]).alias("d"),
+                        t["_tie"].alias("tie"), t["_pay"].alias("pay"))
+
+    def winners(keys: Column) -> Column:
+        def kept(limit: Column) -> Column:
+            near = F.zip_with("_sites", keys, lambda t, k: F.when(
+                k <= limit, t))
+            return F.filter(near, lambda t: t.isNotNull())
+        return let(m.loosened(F.array_min(keys)), kept)
+
+    return F.array_min(F.transform(let(F.transform("_sites", m.bound_sq), winners), exact))
 
 
 def _walk_down(q_cells: DataFrame, s_cells: DataFrame, by: list[str], bits: int,
@@ -238,7 +278,7 @@ def _walk_down(q_cells: DataFrame, s_cells: DataFrame, by: list[str], bits: int,
         frontier = (
             pairs.withColumn("_near", near).withColumn("_far", far)
             .withColumn("_limit", F.min("_far").over(cell))
-            .where(F.col("_near") <= F.col("_limit") * (1.0 + SLACK) + 1e-18)
+            .where(F.col("_near") <= m.loosened(F.col("_limit")))
             .select(*by, "q_kx", "q_ky", "s_kx", "s_ky")
         )
         if depth % 3 == 2 and shift:
@@ -259,7 +299,7 @@ def radius_mean(
     by: Sequence[str] = (),
     suffix: str = "_mean",
     count: str = "n_sources",
-    leaf: int = 64,
+    leaf: int = 256,
 ) -> DataFrame:
     """Mean of every value over the sources within ``radius`` of each target,
     and their number; an empty disc takes its single nearest source.
@@ -284,7 +324,7 @@ def radius_mean(
     add_up = [F.sum(c).alias(c) for c in
               [*[f"_{k}{i}" for i in range(len(values)) for k in "sn"], "_n"]]
     parts = [c for i in range(len(values)) for c in (f"_s{i}", f"_n{i}")] + ["_n"]
-    extent, bits = _survey(places, by, "_x", "_y", leaf)
+    extent, bits = _survey(places, by, "_x", "_y", leaf, leaf)
     fine = min(extent[1], extent[3]) / (1 << bits)  # such cells hold few places
     base = radius * (1.0 + SLACK)       # first cells: the disc touches at most 3 x 3
     rounds, side = 0, base

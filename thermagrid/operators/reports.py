@@ -173,7 +173,8 @@ def feature_screen(df: DataFrame, features: Sequence[str], target: str) -> DataF
         value = number(f)
         both = value.isNotNull() & F.col(target).isNotNull()
         n, distinct = F.count(value), F.count_distinct(value)
-        enough = (F.count_if(both) > 2) & (F.count_distinct(F.when(both, value)) > 1)
+        paired = F.when(both, value)
+        enough = (F.count_if(both) > 2) & (F.min(paired) < F.max(paired))
         aggs.append(F.struct(
             n.alias("n"), distinct.alias("distinct"),
             F.when(enough, F.abs(correlation(value, F.col(target)))).alias("corr")).alias(f"c_{f}"))
