@@ -61,13 +61,22 @@ def first_static_value(df: DataFrame, key: str, columns: Sequence[str],
         F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order_key)).alias(c) for c in columns])
 
 
+def min_max_axes(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """column -> (value - min) / (max - min) over the whole table, under the new
+    name; 0 when degenerate. One pass finds all the limits."""
+    limits = df.agg(F.struct(*[x for c in columns for x in (
+        F.min(number(c)).alias(f"lo_{c}"), F.max(number(c)).alias(f"hi_{c}"))])).scalar()
+
+    def axis(c: str) -> Column:
+        lo, hi = limits[f"lo_{c}"], limits[f"hi_{c}"]
+        return F.when(lo.isNull() | (lo == hi), F.lit(0.0)).otherwise(
+            (number(c) - lo) / F.nullif(hi - lo, F.lit(0.0)))
+
+    return df.withColumns({out: axis(c) for c, out in columns.items()})
+
+
 def min_max_axis(df: DataFrame, column: str, out: str) -> DataFrame:
-    """(value - min) / (max - min) over the whole table; 0 when degenerate."""
-    value = number(column)
-    stats = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    flat = stats["lo"].isNull() | (stats["lo"] == stats["hi"])
-    return df.withColumn(out, F.when(flat, F.lit(0.0)).otherwise(
-        (value - stats["lo"]) / F.nullif(stats["hi"] - stats["lo"], F.lit(0.0))))
+    return min_max_axes(df, {column: out})
 
 
 def index_over_max(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -324,14 +324,14 @@ def radius_mean(
     add_up = [F.sum(c).alias(c) for c in
               [*[f"_{k}{i}" for i in range(len(values)) for k in "sn"], "_n"]]
     parts = [c for i in range(len(values)) for c in (f"_s{i}", f"_n{i}")] + ["_n"]
+    # Surveyed, read per level and once more for the crossed cells: write once.
+    places = cut_lineage(places)
     extent, bits = _survey(places, by, "_x", "_y", leaf, leaf)
     fine = min(extent[1], extent[3]) / (1 << bits)  # such cells hold few places
     base = radius * (1.0 + SLACK)       # first cells: the disc touches at most 3 x 3
     rounds, side = 0, base
     while bits and side > fine and rounds < MAX_BITS:
         side, rounds = side / 2.0, rounds + 1
-    if rounds:
-        places = cut_lineage(places)
 
     def cell(c: str, level: int) -> Column:
         return F.floor(F.col(c) / F.lit(base / (1 << level))).cast("long")
@@ -378,11 +378,13 @@ def radius_mean(
     gathered = inside_parts[0]
     for part in inside_parts[1:]:
         gathered = gathered.unionByName(part)
-    disc = gathered.groupBy(*ids).agg(*add_up)
+    disc = cut_lineage(gathered.groupBy(*ids).agg(*add_up))  # a row per target, used twice
     means = [F.try_divide(F.col(f"_s{i}"), F.col(f"_n{i}")).alias(v + suffix)
              for i, v in enumerate(values)]
     full = disc.select(*ids, *means, F.col("_n").cast("long").alias(count))
     lonely = t.join(disc.select(*ids), ids, "left_anti")
+    if lonely.isEmpty():
+        return full
     fallback = nearest_site(
         lonely, sources, query_id=target_id, query_uv=("_tx", "_ty"), site_uv=(sx, sy),
         payload=list(values), tie=list(source_id), by=by, metric="planar", distance="_d")

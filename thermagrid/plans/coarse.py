@@ -12,13 +12,14 @@ from ..functions.calendar import (MICROS_PER_HOUR, micros, minutes_from_target,
 from ..functions.quality import coarse_status, rounded_flags
 from ..operators.contract import (COARSE_COLUMNS, coarse_renames, ordered, rename_present,
                                   require_and_select)
-from ..operators.groups import min_max_axis
+from ..operators.groups import min_max_axes
 from ..operators.impute import fill_from_nearest_time
 from ..operators.lookups import dense_panel
 from ..operators.near_space import radius_mean
 from ..operators.near_time import nearest_time, rows_of_nearest
 from ..operators.ranking import first_value_per_column, keep_first
 from ..operators.zonal import raster_boxes
+from ..session import cut_lineage
 
 
 def daily_products(products: DataFrame, *, first_hour: int, last_hour: int, target_hour: float,
@@ -142,9 +143,10 @@ def with_fine_covariates(pixels: DataFrame, scenes: DataFrame, node_static: Data
 def coarse_table(pixels: DataFrame, *, indices: Sequence[str] = (), extra: Sequence[str] = ()
                  ) -> DataFrame:
     """Contract names, normalised axes, NDVI filled from the nearest time."""
-    named = rename_present(pixels, coarse_renames(indices or (
+    # Limits, donors, gaps and the result all read this table: write it once.
+    named = rename_present(cut_lineage(pixels), coarse_renames(indices or (
         "NDVI", "NDBI", "ALBEDO", "NDWI", "MNDWI", "NDMI", "EVI", "SAVI", "BSI", "urban_index")))
-    named = min_max_axis(min_max_axis(named, "row", "row_norm"), "col", "col_norm")
+    named = min_max_axes(named, {"row": "row_norm", "col": "col_norm"})
     filled = fill_from_nearest_time(named, row_id=["node_id"], time="acquisition_dt_utc",
                                     value="NDVI")
     return require_and_select(filled, ordered([*COARSE_COLUMNS, *extra, "filled"]),
