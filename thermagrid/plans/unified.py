@@ -56,19 +56,25 @@ def unified_table(fine: DataFrame, coarse: DataFrame, nodes: DataFrame, *,
     unique_nodes = keep_first(nodes_with.select(area, "node_id", *keep, *statics),
                               [area, "node_id"], keep or ["node_id"])
     days = fine.select(area, "date").unionByName(coarse.select(area, "date")).distinct()
-    panel = dense_panel(unique_nodes, days, "date", area)
-    panel = panel.join(first, [area, "node_id", "date"], "left")
 
-    # Nearest coarse date per (area, date): a table of dates, then the nearest
-    # pixel per (area, coarse date, node). The search never sees a panel row
-    # twice for dates that share a coarse date.
+    # The nearest coarse date is a property of (area, date): it is settled on
+    # the table of dates and rides along in the calendar, so that the panel
+    # itself needs no join for it.
     day_match = nearest_day(days, coarse, day="date", candidate_day="date", by=[area],
                             tolerance_days=tolerance_days, match="_coarse_date",
                             gap="s3_day_difference")
+    calendar = days.join(day_match, [area, "date"], "left").select(
+        area, F.struct("date", "_coarse_date", "s3_day_difference").alias("_d"))
+    panel = dense_panel(unique_nodes, calendar, "_d", area).select("*", "_d.*").drop("_d")
+    panel = panel.join(first, [area, "node_id", "date"], "left")
+
+    # Nearest pixel per (area, coarse date, node): dates that share a coarse
+    # date share one search.
     skip = {area, "date", "node_id", "latitude", "longitude", "row", "col", "row_norm",
             "col_norm", *CALENDAR, "acquisition_dt_utc"}
     science = [c for c in coarse.columns if c not in skip]
-    names = collision_names(science, panel.columns)
+    names = collision_names(science, [c for c in panel.columns if c not in (
+        "_coarse_date", "s3_day_difference")])
     acquired = (F.col("acquisition_dt_utc").cast("timestamp")
                 if "acquisition_dt_utc" in coarse.columns
                 else F.col("date").cast("timestamp"))
@@ -90,8 +96,7 @@ def unified_table(fine: DataFrame, coarse: DataFrame, nodes: DataFrame, *,
         site_uv=("sentinel3_latitude", "sentinel3_longitude"), payload=payload,
         tie=[*["_tie_" + c for c in tie_order], "sentinel3_pixel_id"],
         by=[area, "_coarse_date"], metric="haversine", distance="sentinel3_distance_m")
-    matched = (panel.join(F.broadcast(day_match), [area, "date"], "left")
-               .join(pixel, [area, "_coarse_date", "node_id"], "left")
+    matched = (panel.join(pixel, [area, "_coarse_date", "node_id"], "left")
                .withColumn("s3_day_difference", F.when(
                    F.col("sentinel3_pixel_id").isNotNull(), F.col("s3_day_difference")))
                .drop("_coarse_date")

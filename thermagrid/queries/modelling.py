@@ -126,7 +126,8 @@ def numeric_feature_names(spark, sf):
 @query("scope_by_area")
 def scope_by_area_query(spark, sf):
     rows = translation_rows(spark, sf)
-    out = scope_by_area(rows.withColumn("area_id", F.col("area_id") % 2), "bias+ridge", 2000)
+    out = scope_by_area(rows.withColumn("area_id", F.col("area_id") % 2), "bias+ridge", 2000,
+                        folds=3)
     return out.select(long("area_id").alias("area_id"), "pretest_dates",
                       r("general_mae", 5).alias("general_mae"), r("local_mae", 5).alias("local_mae"),
                       "scope")
