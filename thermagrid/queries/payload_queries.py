@@ -6,6 +6,7 @@ from ..functions import text
 from ..functions.calendar import micros
 from ..operators.fusion import content_key
 from ..sources import payloads
+from ..sources.tables import spread_scan
 from .base import day, events, long, query, r, s_r, table
 
 
@@ -207,7 +208,7 @@ def s_normal(expr: str) -> str:
 
 @query("normalize_text", f"SELECT doc_id, md5({s_normal('text')}) AS digest, length({s_normal('text')}) AS length FROM documents")
 def normalize_text(spark, sf):
-    d = table(spark, sf, "documents", "doc_id", "text").select(
+    d = spread_scan(table(spark, sf, "documents", "doc_id", "text")).select(
         "doc_id", text.normalize_text("text").alias("t"))
     return d.select("doc_id", F.md5("t").alias("digest"), long(F.length("t")).alias("length"))
 
@@ -235,7 +236,7 @@ SELECT d.doc_id, coalesce(string_agg(h.name, ',' ORDER BY h.pos, h.name), '') AS
 
 @query("alias_tagging", _tag_sql())
 def alias_tagging(spark, sf):
-    d = table(spark, sf, "documents", "doc_id", "text")
+    d = spread_scan(table(spark, sf, "documents", "doc_id", "text"))
     return d.select("doc_id", F.array_join(text.tag_terms("text", CORPUS_ALIASES), ",").alias("tags"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality, spectral, weather
 from ..operators.reports import source_counters
-from ..sources.tables import covariate_scenes, gridded_weather, wide_hours
+from ..sources.tables import covariate_scenes, gridded_weather, spread_scan, wide_hours
 from .base import day, events, long, query, r, s_r, table
 
 # Digital numbers derived from line items: integer-valued band columns.
@@ -35,8 +35,9 @@ COVARIATE_EXTRA = [*["reflectance_" + b for b in spectral.COVARIATE_BANDS], "NDW
 def band_rows(spark, sf, bands):
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                "l_quantity", "l_discount", "l_tax")
-    return li.select("l_orderkey", long("l_linenumber").alias("l_linenumber"),
-                     *[F.expr(f"cast({e} as double)").alias(b) for b, e in bands.items()])
+    return spread_scan(li).select(
+        "l_orderkey", long("l_linenumber").alias("l_linenumber"),
+        *[F.expr(f"cast({e} as double)").alias(b) for b, e in bands.items()])
 
 
 def _index_sql(suffix: str) -> str:
@@ -115,8 +116,8 @@ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {s_r('t')} AS Tair_C, {
 """)
 def weather_formulas(spark, sf):
     li = table(spark, sf, "lineitem", *KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    w = li.select("l_orderkey", long("l_linenumber").alias("l_linenumber"),
-                  *[F.expr(f"cast({e} as double)").alias(c) for c, e in WEATHER_IN.items()])
+    w = spread_scan(li).select("l_orderkey", long("l_linenumber").alias("l_linenumber"),
+                               *[F.expr(f"cast({e} as double)").alias(c) for c, e in WEATHER_IN.items()])
     out = weather.with_weather_outputs(w)
     names = ["Tair_C", "dewpoint_C", "RH", "VPD_kPa", "wind_u10", "wind_v10", "wind_speed",
              "wind_direction_deg", "skin_temperature_C", "snow_cover_pct", "snow_depth_m",
@@ -142,7 +143,7 @@ def _extra_sql() -> str:
 @query("weather_extra_fields", _extra_sql())
 def weather_extra_fields(spark, sf):
     li = table(spark, sf, "lineitem", *KEY, "l_quantity")
-    w = li.select("l_orderkey", long("l_linenumber").alias("l_linenumber"), *[
+    w = spread_scan(li).select("l_orderkey", long("l_linenumber").alias("l_linenumber"), *[
         (F.col("l_quantity") + F.lit(i)).alias(f[2]) for i, f in enumerate(EXTRA_FIELDS)])
     out = weather.with_weather_outputs(w)
     return out.select(*KEY, *[r(f[3], 8).alias(f[3]) for f in EXTRA_FIELDS])

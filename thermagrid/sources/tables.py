@@ -47,6 +47,13 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return clean_missing(spark.read.parquet(*paths))
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread rows that a scan yields in fewer splits than there are cores, for
+    work that is heavy per row. A large input has splits enough and stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def node_table(raw: DataFrame, zone: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Nodes from ``node_id`` and either name of the coordinates; projected
     position and, when absent, row and column by coordinate rank."""
