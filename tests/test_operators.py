@@ -1,5 +1,6 @@
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import Row
@@ -11,7 +12,8 @@ from thermagrid.operators.catalogue import alias_table, canonical_names, variabl
 from thermagrid.operators.impute import fill_from_nearest_time
 from thermagrid.operators.near_space import nearest_site, radius_mean
 from thermagrid.operators.near_time import nearest_time, preferred_day
-from thermagrid.operators.ranking import exact_medians, first_value_per_column, running_number
+from thermagrid.operators.ranking import (exact_medians, first_value_per_column, median_by,
+                                          running_number)
 from thermagrid.plans.coarse import daily_products, products_near
 
 
@@ -191,6 +193,15 @@ def test_exact_medians(spark):
     assert m["b"] == ((known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2, len(known))
 
 
+def test_median_by_key(spark):
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else "k%d" % (i % 5), rng.randrange(40) / 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.m for r in median_by(df, ["k"], "v", "m", ranges=8).collect()}
+    for k in {k for k, _ in rows}:
+        assert got[k] == pytest.approx(statistics.median(v for g, v in rows if g == k))
+
+
 def test_group_deltas_never_mix_areas(spark):
     rows = [("a", "p", 300.0), ("a", "p", 302.0), ("b", "p", 400.0), ("b", "p", 410.0)]
     df = spark.createDataFrame(rows, "area string, pixel string, t double")

@@ -126,3 +126,30 @@ def exact_medians(df: DataFrame, columns: Sequence[str], ranges: int = 256
         F.min(F.when(F.col("upto") >= high, F.col("v"))).alias("b"),
         F.max("total").alias("n")).collect()  # one row per column
     return {r["c"]: ((r["a"] + r["b"]) / 2.0, r["n"]) for r in rows}
+
+
+def median_by(df: DataFrame, keys: Sequence[str], value: str, out: str,
+              ranges: int = 256) -> DataFrame:
+    """Interpolated exact median of ``value`` per key, as a table.
+
+    Like ``exact_medians``: counted values, value ranges with running totals,
+    and only the range that holds the middle is opened, so even a key with a
+    third of all rows is spread over many tasks.
+    """
+    keys = list(keys)
+    counts = (df.where(F.col(value).isNotNull())
+              .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    tagged = (counts.withColumn("_b", _range_bounds(counts, "_v", ranges))
+              .withColumn("_r", F.size(F.filter("_b", lambda b: b <= F.col("_v")))).drop("_b"))
+    in_order = Window.partitionBy(*keys).orderBy("_r")
+    sizes = tagged.groupBy(*keys, "_r").agg(F.sum("_n").alias("_s"))  # <= ranges rows per key
+    sizes = (sizes.withColumn("_before", F.sum("_s").over(in_order) - F.col("_s"))
+             .withColumn("_total", F.sum("_s").over(Window.partitionBy(*keys))))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
+    middle = sizes.where((F.col("_before") < high) & (F.col("_before") + F.col("_s") >= low))
+    ranked = tagged.join(middle, [*keys, "_r"]).withColumn("_upto", F.col("_before") + F.sum(
+        "_n").over(Window.partitionBy(*keys, "_r").orderBy("_v")))
+    return ranked.groupBy(*keys).agg(((
+        F.min(F.when(F.col("_upto") >= low, F.col("_v")))
+        + F.min(F.when(F.col("_upto") >= high, F.col("_v")))) / 2.0).alias(out))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import complete_case, number
 from .contract import IDENTITY_COLUMNS, MATCH_COLUMNS, QUALITY_COLUMNS
+from .ranking import median_by
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -21,11 +22,15 @@ def correlation(a: Column, b: Column) -> Column:
 
 def group_coverage(df: DataFrame, keys: Sequence[str], day: str, medians: Sequence[str] = (),
                    means: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(
+    """Size, distinct dates, first and last year, medians and means per group."""
+    keys = list(keys)
+    out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(day).alias("dates"),
         F.min(F.year(day)).alias("first_year"), F.max(F.year(day)).alias("last_year"),
-        *[F.median(c).alias(f"median_{c}") for c in medians],
         *[F.avg(c).alias(f"mean_{c}") for c in means])
+    for c in medians:
+        out = out.join(median_by(df, keys, c, f"median_{c}"), keys, "left")
+    return out
 
 
 def day_coverage(df: DataFrame, day: str, values: Sequence[str], out: str = "coverage",
@@ -253,6 +258,7 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 def median_hour(df: DataFrame, minutes: Column, fallback: float = 10.0,
                 by: Sequence[str] = ()) -> DataFrame:
+    """Median decimal hour; whole seconds give at most 86 400 distinct values."""
     return df.groupBy(*by).agg(
         F.coalesce(F.median(minutes) / F.lit(60.0), F.lit(float(fallback))).alias("median_hour"))
 

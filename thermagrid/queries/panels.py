@@ -474,15 +474,14 @@ SELECT area::BIGINT AS area_id, {s_r('g', 3)} AS general_mae, {s_r('l', 3)} AS l
   CASE WHEN l <= g * (1.0::DOUBLE - 0.0005::DOUBLE) AND n >= 12 THEN 'local' ELSE 'general' END AS scope FROM a
 """)
 def scope_choice(spark, sf):
-    from ..operators.ranking import exact_medians
+    from ..operators.ranking import exact_medians, median_by
     o = table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf, "customer", "c_custkey", "c_nationkey")
     x = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").alias("area_id"), day("o_orderdate").alias("date"),
         F.col("o_totalprice").alias("y"))
     middle = exact_medians(x, ["y"])["y"][0]
-    local = x.groupBy("area_id").agg(F.median("y").alias("lm"))
-    scored = x.join(F.broadcast(local), "area_id").withColumn("gm", F.lit(middle))
+    scored = x.join(median_by(x, ["area_id"], "y", "lm"), "area_id").withColumn("gm", F.lit(middle))
     g = reports.macro_mae(scored, "y", "gm", "date", by=["area_id"], out="general_mae")
     m = reports.macro_mae(scored, "y", "lm", "date", by=["area_id"], out="local_mae")
     n = x.groupBy("area_id").agg(F.count_distinct("date").alias("dates"))
