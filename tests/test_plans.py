@@ -12,8 +12,9 @@ from thermagrid.models.translation import (fit_bundle, load_bundle, out_of_fold,
 from thermagrid.operators.contract import COARSE_COLUMNS
 from thermagrid.operators.reports import quality_report
 from thermagrid.plans import coarse as coarse_plan
-from thermagrid.plans.downscaling import (coincident_rows, fused_area_rows, residual_downscaling,
-                                          training_rows)
+from thermagrid.operators.splits import with_temporal_split
+from thermagrid.plans.downscaling import (coincident_rows, feature_set_comparison, fused_area_rows,
+                                          ranked_importances, residual_downscaling, training_rows)
 from thermagrid.plans.multi_area import area_identities, combined_report, combined_rows
 from thermagrid.plans.pairs import same_day_pairs
 from thermagrid.plans.unified import unified_table
@@ -255,6 +256,17 @@ def test_residual_job(spark):
         coincident_rows(rows.withColumn("s3_day_difference", F.lit(2)))
 
 
+def test_feature_sets_and_importances(spark):
+    rows = residual_rows(spark).withColumn("Tair_C", F.lit(20.0))
+    ready = with_temporal_split(coincident_rows(rows)).where("training_ready")
+    table = feature_set_comparison(ready, trees=2).collect()
+    assert {r.feature_set: r.n_features for r in table} == {
+        "original": 6, "original_morphology": 6, "original_weather_calendar": 7, "original_all_context": 7}
+    model = fit_regressor(ready, ["NDVI", "NDBI"], "Delta_LST", {"kind": "forest", "trees": 3, "depth": 4, "leaf": 2, "share": 1.0})
+    ranked = ranked_importances(spark, model).collect()
+    assert sum(r.importance for r in ranked) == pytest.approx(1.0) and ranked[0].importance >= ranked[1].importance
+
+
 def test_weighted_ridge_equals_closed_form(spark):
     import numpy as np
     rng = np.random.default_rng(4)

@@ -288,3 +288,18 @@ def raster_pixels_query(spark, sf):
     return out.select(long("row").alias("row"), long("col").alias("col"), r("LST", 8).alias("lst"),
                       r("LST_uncertainty").alias("uncertainty"),
                       long("s3_confidence").alias("confidence"))
+
+
+@query("weather_box_cells", f"""
+WITH b AS (SELECT s_suppkey, {s_lon('s_suppkey')} - 0.15::DOUBLE AS w, {s_lat('s_suppkey')} - 0.15::DOUBLE AS s, {s_lon('s_suppkey')} + (s_suppkey % 7) * 0.13::DOUBLE + 0.15::DOUBLE AS e, {s_lat('s_suppkey')} + (s_suppkey % 5) * 0.17::DOUBLE + 0.15::DOUBLE AS n FROM supplier)
+SELECT s_suppkey, {s_r('w')} AS west, {s_r('n')} AS north, ((greatest(1, ceil(abs(n - s) / 0.1::DOUBLE)::INTEGER + 1)) * (greatest(1, ceil(abs(e - w) / 0.1::DOUBLE)::INTEGER + 1)))::BIGINT AS cells FROM b
+""")
+def weather_box_cells(spark, sf):
+    k = F.col("s_suppkey")
+    b = table(spark, sf, "supplier", "s_suppkey").withColumns({
+        "w": lon_of("s_suppkey"), "s": lat_of("s_suppkey"),
+        "e": lon_of("s_suppkey") + (k % 7) * F.lit(0.13), "n": lat_of("s_suppkey") + (k % 5) * F.lit(0.17)})
+    b = b.withColumns(geo.expanded_box("w", "s", "e", "n"))
+    cells = geo.raster_cells(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    return b.select("s_suppkey", r("west").alias("west"), r("north").alias("north"),
+                    long(cells).alias("cells"))

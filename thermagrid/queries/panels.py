@@ -189,12 +189,20 @@ def temporal_split_one_year(spark, sf):
     return splits.temporal_split_days(events(spark, sf).select(day("ts").alias("date")), "date")
 
 
-@query("group_folds")
+@query("group_folds", """
+WITH n AS (SELECT count(DISTINCT o_orderdate::DATE) AS n FROM orders), f AS (SELECT unnest(range(1, 6)) AS fold)
+SELECT fold::BIGINT AS fold, ((n - fold) // 5 + 1)::BIGINT AS dates, 0::BIGINT AS shared_dates, (SELECT count(*) FROM orders) AS all_rows FROM f, n
+""")
 def group_folds(spark, sf):
+    """Sizes of the folds and the dates that sit in more than one (none)."""
     o = table(spark, sf, "orders", "o_orderdate").select(day("o_orderdate").alias("date"))
     out = splits.with_date_folds(o)
-    return out.groupBy("fold").agg(F.count_distinct("date").alias("dates"),
-                                   F.count(F.lit(1)).alias("rows"))
+    per_date = out.groupBy("date").agg(F.count_distinct("fold").alias("k"),
+                                       F.min("fold").alias("fold"), F.count(F.lit(1)).alias("n"))
+    total = per_date.agg(F.sum("n")).scalar()
+    return per_date.groupBy(long("fold").alias("fold")).agg(
+        F.count(F.lit(1)).alias("dates"), F.count_if(F.col("k") > 1).alias("shared_dates"),
+    ).withColumn("all_rows", total)
 
 
 @query("zscore_train", f"""

@@ -311,7 +311,9 @@ def place_query_cleanup(spark, sf):
     return p.select("p_partkey", text.place_query(q).alias("place"))
 
 
-@query("content_keys")
+@query("content_keys", """
+SELECT c_custkey, substr(sha1('{"c_nationkey":' || c_nationkey || ',"c_mktsegment":"' || c_mktsegment || '"}'), 1, 16) AS content_key FROM customer
+""")
 def content_keys(spark, sf):
     c = table(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     return c.select("c_custkey", content_key(["c_nationkey", "c_mktsegment"]).alias("content_key"))
@@ -328,3 +330,14 @@ def catalogue_listing(spark, sf):
     out = names_by_category(cards)
     return out.select("category", F.size("names").cast("long").alias("names"),
                       F.array_join("names", ",").alias("members"))
+
+
+@query("stable_area_ids", """
+SELECT p_partkey, CASE WHEN p_size <= 25 THEN 'roi_' || substr(sha1('{"p_size":' || p_size || '}'), 1, 10)
+  ELSE trim(regexp_replace(p_name || ' (' || p_brand || ')', '[^A-Za-z0-9_-]+', '_', 'g'), '_') END AS area_id FROM part
+""")
+def stable_area_ids(spark, sf):
+    from ..operators.fusion import stable_area_id
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_size")
+    written = F.when(F.col("p_size") > 25, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")))
+    return p.select("p_partkey", stable_area_id(written, ["p_size"]).alias("area_id"))
