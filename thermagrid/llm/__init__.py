@@ -1 +1,11 @@
-"""Operators of a training-data pipeline; nothing else in the package imports them."""
+"""Operators of a training-data pipeline; nothing else in the package imports them.
+
+Their Python functions travel to the executors by value, so the package need
+not be installed there.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

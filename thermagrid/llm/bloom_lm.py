@@ -193,6 +193,12 @@ class LogBloom:
         self.bits_of = (sizes * 8).astype(np.uint64)
         self.data = np.frombuffer(b"".join(slices[k] for k in sorted(slices)), np.uint8)
 
+    @classmethod
+    def revive(cls, state: dict) -> LogBloom:
+        made = cls.__new__(cls)
+        made.__dict__.update(state)
+        return made
+
     @staticmethod
     def build(keys: np.ndarray, counts: np.ndarray, bits_per_key: int, least: int) -> bytes:
         levels = quantise(counts)
@@ -300,10 +306,10 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     order = np.argsort(top.token.to_numpy().view(np.uint64)) if top is not None else None
     frequent = (top.token.to_numpy().view(np.uint64)[order], top.known.to_numpy()[order]) if top is not None else (
         np.empty(0, np.uint64), np.empty(0, np.int64))
-    shared = spark.sparkContext.broadcast((word_filter, pair_filter, frequent))
+    shared = spark.sparkContext.broadcast((vars(word_filter), vars(pair_filter), frequent))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, pairs, (often, often_n) = shared.value
+        (bloom, pairs), (often, often_n) = map(LogBloom.revive, shared.value[:2]), shared.value[2]
         vocabulary, known = Vocabulary(), (np.empty(0, np.int64), np.empty(0, np.int64))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
