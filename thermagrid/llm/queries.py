@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, mixing, packing, quality
+from . import bloom_lm, langid, mixing, packing, quality
 from .common import fold, table  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def register(fn):
     return fn
 
 
+@register
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    out = langid.identify_folds(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @register
 def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
