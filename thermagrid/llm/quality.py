@@ -16,6 +16,7 @@ RULES: dict[str, tuple[float, ...]] = {
     "shout_share": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05),
     "repeat_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2),
     "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2),
+    "run_share": (0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15),
     "capital_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
 }
 #: Strata are bands of length in words, so their number is fixed.
@@ -26,7 +27,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` plus the counts of each whole text (null text: no words).
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
-    n_shouts (``!`` and ``?``) and n_capitals. Everything is computed inside the
+    n_shouts (``!`` and ``?``), n_capitals and n_runs (words equal to the word before). Everything is computed inside the
     row: word windows are compared by 64-bit hashes in one array of the row, so
     nothing is exploded or shuffled.
     """
@@ -44,6 +45,8 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size("q_lines").cast("long").alias("n_lines"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
         F.transform("q_words", lambda w: F.xxhash64(w)).alias("q_hashes"))
+    counted = counted.withColumn("n_runs", F.expr(
+        "size(filter(q_hashes, (h, i) -> get(q_hashes, i - 1) <=> h))").cast("long"))
     members = ", ".join(f"q_hashes[i + {k}]" if k else "q_hashes[i]" for k in range(WINDOW))
     windows = counted.withColumn("q_windows", F.expr(
         f"CASE WHEN n_words > {WINDOW} THEN transform(sequence(0, size(q_hashes) - {WINDOW}), i -> xxhash64({members})) END"))
@@ -69,7 +72,7 @@ def rule_values() -> dict[str, Column]:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
     return {"symbol_share": share("n_symbols", "word_chars"), "shout_share": share("n_shouts", "word_chars"),
             "repeat_share": share("n_repeat_words", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"),
-            "capital_share": share("n_capitals", "word_chars")}
+            "run_share": share("n_runs", "n_words"), "capital_share": share("n_capitals", "word_chars")}
 
 
 def base_failed() -> Column:
@@ -122,7 +125,7 @@ def thresholds(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) ->
 
 def labelled_features(feats: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per labelled document: the worst values of its rows, the worst label."""
-    names = ["n_words", "word_chars", "n_symbols", "n_shouts", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words"]
+    names = ["n_words", "word_chars", "n_symbols", "n_shouts", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words", "n_runs"]
     one = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return (feats.select("doc_id", *names).join(one, "doc_id")
             .groupBy("doc_id").agg(F.min("quality").alias("quality"), *[F.max(n).alias(n) for n in names]))
