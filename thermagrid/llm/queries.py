@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, graph_ann, html_extract, langid, mixing, packing, quality
+from . import bloom_lm, graph_ann, html_extract, langid, mixing, packing, quality, suffix_repeats
 from .common import fold, table  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+@register
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 400 bytes that occur elsewhere."""
+    return suffix_repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
