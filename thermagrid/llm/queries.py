@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, graph_ann, html_extract, langid, mixing, packing, quality, suffix_repeats
+from . import bloom_lm, graph_ann, html_extract, jaccard_join, langid, mixing, packing, quality, suffix_repeats
 from .common import fold, table  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op6_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document."""
+    return jaccard_join.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @register
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model log-probability of every whole document."""
