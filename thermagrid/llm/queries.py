@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, graph_ann, html_extract, jaccard_join, langid, mixing, packing, quality, suffix_repeats
+from . import (bloom_lm, graph_ann, html_extract, jaccard_join, langid, license_scan, mixing,
+               packing, quality, suffix_repeats)
 from .common import fold, table  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,12 @@ def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
+@register
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license text or notice in every document, with coverage and span."""
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
