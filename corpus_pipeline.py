@@ -1,11 +1,17 @@
 """A training corpus from ``documents``: STAGES in order, each a function of
-(spark, docs, sf_dir) that works on all its predecessor kept."""
+(spark, docs, sf_dir) that works on all its predecessor kept.
+
+Quality rules drop what they reject; of each group of similar documents one
+stays; strings of 400 bytes that still occur twice are cut out; sources are mixed
+to their weights (whole documents, repeated or left out as taken); the result is
+packed into windows. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermagrid.llm import mixing, quality
+from thermagrid.llm import jaccard_join, mixing, packing, quality, suffix_repeats
 from thermagrid.llm.common import materialise, table
 
 
@@ -13,11 +19,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_repeats.cut_documents(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources)]
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join_stage),
+    ("suffix_dedup", suffix_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_windows", pack_windows),
+]
+#: SQL cannot express the tokens and the packing; tests compare with brute force.
 ORACLE_SQL = None
 
 

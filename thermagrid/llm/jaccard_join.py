@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,11 @@ SHINGLE, SIMILAR = 5, 80
 FREQUENT, FREQUENT_MOST = 48, 500_000
 #: Members of a group that are searched in one piece; larger groups are searched by pairs of pieces.
 PIECE = 2048
+#: Groups up to this size are searched together in one sweep, larger ones by a tree.
+SMALL = 64
+#: Tokens stored beyond the prefix, for those that turn out to be frequent.
+SPARE = 32
+FILTER_BITS = 1 << 23
 FANOUT = 16
 CACHED_WORDS = 400_000
 
@@ -51,18 +57,31 @@ class _WordHashes(dict):
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def shingle_set(text: str | None, hashes: _WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; fewer words than one
-    shingle are one shingle, no words none."""
-    words = text.encode().lower().split() if text else ()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(h))
-    total = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        total = total + mix64(h[k:len(h) - width + 1 + k]) * _ODD[k]
-    return np.unique(mix64(total))
+def shingle_sets(texts: list[str | None], hashes: _WordHashes) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; fewer words
+    than one shingle are one shingle, no words none."""
+    split = [t.encode().lower().split() if t else () for t in texts]
+    counts = np.array([len(w) for w in split], np.int64)
+    h = np.concatenate([np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in split] + [np.zeros(SHINGLE, np.uint64)])
+    total = np.full(len(h) - SHINGLE + 1, SHINGLE, np.uint64)
+    for k in range(SHINGLE):
+        total += h[k:len(h) - SHINGLE + 1 + k] * _ODD[k]
+    total = mix64(total)
+    out, begin = [], 0
+    for n in counts.tolist():
+        if n >= SHINGLE:
+            tokens = np.sort(total[begin:begin + n - SHINGLE + 1])
+            fresh = tokens[1:] != tokens[:-1]
+            out.append(tokens if fresh.all() else tokens[np.concatenate(([True], fresh))])
+        elif n:
+            few = np.uint64(n)
+            for k in range(n):
+                few = few + h[begin + k:begin + k + 1] * _ODD[k]
+            out.append(mix64(few))
+        else:
+            out.append(np.empty(0, np.uint64))
+        begin += n
+    return out
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -73,64 +92,140 @@ def prefix_size(n: int) -> int:
     return n - (SIMILAR * n + 99) // 100 + 1
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for the low bits of every token; at least eight bits a token, so that a
+    set can be folded to fewer bits by OR of its halves."""
+    width = 256
+    while width < 8 * len(tokens) and width < 1 << 20:
+        width *= 2
+    bits = np.zeros(width, np.bool_)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap as 8-byte words, folded to ``size`` bytes."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
+    """Id and size of every text's set; its least tokens and its bitmap once for each task."""
+    hashes, seen = _WordHashes(), set()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = shingle_sets(part.column(2).to_pylist(), hashes)
+            sids = [set_id(s) if len(s) else None for s in sets]
+            least: list[bytes | None] = []
+            bits: list[bytes | None] = []
+            for sid, tokens in zip(sids, sets):
+                known = sid is None or sid in seen
+                if not known and len(seen) < 200_000:
+                    seen.add(sid)
+                least.append(None if known else tokens[:prefix_size(len(tokens)) + SPARE].tobytes())
+                bits.append(None if known else bitmap(tokens))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()),
+                 pa.array(least, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "text_key", "n_shingles", "sid", "least", "bits"])
+
+
+def _plain_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix in the order of the hash."""
     for batch in batches:
-        sets = [shingle_set(t.as_py(), hashes) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "text_key", "n_shingles", "sid"])
+        parts = [np.frombuffer(b.as_py(), np.int64)[:prefix_size(n)] for n, b in zip(batch.column(0).to_pylist(), batch.column(1))]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], ["token"])
 
 
-def _prefix_rows(frequent):
-    """(token[, sid, n]) of each distinct set's prefix; ``frequent`` gives the sorted tokens that come last."""
+def _prefix_tokens(frequent):
+    """(sid, n, token) of the prefix with frequent tokens last; token is null, once,
+    where the stored tokens do not reach that far."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, last = _WordHashes(), set(), frequent() if frequent else None
+        last = frequent()
         for batch in batches:
-            parts, ids, sizes = [], [], []
-            for text in batch.column(0):
-                tokens = shingle_set(text.as_py(), hashes)
-                n = len(tokens)
-                if not n:
-                    continue
-                sid = set_id(tokens)
-                if sid in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(sid)
-                first = prefix_size(n)
-                if last is not None and len(last):
+            parts, lacking = [], []
+            for sid, n, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                tokens, first = np.frombuffer(stored.as_py(), np.uint64), prefix_size(n)
+                if len(last):
                     late = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens
-                    tokens = np.concatenate((tokens[~late][:first], tokens[late][:first]))
-                parts.append(tokens[:first])
-                ids.append(sid)
-                sizes.append(n)
-            if parts:
-                counts = [len(p) for p in parts]
-                columns = [pa.array(np.concatenate(parts).view(np.int64))]
-                if frequent:
-                    columns += [pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "sid", "n"][:len(columns)])
+                    whole = len(tokens) == n
+                    tokens = np.concatenate((tokens[~late], tokens[late])) if whole else tokens[~late]
+                if len(tokens) >= first:
+                    parts.append((sid, n, tokens[:first]))
+                else:
+                    lacking.append((sid, n))
+            counts = [len(t) for *_, t in parts]
+            sids = np.repeat(np.array([p[0] for p in parts], np.int64), counts)
+            sizes = np.repeat(np.array([p[1] for p in parts], np.int64), counts)
+            tokens = np.concatenate([t for *_, t in parts]).view(np.int64) if parts else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(sizes), pa.array(tokens)], ["sid", "n", "token"])
+            if lacking:
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in lacking], pa.int64()), pa.array([n for _, n in lacking], pa.int64()),
+                                                  pa.nulls(len(lacking), pa.int64())], ["sid", "n", "token"])
     return rows
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """One bit for the low bits of every token; at least two bits a token, so that a
-    set can be folded to fewer bits by OR of its halves."""
-    width = 256
-    while width < 2 * len(tokens) and width < 1 << 16:
-        width *= 2
-    bits = np.zeros(width, np.bool_)
-    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in batches:
-        sets = [shingle_set(t.as_py(), hashes) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()),
-                                          pa.array([bitmap(s) for s in sets], pa.binary())], ["sid", "tokens", "bits"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = shingle_sets(part.column(1).to_pylist(), hashes)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "tokens"])
+
+
+def sets_of(wanted: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(sid, n, tokens) of the ids in ``wanted``, from their whole texts.
+
+    A bitmap of their text keys (FILTER_BITS bits, a fixed size) thins the texts
+    before they are shuffled; it only lets too many through, never too few.
+    """
+    keyed = cut_lineage(rows.where("sid IS NOT NULL").join(wanted.select("sid").distinct(), "sid")
+                        .groupBy("sid").agg(F.min("text_key").alias("text_key")))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, np.bool_)
+        for batch in batches:
+            bits[batch.column(0).to_numpy() & (FILTER_BITS - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+
+    parts = keyed.select("text_key").coalesce(8).mapInArrow(spots, "bits binary").collect()  # at most 8 bitmaps of 1 MB
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        whole |= np.frombuffer(zstandard.decompress(bytes(r.bits)), np.uint8)
+    shared = named.sparkSession.sparkContext.broadcast(whole)
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (FILTER_BITS - 1)
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    texts = (named.where("text IS NOT NULL").select("text_key", "text").mapInArrow(thinned, "text_key long, text string")
+             .groupBy("text_key").agg(F.first("text").alias("text")))
+    return materialise(texts.join(keyed, "text_key").select("sid", "text").mapInArrow(_set_rows, "sid long, n long, tokens binary"))
+
+
+def _possible_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that sizes and whole bitmaps leave possible; rows a, b, n_a, n_b, bits_a, bits_b."""
+    for batch in batches:
+        good = []
+        for n, m, left, right in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+            size = min(len(left), len(right))
+            x, y = folded(left, size), folded(right, size)
+            only_x, only_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+            good.append((100 + SIMILAR) * min(n - only_x, m - only_y) >= SIMILAR * (n + m))
+        keep = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+
+def possible_pairs(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    def side(name: str) -> DataFrame:
+        return maps.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(f"100 * n_a >= {SIMILAR} * n_b AND 100 * n_b >= {SIMILAR} * n_a")
+            .select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible_rows, "a long, b long"))
 
 
 def _linked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,55 +326,92 @@ class SignatureTree:
             stack.append((level - 1, x, y))
 
 
-def _same_width(bits: list[bytes]) -> np.ndarray:
-    """Bitmaps folded to the width of the shortest, as rows of 8-byte words."""
-    width = min(map(len, bits))
-    out = np.empty((len(bits), width // 8), np.uint64)
-    for k, b in enumerate(bits):
-        words = np.frombuffer(b, np.uint64)
-        out[k] = np.bitwise_or.reduce(words.reshape(-1, width // 8), axis=0)
-    return out
+def _tree_pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers of one group (or of two pieces of it) that signature trees leave."""
+    n, comp, piece = (rows.column(c).to_numpy() for c in ("n", "comp", "piece"))
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    maps = rows.column("bits").to_pylist()
+    width = min(map(len, maps))
+    bits = np.stack([folded(b, width) for b in maps])
+    sides = []
+    for number in dict.fromkeys((i, j)):
+        at = np.flatnonzero(piece == number)
+        at = at[np.lexsort((n[at], comp[at]))]
+        if not len(at):
+            return
+        sides.append((at, SignatureTree(bits[at], n[at], comp[at])))
+    (left, one), (right, two) = sides[0], sides[-1]
+    for x, y in one.pairs(two, i == j):
+        yield left[x], right[y]
+
+
+def _small_pairs(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers inside many small groups that one level of bounds leaves."""
+    n, comp, sid = (rows.column(c).to_numpy() for c in ("n", "comp", "sid"))
+    first, second = [], []
+    for size in np.unique(sizes):
+        x, y = np.triu_indices(size, 1)
+        at = begins[sizes == size][:, None]
+        first.append((at + x).ravel())
+        second.append((at + y).ravel())
+    x, y = np.concatenate(first), np.concatenate(second)
+    keep = (comp[x] != comp[y]) & (100 * n[x] >= SIMILAR * n[y]) & (100 * n[y] >= SIMILAR * n[x])
+    x, y = x[keep], y[keep]
+    low, high = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
+    order = np.lexsort((high, low))
+    fresh = np.ones(len(order), np.bool_)
+    fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    x, y = x[order[fresh]], y[order[fresh]]
+    maps = rows.column("bits")
+    width = np.array([len(b) for b in maps.to_pylist()])
+    common = np.minimum(width[x], width[y])
+    good = np.zeros(len(x), np.bool_)
+    for size in np.unique(common):
+        some = np.flatnonzero(common == size)
+        for at in range(0, len(some), 1 << 15):
+            part = some[at:at + (1 << 15)]
+            used, back = np.unique(np.concatenate((x[part], y[part])), return_inverse=True)
+            bits = np.stack([folded(b, size) for b in maps.take(pa.array(used)).to_pylist()])
+            bx, by = bits[back[:len(part)]], bits[back[len(part):]]
+            both = np.bitwise_count(bx & by).sum(axis=1, dtype=np.int64)
+            alone = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)[back]
+            overlap = np.minimum(n[x[part]] - alone[:len(part)] + both, n[y[part]] - alone[len(part):] + both)
+            good[part] = (100 + SIMILAR) * overlap >= SIMILAR * (n[x[part]] + n[y[part]])
+    return x[good], y[good]
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs left by the trees, from rows (token, i, j, piece, sid, n, comp, bits) sorted by group."""
-    seen: set[tuple[int, int]] = set()
-
+    """Pairs that the bounds leave, from rows (token, i, j, piece, sid, n, comp, bits)
+    sorted by group; a last group that may go on is kept for the next batch."""
     def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        sid, n, comp, piece = (rows.column(c).to_numpy() for c in ("sid", "n", "comp", "piece"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        bits = _same_width(rows.column("bits").to_pylist())
-        sides = []
-        for number in dict.fromkeys((i, j)):
-            at = np.flatnonzero(piece == number)
-            at = at[np.lexsort((n[at], comp[at]))]
-            sides.append((at, SignatureTree(bits[at], n[at].astype(np.int64), comp[at])))
-        if not all(len(at) for at, _ in sides):
-            return
-        (left, one), (right, two) = sides[0], sides[-1]
-        for x, y in one.pairs(two, i == j):
-            fresh = {(min(p), max(p)) for p in zip(sid[left[x]].tolist(), sid[right[y]].tolist()) if p[0] != p[1]} - seen
-            if len(seen) < 500_000:
-                seen.update(fresh)
-            if fresh:
-                a, b = zip(*fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    held: list[pa.RecordBatch] = []
+        keys = np.stack([rows.column(k).to_numpy() for k in range(3)])
+        begins = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+        sizes = np.diff(np.append(begins, rows.num_rows))
+        sid = rows.column("sid").to_numpy()
+        small = (sizes <= SMALL) & (sizes > 1)
+        found = [_small_pairs(rows, begins[small], sizes[small])] if small.any() else []
+        for begin, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            found += [(begin + x, begin + y) for x, y in _tree_pairs(rows.slice(begin, size).combine_chunks())]
+        if found:
+            a, b = (sid[np.concatenate(side)] for side in zip(*found))
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for begin, end in zip(cuts, cuts[1:]):
-            part = batch.slice(begin, end - begin)
-            if held and any(held[0].column(k)[0].as_py() != part.column(k)[0].as_py() for k in range(3)):
-                yield from search(pa.Table.from_batches(held))
-                held = []
-            held.append(part)
-    if held:
-        yield from search(pa.Table.from_batches(held))
+        table = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, table]) if held is not None else table
+        keys = [batch.column(k) for k in range(3)]
+        if all(k[0] == k[-1] for k in keys):
+            continue  # one group so far
+        keys = np.stack([c.to_numpy() for c in held.select([0, 1, 2]).columns])
+        cut = int(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[-1]) + 1
+        yield from search(held.slice(0, cut).combine_chunks())
+        held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield from search(held.combine_chunks())
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -293,40 +425,54 @@ def link_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    rows = materialise(named.mapInArrow(_document_rows, "doc_id long, text_key long, n_shingles long, sid long"))
-    texts = docs.select("text").where("text IS NOT NULL")
+    rows = materialise(named.mapInArrow(
+        _document_rows, "doc_id long, text_key long, n_shingles long, sid long, least binary, bits binary"))
+    stored = rows.where("least IS NOT NULL").select("sid", F.col("n_shingles").alias("n"), "least")
 
-    often = (texts.mapInArrow(_prefix_rows(None), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    often = (stored.select("n", "least").mapInArrow(_plain_tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
              .where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").toPandas())
     shared = spark.sparkContext.broadcast(np.sort(often.token.to_numpy(np.int64).view(np.uint64)))
-    prefixes = texts.mapInArrow(_prefix_rows(lambda: shared.value), "token long, sid long, n int")
-    groups = prefixes.groupBy("token").agg(F.min("sid").alias("one"), F.max("sid").alias("two")).where("one <> two")
+    tokens = stored.mapInArrow(_prefix_tokens(lambda: shared.value), "sid long, n long, token long")
+    deeper = sets_of(tokens.where("token IS NULL").select("sid"), rows, named)
+    prefixes = tokens.where("token IS NOT NULL").unionByName(
+        deeper.select("sid", "n", F.col("tokens").alias("least")).mapInArrow(
+            _prefix_tokens(lambda: shared.value), "sid long, n long, token long"))
     # Only tokens of two sets or more go on; their groups' centres are the least and the largest id.
+    groups = prefixes.groupBy("token").agg(F.min("sid").alias("one"), F.max("sid").alias("two")).where("one <> two")
     members = materialise(prefixes.join(groups, "token").distinct())
+    maps = materialise(rows.where("bits IS NOT NULL").join(members.select("sid").distinct(), "sid", "left_semi")
+                       .groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
 
-    wanted = members.select("sid").distinct()
-    keyed = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("text_key").alias("text_key")).join(wanted, "sid")
-    once = named.where("text IS NOT NULL").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = materialise(once.join(keyed, "text_key").select("sid", "text").mapInArrow(_set_rows, "sid long, tokens binary, bits binary"))
+    def links_among(pairs: DataFrame) -> DataFrame:
+        left = cut_lineage(possible_pairs(pairs, maps))
+        ends = left.select(F.col("a").alias("sid")).union(left.select("b"))
+        return cut_lineage(checked(left, sets_of(ends, rows, named)))
 
     near = members.select("sid", F.explode(F.array("one", "two")).alias("centre")).where("sid <> centre")
     stars = (near.groupBy("sid", "centre").agg(F.count(F.lit(1)).alias("n")).groupBy("sid")
              .agg(F.max(F.struct("n", "centre"))["centre"].alias("most"), F.min("centre").alias("least")))
-    first = materialise(checked(stars.select(F.col("sid").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), sets))
+    first = links_among(stars.select(F.col("sid").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b"))
+                        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comps = components(first)
 
-    labelled = materialise(members.select("token", "sid", "n").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
+    labelled = cut_lineage(members.select("token", "sid", "n").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
     still = (labelled.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo <> hi").select("token", (F.ceil(F.col("g") / PIECE)).cast("int").alias("pieces")))
     placed = (labelled.join(still, "token").withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
               .withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other")))
-    candidates = (placed.join(sets.select("sid", "bits"), "sid")
+
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [max(32, len(b) // 4) for b in batch.column(1).to_pylist()]
+            bits = [folded(b, k).tobytes() for b, k in zip(batch.column(1).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["sid", "bits"])
+
+    candidates = (placed.join(maps.select("sid", "bits").mapInArrow(coarse, "sid long, bits binary"), "sid")
                   .select("token", "i", "j", "piece", "sid", "n", "comp", "bits")
                   .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
                   .mapInArrow(_candidate_rows, "a long, b long").distinct())
-    second = checked(candidates, sets)
-    closed = components(first.unionByName(second))
+    closed = components(first.unionByName(links_among(candidates)))
 
     whole = rows.join(closed, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

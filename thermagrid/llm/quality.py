@@ -60,7 +60,8 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     covered = F.expr(
         f"coalesce(aggregate(transform(q_starts, (p, j) -> least({WINDOW}, coalesce(get(q_starts, j + 1) - p, {WINDOW}))), "
         "0, (a, x) -> a + x), 0)").cast("long")
-    return starts.withColumn("n_repeat_words", covered).drop("q_starts")
+    # A row number times 0 keeps later filters above this step: pushed below it, they would repeat all of the above.
+    return starts.withColumn("n_repeat_words", covered + F.monotonically_increasing_id() * 0).drop("q_starts")
 
 
 def _sql(pattern: str) -> str:

@@ -326,3 +326,30 @@ def repeat_report(docs: DataFrame) -> DataFrame:
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha")).alias("kept_sha256"))
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` without the repeated bytes: text and n_chars (if there) follow.
+
+    A character of which only some bytes are left goes too, so that texts stay
+    UTF-8. Documents that lose their whole text are left out; null, empty and
+    short texts stay as they are.
+    """
+    columns = docs.columns
+    packed = docs.select(F.struct(*columns).alias("row"), "text")
+    named = _repeated_ids(packed)
+
+    def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["rid", "kept_text"])
+
+    cut = (cut_texts(named).where("n_removed > 0").select("rid", "kept")
+           .mapInArrow(whole_characters, "rid binary, kept_text string"))
+    twice = named.groupBy("rid", "n_bytes").agg(F.count(F.lit(1)).alias("copies")).where(
+        (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("rid", F.lit("").alias("nothing"))
+    marks = cut.join(twice, "rid", "full").select("rid", F.coalesce("nothing", "kept_text").alias("new_text"))
+    joined = named.select("row", "rid").join(marks, "rid", "left").where("new_text IS NULL OR new_text <> ''")
+    text = F.coalesce("new_text", "row.text")
+    made = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}
+    return joined.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in columns])
