@@ -121,7 +121,9 @@ def build_graph(points: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
             if len(some):
                 edges[centres[some]] = robust_prune(points, centres[some], whole[some], DEGREE, RELAX)
         rest = np.flatnonzero(~full)
-        edges[centres[rest]] = -np.sort(-whole[rest], axis=1)[:, :DEGREE]
+        few = np.sort(whole[rest], axis=1)
+        few[:, 1:][few[:, 1:] == few[:, :-1]] = -1  # an edge that was offered again
+        edges[centres[rest]] = -np.sort(-few, axis=1)[:, :DEGREE]
         done += len(batch)
     return edges, entry
 
