@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import reduce
 
@@ -13,12 +14,12 @@ from .core import col, let
 
 
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Compatibility folding to ASCII, derived from the Unicode database:
-    one-to-one letters, and the few that fold to several characters."""
-    blocks = [range(0x80, 0x250), range(0x1E00, 0x1F00), range(0x2000, 0x2190),
-              range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F)]
+    """Compatibility folding to ASCII, derived from the whole Unicode database:
+    one-to-one letters, and those that fold to several characters."""
     source, target, several = [], [], {}
-    for code in (c for block in blocks for c in block):
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        if not unicodedata.decomposition(chr(code)):
+            continue
         folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(folded) == 1:
             source.append(chr(code))
@@ -32,14 +33,19 @@ FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _fold_tables()
 
 
 def ascii_fold(text: str | Column) -> Column:
-    """Accents and compatibility forms to ASCII; what has no ASCII form goes."""
+    """Accents and compatibility forms to ASCII; what has no ASCII form goes.
+
+    ASCII text stays as it is; one-to-one letters are one ``translate``; only a
+    text that holds a character with a longer form is taken apart.
+    """
     c = col(text)
-    expanded = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])),
-                      FOLD_SEVERAL.items(), c)
+    longer = F.create_map(*[F.lit(x) for pair in FOLD_SEVERAL.items() for x in pair])
+    expanded = F.array_join(F.transform(
+        F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(longer, ch), ch)), "")
     rare = F.length(F.translate(c, "".join(FOLD_SEVERAL), "")) < F.length(c)
     folded = F.regexp_replace(F.translate(F.when(rare, expanded).otherwise(c), FOLD_FROM, FOLD_TO),
                               r"[^\x00-\x7F]", "")
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)  # ASCII stays
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
 
 
 def normalize_text(text: str | Column) -> Column:
@@ -76,17 +82,23 @@ def word_grams(plain: Column, longest: int) -> Column:
 
 def tag_terms(text: str | Column, aliases: dict[str, str]) -> Column:
     """Canonical names whose alias stands in the text on word edges, ordered by
-    the alias's first position. One narrow projection: no join, no explode."""
-    usable = {a: n for a, n in aliases.items() if re.fullmatch(r"[a-z0-9_](.*[a-z0-9_])?", a)}
-    if not usable:
+    the alias's first position. One narrow projection: no join, no explode.
+
+    Aliases that begin and end with a word character are looked up among the
+    text's runs of words; the few others are searched one by one.
+    """
+    usual = {a: n for a, n in aliases.items() if re.fullmatch(r"[a-z0-9_](.*[a-z0-9_])?", a)}
+    other = {a: n for a, n in aliases.items() if a and a not in usual}
+    names = F.create_map(*[F.lit(x) for kv in {**usual, **other}.items() for x in kv]) if usual or other else None
+    if names is None:
         return F.array().cast("array<string>")
-    known = F.array(*[F.lit(a) for a in usable])
-    names = F.create_map(*[F.lit(x) for kv in usable.items() for x in kv])
-    longest = max(len(re.findall("[a-z0-9_]+", a)) for a in usable)
+    longest = max((len(re.findall("[a-z0-9_]+", a)) for a in usual), default=0)
 
     def tags(plain: Column) -> Column:
-        found = F.array_intersect(word_grams(plain, longest), known)
-        placed = F.transform(found, lambda a: F.struct(
+        parts = [F.array_intersect(word_grams(plain, longest), F.array(*[F.lit(a) for a in usual]))] if usual else []
+        parts += [F.when(plain.rlike(rf"(?<![a-z0-9_]){re.escape(a)}(?![a-z0-9_])"), F.array(F.lit(a)))
+                  .otherwise(F.array().cast("array<string>")) for a in other]
+        placed = F.transform(reduce(F.concat, parts), lambda a: F.struct(
             F.instr(plain, a).alias("pos"), F.element_at(names, a).alias("name")))
         return F.array_distinct(F.transform(F.array_sort(placed), lambda p: p["name"]))
 
@@ -151,6 +163,7 @@ def place_query(text: str | Column) -> Column:
         (r"(?:,\s*){2,}", ", "),
         (r"^[ ,]+|[ ,]+$", ""),
     ]
+    # End of fixed values.
     return reduce(lambda acc, step: F.regexp_replace(acc, *step), steps, c)
 
 

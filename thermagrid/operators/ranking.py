@@ -14,9 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def nulls_last(order: Sequence[str | Column]) -> Column:
+    """``order`` as one comparable value in which unknown values come last."""
+    columns = [F.col(o) if isinstance(o, str) else o for o in order]
+    return F.struct(*[part for c in columns for part in (c.isNull(), c)])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One whole row per key: the first by ``order``. Null keys are one key."""
-    order_key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    """One whole row per key: the first by ``order``, unknown values last. Null
+    keys are one key."""
+    order_key = nulls_last(order)
     row = F.struct(*[F.col(c) for c in df.columns])
     return (
         df.groupBy(*keys).agg(F.min_by(row, order_key).alias("_row"))
@@ -26,8 +33,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 def first_value_per_column(df: DataFrame, keys: Sequence[str],
                            order: Sequence[str | Column]) -> DataFrame:
-    """Per key and per column, the first non-null value by ``order``."""
-    order_key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    """Per key and per column, the first non-null value by ``order`` (unknown order
+    values last)."""
+    order_key = nulls_last(order)
     values = [c for c in df.columns if c not in keys]
     return df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(*[
         F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order_key)).alias(c) for c in values

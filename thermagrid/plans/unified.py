@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import MICROS_PER_HOUR, micros, season_features
+from ..functions.calendar import MICROS_PER_HOUR, micros, parse_day, parse_time, season_features
 from ..functions.core import number
 from ..operators.contract import (STATIC_COLUMNS, collision_names, purpose_columns,
                                   require_columns)
@@ -28,13 +28,14 @@ def unified_table(fine: DataFrame, coarse: DataFrame, nodes: DataFrame, *,
     """Panel of all nodes on all dates of either sensor, with the day's fine
     values and the nearest pixel of the nearest coarse date.
 
-    Every table has ``area``; ``date`` is a date. Areas never mix: the area is
+    Every table has ``area``; ``date`` is a date or ISO text, rows without a
+    readable one go, unreadable times are unknown. Areas never mix: the area is
     part of every key.
     """
     require_columns(fine, [area, "node_id", "date"], "fine table")
     require_columns(coarse, [area, "node_id", "date", "latitude", "longitude"], "coarse table")
-    fine = fine.where(F.col("date").isNotNull())
-    coarse = coarse.where(F.col("date").isNotNull())
+    fine = fine.withColumn("date", parse_day("date")).where(F.col("date").isNotNull())
+    coarse = coarse.withColumn("date", parse_day("date")).where(F.col("date").isNotNull())
     order = ["acquisition_dt_utc"] if "acquisition_dt_utc" in fine.columns else []
     values = [c for c in fine.columns if c not in {area, "date", "node_id", *GEOMETRY, *CALENDAR}]
     tie = [c for c in values if c not in order]
@@ -75,7 +76,7 @@ def unified_table(fine: DataFrame, coarse: DataFrame, nodes: DataFrame, *,
     science = [c for c in coarse.columns if c not in skip]
     names = collision_names(science, [c for c in panel.columns if c not in (
         "_coarse_date", "s3_day_difference")])
-    acquired = (F.col("acquisition_dt_utc").cast("timestamp")
+    acquired = (parse_time("acquisition_dt_utc")
                 if "acquisition_dt_utc" in coarse.columns
                 else F.col("date").cast("timestamp"))
     tie_order = [c for c in ("row", "col") if c in coarse.columns]
@@ -111,7 +112,7 @@ def _with_validity(df: DataFrame, purpose: str) -> DataFrame:
     has_fine = number("LST_K") if "LST_K" in df.columns else F.lit(None).cast("double")
     has_coarse = number("LST_1km") if "LST_1km" in df.columns else F.lit(None).cast("double")
     if "landsat_datetime_utc" in df.columns:
-        fine_time = F.col("landsat_datetime_utc").cast("timestamp")
+        fine_time = parse_time("landsat_datetime_utc")
     else:
         noon = F.timestamp_micros(micros("date") + F.lit(12 * MICROS_PER_HOUR))
         fine_time = F.when(has_fine.isNotNull(), noon)

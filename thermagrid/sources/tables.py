@@ -96,7 +96,7 @@ def gridded_weather(raw: DataFrame, fields: Sequence[str]) -> DataFrame:
     time = first_present(raw, ["valid_time", "time", "datetime", "date"])
     place = [c for c in ("latitude", "longitude") if c in raw.columns]
     require_columns(raw, fields, "gridded weather")
-    return raw.select(time.cast("timestamp").alias("era5_dt_utc"), *place,
+    return raw.select(parse_time(time).alias("era5_dt_utc"), *place,
                       *[number(f).alias(f) for f in fields])
 
 
