@@ -4,7 +4,7 @@
 2. Two similar sets share one of their first tokens in any common order (prefix
    filter). The order is by hash, but the most frequent tokens come last, so
    passages that many documents share hardly make candidates.
-3. Sets that share a token are first linked to two centres of the token's group;
+3. Sets that share a token are first linked to centres of their tokens' groups;
    checked links give first components. This takes the many copies of one text
    together without looking at their pairs.
 4. Groups that still hold more than one component are searched by signature
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermagrid.session import cut_lineage
@@ -41,7 +41,8 @@ PIECE = 2048
 SMALL = 64
 #: Tokens stored beyond the prefix, for those that turn out to be frequent.
 SPARE = 32
-FILTER_BITS = 1 << 23
+#: Bits of the bitmaps that thin rows before a shuffle.
+FILTER_BITS = 1 << 25
 FANOUT = 16
 CACHED_WORDS = 400_000
 
@@ -129,12 +130,25 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                  pa.array(least, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "text_key", "n_shingles", "sid", "least", "bits"])
 
 
-def _plain_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix in the order of the hash."""
+def _repeated_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the tokens met twice or more among a few million of this task, in
+    prefixes in the order of the hash. What falls short in every task is left out:
+    the order that follows from the counts may be any, it only steers the work."""
+    held, total = [], 0
+
+    def flush() -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tokens[n > 1]), pa.array(n[n > 1])], ["token", "n"])
+
     for batch in batches:
-        parts = [np.frombuffer(b.as_py(), np.int64)[:prefix_size(n)] for n, b in zip(batch.column(0).to_pylist(), batch.column(1))]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], ["token"])
+        for n, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+            held.append(np.frombuffer(b.as_py(), np.int64)[:prefix_size(n)])
+            total += len(held[-1])
+        if total > 2_000_000:
+            yield flush()
+            held, total = [], 0
+    if total:
+        yield flush()
 
 
 def _prefix_tokens(frequent):
@@ -175,34 +189,39 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "tokens"])
 
 
-def sets_of(wanted: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
-    """(sid, n, tokens) of the ids in ``wanted``, from their whole texts.
-
-    A bitmap of their text keys (FILTER_BITS bits, a fixed size) thins the texts
-    before they are shuffled; it only lets too many through, never too few.
-    """
-    keyed = cut_lineage(rows.where("sid IS NOT NULL").join(wanted.select("sid").distinct(), "sid")
-                        .groupBy("sid").agg(F.min("text_key").alias("text_key")))
-
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the low bits of the column ``key``, FILTER_BITS bits whatever the
+    number of keys: it thins rows before a shuffle, lets too many through, never too few."""
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, np.bool_)
         for batch in batches:
             bits[batch.column(0).to_numpy() & (FILTER_BITS - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
 
-    parts = keyed.select("text_key").coalesce(8).mapInArrow(spots, "bits binary").collect()  # at most 8 bitmaps of 1 MB
     whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
+    for r in keys.select("key").coalesce(8).mapInArrow(spots, "bits binary").collect():  # at most 8 bitmaps
         whole |= np.frombuffer(zstandard.decompress(bytes(r.bits)), np.uint8)
-    shared = named.sparkSession.sparkContext.broadcast(whole)
+    return whole
 
-    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+
+def passing(bits: np.ndarray):
+    """A row filter for mapInArrow: rows whose first column may be among the keys."""
+    shared = SparkSession.active().sparkContext.broadcast(bits)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             at = batch.column(0).to_numpy() & (FILTER_BITS - 1)
-            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            yield batch.filter(pa.array((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+    return rows
 
-    texts = (named.where("text IS NOT NULL").select("text_key", "text").mapInArrow(thinned, "text_key long, text string")
+
+def sets_of(wanted: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(sid, n, tokens) of the ids in ``wanted``, from their whole texts."""
+    keyed = cut_lineage(rows.where("sid IS NOT NULL").join(wanted.select("sid").distinct(), "sid")
+                        .groupBy("sid").agg(F.min("text_key").alias("text_key")))
+    thin = passing(key_filter(keyed.select(F.col("text_key").alias("key"))))
+    texts = (named.where("text IS NOT NULL").select("text_key", "text").mapInArrow(thin, "text_key long, text string")
              .groupBy("text_key").agg(F.first("text").alias("text")))
     return materialise(texts.join(keyed, "text_key").select("sid", "text").mapInArrow(_set_rows, "sid long, n long, tokens binary"))
 
@@ -429,17 +448,21 @@ def link_components(docs: DataFrame) -> DataFrame:
         _document_rows, "doc_id long, text_key long, n_shingles long, sid long, least binary, bits binary"))
     stored = rows.where("least IS NOT NULL").select("sid", F.col("n_shingles").alias("n"), "least")
 
-    often = (stored.select("n", "least").mapInArrow(_plain_tokens, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").toPandas())
+    often = (stored.select("n", "least").mapInArrow(_repeated_tokens, "token long, n long")
+             .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+             .orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").toPandas())
     shared = spark.sparkContext.broadcast(np.sort(often.token.to_numpy(np.int64).view(np.uint64)))
     tokens = stored.mapInArrow(_prefix_tokens(lambda: shared.value), "sid long, n long, token long")
     deeper = sets_of(tokens.where("token IS NULL").select("sid"), rows, named)
     prefixes = tokens.where("token IS NOT NULL").unionByName(
         deeper.select("sid", "n", F.col("tokens").alias("least")).mapInArrow(
             _prefix_tokens(lambda: shared.value), "sid long, n long, token long"))
-    # Only tokens of two sets or more go on; their groups' centres are the least and the largest id.
-    groups = prefixes.groupBy("token").agg(F.min("sid").alias("one"), F.max("sid").alias("two")).where("one <> two")
-    members = materialise(prefixes.join(groups, "token").distinct())
+    # Only tokens of two sets or more go on: a bitmap of those seen twice thins the rows, then their sets are compared.
+    twice = key_filter(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.col("token").alias("key")))
+    some = materialise(prefixes.select(F.col("token").alias("key"), "sid", "n").mapInArrow(
+        passing(twice), "key long, sid long, n long").withColumnRenamed("key", "token").distinct())
+    groups = some.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g >= 2")
+    members = materialise(some.join(groups, "token"))
     maps = materialise(rows.where("bits IS NOT NULL").join(members.select("sid").distinct(), "sid", "left_semi")
                        .groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
 
@@ -448,14 +471,18 @@ def link_components(docs: DataFrame) -> DataFrame:
         ends = left.select(F.col("a").alias("sid")).union(left.select("b"))
         return cut_lineage(checked(left, sets_of(ends, rows, named)))
 
-    near = members.select("sid", F.explode(F.array("one", "two")).alias("centre")).where("sid <> centre")
-    stars = (near.groupBy("sid", "centre").agg(F.count(F.lit(1)).alias("n")).groupBy("sid")
-             .agg(F.max(F.struct("n", "centre"))["centre"].alias("most"), F.min("centre").alias("least")))
-    first = links_among(stars.select(F.col("sid").alias("a"), F.explode(F.array_distinct(F.array("most", "least"))).alias("b"))
+    # A group's centre is the member that shares most tokens with most sets: the text that many copies come from.
+    hubs = members.groupBy("sid").agg(F.sum("g").alias("hub"))
+    centres = members.join(hubs, "sid").groupBy("token").agg(F.max(F.struct("hub", "sid", "n")).alias("centre"))
+    near = (members.join(centres, "token").where("sid <> centre.sid")
+            .where(f"100 * n >= {SIMILAR} * centre.n AND 100 * centre.n >= {SIMILAR} * n")
+            .groupBy("sid", F.col("centre.sid").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.max("centre.hub").alias("hub")))
+    stars = near.groupBy("sid").agg(F.max(F.struct("shared", "other"))["other"].alias("most"), F.max(F.struct("hub", "other"))["other"].alias("top"))
+    first = links_among(stars.select(F.col("sid").alias("a"), F.explode(F.array_distinct(F.array("most", "top"))).alias("b"))
                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comps = components(first)
 
-    labelled = cut_lineage(members.select("token", "sid", "n").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
+    labelled = materialise(members.select("token", "sid", "n").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
     still = (labelled.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo <> hi").select("token", (F.ceil(F.col("g") / PIECE)).cast("int").alias("pieces")))
     placed = (labelled.join(still, "token").withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
@@ -464,7 +491,7 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = [max(32, len(b) // 4) for b in batch.column(1).to_pylist()]
+            size = [max(32, len(b) // 8) for b in batch.column(1).to_pylist()]
             bits = [folded(b, k).tobytes() for b, k in zip(batch.column(1).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["sid", "bits"])
 
