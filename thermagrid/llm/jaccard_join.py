@@ -491,7 +491,7 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = [max(32, len(b) // 8) for b in batch.column(1).to_pylist()]
+            size = [max(min(128, len(b)), len(b) // 8) for b in batch.column(1).to_pylist()]
             bits = [folded(b, k).tobytes() for b, k in zip(batch.column(1).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["sid", "bits"])
 
