@@ -53,7 +53,7 @@ def test_nearest_site_equals_brute_force(spark, metric):
     q = spark.createDataFrame(queries, "qid int, la double, lo double")
     s = spark.createDataFrame(sites, "sid int, sla double, slo double")
     out = nearest_site(q, s, query_id=["qid"], query_uv=("la", "lo"), site_uv=("sla", "slo"),
-                       payload=["sid"], tie=["sid"], metric=metric, leaf=16, small=16)
+                       payload=["sid"], tie=["sid"], metric=metric, leaf=16)
     got = {r.qid: r.sid for r in out.collect()}
     assert got == {i: brute_nearest(metric, (a, b), sites) for i, a, b in queries}
     assert "CartesianProduct" not in plan_of(out) and "NestedLoop" not in plan_of(out)
@@ -368,3 +368,15 @@ def test_catalogue_lookup(spark):
     got = canonical_names(df, "v", alias_table(spark, cards)).orderBy(F.col("v").desc()).collect()
     assert [r.canonical for r in got] == [None, "surface_pressure"] or {r.v: r.canonical for r in got} == {
         "Presión Superficial": "surface_pressure", "nada": None}
+
+
+@pytest.mark.parametrize("metric", ["haversine", "planar"])
+def test_nearest_site_prunes_queries_outside_the_sites(spark, metric):
+    """Queries far outside the sites' extent cost a small part of all pairs."""
+    from thermagrid.operators.near_space import nearest_work
+    s = spark.range(2500).selectExpr("id AS sid", "37 + (id % 50) / 1000 AS sla", "-6 + floor(id / 50) / 1000 AS slo")
+    q = spark.range(1000).selectExpr("id AS qid", "38 + (id % 40) / 100 AS la", "-4 + floor(id / 40) / 100 AS lo")
+    how = dict(query_id=["qid"], query_uv=("la", "lo"), site_uv=("sla", "slo"), payload=["sid"], tie=["sid"], metric=metric)
+    assert nearest_work(q, s, **how).first().evaluations < 2500 * 1000 / 8
+    got = {r.qid: r.sid for r in nearest_site(q, s, **how).collect()}
+    assert got == dict.fromkeys(range(1000), 49 + 50 * 49)

@@ -20,7 +20,7 @@ from ..functions.geo import EARTH_RADIUS_M, haversine_m, planar_m, scaled_degree
 from ..session import cut_lineage
 
 STEP_BITS = 2          # each level splits a cell in 4 x 4
-MAX_BITS = 24
+MAX_BITS = 30          # cells of a 2^-30th of the extent, centimetres on Earth
 SLACK = 1e-9           # bounds are relaxed by this share, the final test is exact
 
 
@@ -137,31 +137,35 @@ def _keyed(points: DataFrame, u: str, v: str, extent: tuple, bits: int,
     return points.withColumns(columns)
 
 
-def _survey(sites: DataFrame, by: list[str], u: str, v: str, leaf: int,
-            small: int) -> tuple[tuple, int]:
-    """Extent of the sites and the tree depth at which no leaf holds more than
-    ``leaf`` sites: at most two small aggregates read on the driver."""
-    row = (
-        sites.groupBy(*by).agg(F.min(u).alias("a"), F.max(u).alias("b"), F.min(v).alias("c"),
-                               F.max(v).alias("d"), F.count(F.lit(1)).alias("n"))
-        .agg(F.min("a"), F.max("b"), F.min("c"), F.max("d"), F.max("n")).first()
-    )
+def _survey(sites: DataFrame, others: list[tuple[DataFrame, str, str]], by: list[str], u: str,
+            v: str, leaf: int) -> tuple[tuple, int]:
+    """Extent of the sites and of all other points together, and the tree depth at
+    which no leaf holds more than ``leaf`` sites: two small aggregates read on the
+    driver.
+
+    The extent covers both sides, so that points far from all sites have small
+    cells too, whose bounds prune. Sites are counted once in the finest cells; each
+    coarser level adds up the cells of the level below.
+    """
+    def edges(df: DataFrame, x: str, y: str) -> DataFrame:
+        return df.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"))
+
+    boxes = edges(sites, u, v)
+    for df, x, y in others:
+        boxes = boxes.unionByName(edges(df, x, y))
+    row = boxes.agg(F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
     if row[0] is None:
         return (0.0, 1.0, 0.0, 1.0), 0
     extent = (row[0], max(row[1] - row[0], 1e-12), row[2], max(row[3] - row[2], 1e-12))
-    if row[4] <= max(leaf, small):
-        return extent, 0
-    keyed = _keyed(sites, u, v, extent, MAX_BITS, _Metric("planar"))
-    levels = list(range(0, MAX_BITS + 1, STEP_BITS))
-    counts = (
-        keyed.select(*by, "_kx", "_ky", F.explode(F.array(*[F.lit(b) for b in levels])).alias("_b"))
-        .groupBy(*by, "_b", F.expr(f"shiftright(_kx, {MAX_BITS} - _b)").alias("_x"),
-                 F.expr(f"shiftright(_ky, {MAX_BITS} - _b)").alias("_y"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("_b").agg(F.max("_n").alias("_n"))
-    )
-    fullest = {r["_b"]: r["_n"] for r in counts.collect()}  # one row per level
-    fits = [b for b in levels if fullest.get(b, 0) <= leaf]
+    cells = (_keyed(sites, u, v, extent, MAX_BITS, _Metric("planar"))
+             .groupBy(*by, "_kx", "_ky").agg(F.count(F.lit(1)).alias("_n")))
+    fullest = None
+    for bits in range(MAX_BITS, -1, -STEP_BITS):
+        most = cells.agg(F.lit(bits).alias("_b"), F.max("_n").alias("_n"))
+        fullest = most if fullest is None else fullest.unionByName(most)
+        cells = (cells.groupBy(*by, F.shiftright("_kx", STEP_BITS).alias("_kx"),
+                               F.shiftright("_ky", STEP_BITS).alias("_ky")).agg(F.sum("_n").alias("_n")))
+    fits = [r["_b"] for r in fullest.collect() if (r["_n"] or 0) <= leaf]  # one row per level
     return extent, (min(fits) if fits else MAX_BITS)
 
 
@@ -177,8 +181,7 @@ def nearest_site(
     by: Sequence[str] = (),
     metric: str = "haversine",
     distance: str = "distance",
-    leaf: int = 24,
-    small: int = 128,
+    leaf: int = 64,
 ) -> DataFrame:
     """Nearest site of every query, within the same ``by`` group.
 
@@ -186,9 +189,21 @@ def nearest_site(
     and ``by`` identify a query. Returns one row per query: ``by``, id columns,
     payload columns and the distance.
     Queries in a group without sites, and rows without coordinates, are absent.
-    Equal distances go to the smallest ``tie`` columns. Groups of at most
-    ``small`` sites are searched directly; otherwise leaves hold ``leaf`` sites.
+    Equal distances go to the smallest ``tie`` columns. Leaves hold at most ``leaf``
+    sites (more only where so many places share a cell of the finest level).
     """
+    return _nearest(queries, sites, query_id, query_uv, site_uv, payload, tie, by, metric,
+                    distance, leaf, count_work=False)
+
+
+def nearest_work(queries: DataFrame, sites: DataFrame, **how) -> DataFrame:
+    """Distance evaluations of ``nearest_site`` with the same arguments: one row."""
+    settings = {"by": (), "metric": "haversine", "distance": "distance", "leaf": 64} | how
+    return _nearest(queries, sites, count_work=True, **settings)
+
+
+def _nearest(queries, sites, query_id, query_uv, site_uv, payload, tie, by, metric, distance,
+             leaf, count_work) -> DataFrame:
     m = _Metric(metric)
     by = list(by)
     qu, qv = query_uv
@@ -202,7 +217,8 @@ def nearest_site(
         .groupBy(*by, F.col(su).alias("_su"), F.col(sv).alias("_sv"))
         .agg(F.min_by(s_row, F.struct(*tie)).alias("_pay"), F.min(F.struct(*tie)).alias("_tie"))
     )
-    extent, bits = _survey(s, by, "_su", "_sv", leaf, small)
+    s = cut_lineage(s)  # surveyed, boxed and gathered: write once
+    extent, bits = _survey(s, [(q, "_qu", "_qv")], by, "_su", "_sv", leaf)
     ids = list(dict.fromkeys([*by, *query_id]))
     qk = _keyed(q, "_qu", "_qv", extent, bits, m)
     sk = _keyed(s, "_su", "_sv", extent, bits, m)
@@ -216,16 +232,20 @@ def nearest_site(
         # One leaf per group: one row per query comes out of the join.
         tree = qk.select(*point, F.col("_kx").alias("_skx"), F.col("_ky").alias("_sky"))
         arrays = arrays if by else F.broadcast(arrays)  # without groups: a single row
-        best = tree.join(arrays, [*by, "_skx", "_sky"], "inner").select(
-            *ids, _nearest_of_array(m).alias("_best"))
+        met = tree.join(arrays, [*by, "_skx", "_sky"], "inner")
+        if count_work:
+            return met.agg(F.sum(F.size("_sites")).alias("evaluations"))
+        best = met.select(*ids, _nearest_of_array(m).alias("_best"))
     else:
         frontier = _walk_down(_cells(qk, by, m), _cells(sk, by, m), by, bits, m)
         leaves = frontier.select(
             *by, F.col("q_kx").alias("_kx"), F.col("q_ky").alias("_ky"),
             F.col("s_kx").alias("_skx"), F.col("s_ky").alias("_sky"))
         loaded = leaves.join(arrays, [*by, "_skx", "_sky"], "inner")
-        pairs = qk.select(*point, "_kx", "_ky").join(
-            loaded, [*by, "_kx", "_ky"], "inner").select(*ids, _nearest_of_array(m).alias("_best"))
+        met = qk.select(*point, "_kx", "_ky").join(loaded, [*by, "_kx", "_ky"], "inner")
+        if count_work:
+            return met.agg(F.sum(F.size("_sites")).alias("evaluations"))
+        pairs = met.select(*ids, _nearest_of_array(m).alias("_best"))
         best = pairs.groupBy(*ids).agg(F.min("_best").alias("_best"))
     return best.select(
         *ids, *[F.col("_best.pay")[f"p{i}"].alias(c) for i, c in enumerate(payload)],
@@ -326,7 +346,7 @@ def radius_mean(
     parts = [c for i in range(len(values)) for c in (f"_s{i}", f"_n{i}")] + ["_n"]
     # Surveyed, read per level and once more for the crossed cells: write once.
     places = cut_lineage(places)
-    extent, bits = _survey(places, by, "_x", "_y", leaf, leaf)
+    extent, bits = _survey(places, [], by, "_x", "_y", leaf)
     fine = min(extent[1], extent[3]) / (1 << bits)  # such cells hold few places
     base = radius * (1.0 + SLACK)       # first cells: the disc touches at most 3 x 3
     rounds, side = 0, base

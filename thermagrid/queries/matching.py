@@ -112,6 +112,22 @@ def nearest_pixel_haversine(spark, sf):
     return out.select("c_custkey", "s_suppkey", r("distance_m", 3).alias("distance_m"))
 
 
+@query("nearest_outside_extent", f"""
+WITH c AS (SELECT c_custkey, {s_lat('c_custkey')} + 3 AS lat, {s_lon('c_custkey')} - 2 AS lon FROM customer),
+s AS (SELECT s_suppkey, {s_lat('s_suppkey * 5 + 2')} AS lat, {s_lon('s_suppkey * 5 + 2')} AS lon FROM supplier),
+p AS (SELECT c_custkey, s_suppkey, {s_haversine('c.lat', 'c.lon', 's.lat', 's.lon')} AS d FROM c, s)
+SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey, {s_r('min(d)', 3)} AS distance_m
+FROM p GROUP BY c_custkey
+""")
+def nearest_outside_extent(spark, sf):
+    c = places(spark, sf, "customer", "c_custkey", "c_custkey").withColumns(
+        {"lat": F.col("lat") + 3, "lon": F.col("lon") - 2})
+    out = nearest_site(c, site_positions(spark, sf), query_id=["c_custkey"],
+                       query_uv=("lat", "lon"), site_uv=("slat", "slon"), payload=["s_suppkey"],
+                       tie=["s_suppkey"], metric="haversine", distance="distance_m")
+    return out.select("c_custkey", "s_suppkey", r("distance_m", 3).alias("distance_m"))
+
+
 @query("nearest_pixel_by_nation", f"""
 WITH c AS (SELECT c_custkey, c_nationkey AS n, {s_lat('c_custkey')} AS lat, {s_lon('c_custkey')} AS lon FROM customer),
 s AS (SELECT s_suppkey, s_nationkey AS n, {s_lat('s_suppkey * 5 + 2')} AS lat, {s_lon('s_suppkey * 5 + 2')} AS lon FROM supplier),
