@@ -174,6 +174,27 @@ def test_table_readers(spark, tmp_path):
     assert sorted((r.area_id, r.area_name, r.node_id) for r in rows.collect()) == [("a1", "One", "n0"), ("a2", "Two", "n0")]
 
 
+def test_csv_columns_go_by_each_files_header(spark, tmp_path):
+    (tmp_path / "a1").mkdir()
+    (tmp_path / "a2").mkdir()
+    (tmp_path / "a1" / "x.csv").write_text("LST_K,NDVI\n300.0,0.5\n")
+    (tmp_path / "a2" / "x.csv").write_text("NDVI,LST_K,extra\n0.25,310.0,z\n")
+    rows = tables.read_csv(spark, [str(tmp_path / "a1"), str(tmp_path / "a2")]).collect()
+    assert {(r.LST_K, r.NDVI, r.extra) for r in rows} == {("300.0", "0.5", None), ("310.0", "0.25", "z")}
+    areas = spark.createDataFrame([("a1", "One"), ("a2", "Two")], "area_id string, area_name string")
+    got = {(r.area_name, r.LST_K) for r in tables.lineage_rows(spark, str(tmp_path), areas).collect()}
+    assert got == {("One", "300.0"), ("Two", "310.0")}
+
+
+def test_error_rows_are_csv_rows_of_the_full_path(spark, tmp_path):
+    for name, text in (("p", 'm\n"two\nlines"\n'), ("q", "m\na\nb\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "errors.csv").write_text(text)
+    (tmp_path / "bare.csv").write_text("")
+    files = {"p": f"{tmp_path}/p/errors.csv", "q": f"{tmp_path}/q/errors.csv", "bare": f"{tmp_path}/bare.csv", "none": f"{tmp_path}/none.csv"}
+    assert {r.source: r.errors for r in tables.error_rows(spark, files).collect()} == {"p": 1, "q": 2, "bare": 1, "none": 0}
+
+
 def test_run_discovery(spark, tmp_path):
     def run(name, purpose, quality=True):
         folder = tmp_path / "runs" / name / "data_downloads"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,21 +19,19 @@ def local_session(app: str = "thermagrid", cores: str = "*", memory: str = "8g",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably so that later loop rounds neither recompute
-    it nor depend on executors staying alive.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share, set up if needed.
 
-    The folder is the shared one in ``spark.checkpoint.dir``; a folder of our
-    own is set only for a local master, where driver and executors are one
-    machine.
+    The folder is the one in ``spark.checkpoint.dir``; a folder of our own is set
+    only for a local master, where driver and executors are one machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +41,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="thermagrid-ckpt-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return context.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` reliably in the shared folder so that later loop rounds
+    neither recompute it nor depend on executors staying alive."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -22,18 +22,27 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, *,
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 
+#: Rows of a partition value that go to one writing task, about.
+ROWS_PER_FILE = 1_000_000
+
+
+def clustered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of one key value together, in as many tasks as the fullest one needs.
+
+    Adaptive execution splits a hot value (the rebalance hint), so neither every
+    task writes every value nor one task a value that holds most rows.
+    """
+    return df.hint("rebalance", *[F.col(k) for k in keys])
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                 sort_within: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Parquet between stages: clustered by partition values so that every
     partition folder gets few files, sorted inside them."""
-    out = df
-    if partition_by:
-        # Spread a hot partition value over several tasks before it is written.
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(8))
-        out = out.withColumn("_salt", salt).repartition(*partition_by, "_salt").drop("_salt")
+    out = clustered(df, partition_by) if partition_by else df
     if sort_within:
         out = out.sortWithinPartitions(*partition_by, *sort_within)
-    out.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    out.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*partition_by).parquet(path)
 
 
 def write_report(row: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -49,7 +58,9 @@ def write_splits(df: DataFrame, path: str, columns: Sequence[str], split: str =
 
 
 def write_per_area(df: DataFrame, path: str, area: str = "area_id", as_csv: bool = True) -> None:
-    writer = df.write.mode("overwrite").partitionBy(area)
+    """One folder per area, few files in each."""
+    writer = (clustered(df, [area]).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+              .partitionBy(area))
     writer.option("header", True).csv(path) if as_csv else writer.parquet(path)
 
 
@@ -64,19 +75,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def normalise_output(spark: SparkSession, path: str, backup: str, transform) -> int:
     """Rewrite an existing CSV output through ``transform``; the first original
-    is kept under ``backup``. The new files are complete before they take the
-    old ones' place. Returns the number of columns written."""
+    is kept under ``backup``.
+
+    The new files are complete before the old ones move aside, and those go only
+    when the new ones are in place; if that move fails the old ones come back.
+    Returns the number of columns written.
+    """
     current = spark.read.option("header", True).csv(path)
     if not _exists(spark, backup):
         current.write.option("header", True).csv(backup)
     result = transform(current)
-    part = path.rstrip("/") + ".part"
+    part, aside = path.rstrip("/") + ".part", path.rstrip("/") + ".old"
     result.write.mode("overwrite").option("header", True).csv(part)
-    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, part))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    here, new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, part, aside))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):  # of an earlier run that broke off after the swap
+        fs.delete(old, True)
+    if not fs.rename(here, old):
+        raise RuntimeError(f"could not move {path} aside")
+    if not fs.rename(new, here):
+        fs.rename(old, here)
         raise RuntimeError(f"could not move {part} to {path}")
+    fs.delete(old, True)
     return len(result.columns)
 
 

@@ -16,15 +16,47 @@ from ..operators.groups import index_over_max
 from ..operators.ranking import grid_indices, keep_first
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str],
-             schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Gzip files are read directly, one split per file.
-
-    With a schema the header is still matched by name, so a file may order or
-    omit columns; without one every column stays text.
+def _files_by_header(spark: SparkSession, paths: list[str], nested: bool) -> dict[str, list[str]]:
+    """Header line -> its files. Only one line of each file reaches the driver."""
+    lines = (spark.read.option("recursiveFileLookup", nested).text(paths)
+             .select("value", F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("place")).where("start = 0"))
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in first.collect():
+        files.setdefault(row.header, []).append(row.file)
+    return files
+
+
+def read_by_name(spark: SparkSession, path: str | Sequence[str], *, nested: bool = False,
+                 file: str | None = None) -> DataFrame:
+    """CSV as text columns, matched by the names in each file's own header.
+
+    The CSV reader takes the header of one file for all files it is given, so
+    files are read by header and united by name; a column that a file lacks is
+    unknown there. ``file`` names a column for the path of the row's file. Gzip
+    files are read directly, one split per file.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    text = spark.read.option("header", True).csv(paths)
+    groups = _files_by_header(spark, paths, nested)
+    if not groups:
+        return spark.read.option("header", True).option("recursiveFileLookup", nested).csv(paths)
+    out = None
+    for _, files in sorted(groups.items()):
+        rows = spark.read.option("header", True).csv(sorted(files))
+        if file:
+            rows = rows.withColumn(file, F.col("_metadata.file_path"))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str],
+             schema: T.StructType | None = None) -> DataFrame:
+    """CSV with headers (``read_by_name``). With a schema a file may order or omit
+    columns and texts are cast, what cannot be cast is unknown; without one every
+    column stays text."""
+    text = read_by_name(spark, path)
     if schema is None:
         return text
     casts = []
@@ -116,28 +148,31 @@ def wide_hours(raw: DataFrame, keys: Sequence[str], fields: Sequence[str],
 
 
 def lineage_rows(spark: SparkSession, folder: str, areas: DataFrame) -> DataFrame:
-    """Rows of ``folder/<area_id>/*.csv`` with their area's id and name: one
-    multi-file scan whose splits stand in for chunked reading."""
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(folder)
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    tagged = rows.select("*", F.element_at(parts, -2).alias("area_id"))
+    """Rows of ``folder/<area_id>/*.csv`` with their area's id and name: scans by
+    header whose splits stand in for chunked reading."""
+    rows = read_by_name(spark, folder, nested=True, file="_file")
+    tagged = rows.withColumn("area_id", F.element_at(F.split("_file", "/"), -2)).drop("_file")
     return tagged.join(areas.select("area_id", "area_name"), "area_id", "left")
 
 
 def error_rows(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """Rows per source in the error CSVs; an absent file is 0, one that has no
-    readable header line is 1."""
-    sources = spark.createDataFrame(list(files.items()), "source string, path string")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    """CSV rows per source in the error files, by their full path; an absent file
+    counts 0, one without a header 1."""
     conf = spark._jsc.hadoopConfiguration()
-    present = [p for p in files.values() if hadoop(p).getFileSystem(conf).exists(hadoop(p))]
+    listed = []
+    for source, path in files.items():
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(conf)
+        there = fs.exists(target)
+        bare = there and fs.getFileStatus(target).getLen() == 0
+        listed.append((source, fs.makeQualified(target).toString() if there else None, int(bare)))
+    sources = spark.createDataFrame(listed, "source string, file string, bare int")
+    present = [file for _, file, bare in listed if file and not bare]
     if not present:
-        return sources.select("source", F.lit(0).cast("long").alias("errors"))
-    lines = spark.read.text(present).select(F.col("_metadata.file_name").alias("_f"))
-    counts = lines.groupBy("_f").agg((F.count(F.lit(1)) - 1).alias("_n"))
-    listed = spark.createDataFrame([(p,) for p in present], "path string").withColumn("_there", F.lit(1))
-    named = sources.join(listed, "path", "left").withColumn(
-        "_f", F.element_at(F.split("path", "/"), -1))
-    return named.join(counts, "_f", "left").select(
-        "source", F.when(F.col("_there").isNull(), F.lit(0)).otherwise(
-            F.coalesce("_n", F.lit(1))).cast("long").alias("errors"))
+        return sources.select("source", F.col("bare").cast("long").alias("errors"))
+    rows = spark.read.option("header", True).option("multiLine", True).csv(present)
+    counts = rows.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    plain = F.regexp_replace("path", "^file:/+", "file:/")  # one or three slashes, as readers differ
+    return (sources.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+            .join(counts.withColumn("file", plain), "file", "left")
+            .select("source", F.coalesce("n", "bare").cast("long").alias("errors")))
