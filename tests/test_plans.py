@@ -135,6 +135,37 @@ def test_coarse_chain(spark):
     assert sorted((r.col, r.col_norm, r.row_norm) for r in final.collect()) == [(0, 0.0, 0.0), (1, 1.0, 0.0)]
 
 
+def test_areas_never_mix_in_the_coarse_chain(spark):
+    stats = spark.createDataFrame([(a, 0, 0, "2024-07-01", 300.0 + k, 1.0, None if a == "A" and k == 0 else 0.5, 0.0, 0.0, 0.0, 1.0)
+                                   for k, a in enumerate("AB")],
+                                  "area_id string, row int, col int, date string, LST double, LST_uncertainty double, NDVI double, "
+                                  "CLOUD double, BAYES double, POINTING double, CONFIDENCE double").withColumn("date", F.to_date("date"))
+    products = frame(spark, [(a, "P" + a, "n", "2024-07-01", f"2024-07-01 10:2{k}:00") for k, a in enumerate("AB")],
+                     "area_id string, Id string, Name string, date string, acquisition_dt_utc string", ["date"], ["acquisition_dt_utc"])
+    cells = spark.createDataFrame([("A", 0, 0, 37.0, -6.0), ("B", 0, 0, 40.0, -3.0)],
+                                  "area_id string, row int, col int, latitude double, longitude double")
+    got = {r.area_id: (r.LST_S3_K, r.s3_product_id) for r in coarse_plan.valid_pixels(stats, products, cells, by=["area_id"]).collect()}
+    assert got == {"A": (300.0, "PA"), "B": (301.0, "PB")}
+
+    rows = [("A", "1", "2024-07-01 10:00:00", 0, None), ("A", "2", "2024-07-09 10:00:00", 4, 0.9),
+            ("B", "3", "2024-07-01 10:05:00", 8, 0.1), ("B", "4", "2024-07-02 10:05:00", 9, 0.2)]
+    pixels = frame(spark, rows, "area_id string, node_id string, acquisition_dt_utc string, row int, NDVI double", times=["acquisition_dt_utc"])
+    pixels = pixels.withColumns({c: F.lit(1.0) for c in COARSE_COLUMNS if c not in pixels.columns}).withColumns(
+        {"date": F.to_date("acquisition_dt_utc"), "col": F.lit(0), "latitude": F.lit(37.0), "longitude": F.lit(-6.0)})
+    final = coarse_plan.coarse_table(pixels, by=["area_id"])
+    assert final.columns == ["area_id", *COARSE_COLUMNS, "filled"]
+    got = {r.node_id: (r.NDVI, r.row_norm, r.filled) for r in final.collect()}
+    assert got == {"1": (0.9, 0.0, 1), "2": (0.9, 1.0, 0), "3": (0.1, 0.0, 0), "4": (0.2, 1.0, 0)}
+    nodes = spark.createDataFrame([("A", "n", 37.0, -6.0), ("B", "n", 37.0, -6.0)], "area_id string, node_id string, latitude double, longitude double")
+    fine = spark.createDataFrame([("A", "n", "2024-07-01", "2024-07-01T10:00:00Z", 300.0), ("B", "n", "2024-07-01", "not a time", 301.0),
+                                  ("B", "n", "not a day", None, 9.0)],
+                                 "area_id string, node_id string, date string, acquisition_dt_utc string, LST_K double")
+    out = unified_table(fine, final.drop("filled"), nodes)
+    joined = {(r.area_id, str(r.date)): (r.LST_K, r.sentinel3_pixel_id) for r in out.collect()}
+    assert joined[("A", "2024-07-01")] == (300.0, "1") and joined[("B", "2024-07-01")] == (301.0, "3")
+    assert quality_report(out).first().nodes == 2
+
+
 def test_payload_readers(spark):
     region = json.dumps([["id", "longitude", "latitude", "time", "t2m", "tp"], ["a", 0, 0, 1704067200000, 300, 0.001],
                          ["b", 0, 1, 1704067200000, 302, 0.003]])

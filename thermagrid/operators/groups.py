@@ -8,6 +8,7 @@ that group in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,28 +62,39 @@ def first_static_value(df: DataFrame, key: str, columns: Sequence[str],
         F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order_key)).alias(c) for c in columns])
 
 
-def min_max_axes(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """column -> (value - min) / (max - min) over the whole table, under the new
-    name; 0 when degenerate. One pass finds all the limits."""
-    limits = df.agg(F.struct(*[x for c in columns for x in (
-        F.min(number(c)).alias(f"lo_{c}"), F.max(number(c)).alias(f"hi_{c}"))])).scalar()
+def _beside_groups(df: DataFrame, values: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    """``df`` with the aggregates ``values`` of its ``by`` group (of the whole table
+    without one) in a struct column ``_group``; a null group has its own."""
+    if not by:
+        return df.withColumn("_group", df.agg(F.struct(*[v.alias(n) for n, v in values.items()])).scalar())
+    keys = {f"_key{i}": F.col(c) for i, c in enumerate(by)}
+    found = df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.struct(*[v.alias(n) for n, v in values.items()]).alias("_group"))
+    same = [F.col(k).eqNullSafe(c) for k, c in keys.items()]
+    return df.join(found, reduce(lambda a, b: a & b, same)).drop(*keys)
+
+
+def min_max_axes(df: DataFrame, columns: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """column -> (value - min) / (max - min) over the rows of its ``by`` group, under
+    the new name; 0 when degenerate. One pass finds all the limits."""
+    limits = _beside_groups(df, {f"{side}_{c}": fn(number(c)) for c in columns
+                                 for side, fn in (("lo", F.min), ("hi", F.max))}, by)
 
     def axis(c: str) -> Column:
-        lo, hi = limits[f"lo_{c}"], limits[f"hi_{c}"]
+        lo, hi = F.col(f"_group.lo_{c}"), F.col(f"_group.hi_{c}")
         return F.when(lo.isNull() | (lo == hi), F.lit(0.0)).otherwise(
             (number(c) - lo) / F.nullif(hi - lo, F.lit(0.0)))
 
-    return df.withColumns({out: axis(c) for c, out in columns.items()})
+    return limits.withColumns({out: axis(c) for c, out in columns.items()}).drop("_group")
 
 
-def min_max_axis(df: DataFrame, column: str, out: str) -> DataFrame:
-    return min_max_axes(df, {column: out})
+def min_max_axis(df: DataFrame, column: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    return min_max_axes(df, {column: out}, by)
 
 
-def index_over_max(df: DataFrame, column: str, out: str) -> DataFrame:
-    """index / max(index, 1)."""
-    top = df.agg(F.greatest(F.max(column), F.lit(1))).scalar()
-    return df.withColumn(out, F.col(column) / top)
+def index_over_max(df: DataFrame, column: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """index / max(index, 1) of its ``by`` group."""
+    top = _beside_groups(df, {"top": F.greatest(F.max(column), F.lit(1))}, by)
+    return top.withColumn(out, F.col(column) / F.col("_group.top")).drop("_group")
 
 
 def train_statistics(df: DataFrame, features: Sequence[str], train: Column) -> DataFrame:

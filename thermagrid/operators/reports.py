@@ -84,17 +84,25 @@ def null_profile(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def quality_report(df: DataFrame, *, purpose: str = "lst_downscaling",
                    failed_items: int = 0, node: str = "node_id", day: str = "date",
-                   ready: str = "training_ready") -> DataFrame:
-    """One nested row: sizes, completeness, gaps by column, overall status."""
+                   ready: str = "training_ready", area: str = "area_id") -> DataFrame:
+    """One nested row: sizes, completeness, gaps by column, overall status. Nodes of
+    different areas are different nodes.
+
+    Nodes and dates are counted on their distinct values, the gaps in one scan of
+    plain sums; one aggregate with both would multiply every row.
+    """
+    keys = [c for c in (area, node) if c in df.columns]
     science = science_columns(df)
     missing = {c: F.count_if(F.col(c).isNull()) for c in science}
     ready_rows = F.count_if(F.col(ready)) if ready in df.columns else F.lit(0)
     gaps = F.array(*[F.struct((-m).alias("_order"), F.lit(c).alias("column"), m.alias("count"))
                      for c, m in missing.items()])
     row = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct(node).alias("nodes"),
-        F.count_distinct(day).alias("dates"), ready_rows.alias("training_ready_rows"),
+        F.count(F.lit(1)).alias("rows"), ready_rows.alias("training_ready_rows"),
         gaps.alias("_gaps"))
+    row = row.withColumns({
+        "nodes": df.where(F.col(node).isNotNull()).select(*keys).distinct().agg(F.count(F.lit(1))).scalar(),
+        "dates": df.where(F.col(day).isNotNull()).select(day).distinct().agg(F.count(F.lit(1))).scalar()})
     gaps = F.array_sort(F.filter("_gaps", lambda g: g["count"] > 0))
     total = F.aggregate("_gaps", F.lit(0).cast("long"), lambda acc, g: acc + g["count"])
     cells = F.col("rows") * F.lit(len(science))

@@ -14,7 +14,7 @@ from ..operators.contract import (COARSE_COLUMNS, coarse_renames, ordered, renam
                                   require_and_select)
 from ..operators.groups import min_max_axes
 from ..operators.impute import fill_from_nearest_time
-from ..operators.lookups import dense_panel
+from ..operators.lookups import dense_panel, maybe_broadcast
 from ..operators.near_space import radius_mean
 from ..operators.near_time import nearest_time, rows_of_nearest
 from ..operators.ranking import first_value_per_column, keep_first
@@ -38,20 +38,21 @@ def daily_products(products: DataFrame, *, first_hour: int, last_hour: int, targ
 
 
 def products_near(daily: DataFrame, references: DataFrame, *, time: str,
-                  tolerance_days: int = 3) -> DataFrame:
-    """Distinct daily products that are nearest to a reference time, among the
-    days within tolerance of the reference day."""
+                  tolerance_days: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct daily products that are nearest to a reference time of the same
+    ``by`` group, among the days within tolerance of the reference day."""
+    by = list(by)
     day = F.unix_date(F.to_date(time))
-    refs = references.select(F.col(time).alias(time)).distinct().withColumn("_t", micros(time))
+    refs = references.select(*by, time).distinct().withColumn("_t", micros(time))
     cands = daily.withColumn("_c", micros("acquisition_dt_utc"))
     # One product a day, so at most 2 * tolerance + 1 candidates per reference.
     near = refs.withColumn("_day", F.explode(F.sequence(
         day - tolerance_days, day + tolerance_days))).join(
-        cands.withColumn("_day", F.unix_date("date")), "_day", "inner")
-    best = near.groupBy(time).agg(F.min_by(
+        cands.withColumn("_day", F.unix_date("date")), [*by, "_day"], "inner")
+    best = near.groupBy(*by, time).agg(F.min_by(
         F.struct(*daily.columns), F.struct(F.abs(F.col("_c") - F.col("_t")), F.col("_c"))
     ).alias("_p")).select("_p.*")
-    return keep_first(best, ["Id"], ["acquisition_dt_utc"])
+    return keep_first(best, [*by, "Id"], ["acquisition_dt_utc"])
 
 
 def nearest_product_times(references: DataFrame, daily: DataFrame, *, time: str,
@@ -69,19 +70,21 @@ def with_status(pixels: DataFrame, *, lst: str = "LST", uncertainty: str = "LST_
 
 
 def valid_pixels(statistics: DataFrame, products: DataFrame, cells: DataFrame, *,
-                 max_uncertainty_k: float = 5.0) -> DataFrame:
+                 max_uncertainty_k: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
     """Daily cell statistics (row, col, date, bands) to valid coarse pixels.
 
     The day's product gives time and id; the cell gives position; one row per
-    (acquisition, row, col).
+    (acquisition, row, col). With ``by`` (the area) all three tables have it and
+    groups never meet.
     """
-    day_product = keep_first(products.select("date", "Id", "Name", "acquisition_dt_utc"),
-                             ["date"], ["acquisition_dt_utc", "Id"])
-    rows = (statistics.join(day_product, "date", "inner")
-            .join(cells.select("row", "col", "latitude", "longitude"), ["row", "col"], "inner"))
+    by = list(by)
+    day_product = keep_first(products.select(*by, "date", "Id", "Name", "acquisition_dt_utc"),
+                             [*by, "date"], ["acquisition_dt_utc", "Id"])
+    rows = (statistics.join(day_product, [*by, "date"], "inner")
+            .join(cells.select(*by, "row", "col", "latitude", "longitude"), [*by, "row", "col"], "inner"))
     good = with_status(rows, max_uncertainty_k=max_uncertainty_k).where("status = 'valid'")
     named = good.select(
-        pixel_id("acquisition_dt_utc", "row", "col").alias("s3_pixel_id"),
+        *by, pixel_id("acquisition_dt_utc", "row", "col").alias("s3_pixel_id"),
         "latitude", "longitude", F.col("row").alias("s3_row"), F.col("col").alias("s3_col"),
         F.col("Id").alias("s3_product_id"), F.col("Name").alias("s3_product_name"),
         "acquisition_dt_utc", F.col("LST").alias("LST_S3_K"),
@@ -89,15 +92,26 @@ def valid_pixels(statistics: DataFrame, products: DataFrame, cells: DataFrame, *
         F.col("CLOUD").alias("s3_cloud"), F.col("BAYES").alias("s3_bayes"),
         F.col("POINTING").alias("s3_pointing"), F.col("CONFIDENCE").alias("s3_confidence"),
         rounded_flags("CONFIDENCE").alias("quality_flag_1km"))
-    return keep_first(named, ["acquisition_dt_utc", "s3_row", "s3_col"], ["LST_S3_K"])
+    return keep_first(named, [*by, "acquisition_dt_utc", "s3_row", "s3_col"], ["LST_S3_K"])
 
 
 def raster_pixels(raster: DataFrame, *, x0: float, y0: float, resolution: float,
-                  area_box: tuple[float, float, float, float],
-                  max_uncertainty_k: float = 5.0) -> DataFrame:
-    """Valid pixels of an eight-band pixel table that touch the area's box."""
-    xmin, ymin, xmax, ymax = area_box
-    boxed = raster_boxes(raster, x0, y0, resolution).where(
+                  area_box: tuple[float, float, float, float] | DataFrame,
+                  max_uncertainty_k: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
+    """Valid pixels of an eight-band pixel table that touch the area's box.
+
+    The box is one (xmin, ymin, xmax, ymax), or a table of ``by`` and these four
+    columns, one box for each area of the raster.
+    """
+    placed = raster_boxes(raster, x0, y0, resolution)
+    if isinstance(area_box, DataFrame):
+        sides = ["xmin", "ymin", "xmax", "ymax"]
+        boxes = area_box.select(*by, F.struct(*sides).alias("_box"))
+        placed = placed.join(maybe_broadcast(boxes), list(by), "inner")
+        xmin, ymin, xmax, ymax = (F.col(f"_box.{side}") for side in sides)
+    else:
+        xmin, ymin, xmax, ymax = map(F.lit, area_box)
+    boxed = placed.where(
         (F.col("pxmin") <= xmax) & (F.col("pxmax") >= xmin)
         & (F.col("pymin") <= ymax) & (F.col("pymax") >= ymin)
         & (F.col("dataMask") > 0))
@@ -106,7 +120,7 @@ def raster_pixels(raster: DataFrame, *, x0: float, y0: float, resolution: float,
     return kept.withColumns({
         "x": F.col("pxmin") + half, "y": F.col("pymin") + half,
         "s3_confidence": rounded_flags("CONFIDENCE"),
-    }).drop("pxmin", "pymin", "pxmax", "pymax", "status")
+    }).drop("pxmin", "pymin", "pxmax", "pymax", "status", "_box")
 
 
 def with_fine_covariates(pixels: DataFrame, scenes: DataFrame, node_static: DataFrame, *,
@@ -140,14 +154,19 @@ def with_fine_covariates(pixels: DataFrame, scenes: DataFrame, node_static: Data
             .join(source, [area, "_t"], "left").drop("_t"))
 
 
-def coarse_table(pixels: DataFrame, *, indices: Sequence[str] = (), extra: Sequence[str] = ()
-                 ) -> DataFrame:
-    """Contract names, normalised axes, NDVI filled from the nearest time."""
+def coarse_table(pixels: DataFrame, *, indices: Sequence[str] = (), extra: Sequence[str] = (),
+                 by: Sequence[str] = ()) -> DataFrame:
+    """Contract names, normalised axes, NDVI filled from the nearest time.
+
+    With ``by`` (the area) axes and donors stay inside the group, and its columns
+    stand before those of the contract, ready for the unified table.
+    """
+    by = list(by)
     # Limits, donors, gaps and the result all read this table: write it once.
     named = rename_present(cut_lineage(pixels), coarse_renames(indices or (
         "NDVI", "NDBI", "ALBEDO", "NDWI", "MNDWI", "NDMI", "EVI", "SAVI", "BSI", "urban_index")))
-    named = min_max_axes(named, {"row": "row_norm", "col": "col_norm"})
+    named = min_max_axes(named, {"row": "row_norm", "col": "col_norm"}, by)
     filled = fill_from_nearest_time(named, row_id=["node_id"], time="acquisition_dt_utc",
-                                    value="NDVI")
-    return require_and_select(filled, ordered([*COARSE_COLUMNS, *extra, "filled"]),
+                                    value="NDVI", by=by)
+    return require_and_select(filled, ordered([*by, *COARSE_COLUMNS, *extra, "filled"]),
                               "coarse table")

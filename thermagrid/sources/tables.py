@@ -101,7 +101,7 @@ def node_table(raw: DataFrame, zone: int = 30, by: Sequence[str] = ()) -> DataFr
     placed = unique.withColumns({"x": x, "y": y})
     if len(order) < 2:
         placed = grid_indices(placed.drop(*order), by=by)
-    return index_over_max(index_over_max(placed, "row", "row_norm"), "col", "col_norm")
+    return index_over_max(index_over_max(placed, "row", "row_norm", by), "col", "col_norm", by)
 
 
 def covariate_scenes(raw: DataFrame, values: Sequence[str] = ("NDVI_S2", "NDBI_S2", "ALBEDO_S2"),
