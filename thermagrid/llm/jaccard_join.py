@@ -483,8 +483,11 @@ def link_components(docs: DataFrame) -> DataFrame:
     comps = components(first)
 
     labelled = materialise(members.select("token", "sid", "n").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
-    still = (labelled.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo <> hi").select("token", (F.ceil(F.col("g") / PIECE)).cast("int").alias("pieces")))
+    # Tokens of one passage mostly have the same members: of groups with equal member hashes one is searched.
+    member_hash = [F.bit_xor(F.xxhash64("sid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    still = (labelled.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *member_hash)
+             .where("lo <> hi").groupBy("g", "x1", "x2").agg(F.min("token").alias("token"))
+             .select("token", (F.ceil(F.col("g") / PIECE)).cast("int").alias("pieces")))
     placed = (labelled.join(still, "token").withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
               .withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other")))
