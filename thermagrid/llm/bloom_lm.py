@@ -16,17 +16,19 @@ from thermagrid.session import cut_lineage
 from .common import fold, materialise, mix64
 
 #: Bytes of text that one slice of the n-gram space stands for, tokens gathered before a flush.
-SLICE_BYTES, FLUSH_TOKENS = 8 << 20, 3_000_000
+SLICE_BYTES, FLUSH_TOKENS = 8 << 20, 2_000_000
 #: Growth of the counts from one quantisation level to the next.
 LEVEL_BASE = 1.5
 #: Filter: bits and probes for each inserted key, and the most bits a worker is asked to hold.
-BITS_PER_KEY, PROBES, MAX_BITS = 10, 4, 1 << 29
+BITS_PER_KEY, PROBES, MAX_BITS = 10, 4, 1 << 28
 #: Pairs seen once are left out, as in common practice; the cut rises where the filter would outgrow MAX_BITS.
 LEAST_PAIR = 2
 #: Weight of the pair estimate and its absolute discount.
 PAIR_WEIGHT, DISCOUNT = 0.25, 0.75
 #: Words whose exact counts are broadcast; those of all others are joined.
-TOP_WORDS = 400_000
+TOP_WORDS = 200_000
+#: Words that a task remembers while it scores.
+VOCABULARY = 200_000
 END, START = 1, 2
 
 
@@ -314,7 +316,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                if len(vocabulary.hashes) > 400_000:
+                if len(vocabulary.hashes) > VOCABULARY:
                     vocabulary, known = Vocabulary(), (np.empty(0, np.int64), np.empty(0, np.int64))
                 numbers, sizes = vocabulary.numbers(part.column(2).to_pylist())
                 hashes = np.array(vocabulary.hashes, np.uint64)
