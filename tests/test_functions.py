@@ -128,3 +128,16 @@ def test_text_operators(spark):
     ("something else", "UNCLASSIFIED_ERROR")])
 def test_failure_classes(spark, message, code):
     assert one(spark, c=text.failure_class(F.lit(message))).c == code
+
+
+def test_folding_knows_every_compatibility_form(spark):
+    """Hard-coded forms, not the engine's own tables."""
+    cases = {"𝐀①㎡x": "a1m2x", "ﬁn Ⅷ": "fin viii", "Ｆｕｌｌ": "full", "Ñandú": "nandu", "Ŀ½": "l12", "日本": "", "plain": "plain", "e\u0301t": "et"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.n for r in df.select("t", text.normalize_text("t").alias("n")).collect()} == cases
+
+
+def test_aliases_of_any_edge_are_found(spark):
+    df = spark.createDataFrame([("hay agua (mm) y lluvia",), ("agua mm",)], "t string")
+    tags = text.tag_terms("t", {"agua (mm)": "water", "lluvia": "rain"})
+    assert [r.g for r in df.select(tags.alias("g")).collect()] == [["water", "rain"], []]

@@ -115,6 +115,13 @@ SEASON_WORDS = ("mayo", "octubre")
 SEASON_DAYS = ("-05-01", "-10-31")
 ADD_WORDS = ("anade", "agrega", "incluye", "tambien")
 REMOVE_WORDS = ("quita", "elimina", "borra")
+DIRECTIONS = {"izquierda": "west", "oeste": "west", "derecha": "east", "este": "east",
+              "arriba": "north", "norte": "north", "abajo": "south", "sur": "south"}
+MOVE_WORDS = ("mueve", "desplaza", "corre", "lleva")
+SCALES = {"doble": 2.0, "mitad": 0.5}
+SIZE_WORDS = ("grande", "pequeno", "reduce", "amplia", "tamano")
+PLACE = r"(?:barrio de|alrededor de|rode(?:e|a)\s+(?:el\s+)?|centrad[oa]\s+en)\s+(.+)"
+HOME_CITY = "sevilla"
 # End of fixed values.
 
 
@@ -127,9 +134,30 @@ def _group(plain: Column, pattern: str, index: int = 1) -> Column:
     return F.when(found != "", found)
 
 
+def _has_any(plain: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [plain.contains(w) for w in words])
+
+
+def _first_of(plain: Column, values: dict) -> Column:
+    """The value of the first word, in the order of the table, that the text holds."""
+    return F.coalesce(*[F.when(plain.contains(word), F.lit(value)) for word, value in values.items()])
+
+
+def _place(text: Column, plain: Column) -> Column:
+    """The place phrase in its own spelling: the pattern runs to the end of its line
+    and folding keeps the length, so it is cut from the text by position."""
+    found = _group(plain, PLACE)
+    begin = F.instr(plain, found)
+    own = F.when(F.length(text) == F.length(plain), F.substr(text, begin, F.length(found))).otherwise(found)
+    name = F.regexp_replace(own, r"^[ .]+|[ .]+$", "")
+    elsewhere = ~F.lower(ascii_fold(name)).contains(HOME_CITY) & plain.contains(HOME_CITY)
+    return F.when(elsewhere, F.concat(name, F.lit(f", {HOME_CITY}"))).otherwise(name)
+
+
 def request_slots(text: str | Column) -> dict[str, Column]:
     """First and last ISO date (or the named season of the first year),
-    resolution in metres, area in km2, distance in metres, add / remove verbs."""
+    resolution in metres, area in km2, distance in metres, add / remove verbs,
+    direction of a move, scale of a change of size, place phrase."""
     plain = F.lower(ascii_fold(text))
     dates = F.regexp_extract_all(plain, F.lit(ISO_DATE), F.lit(1))
     year = _group(plain, YEAR)
@@ -146,8 +174,11 @@ def request_slots(text: str | Column) -> dict[str, Column]:
         "resolution_m": decimal_text(_group(plain, RESOLUTION)),
         "area_km2": decimal_text(_group(plain, AREA_KM2)),
         "distance_m": F.when(unit.startswith("k"), amount * F.lit(1000.0)).otherwise(amount),
-        "adds": reduce(lambda a, b: a | b, [plain.contains(w) for w in ADD_WORDS]),
-        "removes": reduce(lambda a, b: a | b, [plain.contains(w) for w in REMOVE_WORDS]),
+        "adds": _has_any(plain, ADD_WORDS),
+        "removes": _has_any(plain, REMOVE_WORDS),
+        "direction": F.when(_has_any(plain, MOVE_WORDS), _first_of(plain, DIRECTIONS)),
+        "scale_factor": F.when(_has_any(plain, SIZE_WORDS), _first_of(plain, SCALES)),
+        "place": _place(col(text), plain),
     }
 
 

@@ -4,12 +4,14 @@ calibration has one."""
 from pyspark.sql import functions as F
 
 from ..models.regressors import fit_regressor
-from ..models.translation import compare_candidates, fit_bundle, predict_bundle, translation_features
+from ..models.translation import (compare_candidates, fit_bundle, predict_bundle, training_pairs,
+                                  translation_features)
 from ..operators.contract import numeric_features
 from ..operators.groups import with_group_means
 from ..operators.ranking import exact_medians
 from ..plans.downscaling import (holdout_test, ranked_importances, residual_downscaling,
                                  scope_by_area)
+from ..plans.production import area_production, translate_all
 from ..session import cut_lineage
 from .base import day, long, query, r, s_r, table
 
@@ -110,6 +112,55 @@ def holdout_year(spark, sf):
         "mae", "rmse", "bias", "mae_improvement_percent")], "rows")
 
 
+def production_tables(spark, sf):
+    """Unified rows of five areas (some without an observed value, some of another
+    day) and one fine scene a day of every node."""
+    rows = translation_rows(spark, sf)
+    unified = rows.select(
+        "area_id", "node_id", "date", "sentinel3_pixel_id",
+        F.when(F.col("NDVI_S2_100m") != 0.04, F.col("LST_K")).alias("LST_K"),
+        F.when(F.col("NDVI_S2_100m") != 0.01, F.col("LST_1km")).alias("LST_1km"),
+        "lst_time_difference_hours", "Tair_C_1km", "RH_1km", "DEM", "aspect_ratio", "has_buildings")
+    scenes = rows.select("area_id", "node_id", F.col("date").alias("s2_date"), "NDVI_S2_100m", "NDBI_S2_100m", "ALBEDO_S2_100m")
+    return cut_lineage(unified), cut_lineage(scenes)
+
+
+@query("production_translation", """
+SELECT l_suppkey % 5 AS area_id, count(DISTINCT (l_orderkey, l_linenumber, l_shipdate)) AS rows, count(DISTINCT l_shipdate) AS dates,
+       'sentinel3_to_landsat_model' AS target_source, 0 AS unpredicted
+FROM lineitem WHERE l_discount <> 0.01 GROUP BY ALL
+""")
+def production_translation(spark, sf):
+    unified, scenes = production_tables(spark, sf)
+    pairs = training_pairs(unified, scenes, by=["area_id"])
+    _, out = translate_all(unified, scenes, pairs, "linear+ridge", by=["area_id"])
+    return out.groupBy("area_id", "target_source").agg(
+        F.count_distinct("node_id", "date").alias("rows"), F.count_distinct("date").alias("dates"),
+        F.count_if(F.col("LST_predicted_K").isNull()).alias("unpredicted"))
+
+
+@query("area_production", """
+SELECT l_suppkey % 5 AS area_id, count(*) AS rows,
+       count(*) FILTER (l_discount <> 0.04) AS observed,
+       count(*) FILTER (l_discount = 0.04) AS synthetic, 0 AS unavailable,
+       CASE WHEN l_suppkey % 5 = 2 THEN 'local' ELSE 'general' END AS scope,
+       round((l_suppkey % 5) / 10.0, 3) AS test_mae_k,
+       round(sum(CASE WHEN l_discount <> 0.04 THEN 290 + 0.0 END), 3) AS observed_base
+FROM lineitem GROUP BY ALL
+""")
+def area_production_query(spark, sf):
+    unified, scenes = production_tables(spark, sf)
+    pairs = training_pairs(unified, scenes, by=["area_id"])
+    scopes = unified.select("area_id").distinct().select(
+        "area_id", F.when(F.col("area_id") == 2, "local").otherwise("general").alias("scope"), (F.col("area_id") / 10).alias("test_mae_k"))
+    out = area_production(unified, scenes, pairs, scopes, "bias+ridge")
+    return out.groupBy("area_id").agg(
+        F.count(F.lit(1)).alias("rows"), long(F.sum("target_is_observed")).alias("observed"),
+        long(F.sum("target_is_synthetic")).alias("synthetic"), F.count_if(F.col("LST_target_K").isNull()).alias("unavailable"),
+        F.max("downscaling_scope").alias("scope"), r(F.max("downscaling_test_mae_k"), 3).alias("test_mae_k"),
+        r(F.sum(F.when(F.col("target_is_observed") == 1, F.lit(290.0))), 3).alias("observed_base"))
+
+
 @query("numeric_feature_names", """
 SELECT unnest(['LST_1km', 'l_discount', 'l_extendedprice', 'l_quantity', 'l_tax', 'rain_3d_log']) AS feature, (SELECT count(*) FROM lineitem) AS rows
 """)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.calendar import micros
+from ..operators.catalogue import alias_table, canonical_names, names_by_category, variable_cards
 from ..operators.fusion import content_key
 from ..sources import payloads
 from ..sources.tables import spread_scan
@@ -238,6 +239,45 @@ def alias_tagging(spark, sf):
     return d.select("doc_id", F.array_join(text.tag_terms("text", CORPUS_ALIASES), ",").alias("tags"))
 
 
+@query("request_moves", """
+SELECT conv_id, turn::BIGINT AS turn, CASE WHEN conv_id % 4 = 0 THEN 'north' END AS direction,
+       CASE conv_id % 4 WHEN 1 THEN 2.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE END AS scale_factor,
+       CASE WHEN conv_id % 4 = 2 THEN 'Peñón ' || conv_id || CASE WHEN turn % 2 = 1 THEN ', sevilla' ELSE '' END END AS place
+FROM conversations
+""")
+def request_moves(spark, sf):
+    c = table(spark, sf, "conversations", "conv_id", "turn")
+    k = F.col("conv_id") % 4
+    request = (F.when(k == 0, "Mueve la zona 300 m al norte").when(k == 1, "Hazla el doble de grande")
+               .when(k == 3, "Reduce a la mitad el tamaño")
+               .otherwise(F.concat(F.when(F.col("turn") % 2 == 1, "En Sevilla, ").otherwise(""), F.lit("el barrio de Peñón "),
+                                   F.col("conv_id").cast("string"), F.lit("."))))
+    slots = text.request_slots(request)
+    return c.select("conv_id", long("turn").alias("turn"), *[slots[n].alias(n) for n in ("direction", "scale_factor", "place")])
+
+
+# Names as users write them and the catalogue's name; unknown names have none.
+WRITTEN_NAMES = [
+    ("SVF", "sky_view_factor"), ("Elevación", "elevation"), (" DEM ", "elevation"), ("edificios", "buildings"),
+    ("Cañón urbano", "aspect_ratio"), ("cañon urbano", "aspect_ratio"), ("Temperatura de rocío", "dewpoint_temperature"),
+    ("tair", "air_temperature"), ("Emisividad superficial", "surface_emissivity"), ("calles", "roads"),
+    ("quality_flag_1km", "sentinel3_quality"), ("Espesor óptico de aerosoles", "aerosol_optical_thickness"),
+    ("índice de vegetación normalizado", "NDVI"), ("no such name", None),
+]
+
+
+@query("canonical_names", "WITH w(k, written, canonical) AS (VALUES " + ", ".join(
+    f"({k}, {_q(w)}, {_q(c) if c else 'NULL'})" for k, (w, c) in enumerate(WRITTEN_NAMES)) + f""")
+SELECT p_partkey, written, canonical FROM part JOIN w ON p_partkey % {len(WRITTEN_NAMES)} = k
+""")
+def canonical_names_query(spark, sf):
+    names = F.array(*[F.lit(w) for w, _ in WRITTEN_NAMES])
+    p = table(spark, sf, "part", "p_partkey").withColumn(
+        "written", F.element_at(names, (F.col("p_partkey") % len(WRITTEN_NAMES) + 1).cast("int")))
+    out = canonical_names(p, "written", alias_table(spark, variable_cards()))
+    return out.select("p_partkey", "written", "canonical")
+
+
 @query("slot_extract", f"""
 WITH d AS (SELECT conv_id, turn, lower({s_fold("'Zona ' || text || ' entre mayo y octubre de 20' || lpad((conv_id % 30)::VARCHAR, 2, '0') || ' a ' || turn || '0,5 m, ' || conv_id || ' km2, mueve 2 km'")}) AS t FROM conversations)
 SELECT conv_id, turn::BIGINT AS turn, regexp_extract(t, '\\b(20\\d{{2}})\\b', 1) || '-05-01' AS start_date, regexp_extract(t, '\\b(20\\d{{2}})\\b', 1) || '-10-31' AS end_date,
@@ -321,7 +361,6 @@ def content_keys(spark, sf):
 SELECT p_type AS category, count(DISTINCT p_brand) AS names, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS members FROM part WHERE p_size <= 25 GROUP BY 1
 """)
 def catalogue_listing(spark, sf):
-    from ..operators.catalogue import names_by_category
     cards = table(spark, sf, "part", "p_type", "p_brand", "p_size").select(
         F.col("p_brand").alias("name"), F.col("p_type").alias("category"),
         F.when(F.col("p_size") <= 25, "available").otherwise("planned").alias("availability"))

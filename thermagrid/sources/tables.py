@@ -80,10 +80,12 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread rows that a scan yields in fewer splits than there are cores, for
-    work that is heavy per row. A large input has splits enough and stays."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Spread the rows of an input that fits one split over the cores, for work that
+    is heavy per row. Anything larger is split by the scan itself and stays."""
+    spark = df.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= split else df
 
 
 def node_table(raw: DataFrame, zone: int = 30, by: Sequence[str] = ()) -> DataFrame:
