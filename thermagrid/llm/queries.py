@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import (bloom_lm, graph_ann, html_extract, jaccard_join, langid, license_scan, mixing,
                packing, quality, suffix_repeats)
-from .common import fold, table  # noqa: F401
+from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def register(fn):
