@@ -258,9 +258,13 @@ def verdicts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-independent table hash."""
-    names = list(columns or df.columns)
-    return df.agg(F.sum(F.xxhash64(*names).cast("decimal(38,0)")).alias("fingerprint"),
+    """Order-independent table hash: the sum of the first 60 bits of every row's MD5.
+
+    Values are written as text between bars, null as ``\\N``, so that any engine
+    can repeat it."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (columns or df.columns)]
+    digest = F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15)
+    return df.agg(F.coalesce(F.sum(F.conv(digest, 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"),
                   F.count(F.lit(1)).alias("rows"))
 
 

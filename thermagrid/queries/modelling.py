@@ -47,7 +47,8 @@ def medians(spark, sf):
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
         F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("tax"))
     m = exact_medians(x, ["quantity", "price", "tax"])
-    return x.limit(1).select(*[F.lit(m[c][0]).alias(c) for c in ("quantity", "price", "tax")])
+    names = ("quantity", "price", "tax")
+    return spark.createDataFrame([tuple(m[c][0] for c in names)], ", ".join(f"{c} double" for c in names))
 
 
 def translation_rows(spark, sf):

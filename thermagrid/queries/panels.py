@@ -533,9 +533,16 @@ def lineage_rows(spark, sf):
     return combined_rows(rows, areas).select("area_id", "area_name", "node_id", "global_node_id")
 
 
-@query("row_fingerprint")
+@query("row_fingerprint", r"""
+SELECT sum(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, coalesce(priority, '\N'), round(o_totalprice * 100)::BIGINT,
+    strftime(o_orderdate, '%Y-%m-%d'))), 1, 15))::BIGINT)::VARCHAR AS fingerprint, count(*) AS rows
+FROM (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority FROM orders)
+""")
 def row_fingerprint(spark, sf):
-    return reports.fingerprint(table(spark, sf, "orders"))
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("priority"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return reports.fingerprint(o)
 
 
 @query("union_align", f"""

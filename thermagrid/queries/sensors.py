@@ -181,15 +181,16 @@ def quality_cascade(spark, sf):
 , cat AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), k AS (SELECT s.* FROM s WHERE d IN (SELECT d FROM cat)),
 t AS (SELECT count(*) AS n FROM cat), c AS (SELECT count(DISTINCT s_suppkey) AS cells FROM supplier)
 SELECT t.n AS catalog_dates, count(DISTINCT d) AS returned_dates, count(DISTINCT d) FILTER (status = 'valid') AS valid_dates,
- count(DISTINCT d) FILTER (status = 'cloudy') AS cloudy_dates, t.n - count(DISTINCT d) AS missing_dates, t.n * 1000 AS expected_cell_days,
+ count(DISTINCT d) FILTER (status = 'cloudy') AS cloudy_dates, t.n - count(DISTINCT d) AS missing_dates, t.n * c.cells AS expected_cell_days,
  count(*) AS returned_cell_days, count(*) FILTER (status = 'valid') AS valid_cell_days, count(*) FILTER (status = 'cloudy') AS cloudy_cell_days,
- count(*) FILTER (status = 'invalid') AS invalid_cell_days, greatest(t.n * 1000 - count(*), 0) AS missing_cell_days
-FROM k, t GROUP BY t.n
+ count(*) FILTER (status = 'invalid') AS invalid_cell_days, greatest(t.n * c.cells - count(*), 0) AS missing_cell_days
+FROM k, t, c GROUP BY t.n, c.cells
 """)
 def quality_counters(spark, sf):
     catalogue = table(spark, sf, "orders", "o_orderdate").select(day("o_orderdate").alias("date"))
+    cells = table(spark, sf, "supplier", "s_suppkey").distinct().count()  # one number
     out = source_counters(cascade_rows(spark, sf), catalogue, day="date", status="status",
-                          cells=1000)
+                          cells=cells)
     return out.select(*[long(c).alias(c) for c in out.columns])
 
 
