@@ -10,6 +10,7 @@ Cells are distinct keys, so a dense region costs more levels, not a hot task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,26 +148,38 @@ def _survey(sites: DataFrame, others: list[tuple[DataFrame, str, str]], by: list
     cells too, whose bounds prune. Sites are counted once in the finest cells; each
     coarser level adds up the cells of the level below.
     """
-    def edges(df: DataFrame, x: str, y: str) -> DataFrame:
-        return df.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"))
+    def edges(df: DataFrame, x: str, y: str, counted: bool) -> DataFrame:
+        return df.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d"),
+                      F.count(F.lit(1) if counted else F.lit(None)).alias("n"))
 
-    boxes = edges(sites, u, v)
+    boxes = edges(sites, u, v, True)
     for df, x, y in others:
-        boxes = boxes.unionByName(edges(df, x, y))
-    row = boxes.agg(F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
+        boxes = boxes.unionByName(edges(df, x, y, False))
+    row = boxes.agg(F.min("a"), F.max("b"), F.min("c"), F.max("d"), F.sum("n")).first()
     if row[0] is None:
         return (0.0, 1.0, 0.0, 1.0), 0
     extent = (row[0], max(row[1] - row[0], 1e-12), row[2], max(row[3] - row[2], 1e-12))
-    cells = (_keyed(sites, u, v, extent, MAX_BITS, _Metric("planar"))
-             .groupBy(*by, "_kx", "_ky").agg(F.count(F.lit(1)).alias("_n")))
-    fullest = None
-    for bits in range(MAX_BITS, -1, -STEP_BITS):
-        most = cells.agg(F.lit(bits).alias("_b"), F.max("_n").alias("_n"))
-        fullest = most if fullest is None else fullest.unionByName(most)
-        cells = (cells.groupBy(*by, F.shiftright("_kx", STEP_BITS).alias("_kx"),
-                               F.shiftright("_ky", STEP_BITS).alias("_ky")).agg(F.sum("_n").alias("_n")))
-    fits = [r["_b"] for r in fullest.collect() if (r["_n"] or 0) <= leaf]  # one row per level
-    return extent, (min(fits) if fits else MAX_BITS)
+
+    def fullest(finest: int, coarsest: int) -> dict[int, int]:
+        """Most sites in a cell of each level; one row per level is read."""
+        cells = (_keyed(sites, u, v, extent, finest, _Metric("planar"))
+                 .groupBy(*by, "_kx", "_ky").agg(F.count(F.lit(1)).alias("_n")))
+        found = None
+        for bits in range(finest, coarsest - 1, -STEP_BITS):
+            most = cells.agg(F.lit(bits).alias("_b"), F.max("_n").alias("_n"))
+            found = most if found is None else found.unionByName(most)
+            cells = (cells.groupBy(*by, F.shiftright("_kx", STEP_BITS).alias("_kx"),
+                                   F.shiftright("_ky", STEP_BITS).alias("_ky")).agg(F.sum("_n").alias("_n")))
+        return {r["_b"]: r["_n"] or 0 for r in found.collect()}
+
+    # Evenly spread sites need log4(sites / leaf) levels; look two steps further, then deeper while a cell is too full.
+    even = math.ceil(math.log2(max(row[4] / leaf, 1.0)) / 2)
+    coarsest, finest = 0, min(MAX_BITS, -(-even // STEP_BITS) * STEP_BITS + 2 * STEP_BITS)
+    while True:
+        fits = [b for b, n in fullest(finest, coarsest).items() if n <= leaf]
+        if fits or finest >= MAX_BITS:
+            return extent, (min(fits) if fits else MAX_BITS)
+        coarsest, finest = finest + STEP_BITS, min(MAX_BITS, finest + 4 * STEP_BITS)
 
 
 def nearest_site(
