@@ -70,16 +70,18 @@ def attach_weather(df: DataFrame, time: str, hourly: DataFrame, daily: DataFrame
 
 
 def dense_panel(nodes: DataFrame, days: DataFrame, day: str, area: str,
-                key: str = "node_id", spread: int = 64) -> DataFrame:
+                key: str = "node_id", spread: int | None = None) -> DataFrame:
     """Every node of an area on every reference day of that area.
 
     The days of an area are gathered into one array (its length is bounded by
     the calendar) and unfolded per node: no cross join, no shuffle of the
-    panel. An area's nodes are spread over ``spread`` salts, so a huge area is
-    many tasks; the partition count is fixed because the rows multiply here
-    and sizes seen before the unfolding would merge tasks wrongly.
+    panel. An area's nodes are spread over ``spread`` salts, as many as there are
+    shuffle partitions unless given, so a huge area fills the cluster; the
+    partition count is fixed because the rows multiply here and sizes seen
+    before the unfolding would merge tasks wrongly.
     """
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread or partitions
     salted = nodes.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(spread)).cast("int"))
     calendar = (days.where(F.col(day).isNotNull()).groupBy(area)
                 .agg(F.sort_array(F.collect_set(day)).alias("_days")))

@@ -52,13 +52,15 @@ def _range_bounds(df: DataFrame, value: str, ranges: int) -> Column:
 
 def running_number(df: DataFrame, keys: Sequence[str], value: str, *, ties: Sequence[str] = (),
                    out: str = "number", dense: bool = False, descending: bool = False,
-                   ranges: int = 64) -> DataFrame:
+                   ranges: int | None = None) -> DataFrame:
     """1-based row number (or dense rank) of numeric ``value`` within ``keys``.
 
-    ``ranges`` splits every key into that many value ranges, so no window
+    ``ranges`` (as many as shuffle partitions, 16 at least, unless given) splits
+    every key into that many value ranges, so no window
     partition holds more than about 1/ranges of the distinct values. The
     range-size table has at most ``ranges`` rows per key.
     """
+    ranges = ranges or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tagged = (df.withColumn("_bounds", _range_bounds(df, value, ranges))
               .withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(value))))
               .drop("_bounds"))
