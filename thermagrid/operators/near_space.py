@@ -141,7 +141,7 @@ def _keyed(points: DataFrame, u: str, v: str, extent: tuple, bits: int,
 def _survey(sites: DataFrame, others: list[tuple[DataFrame, str, str]], by: list[str], u: str,
             v: str, leaf: int) -> tuple[tuple, int]:
     """Extent of the sites and of all other points together, and the tree depth at
-    which no leaf holds more than ``leaf`` sites: two small aggregates read on the
+    which no leaf holds more than ``leaf`` sites: small aggregates read on the
     driver.
 
     The extent covers both sides, so that points far from all sites have small
@@ -194,7 +194,7 @@ def nearest_site(
     by: Sequence[str] = (),
     metric: str = "haversine",
     distance: str = "distance",
-    leaf: int = 64,
+    leaf: int = 128,
 ) -> DataFrame:
     """Nearest site of every query, within the same ``by`` group.
 
@@ -211,7 +211,7 @@ def nearest_site(
 
 def nearest_work(queries: DataFrame, sites: DataFrame, **how) -> DataFrame:
     """Distance evaluations of ``nearest_site`` with the same arguments: one row."""
-    settings = {"by": (), "metric": "haversine", "distance": "distance", "leaf": 64} | how
+    settings = {"by": (), "metric": "haversine", "distance": "distance", "leaf": 128} | how
     return _nearest(queries, sites, count_work=True, **settings)
 
 
@@ -230,7 +230,8 @@ def _nearest(queries, sites, query_id, query_uv, site_uv, payload, tie, by, metr
         .groupBy(*by, F.col(su).alias("_su"), F.col(sv).alias("_sv"))
         .agg(F.min_by(s_row, F.struct(*tie)).alias("_pay"), F.min(F.struct(*tie)).alias("_tie"))
     )
-    s = cut_lineage(s)  # surveyed, boxed and gathered: write once
+    # Both sides are surveyed, boxed and joined: write their few columns once.
+    q, s = cut_lineage(q), cut_lineage(s)
     extent, bits = _survey(s, [(q, "_qu", "_qv")], by, "_su", "_sv", leaf)
     ids = list(dict.fromkeys([*by, *query_id]))
     qk = _keyed(q, "_qu", "_qv", extent, bits, m)
