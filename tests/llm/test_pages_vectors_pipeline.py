@@ -112,3 +112,17 @@ def test_all_eleven_queries_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["op6_similar_documents", "op8_quality_rules", "op10_mix_sources"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+    con = duckdb.connect()
+    for given in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {given} AS SELECT * FROM '{SMALL}/{given}.parquet'")
+    cur = con.execute(entry.oracle_sql()[name])
+    heads = [d[0] for d in cur.description]
+    rows = entry.queries()[name](spark, SMALL)
+    assert sorted(rows.columns) == sorted(heads)
+    assert sorted(map(str, (tuple(r[h] for h in heads) for r in rows.collect()))) == sorted(map(str, cur.fetchall()))
