@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from thermagrid.llm import bloom_lm, jaccard_join, langid, license_scan, mixing, packing, quality, suffix_repeats
@@ -347,3 +348,25 @@ def test_licenses_are_found_with_their_spans(spark, empty):
     assert got[1].passage.startswith("Permission") and got[1].passage.endswith("SOFTWARE")
     assert texts[2][got[2].span_begin:got[2].span_end] == "Licensed under the Apache License, Version 2.0"
     assert license_scan.find_licenses(empty).count() == 0
+
+
+def test_stages_take_nulls_in_every_column(spark):
+    """A row of nulls, a text of nulls' neighbours and clashing names go through every stage."""
+    rows = [(None, None, None, None, None), (None, prose(70, 30), "en", "a", 1), (1, None, "en", None, 2), (2, prose(71, 30), None, "a", None),
+            (2, prose(71, 30), None, "a", None), (2, prose(72, 30), "en", "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for extra in ("text_key", "size", "rid", "n_words", "band"):
+        docs = docs.withColumn(extra, F.lit(7))
+    labels = spark.createDataFrame([(None, 1, None), (2, None, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = jaccard_join.one_of_each(docs.drop("text_key"))
+    assert kept.columns == docs.drop("text_key").columns
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == sorted(
+        (r[0] or 0, len(r[1] or "")) for r in {(r[0], r[1]) for r in rows})
+    assert suffix_repeats.cut_documents(docs).count() == 6
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.quality_report(docs, labels).count() == 6
+    assert mixing.mix(docs).count() == 6
+    assert packing.pack(docs).count() == 6
+    assert bloom_lm.score_folds(docs).count() == 6
+    assert langid.identify_folds(docs).count() == 6
+    assert license_scan.find_licenses(docs).count() == 0

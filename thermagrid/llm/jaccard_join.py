@@ -434,7 +434,8 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for every row of ``docs``.
+    """doc_id, text_key, n_shingles, component_id and component (its own key, null
+    without shingles) for every row of ``docs``.
 
     Two documents link when 100 * intersection >= 80 * union of their shingle
     sets; component_id is the smallest doc_id reachable. A null or empty text has
@@ -507,14 +508,19 @@ def link_components(docs: DataFrame) -> DataFrame:
     whole = rows.join(closed, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return whole.join(least, "comp", "left").select(
-        "doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("comp").alias("component"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of the smallest doc_id of each component only (of rows
-    that share it, the one with the least text hash)."""
-    found = link_components(docs)
-    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("stay")).select("stay.*")
+    that share it, the one with the least text hash). Rows without a doc_id cannot
+    be told apart and stay."""
     columns = docs.columns
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    return keyed.join(stay, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(*columns)
+    known = docs.where("doc_id IS NOT NULL")
+    found = link_components(known)
+    alone = F.when(F.col("component").isNull(), F.struct("doc_id", "text_key"))
+    stay = (found.groupBy("component", alone.alias("alone")).agg(F.min(F.struct("doc_id", "text_key")).alias("stay"))
+            .select("stay.*"))
+    keyed = known.withColumn("text_key", F.xxhash64("text"))
+    kept = keyed.join(stay, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(*columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
