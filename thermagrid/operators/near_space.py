@@ -194,7 +194,7 @@ def nearest_site(
     by: Sequence[str] = (),
     metric: str = "haversine",
     distance: str = "distance",
-    leaf: int = 128,
+    leaf: int = 48,
 ) -> DataFrame:
     """Nearest site of every query, within the same ``by`` group.
 
@@ -211,7 +211,7 @@ def nearest_site(
 
 def nearest_work(queries: DataFrame, sites: DataFrame, **how) -> DataFrame:
     """Distance evaluations of ``nearest_site`` with the same arguments: one row."""
-    settings = {"by": (), "metric": "haversine", "distance": "distance", "leaf": 128} | how
+    settings = {"by": (), "metric": "haversine", "distance": "distance", "leaf": 48} | how
     return _nearest(queries, sites, count_work=True, **settings)
 
 
