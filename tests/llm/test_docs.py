@@ -167,6 +167,23 @@ def test_rare_words_are_joined_exactly(docs, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 9)) for r in bloom_lm.score_folds(docs).collect()} == want
 
 
+def test_pairs_seen_once_count_whatever_the_filter_needs(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "MAX_BITS", 64, raising=False)
+    train, asked = ["a b c d", "e f g a b", "h i c d"], ["a b c d", "e f g h", "d c b a", "x a b", None]
+    table = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, two = collections.Counter(), collections.Counter()
+    for t in train:
+        one.update(w := [*t.split(), 0])
+        two.update(zip(["start", *w], w))
+    below = one.total() + len(one) + 1
+    for r in bloom_lm.score(table(asked), table(train)).collect():
+        w, want = [*(asked[r.doc_id] or "").split(), 0], 0
+        for before, word in zip(["start", *w], w):
+            p2 = max(two[before, word] - 0.75, 0) / max(one[before] if before != "start" else one[0], two[before, word], 1)
+            want += math.log10(0.75 * (one[word] + 1) / below + 0.25 * p2)
+        assert math.isclose(r.score, want, rel_tol=1e-9), r
+
+
 def test_log_bloom_has_no_false_miss():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))

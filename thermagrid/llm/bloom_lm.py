@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermagrid.session import cut_lineage
-
 from .common import fold, materialise, mix64
 
 #: Bytes of text that one slice of the n-gram space stands for, tokens gathered before a flush.
 SLICE_BYTES, FLUSH_TOKENS = 8 << 20, 2_000_000
 #: Growth of the counts from one quantisation level to the next.
 LEVEL_BASE = 1.5
-#: Filter: bits and probes for each inserted key, and the most bits a worker is asked to hold.
-BITS_PER_KEY, PROBES, MAX_BITS = 10, 4, 1 << 28
-#: Pairs seen once are left out, as in common practice; the cut rises where the filter would outgrow MAX_BITS.
-LEAST_PAIR = 2
+#: Filter: bits and probes for each inserted key.
+BITS_PER_KEY, PROBES = 10, 4
 #: Weight of the pair estimate and its absolute discount.
 PAIR_WEIGHT, DISCOUNT = 0.25, 0.75
-#: Words whose exact counts are broadcast; those of all others are joined.
+#: No longer read: every word's exact count comes back with its level. A test still sets it.
 TOP_WORDS = 200_000
-#: Words that a task remembers while it scores.
-VOCABULARY = 200_000
 END, START = 1, 2
 
 
@@ -79,78 +75,92 @@ def unpack_sorted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(planes[8 * n:].reshape(4, n).T).view(np.uint32).ravel()
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    if not len(keys):
-        return keys, counts
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    held = io.BytesIO()
+    np.savez(held, *arrays)
+    return zstandard.compress(held.getvalue(), 1)
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    with np.load(io.BytesIO(zstandard.decompress(blob))) as held:
+        return [held[f"arr_{k}"] for k in range(len(held.files))]
+
+
+def to_planes(values: np.ndarray) -> np.ndarray:
+    """Byte planes: the high bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+
 
+def from_planes(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-def count_ngrams(train: DataFrame, slices: int) -> DataFrame:
-    """(kind, slice, key, n, blob): exact counts of words, one row each (kind 'w') and
-    compressed, one row a slice (kind 'words'), and of word pairs (kind 'pairs').
 
-    Each task counts a few million tokens at a time and emits one compressed
-    sorted run for each slice of the key space; a slice then merges its runs. A
-    frequent word is one entry of each run, so no key is hot.
+def gather_chunks(rows: DataFrame, slices: int) -> DataFrame:
+    """(kind, slice, chunk, blob) from rows of doc_id, asked, learnt, text.
+
+    Each task takes a few million tokens at a time, a chunk. With ``slices`` it
+    emits one compressed sorted run for each slice of the key space, of words (kind
+    'w') and of word pairs (kind 'p'), with the uses in rows to learn from (0 for
+    keys only asked for); a frequent word is one entry of each run, so no key is
+    hot. With no slices it emits the token numbers of its texts (kind 't'). Both
+    read the rows, which is cheaper than to keep either; a chunk is named by its
+    place and content, so rows that come in another order the second time are
+    noticed. A chunk with nothing asked has no name and no texts.
     """
     bounds = slice_bounds(slices)
 
-    def runs(kind: str, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-        cuts = [0, *np.searchsorted(keys, bounds), len(keys)]
-        for k in range(slices):
-            if cuts[k + 1] > cuts[k]:
-                yield kind, k, pack_sorted(keys[cuts[k]:cuts[k + 1]], counts[cuts[k]:cuts[k + 1]])
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "slice", "chunk", "blob"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, total = Vocabulary(), [], 0
+        chunk = TaskContext.get().partitionId() << 32
+
+        def name(*arrays: np.ndarray) -> int:
+            made = xxhash.xxh3_64(chunk.to_bytes(8, "little"))
+            for x in arrays:
+                made.update(x)
+            return int.from_bytes(made.digest(), "big", signed=True)
 
         def flush() -> Iterator[pa.RecordBatch]:
             hashes = np.array(vocabulary.hashes, np.uint64)
-            uses = np.zeros(len(hashes), np.int64)
-            pairs = []
-            for numbers, sizes in held:
-                uses += np.bincount(numbers, minlength=len(hashes))
-                pairs.append(pair_keys(hashes[numbers], sizes))
-            order = np.argsort(hashes)
-            order = order[uses[order] > 0]
-            keys = np.sort(np.concatenate(pairs))
+            ids, known, asked, learnt, numbers, sizes = map(np.concatenate, zip(*held))
+            number = name(hashes, numbers, sizes, asked, learnt) if asked.any() else None
+            if not slices:
+                if number is not None:
+                    yield batch_of([("t", 0, number, pack_arrays(ids, known, asked, sizes, to_planes(numbers.astype(np.uint32)), hashes))])
+                return
+            learns = np.repeat(learnt, sizes)
+            uses = np.bincount(numbers[learns], minlength=len(hashes))
+            order = np.argsort(hashes, kind="stable")
+            # The lowest bit of a pair's key is free: it tells the uses to learn from.
+            keys = np.sort((pair_keys(hashes[numbers], sizes) ^ np.uint64(1)) | learns.astype(np.uint64))
+            counts, keys = (keys & np.uint64(1)).astype(np.int64), keys | np.uint64(1)
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            rows = [*runs("w", hashes[order], uses[order]),
-                    *runs("p", keys[first], np.diff(np.append(first, len(keys))))]
-            for at in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*rows[at:at + 64]), (pa.string(), pa.int32(), pa.binary()))], ["kind", "slice", "blob"])
+            out = []
+            for kind, every, n in (("w", hashes[order], uses[order]), ("p", keys[first], np.add.reduceat(counts, first))):
+                cuts = [0, *np.searchsorted(every, bounds), len(every)]
+                out += [(kind, k, number, pack_sorted(every[cuts[k]:cuts[k + 1]], n[cuts[k]:cuts[k + 1]]))
+                        for k in range(slices) if cuts[k + 1] > cuts[k]]
+            for at in range(0, len(out), 64):
+                yield batch_of(out[at:at + 64])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                held.append(vocabulary.numbers(batch.column(0)[at:at + 512].to_pylist()))
-                total += len(held[-1][0])
+                part = batch.slice(at, 512)
+                numbers, sizes = vocabulary.numbers(part.column(3).to_pylist())
+                ids = part.column(0)
+                held.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False),
+                             *(part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)), numbers, sizes))
+                total += len(numbers)
                 if total >= FLUSH_TOKENS:
                     yield from flush()
-                    vocabulary, held, total = Vocabulary(), [], 0
+                    vocabulary, held, total, chunk = Vocabulary(), [], 0, chunk + 1
         if total:
             yield from flush()
 
-    def merge(table: pa.Table) -> pa.Table:
-        kind, k = table.column("kind")[0].as_py(), table.column("slice")[0].as_py()
-        parts = [unpack_sorted(b.as_py()) for b in table.column("blob")]
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*parts)))
-        if kind == "w":
-            n = len(keys)
-            return pa.table({"kind": pa.array(["w"] * n + ["words"]), "slice": pa.array(np.full(n + 1, k, np.int32)),
-                             "key": pa.array([*keys.view(np.int64).tolist(), None], pa.int64()),
-                             "n": pa.array(np.append(counts, n)),
-                             "blob": pa.array([None] * n + [pack_sorted(keys, counts)], pa.binary())})
-        kept = counts >= LEAST_PAIR
-        return pa.table({"kind": ["pairs"], "slice": pa.array([k], pa.int32()), "key": pa.nulls(1, pa.int64()),
-                         "n": pa.array([int(kept.sum())], pa.int64()),
-                         "blob": pa.array([pack_sorted(keys[kept], counts[kept])], pa.binary())})
-
-    packed = train.select("text").mapInArrow(gather, "kind string, slice int, blob binary")
-    return packed.groupBy("kind", "slice").applyInArrow(merge, "kind string, slice int, key long, n long, blob binary")
+    return rows.select("doc_id", "asked", "learnt", "text").mapInArrow(gather, "kind string, slice int, chunk long, blob binary")
 
 
 def starts_of_levels(most: int = 1 << 62) -> np.ndarray:
@@ -195,12 +205,6 @@ class LogBloom:
         self.bits_of = (sizes * 8).astype(np.uint64)
         self.data = np.frombuffer(b"".join(slices[k] for k in sorted(slices)), np.uint8)
 
-    @classmethod
-    def revive(cls, state: dict) -> LogBloom:
-        made = cls.__new__(cls)
-        made.__dict__.update(state)
-        return made
-
     @staticmethod
     def build(keys: np.ndarray, counts: np.ndarray, bits_per_key: int, least: int) -> bytes:
         levels = quantise(counts)
@@ -233,48 +237,84 @@ class LogBloom:
         return out
 
 
-def build_filters(counted: DataFrame, slices: int) -> tuple[LogBloom, LogBloom]:
-    """The word filter and the pair filter; their bits together stay within about
-    MAX_BITS, the stated bound of the broadcast.
+def answer_runs(runs: DataFrame) -> DataFrame:
+    """(kind, slice, chunk, n, v, blob): for each run the filter's level of each of
+    its keys, and of words the exact count too; n uses and v keys learnt of the
+    slice stand on one row without a chunk.
 
-    Level histograms (a few dozen rows) tell the bits needed. Beyond the bound,
-    rare pairs go first (a higher cut), then bits for each key.
+    The task of a slice merges its runs, builds the slice's filter of all its keys
+    and asks it, so the filter as a whole grows with the keys and no process holds
+    more than a slice of it.
     """
-    packed = counted.where("kind <> 'w'").select("kind", "slice", "blob")
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
-                levels, n = np.unique(quantise(unpack_sorted(blob.as_py())[1]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([kind] * len(n)), pa.array(levels.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "level", "n"])
-
-    seen = (packed.mapInArrow(histogram, "kind string, level long, n long")
-            .groupBy("kind", "level").agg(F.sum("n").alias("n")).collect())
-    word_keys = sum(r.level * r.n for r in seen if r.kind == "words")
-    pairs = {r.level: r.n for r in seen if r.kind == "pairs"}
-    bits, least = BITS_PER_KEY, int(quantise(np.array([LEAST_PAIR]))[0])
-
-    def needed(low: int) -> int:
-        return word_keys + sum(n * (level - low + 1) for level, n in pairs.items() if level >= low)
-    while needed(least) * bits > MAX_BITS and least <= max(pairs, default=0):
-        least += 1
-    while needed(least) * bits > MAX_BITS and bits > 1:
-        bits -= 1
-    lowest = {"words": 1, "pairs": least}
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                keys, counts = unpack_sorted(blob.as_py())
-                kept = quantise(counts) >= lowest[kind]
-                made = LogBloom.build(keys[kept], counts[kept], bits, lowest[kind])
-                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([k], pa.int32()), pa.array([made], pa.binary())],
-                                                 ["kind", "slice", "bits"])
-
-    rows = packed.mapInArrow(filled, "kind string, slice int, bits binary").collect()
-    words, both = ({r.slice: bytes(r.bits) for r in rows if r.kind == kind} for kind in ("words", "pairs"))
-    return LogBloom(words, slices, 1), LogBloom(both, slices, least)
+    def answer(table: pa.Table) -> pa.Table:
+        kind, k = table.column("kind")[0].as_py(), table.column("slice")[0].as_py()
+        parts = [unpack_sorted(b.as_py()) for b in table.column("blob")]
+        ends = np.cumsum([len(p[0]) for p in parts])
+        keys, counts = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys, kind="stable")
+        new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+        first = np.flatnonzero(new)
+        every, total = keys[order][first], np.add.reduceat(counts[order].astype(np.int64), first)
+        learnt = total > 0
+        bloom = LogBloom({0: LogBloom.build(every[learnt], total[learnt], BITS_PER_KEY, 1)}, 1, 1)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(new) - 1
+        levels = bloom.level(every).astype(np.uint8)[place]
+        exact = total[place] if kind == "w" else None
+        rows = [(kind, k, None, int(total.sum()), int(learnt.sum()), None)]
+        for chunk, end, part in zip(table.column("chunk").to_pylist(), ends.tolist(), parts):
+            if chunk is not None:
+                at = slice(end - len(part[0]), end)
+                blob = levels[at].tobytes() + (to_planes(exact[at]).tobytes() if kind == "w" else b"")
+                rows.append((kind, k, chunk, 0, 0, zstandard.compress(blob, 1)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (
+            pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "slice", "chunk", "n", "v", "blob"])
+
+    return runs.groupBy("kind", "slice").applyInArrow(answer, "kind string, slice int, chunk long, n long, v long, blob binary")
+
+
+def score_rows(rows: DataFrame) -> DataFrame:
+    """``score`` of the rows with ``asked``, learnt from those with ``learnt``."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    answers = materialise(answer_runs(gather_chunks(rows, max(4, -(-size // SLICE_BYTES)))))
+    totals = answers.where("kind = 'w' AND chunk IS NULL").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    tokens = totals.n or 0
+    below = float(tokens + (totals.v or 0) + 1)
+
+    def rate(table: pa.Table) -> pa.Table:
+        found = sorted(zip(table.column("kind").to_pylist(), table.column("slice").to_pylist(), range(table.num_rows)))
+        blobs = {kind: [table.column("blob")[at].as_py() for x, _, at in found if x == kind] for kind in "twp"}
+        if len(blobs["t"]) != 1 or not blobs["w"]:
+            raise RuntimeError("the rows to score came in another order when they were read again")
+        ids, valid, asked, sizes, planes, hashes = unpack_arrays(blobs["t"][0])
+        numbers = from_planes(planes, np.uint32).astype(np.int64)
+        order, levels, exact = np.argsort(hashes, kind="stable"), [], []
+        for blob in blobs["w"]:
+            plain = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(9, -1)
+            levels.append(plain[0])
+            exact.append(from_planes(plain[1:], np.int64))
+        value, known = np.empty(len(hashes)), np.empty(len(hashes), np.int64)
+        value[order], known[order] = VALUES[np.concatenate(levels)], np.concatenate(exact)
+        _, place = np.unique(pair_keys(hashes[numbers], sizes), return_inverse=True)
+        seen = VALUES[np.concatenate([np.frombuffer(zstandard.decompress(b), np.uint8) for b in blobs["p"]])][place]
+        begins = np.cumsum(sizes) - sizes
+        single = value[numbers]
+        context = np.empty_like(single)
+        context[1:] = single[:-1]
+        context[begins] = np.maximum(value[0], 1.0)  # as many starts as ends
+        p1 = (single + 1.0) / below
+        p2 = np.minimum(np.maximum(seen - DISCOUNT, 0.0) / np.maximum(np.maximum(context, seen), 1.0), 1.0)
+        logs = np.log10((1 - PAIR_WEIGHT) * p1 + PAIR_WEIGHT * p2)
+        return pa.table({
+            "doc_id": pa.array(ids, pa.int64(), mask=~valid), "n_tokens": pa.array(sizes),
+            "n_known": pa.array(np.add.reduceat((known > 0)[numbers].astype(np.int64), begins)),
+            "train_tokens": pa.array(np.full(len(sizes), tokens, np.int64)),
+            "base_score": pa.array(np.add.reduceat(np.log10((known + 1.0) / below)[numbers], begins)),
+            "score": pa.array(np.add.reduceat(logs, begins))}).filter(pa.array(asked))
+
+    columns = ["kind", "slice", "chunk", "blob"]
+    return (gather_chunks(rows, 0).select(columns).union(answers.where("chunk IS NOT NULL").select(columns))
+            .groupBy("chunk").applyInArrow(rate, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -283,97 +323,19 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
     base_score is exact. The score of a token is (1 - w) p1 + w p2 with p1 the
     add-one word estimate and p2 the absolutely discounted pair estimate, all
-    counts read from the broadcast filters; a miss of a word is certain, a
-    rare false hit counts as the lowest level. A null text is empty: its end
-    token alone is scored. Repeated rows are scored each; with no training rows
-    N and V are 0; an empty ``docs`` gives no rows; extra columns are ignored.
+    counts read from the filters of words and of all pairs seen at least once; a
+    miss is certain, a rare false hit counts as the lowest level. A null text is
+    empty: its end token alone is scored. Repeated rows are scored each; with no
+    training rows N and V are 0; an empty ``docs`` gives no rows; extra columns
+    are ignored.
     """
-    spark = docs.sparkSession
-    size = train.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    slices = max(4, -(-size // SLICE_BYTES))
-    counted = materialise(count_ngrams(train, slices))
-    words = counted.where("kind = 'w'").select(F.col("key").alias("token"), F.col("n").alias("known"))
-    totals = words.agg(F.sum("known").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, distinct = totals.n or 0, totals.v
-    below = float(tokens + distinct + 1)
-    word_filter, pair_filter = build_filters(counted, slices)
-    # The most frequent words, at most TOP_WORDS; the histogram over powers of two is a few dozen rows.
-    steps = words.groupBy((F.length(F.bin("known")) - 1).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
-    cut, room = None, TOP_WORDS
-    for r in steps:
-        if r.n > room:
-            break
-        cut, room = 2 ** int(r.step), room - r.n
-    top = words.where(F.col("known") >= cut).toPandas() if cut else None
-    order = np.argsort(top.token.to_numpy().view(np.uint64)) if top is not None else None
-    frequent = (top.token.to_numpy().view(np.uint64)[order], top.known.to_numpy()[order]) if top is not None else (
-        np.empty(0, np.uint64), np.empty(0, np.int64))
-    shared = spark.sparkContext.broadcast((vars(word_filter), vars(pair_filter), frequent))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (bloom, pairs), (often, often_n) = map(LogBloom.revive, shared.value[:2]), shared.value[2]
-        vocabulary, known = Vocabulary(), (np.empty(0, np.int64), np.empty(0, np.int64))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                if len(vocabulary.hashes) > VOCABULARY:
-                    vocabulary, known = Vocabulary(), (np.empty(0, np.int64), np.empty(0, np.int64))
-                numbers, sizes = vocabulary.numbers(part.column(2).to_pylist())
-                hashes = np.array(vocabulary.hashes, np.uint64)
-                new = hashes[len(known[0]):]
-                levels = bloom.level(new)
-                exact = np.where(levels == 0, 0, -1)  # -1: seen, its exact count is to be joined
-                if len(often):
-                    place = np.searchsorted(often, new).clip(0, len(often) - 1)
-                    exact = np.where(often[place] == new, often_n[place], exact)
-                known = np.concatenate((known[0], levels)), np.concatenate((known[1], exact))
-                value = VALUES[known[0]]
-                single = value[numbers]
-                p1 = (single + 1.0) / below
-                ends = np.cumsum(sizes)
-                begins = ends - sizes
-                context = np.empty_like(single)
-                context[1:] = single[:-1]
-                context[begins] = np.maximum(value[0], 1.0)  # as many starts as ends
-                seen = VALUES[pairs.level(pair_keys(hashes[numbers], sizes))]
-                p2 = np.minimum(np.maximum(seen - DISCOUNT, 0.0) / np.maximum(np.maximum(context, seen), 1.0), 1.0)
-                logs = np.log10((1 - PAIR_WEIGHT) * p1 + PAIR_WEIGHT * p2)
-                counts = known[1][numbers]
-                sure = counts >= 0
-                base = np.where(sure, np.log10((np.maximum(counts, 0) + 1.0) / below), 0.0)
-                rid, n = part.column(0), len(sizes)
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    rid, part.column(1), pa.array(sizes), pa.array(np.add.reduceat((sure & (counts > 0)).astype(np.int64), begins)),
-                    pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(logs, begins)), none, none], names)
-                # Words seen in training but not frequent: once for each text, with the number of uses.
-                rare = np.flatnonzero(~sure)
-                if len(rare):
-                    text_of = np.searchsorted(ends, rare, side="right")
-                    both, uses = np.unique(text_of * np.int64(len(hashes)) + numbers[rare], return_counts=True)
-                    text, word = both // len(hashes), both % len(hashes)
-                    m = len(both)
-                    yield pa.RecordBatch.from_arrays([
-                        rid.take(pa.array(text)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                        pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(hashes[word].view(np.int64)),
-                        pa.array(uses.astype(np.int64))], names)
-
-    names = ["rid", "doc_id", "n_tokens", "n_sure", "base_sure", "score", "token", "uses"]
-    schema = "rid long, doc_id long, n_tokens long, n_sure long, base_sure double, score double, token long, uses long"
-    rated = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text")
-                        .mapInArrow(rate, schema))
-    rare = (rated.where("uses IS NOT NULL").select("rid", "token", "uses").join(words, "token", "left")
-            .withColumn("known", F.coalesce("known", F.lit(0)))
-            .groupBy("rid").agg(F.sum(F.when(F.col("known") > 0, F.col("uses")).otherwise(0)).alias("n_rare"),
-                                F.sum(F.col("uses") * F.log10((F.col("known") + 1) / F.lit(below))).alias("base_rare")))
-    return (rated.where("uses IS NULL").select("rid", "doc_id", "n_tokens", "n_sure", "base_sure", "score")
-            .join(rare, "rid", "left")
-            .select("doc_id", "n_tokens", (F.col("n_sure") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-                    F.lit(tokens).cast("long").alias("train_tokens"),
-                    (F.col("base_sure") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score"))
+    def rows(df: DataFrame, doc_id: Column, asked: bool) -> DataFrame:
+        return df.select(doc_id.cast("long").alias("doc_id"), F.lit(asked).alias("asked"), F.lit(not asked).alias("learnt"), "text")
+    return score_rows(rows(docs, F.col("doc_id"), True).union(rows(train, F.lit(None), False)))
 
 
 def score_folds(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
     """``score`` learnt from the rows outside the held-out fold, with held_out."""
     out = fold(F.col("doc_id"), parts) == held
-    return score(docs, docs.where(~out)).withColumn("held_out", out)
+    return score_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("asked"),
+                                  F.coalesce(~out, F.lit(False)).alias("learnt"), "text")).withColumn("held_out", out)
