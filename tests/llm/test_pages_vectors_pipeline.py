@@ -39,6 +39,21 @@ def test_pages(spark):
     assert html_extract.main_text(pages.where("page_id = 102")).first().text == "plain text"
 
 
+def test_a_bad_token_does_not_veto_the_article(spark):
+    """Tokens and forms around the page, and on headings, sections and paragraphs of an article."""
+    inner = "<h2 id='search'>Search for text</h2><section id='related-work'>" + "".join(
+        f"<p>Section {j} tells of other long works, with commas, full stops and many words in it.</p>" for j in range(3)) + "</section>"
+    told = " Search for text " + " ".join(f"Section {j} tells of other long works, with commas, full stops and many words in it." for j in range(3))
+    plain = {100: page(100).replace("<body>", "<body class='single has-sidebar'>"),
+             101: page(101).replace("<body>", "<body><div class='page header-fixed'>").replace("</body>", "</div></body>"),
+             102: page(102).replace("<body>", "<body><form id='aspnetForm'>").replace("</body>", "</form></body>"),
+             103: page(103).replace("<p>Paragraph 3", "<p class='notice'>Paragraph 3"),
+             104: page(104).replace("</article>", inner + "</article>")}
+    rows = [(k, f"u{k}", page(k)) for k in range(40)] + [(k, f"u{k}", h) for k, h in plain.items()]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want(k) + (told if k == 104 else "") for k in [*range(40), *plain]}
+
+
 def test_decoding_never_contradicts():
     rng = np.random.default_rng(0)
     for _ in range(200):

@@ -21,9 +21,11 @@ SPLIT_COST = 25.0
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
           "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-#: Elements that never hold main text.
-NEVER = {"head", "title", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select",
-         "option", "textarea", "iframe", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "label", "fieldset"}
+#: Elements that cannot hold main text.
+NEVER = {"head", "title", "script", "style", "noscript", "template", "button", "select", "option", "textarea", "iframe",
+         "svg", "canvas", "object", "audio", "video"}
+#: Elements that seldom hold it.
+SELDOM = {"nav", "footer", "aside", "form", "menu", "dialog", "label", "fieldset"}
 MAIN = {"article", "main"}
 #: A new one of these closes an open one, up to the container.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -37,8 +39,9 @@ BAD_TOKENS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "brea
 GOOD_TOKENS = {"article", "articlebody", "body", "content", "entry", "main", "post", "story", "text"}
 GROUPS = [{"p", "blockquote", "pre"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"div", "section"}]
 FEATURES = len(GROUPS) + 16
-#: Log-odds that article and main add to what they hold.
-MAIN_ODDS = 8.0
+#: Log-odds that article and main add to what they hold, and what marks take off below a SELDOM element,
+#: below a bad token, and below either in an article (where no odds are added then).
+MAIN_ODDS, SELDOM_ODDS, TOKEN_ODDS, INNER_ODDS = 8.0, 8.0, 4.0, 1.5
 
 
 class Dom(HTMLParser):
@@ -118,10 +121,13 @@ def parse(html: str | None) -> Dom:
 def node_table(dom: Dom) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features, own characters, prior log-odds, weak label) of every node.
 
-    The prior is -inf under what is certainly not content, MAIN_ODDS under article
-    or main, else 0. The features leave these tags out, so that the trees learn
-    from densities, links, siblings, depth and tokens. Label 1: under article or main (or a content token) and under nothing that is
-    certainly not content; 0: under such a thing; -1: unknown.
+    The prior is -inf under what cannot hold text, MAIN_ODDS under article or main,
+    less under a mark (SELDOM element, bad token), else 0; the trees may overrule a
+    mark. A mark says nothing on what holds the article or main with the most prose
+    or, on a page without, most of the prose; nor a token on a paragraph or heading
+    in an article. The features leave these tags out, so that the trees learn
+    from densities, links, siblings, depth and tokens. Label 1: under article or main (or a content token) and under no
+    mark; 0: under a mark, if not just a token in an article; -1: unknown.
     """
     n = len(dom.tags)
     own, links, commas, before = [0] * n, [0] * n, [0] * n, [0] * n
@@ -147,7 +153,17 @@ def node_table(dom: Dom) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         sub_nodes[up] += sub_nodes[k]
         children[up] += 1
         child_chars[up] += subtree[k]
-    never, inside, held, index, met, label = ([0] * n for _ in range(6))
+    never, inside, held, index, met, label, mark = ([0] * n for _ in range(7))
+    for k in range(n):
+        never[k] = k and never[parents[k]] or tags[k] in NEVER
+    prose = [0 if never[k] else own[k] - links[k] for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        prose[parents[k]] += prose[k]
+    chief = max((k for k in range(n) if tags[k] in MAIN and prose[k]), key=prose.__getitem__, default=-1)
+    above = {k for k in range(n) if chief < 0 and 2 * prose[k] > prose[0]}
+    while chief >= 0:
+        above.add(chief)
+        chief = parents[chief]
     for k in range(n):
         up, tag = parents[k], tags[k]
         main = tag in MAIN
@@ -156,8 +172,11 @@ def node_table(dom: Dom) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
             met[up] += 1
             held[k] = held[up] or main
             inside[k] = inside[up] or main or dom.good[k] > 0 and not dom.bad[k]
-            never[k] = never[up] or tag in NEVER or tag == "header" and not inside[up] or dom.bad[k] > 0 and not main
-        label[k] = 0 if never[k] else 1 if inside[k] else -1
+            mark[k] = mark[up]
+            if k not in above:
+                token = dom.bad[k] > 0 and not main and not (held[up] and any(tag in group for group in GROUPS[:2]))
+                mark[k] = max(mark[k], 2 if tag in SELDOM or tag == "header" and not inside[up] else int(token))
+        label[k] = 0 if never[k] or mark[k] > held[k] else -1 if mark[k] or not inside[k] else 1
     a = np.array
     up = np.maximum(a(parents), 0)
     own_a, sub, link_a, nodes = a(own, float), a(subtree, float), a(sub_links, float), a(sub_nodes, float)
@@ -167,15 +186,18 @@ def node_table(dom: Dom) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
                 a(sub_commas, float) / np.maximum(sub, 1), np.log1p(nodes), a(children, float), siblings, a(index, float),
                 sibling_chars / np.maximum(siblings, 1), sub / np.maximum(sibling_chars, 1), a(before, float) / max(total, 1),
                 sub / max(total, 1), a(dom.good, float), a(dom.bad, float)]
-    prior = np.where(a(never, bool), -np.inf, np.where(a(held, bool), MAIN_ODDS, 0.0))
+    off = np.array([0.0, TOKEN_ODDS, SELDOM_ODDS])[a(mark, int)]
+    prior = np.where(a(held, bool), np.where(off > 0, -INNER_ODDS, MAIN_ODDS), -off)
+    prior[a(never, bool)] = -np.inf
     return np.stack(columns, axis=1).astype(np.float32), own_a, prior, a(label)
 
 
 def decode(parents: list[int], odds: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Nodes to keep: a subtree is content as a whole, not at all, or mixed, and a
     choice for a whole binds everything below it, so that an ancestor and its
-    descendants never disagree. The best sum of log-odds * characters wins. Where
-    that leaves nothing, everything that may be content is kept."""
+    descendants never disagree. The best sum of log-odds * characters wins; what a
+    mark (a prior below that of its parent) starts joins a whole only on its own merit. Where
+    that leaves nothing, everything without a mark that may be content is kept."""
     n, never = len(parents), np.isinf(prior)
     score = np.where(never, -1e6, odds + np.where(never, 0.0, prior)) * weight
     whole = score.tolist()
@@ -184,6 +206,8 @@ def decode(parents: list[int], odds: np.ndarray, weight: np.ndarray, prior: np.n
     for k in range(n - 1, -1, -1):
         best[k] = max(whole[k], 0.0, mixed[k] - SPLIT_COST)
         if k:
+            if whole[k] < 0 and prior[k] < prior[parents[k]]:
+                whole[k] = -1e9
             whole[parents[k]] += whole[k]
             mixed[parents[k]] += best[k]
     keep = np.zeros(n, bool)
@@ -198,7 +222,7 @@ def decode(parents: list[int], odds: np.ndarray, weight: np.ndarray, prior: np.n
             state[k] = "mixed" if mixed[k] - SPLIT_COST > 0 else "out"
         keep[k] = state[k] == "in" or state[k] == "mixed" and score[k] > 0
     keep &= ~never
-    return keep if (weight[keep] > 0).any() else ~never
+    return keep if (weight[keep] > 0).any() else prior >= 0
 
 
 def text_of(dom: Dom, keep: np.ndarray) -> str:
@@ -234,7 +258,7 @@ def extract(pages: DataFrame, model: dict | None) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
     Null or empty html, and pages where nothing is content, give an empty text.
-    Without a model every node that is not certainly something else is content.
+    Without a model every node that has no mark and can hold text is content.
     Repeated rows are extracted each; broken mark-up never fails; extra columns
     are ignored; an empty table gives no rows.
     """
