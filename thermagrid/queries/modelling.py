@@ -3,8 +3,8 @@ calibration has one."""
 
 from pyspark.sql import functions as F
 
-from ..models.regressors import fit_regressor
-from ..models.translation import (compare_candidates, fit_bundle, predict_bundle, training_pairs,
+from ..models.regressors import RESIDUAL_SETTINGS, fit_regressor
+from ..models.translation import (CANDIDATES, compare_candidates, fit_bundle, predict_bundle, training_pairs,
                                   translation_features)
 from ..operators.contract import numeric_features
 from ..operators.groups import with_group_means
@@ -76,7 +76,7 @@ def residual_model(spark, sf):
         F.col("l_tax").alias("NDBI"), F.lit(0.04).alias("NDBI_1km"),
         (F.col("l_extendedprice") / 1e5).alias("ALBEDO"), F.lit(0.3).alias("ALBEDO_1km"),
         (F.col("l_partkey") % 10 / 10).alias("aspect_ratio"), F.lit(0.5).alias("aspect_ratio_1km"))
-    run = residual_downscaling(rows, trees=10)
+    run = residual_downscaling(rows)
     return run.metrics.select("model", *[r(c, 4).alias(c) for c in (
         "mae", "rmse", "r2", "bias", "mae_improvement_percent")], "dates", "rows")
 
@@ -86,7 +86,7 @@ def residual_importances(spark, sf):
     rows = line_rows(spark, sf).withColumn(
         "y", F.col("l_discount") * 20 - F.col("l_tax") * 9)
     model = fit_regressor(rows, ["l_discount", "l_tax", "l_quantity"], "y",
-                          {"kind": "forest", "trees": 10, "depth": 5, "leaf": 8, "share": 0.85})
+                          RESIDUAL_SETTINGS)
     return ranked_importances(spark, model).withColumn("importance", r("importance", 4))
 
 
@@ -101,7 +101,7 @@ def translate_model(spark, sf):
 
 @query("model_compare")
 def model_compare(spark, sf):
-    out = compare_candidates(translation_rows(spark, sf), ["bias+ridge", "direct_ridge"], folds=3)
+    out = compare_candidates(translation_rows(spark, sf), [*CANDIDATES, "direct_ridge"])
     return out.select("model", *[r(c, 4).alias(c) for c in ("mae", "mae_by_date", "rmse", "r2")],
                       "dates", "rows")
 
@@ -178,8 +178,7 @@ def numeric_feature_names(spark, sf):
 @query("scope_by_area")
 def scope_by_area_query(spark, sf):
     rows = translation_rows(spark, sf)
-    out = scope_by_area(rows.withColumn("area_id", F.col("area_id") % 2), "bias+ridge", 2000,
-                        folds=3)
+    out = scope_by_area(rows, "bias+ridge", 2000)
     return out.select(long("area_id").alias("area_id"), "pretest_dates",
                       r("general_mae", 5).alias("general_mae"), r("local_mae", 5).alias("local_mae"),
                       "scope")
