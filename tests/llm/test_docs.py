@@ -325,6 +325,15 @@ def test_words_are_encoded_as_whole_texts():
         assert np.frombuffer(encode(s), np.uint32).tolist() == tokenizer.encode(s, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_have_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.Encoder(*packing.default_vocabulary())
+    for s in ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>  y\n", " <|endoftext|", "it's<|endoftext|>'s  12 "]:
+        assert np.frombuffer(encode(s), np.uint32).tolist() == tokenizer.encode(s, add_special_tokens=False).ids
+
+
 def test_language_on_made_up_languages(spark):
     rng = np.random.default_rng(5)
     stems = {"aa": ["the", "house", "where", "which", "night"], "bb": ["und", "nicht", "straße", "schön", "haus"]}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -41,30 +42,39 @@ class Encoder:
     The vocabulary's pattern always starts a new piece at a single space between
     two characters that are not white space, so words can be encoded one by one
     and remembered; texts with neighbouring white space are encoded in one go.
+    ``special`` maps added tokens of the vocabulary to their ids; a text that holds
+    one is split there first, as by the vocabulary's own library.
     """
 
     close_spaces = re.compile(r"\s\s|^\s|\s$")
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = special or {}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if special else None
         self.first, self.later = _Words(self.encode, ""), _Words(self.encode, " ")
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(token in text for token in self.special):
+            return b"".join(array("I", [self.special[part]] if part in self.special else self.encode(part)).tobytes()
+                            for part in self.split(text))
         if self.close_spaces.search(text):
             return array("I", self.encode(text)).tobytes()
         words = text.split(" ")
         return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
 
 
-def default_vocabulary() -> tuple[str, str]:
-    """(rank file, pattern) of the public byte-level vocabulary, looked up where the task runs."""
+def default_vocabulary() -> tuple[str, str, dict[str, int]]:
+    """(rank file, pattern, added tokens) of the public byte-level vocabulary, looked up where the task runs."""
     import public_tokenizers as public
-    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as described:
+        added = {token["content"]: token["id"] for token in json.load(described)["added_tokens"]}
+    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN, added
 
 
 def token_pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, vocabulary=default_vocabulary,
