@@ -82,4 +82,29 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.b) AS compone
 FROM t LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = t.doc_id GROUP BY t.doc_id, n.n
 """
 
-ORACLES = {"op6_similar_documents": SIMILAR, "op8_quality_rules": QUALITY, "op10_mix_sources": MIX}
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+f AS (SELECT *, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) AS c,
+             regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+      FROM f LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM m GROUP BY ALL),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.letter || q.letter || r.letter || s.letter || u.letter AS filter_order, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits
+      FROM x p, x q, x r, x s, x u WHERE p.bit | q.bit | r.bit | s.bit | u.bit = 31),
+st AS (SELECT filter_order, step, bits[step] AS own, list_sum(bits[1:step - 1])::BIGINT AS prior FROM o, range(1, 6) r(step)),
+res AS (SELECT part, filter_order, step, own,
+          coalesce(sum(n) FILTER (mask & (coalesce(prior, 0) | own) = 0), 0)::BIGINT AS kept,
+          coalesce(sum(n) FILTER (mask & coalesce(prior, 0) = 0 AND mask & own > 0), 0)::BIGINT AS removed,
+          coalesce(sum(n) FILTER (mask & coalesce(prior, 0) > 0 AND mask & own > 0), 0)::BIGINT AS redundant,
+          coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+          coalesce(sum(n_good) FILTER (mask & coalesce(prior, 0) = 0 AND mask & own > 0), 0)::BIGINT AS good_lost,
+          coalesce(sum(n_toxic) FILTER (mask & coalesce(prior, 0) = 0 AND mask & own > 0), 0)::BIGINT AS toxic_lost
+        FROM g, st GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM res
+"""
+
+ORACLES = {"op11_filter_audit": AUDIT, "op6_similar_documents": SIMILAR, "op8_quality_rules": QUALITY, "op10_mix_sources": MIX}

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bloom_lm, graph_ann, html_extract, jaccard_join, langid, license_scan, mixing,
-               packing, quality, suffix_repeats)
+from . import (bloom_lm, filter_audit, graph_ann, html_extract, jaccard_join, langid, license_scan, mixing,
+               packing, quality, spelling, suffix_repeats, toxicity)
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -81,3 +81,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     out = mixing.mix(table(spark, sf_dir, "documents"), carry_text=False)
     return out.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
+
+
+@register
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words, its more frequent form and its root."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document."""
+    return toxicity.score_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
