@@ -1 +1,8 @@
+"""Models fitted as Spark jobs. Their Python functions travel to the executors by
+value, so the package need not be installed there."""
 
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

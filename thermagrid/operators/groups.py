@@ -37,10 +37,10 @@ def recentred(df: DataFrame, keys: Sequence[str], column: str, out: str) -> Data
     return within_group_deltas(df, keys, {column: out})
 
 
-def with_date_sizes(df: DataFrame, day: str = "date", out: str = "date_rows") -> DataFrame:
-    """Number of rows of the row's day."""
-    sizes = df.groupBy(day).agg(F.count(F.lit(1)).cast("double").alias(out))
-    return df.join(sizes, day, "left")
+def with_date_sizes(df: DataFrame, day: str = "date", out: str = "date_rows", by: Sequence[str] = ()) -> DataFrame:
+    """Number of rows of the row's day (in its ``by`` group)."""
+    sizes = df.groupBy(*by, day).agg(F.count(F.lit(1)).cast("double").alias(out))
+    return df.join(sizes, [*by, day], "left")
 
 
 def with_date_weights(df: DataFrame, day: str = "date", out: str = "weight",

@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import and_all
+from ..session import cut_lineage
+
 
 def nulls_last(order: Sequence[str | Column]) -> Column:
     """``order`` as one comparable value in which unknown values come last."""
@@ -163,3 +166,82 @@ def median_by(df: DataFrame, keys: Sequence[str], value: str, out: str,
     return ranked.groupBy(*keys).agg(((
         F.min(F.when(F.col("_upto") >= low, F.col("_v")))
         + F.min(F.when(F.col("_upto") >= high, F.col("_v")))) / 2.0).alias(out))
+
+
+def _counted_ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str], fold: str | None, ranges: int) -> DataFrame:
+    """How often column ``_c`` has the value ``_v`` in each group, with its value range ``_r`` and its
+    counts by fold (a map). Split points come from approximate quantiles of each column and
+    only balance the work."""
+    by = list(by)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).try_cast("double").alias("_v")) for i, c in enumerate(columns)]))
+    fold_of = (F.col(fold) if fold else F.lit(0)).cast("int").alias("_f")
+    counts = (df.select(*by, fold_of, pairs.alias("_p")).select(*by, "_f", "_p.*").where("_v IS NOT NULL AND NOT isnan(_v)")
+              .groupBy(*by, "_c", "_v", "_f").agg(F.count(F.lit(1)).alias("_n"))
+              .groupBy(*by, "_c", "_v").agg(F.sum("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_f", "_n"))).alias("_folds")))
+    points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = counts.groupBy("_c").agg(F.array_distinct(F.percentile_approx("_v", points, F.lit(10_000))).alias("_b"))
+    return counts.join(F.broadcast(bounds), "_c").withColumn(  # one row per column
+        "_r", F.size(F.filter("_b", lambda b: b <= F.col("_v")))).drop("_b")
+
+
+def fold_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), fold: str | None = None,
+                 ranges: int = 64) -> DataFrame:
+    """Per group (``_all`` without ``by``): an array ``medians`` of (fold, medians of the columns over
+    the rows outside that fold), NULL for a column without values there; one entry with a
+    NULL fold where no fold column is given.
+
+    All folds of a group are read off the same running counts: a value's count outside a
+    fold is its count less the fold's. Values are counted first and split in ranges with
+    running totals, so no task sees all values of a column or of a group.
+    """
+    keys = list(by) or ["_all"]
+    df = df if by else df.withColumn("_all", F.lit(0))
+    tagged = _counted_ranges(df, columns, keys, fold, ranges)
+    folds = df.select(*keys, (F.col(fold) if fold else F.lit(None)).cast("int").alias("_f")).distinct()  # a few a group
+    # Rows outside each fold by value range: this decides which ranges hold a middle rank.
+    sizes = tagged.groupBy(*keys, "_c", "_r").agg(F.sum("_n").alias("_s")).join(folds, keys)
+    if fold:
+        own = (tagged.select(*keys, "_c", "_r", F.explode("_folds").alias("_f", "_k")).groupBy(*keys, "_c", "_r", "_f")
+               .agg(F.sum("_k").alias("_k")))
+        sizes = sizes.join(own, [*keys, "_c", "_r", "_f"], "left").withColumn("_s", F.col("_s") - F.coalesce("_k", F.lit(0))).drop("_k")
+    in_order = Window.partitionBy(*keys, "_c", "_f").orderBy("_r")
+    ranged = (sizes.withColumn("_before", F.sum("_s").over(in_order) - F.col("_s"))
+              .withColumn("_total", F.sum("_s").over(Window.partitionBy(*keys, "_c", "_f"))).where("_total > 0"))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
+    middle = ranged.where((F.col("_before") < high) & (F.col("_before") + F.col("_s") >= low))
+    own_count = F.when(F.col("_f").isNull(), 0).otherwise(F.coalesce(F.try_element_at("_folds", F.coalesce("_f", F.lit(-1))), F.lit(0)))
+    inside = tagged.join(middle.drop("_s"), [*keys, "_c", "_r"]).withColumn("_k", F.col("_n") - own_count)
+    ranked = inside.where("_k > 0").withColumn("_upto", F.col("_before") + F.sum("_k").over(
+        Window.partitionBy(*keys, "_c", "_f", "_r").orderBy("_v")))
+    found = ranked.groupBy(*keys, "_c", "_f").agg(((
+        F.min(F.when(F.col("_upto") >= low, F.col("_v"))) + F.min(F.when(F.col("_upto") >= high, F.col("_v")))) / 2.0).alias("_m"))
+    by_fold = found.groupBy(*keys, "_f").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_m"))).alias("_m"))
+    other = {k: f"_{k}_" for k in [*keys, "_f"]}
+    same = and_all([F.col(k) == F.col(other[k]) for k in keys] + [F.col("_f").eqNullSafe(F.col(other["_f"]))])
+    whole = folds.join(by_fold.withColumnsRenamed(other), same, "left")
+    values = F.array(*[F.try_element_at("_m", F.lit(i)) for i in range(len(columns))])
+    return whole.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_f").alias("fold"), values.alias("medians"))).alias("medians"))
+
+
+def quantile_cuts(df: DataFrame, columns: Sequence[str], bins: int, ranges: int = 256) -> list[list[float]]:
+    """For every column at most ``bins`` - 1 cuts: all its values but the largest if it has no more
+    than ``bins``, else the exact values at equal shares of its known rows. Bounded by ``bins``
+    values a column; no task sees all values of one."""
+    tagged = cut_lineage(_counted_ranges(df, columns, [], None, ranges).select(*[F.col(f"_{c}").alias(c) for c in "cvnr"]))
+    sizes = tagged.groupBy("c", "r").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("d"))
+    by_range = Window.partitionBy("c").orderBy("r")
+    sizes = (sizes.withColumn("before", F.sum("s").over(by_range) - F.col("s"))
+             .withColumn("total", F.sum("s").over(Window.partitionBy("c"))).withColumn("d", F.sum("d").over(Window.partitionBy("c"))))
+    sizes = cut_lineage(sizes)
+    few = tagged.join(F.broadcast(sizes.where(F.col("d") <= bins).select("c").distinct()), "c").select("c", "v")
+    ranks = F.explode(F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda k: F.ceil(k * F.col("total") / F.lit(float(bins)))))
+    wanted = (sizes.where(F.col("d") > bins).select("c", "r", "before", "s", ranks.alias("rank"))
+              .where("before < rank AND rank <= before + s"))  # at most bins rows a column
+    upto = F.sum("n").over(Window.partitionBy("c", "r").orderBy("v"))
+    many = (tagged.withColumn("upto", upto).join(F.broadcast(wanted), ["c", "r"])
+            .where("before + upto >= rank AND before + upto - n < rank").select("c", "v"))
+    got: dict[int, set[float]] = {i: set() for i in range(len(columns))}
+    for row in few.unionByName(many).distinct().collect():
+        got[row["c"]].add(row["v"])
+    top = {r["c"]: r["m"] for r in tagged.groupBy("c").agg(F.max("v").alias("m")).collect()}
+    return [sorted(v for v in got[i] if v < top[i]) for i in range(len(columns))]

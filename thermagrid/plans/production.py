@@ -45,19 +45,18 @@ def area_production(unified: DataFrame, scenes: DataFrame, pairs: DataFrame, sco
     """All rows of all areas with their fused target.
 
     scopes: area_id, scope (general or local), test_mae_k. The general model
-    sees all pairs and translates all areas but the local ones in one job; only
-    areas whose scope is local have a fit of their own, one Spark ML job each.
+    sees all pairs and translates all areas but the local ones; the models of the
+    local areas are groups of one fit on their own pairs. Two jobs, whatever
+    the number of areas.
     """
     pairs = cut_lineage(pairs)
     scopes = cut_lineage(scopes)
     rows = cut_lineage(prediction_rows(unified, scenes, max_days=max_days, by=["area_id"]))
     local = scopes.where("scope = 'local'").select("area_id")
     general = fit_bundle(pairs, name, seed=seed, trees=trees)
-    parts = [predict_bundle(general, rows.join(local, "area_id", "left_anti"))]
-    for (area,) in local.toLocalIterator():
-        own = fit_bundle(pairs.where(F.col("area_id") == area), name, seed=seed, trees=trees)
-        parts.append(predict_bundle(own, rows.where(F.col("area_id") == area)))
-    predictions = stack_tables([p.select(*[c for c in rows.columns if c in p.columns], "LST_predicted_K") for p in parts])
+    own = fit_bundle(pairs.join(local, "area_id", "left_semi"), name, by=["area_id"], seed=seed, trees=trees)
+    predictions = stack_tables([predict_bundle(general, rows.join(local, "area_id", "left_anti")),
+                                predict_bundle(own, rows.join(local, "area_id", "left_semi"))])
     fused = fused_area_rows(unified, predictions, scopes, model=name)
     return fused.join(scopes.select("area_id", F.col("test_mae_k").alias("downscaling_test_mae_k")), "area_id", "left")
 

@@ -33,8 +33,7 @@ SELECT l_quantity AS quantity, count(*) AS n, {s_r('any_value(my + b * (l_quanti
 """)
 def linear_calibration(spark, sf):
     x = table(spark, sf, "lineitem", "l_quantity", "l_extendedprice")
-    model = fit_regressor(x, ["l_quantity"], "l_extendedprice", {"kind": "ridge", "alpha": 10.0},
-                          out="p")
+    model = fit_regressor(x, ["l_quantity"], "l_extendedprice", {"kind": "ridge", "alpha": 10.0})
     return model.predict(x, "p").groupBy(F.col("l_quantity").alias("quantity")).agg(
         F.count(F.lit(1)).alias("n"), r(F.max("p"), 4).alias("predicted"))
 
