@@ -168,13 +168,14 @@ def near_words(words: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
     """(word, n_near, best_n, best): number of near words, and the most frequent of
     them (ties: smallest in code-point order); words without one have no row.
 
-    Blocks of a class and region are searched some hundred words together: words
-    of two blocks are never a pair of that region, so mixing them changes nothing.
+    Blocks of a class and region are searched some hundred words together (as many
+    buckets as the fullest region needs, by a hash of the block): words of two blocks
+    are never a pair of that region, so mixing them changes nothing.
     No pair of words leaves a task.
     """
     rows = blocks(words, limit)
-    sizes = rows.groupBy("l", "lo", "hi").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("buckets"))
-    dealt = rows.join(sizes, ["l", "lo", "hi"]).withColumn("bucket", F.pmod(F.xxhash64("head", "tail"), "buckets"))
+    most = rows.groupBy("l", "lo", "hi").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("head", "tail"), F.ceil(most / TOGETHER)))
     found = dealt.select("l", "lo", "hi", "bucket", "word", "n").groupBy("l", "lo", "hi", "bucket").applyInArrow(
         _search, "word string, near long, best_n long, best string")
     top = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
