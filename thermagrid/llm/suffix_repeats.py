@@ -1,11 +1,11 @@
 """Removal of byte strings that repeat anywhere, by partitioned suffix sorting.
 
-A byte goes when a string of ``LENGTH`` bytes that covers it starts at another
+A byte goes when a string of ``length`` bytes that covers it starts at another
 place too. The suffixes to compare are all positions of all texts, far too many
 to ship with their leading bytes, so they are thinned without loss first:
 
-1. Winnowing names, for every position, an anchor inside its LENGTH bytes: the
-   least hashed ANCHOR-byte string. Equal strings have equal anchors at the same
+1. Winnowing names, for every position, an anchor inside its ``length`` bytes: the
+   least hashed string of ``anchor`` bytes. Equal strings have equal anchors at the same
    offset, so only positions whose anchor's string occurs twice go on.
 2. The positions of an anchor are taken in blocks of neighbouring offsets. The
    bytes that all strings of a block share (inner) must repeat for any of them to
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,24 @@ from pyspark.sql import functions as F
 
 from .common import materialise, mix64
 
-LENGTH, ANCHOR = 400, 200
-REACH = LENGTH - ANCHOR + 1
 WIDE, NARROW = 32, 4
+#: Suffixes that a bucket is meant to hold in memory: their number sets that of the buckets.
+BUCKET_SUFFIXES = 100_000
+
+
+@dataclass(frozen=True)
+class Strings:
+    """The strings that are compared: ``length`` bytes (a multiple of 8), named by anchors of ``anchor`` bytes inside them."""
+
+    length: int = 400
+    anchor: int = 200
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.anchor + 1
+
+
+STRINGS = Strings()
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,15 +91,15 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
 
 
-def anchors(rolling: Rolling, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(rolling: Rolling, size: int, of: Strings = STRINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, least offset, largest offset, key) for each run of positions with one
     anchor; offset is anchor minus position. Ties go to the last equal hash."""
-    begin = np.arange(size - ANCHOR + 1)
-    keys = rolling.stretch(begin, begin + ANCHOR)
+    begin = np.arange(size - of.anchor + 1)
+    keys = rolling.stretch(begin, begin + of.anchor)
     mask = np.uint64((1 << _POSITION_BITS) - 1)
     ranked = (keys & ~mask) | (mask - (begin.astype(np.uint64) & mask))
-    at = (mask - (sliding_least(ranked, REACH) & mask)).astype(np.int64)
-    if size > 1 << _POSITION_BITS:  # the position's low bits: the anchor is less than REACH ahead
+    at = (mask - (sliding_least(ranked, of.reach) & mask)).astype(np.int64)
+    if size > 1 << _POSITION_BITS:  # the position's low bits: the anchor is less than the reach ahead
         position = np.arange(len(at))
         at = position + ((at - position) & int(mask))
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -92,7 +108,7 @@ def anchors(rolling: Rolling, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return anchor, anchor - last, anchor - first, keys[anchor]
 
 
-def blocks(rolling: Rolling, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, width: int):
+def blocks(rolling: Rolling, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, of: Strings = STRINGS):
     """Offsets low..high of every anchor cut at multiples of ``width``:
     (row, anchor, low, high, inner, outer)."""
     number = high // width - low // width + 1
@@ -100,8 +116,8 @@ def blocks(rolling: Rolling, anchor: np.ndarray, low: np.ndarray, high: np.ndarr
     cell = low[row] // width + np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
     at, least, most = anchor[row], np.maximum(low[row], cell * width), np.minimum(high[row], cell * width + width - 1)
     inner_from = at - cell * width
-    inner = mix64(rolling.stretch(inner_from, inner_from - width + 1 + LENGTH) + cell.astype(np.uint64))
-    outer = mix64(rolling.stretch(at - most, at - least + LENGTH) + ((least << 20) + most).astype(np.uint64))
+    inner = mix64(rolling.stretch(inner_from, inner_from - width + 1 + of.length) + cell.astype(np.uint64))
+    outer = mix64(rolling.stretch(at - most, at - least + of.length) + ((least << 20) + most).astype(np.uint64))
     return row, at, least, most, inner.view(np.int64), outer.view(np.int64)
 
 
@@ -140,124 +156,138 @@ def _rows(parts: list[tuple], names: list[tuple[str, pa.DataType]]) -> Iterator[
         yield pa.RecordBatch.from_arrays([rids, *arrays], ["rid", *[n for n, _ in names]])
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for batch in batches:
-        parts = []
-        for rid, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if rid in seen:  # a copy adds nothing: copies are known by their hash
-                continue
-            if len(seen) < 200_000:
-                seen.add(rid)
-            data = data.as_py()
-            keys, n = np.unique(anchors(Rolling(data), len(data))[3], return_counts=True)
-            parts.append((rid, keys.view(np.int64), np.minimum(n, 2)))
-        yield from _rows(parts, [("key", pa.int64()), ("n", pa.int32())])
-
-
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = []
-        for rid, data, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            data = data.as_py()
-            rolling = Rolling(data)
-            anchor, low, high, key = anchors(rolling, len(data))
-            repeated = np.isin(key.view(np.int64), keys.values.to_numpy())
-            _, at, least, most, inner, outer = blocks(rolling, anchor[repeated], low[repeated], high[repeated], WIDE)
-            _, first, n = np.unique(outer, return_index=True, return_counts=True)
-            parts.append((rid, inner[first], outer[first], np.minimum(n, 2), at[first], least[first], most[first]))
-        yield from _rows(parts, [("inner", pa.int64()), ("outer", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()),
-                                 ("low", pa.int32()), ("high", pa.int32())])
+def _anchor_rows(of: Strings):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            parts = []
+            for rid, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if rid in seen:  # a copy adds nothing: copies are known by their hash
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(rid)
+                data = data.as_py()
+                keys, n = np.unique(anchors(Rolling(data), len(data), of)[3], return_counts=True)
+                parts.append((rid, keys.view(np.int64), np.minimum(n, 2)))
+            yield from _rows(parts, [("key", pa.int64()), ("n", pa.int32())])
+    return rows
+
+
+def _block_rows(of: Strings):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for rid, data, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                data = data.as_py()
+                rolling = Rolling(data)
+                anchor, low, high, key = anchors(rolling, len(data), of)
+                repeated = np.isin(key.view(np.int64), keys.values.to_numpy())
+                _, at, least, most, inner, outer = blocks(rolling, anchor[repeated], low[repeated], high[repeated], WIDE, of)
+                _, first, n = np.unique(outer, return_index=True, return_counts=True)
+                parts.append((rid, inner[first], outer[first], np.minimum(n, 2), at[first], least[first], most[first]))
+            yield from _rows(parts, [("inner", pa.int64()), ("outer", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()),
+                                     ("low", pa.int32()), ("high", pa.int32())])
+    return rows
 
 
 _CONTEXT = pa.schema([("rid", pa.binary()), ("anchor", pa.int32()), ("cell", pa.int32()), ("low", pa.int32()),
                       ("high", pa.int32()), ("n", pa.int64()), ("context", pa.binary())])
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: dict[str, list] = {name: [] for name in _CONTEXT.names}
-        for rid, data, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for a in asked:
-                values = (rid, a["anchor"], a["low"] // WIDE, a["low"], a["high"], a["n"],
-                          data[a["anchor"] - a["high"]:a["anchor"] - a["low"] + LENGTH])
-                for name, value in zip(_CONTEXT.names, values):
-                    out[name].append(value)
-        yield _batch(out, _CONTEXT)
-
-
-def _narrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        anchor, low, high, n = (batch.column(k).to_numpy() for k in (1, 3, 4, 5))
-        contexts = batch.column(6).to_pylist()
-        sizes = [len(c) for c in contexts]
-        rolling = Rolling(b"".join(contexts))
-        place = np.cumsum(sizes) - sizes + high  # the anchors, in the joined contexts
-        row, _, least, most, inner, outer = blocks(rolling, place.astype(np.int64), low.astype(np.int64), high.astype(np.int64), NARROW)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row)), pa.array(anchor[row]), pa.array((low // WIDE)[row].astype(np.int32)), pa.array(n[row]),
-             pa.array(inner), pa.array(outer), pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32))],
-            ["rid", "anchor", "cell", "n", "inner", "outer", "low", "high"])
+def _context_rows(of: Strings):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in _CONTEXT.names}
+            for rid, data, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for a in asked:
+                    values = (rid, a["anchor"], a["low"] // WIDE, a["low"], a["high"], a["n"],
+                              data[a["anchor"] - a["high"]:a["anchor"] - a["low"] + of.length])
+                    for name, value in zip(_CONTEXT.names, values):
+                        out[name].append(value)
+            yield _batch(out, _CONTEXT)
+    return rows
+
+
+def _narrow_rows(of: Strings):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, low, high, n = (batch.column(k).to_numpy() for k in (1, 3, 4, 5))
+            contexts = batch.column(6).to_pylist()
+            sizes = [len(c) for c in contexts]
+            rolling = Rolling(b"".join(contexts))
+            place = np.cumsum(sizes) - sizes + high  # the anchors, in the joined contexts
+            row, _, least, most, inner, outer = blocks(rolling, place.astype(np.int64), low.astype(np.int64), high.astype(np.int64), NARROW, of)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(anchor[row]), pa.array((low // WIDE)[row].astype(np.int32)), pa.array(n[row]),
+                 pa.array(inner), pa.array(outer), pa.array(least.astype(np.int32)), pa.array(most.astype(np.int32))],
+                ["rid", "anchor", "cell", "n", "inner", "outer", "low", "high"])
+    return rows
 
 
 _SUFFIX = pa.schema([("suffix", pa.binary()), ("n", pa.int64()), ("rids", pa.list_(pa.binary())), ("places", pa.list_(pa.int64()))])
 
 
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of open blocks, cut to LENGTH bytes; equal ones of a batch once, with their places."""
-    for batch in batches:
-        found: dict[bytes, tuple[list, list, list]] = {}
-        for r in batch.to_pylist():
-            for offset in range(r["low"], r["high"] + 1):
-                begin = r["context_high"] - offset
-                counts, rids, places = found.setdefault(r["context"][begin:begin + LENGTH], ([0], [], []))
-                counts[0] += r["n"]
-                if r["n"] == 1:
-                    rids.append(r["rid"])
-                    places.append(r["anchor"] - offset)
-        yield _batch({"suffix": list(found), "n": [f[0][0] for f in found.values()],
-                      "rids": [f[1] for f in found.values()], "places": [f[2] for f in found.values()]}, _SUFFIX)
-
-
-def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if held:
-        bucket = pa.Table.from_batches(held)
-        n = bucket.column("n").to_numpy()
-        data = b"".join(bucket.column("suffix").to_pylist())
-        order, group = multikey_order(np.frombuffer(data, ">u8").reshape(len(n), LENGTH // 8))
-        total = np.bincount(group, n[order], len(n))[group]
-        for row in bucket.select(["rids", "places"]).take(pa.array(order[total >= 2])).to_pylist():
-            if row["rids"]:
-                yield pa.RecordBatch.from_arrays([pa.array(row["rids"], pa.binary()), pa.array(row["places"], pa.int64()),
-                                                  pa.array(row["places"], pa.int64())], ["rid", "first", "last"])
-
-
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for rid, data, outers, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
-            data = data.as_py()
-            starts = np.zeros(len(data) + 1, np.int64)
-            if outers.is_valid and len(outers.values):
-                rolling = Rolling(data)
-                anchor, low, high, _ = anchors(rolling, len(data))
-                _, at, least, most, _, outer = blocks(rolling, anchor, low, high, WIDE)
-                hit = np.isin(outer, outers.values.to_numpy())
-                np.add.at(starts, (at - most)[hit], 1)
-                np.add.at(starts, (at - least)[hit] + LENGTH, -1)
-            for r in ranges.as_py() or ():
-                starts[r["first"]] += 1
-                starts[r["last"] + LENGTH] -= 1
-            gone = np.cumsum(starts[:-1]) > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            out.append((rid, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.nulls(0, k) for k in kinds],
-                                         ["rid", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _suffix_rows(of: Strings):
+    """Suffixes of open blocks, cut to the length; equal ones of a batch once, with their places."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[bytes, tuple[list, list, list]] = {}
+            for r in batch.to_pylist():
+                for offset in range(r["low"], r["high"] + 1):
+                    begin = r["context_high"] - offset
+                    counts, rids, places = found.setdefault(r["context"][begin:begin + of.length], ([0], [], []))
+                    counts[0] += r["n"]
+                    if r["n"] == 1:
+                        rids.append(r["rid"])
+                        places.append(r["anchor"] - offset)
+            yield _batch({"suffix": list(found), "n": [f[0][0] for f in found.values()],
+                          "rids": [f[1] for f in found.values()], "places": [f[2] for f in found.values()]}, _SUFFIX)
+    return rows
+
+
+def _sorted_repeats(of: Strings):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            bucket = pa.Table.from_batches(held)
+            n = bucket.column("n").to_numpy()
+            data = b"".join(bucket.column("suffix").to_pylist())
+            order, group = multikey_order(np.frombuffer(data, ">u8").reshape(len(n), of.length // 8))
+            total = np.bincount(group, n[order], len(n))[group]
+            for row in bucket.select(["rids", "places"]).take(pa.array(order[total >= 2])).to_pylist():
+                if row["rids"]:
+                    yield pa.RecordBatch.from_arrays([pa.array(row["rids"], pa.binary()), pa.array(row["places"], pa.int64()),
+                                                      pa.array(row["places"], pa.int64())], ["rid", "first", "last"])
+    return rows
+
+
+def _cut_rows(of: Strings):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for rid, data, outers, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+                data = data.as_py()
+                starts = np.zeros(len(data) + 1, np.int64)
+                if outers.is_valid and len(outers.values):
+                    rolling = Rolling(data)
+                    anchor, low, high, _ = anchors(rolling, len(data), of)
+                    _, at, least, most, _, outer = blocks(rolling, anchor, low, high, WIDE, of)
+                    hit = np.isin(outer, outers.values.to_numpy())
+                    np.add.at(starts, (at - most)[hit], 1)
+                    np.add.at(starts, (at - least)[hit] + of.length, -1)
+                for r in ranges.as_py() or ():
+                    starts[r["first"]] += 1
+                    starts[r["last"] + of.length] -= 1
+                gone = np.cumsum(starts[:-1]) > 0
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                out.append((rid, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.nulls(0, k) for k in kinds],
+                                             ["rid", "n_removed", "n_spans", "kept_sha256", "kept"])
+    return rows
 
 
 def _decided(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -274,53 +304,56 @@ def _repeated_ids(docs: DataFrame) -> DataFrame:
             .withColumn("rid", F.unhex(F.substring("whole_sha", 1, 24))))
 
 
-def cut_texts(named: DataFrame) -> DataFrame:
+def cut_texts(named: DataFrame, of: Strings = STRINGS) -> DataFrame:
     """(rid, n_removed, n_spans, kept_sha256, kept) of every distinct text that loses
     bytes to another text or to itself; copies of whole texts are left to the caller."""
-    long_rows = named.where(F.col("n_bytes") >= LENGTH).select("rid", F.col("text").cast("binary").alias("data"))
-    keys = long_rows.mapInArrow(_anchor_rows, "rid binary, key long, n int")
+    long_rows = named.where(F.col("n_bytes") >= of.length).select("rid", F.col("text").cast("binary").alias("data"))
+    keys = long_rows.mapInArrow(_anchor_rows(of), "rid binary, key long, n int")
     twice = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2").select("key")
     asked = keys.select("rid", "key").join(twice, "key").groupBy("rid").agg(F.collect_set("key").alias("keys"))
     once = long_rows.groupBy("rid").agg(F.first("data").alias("data"))
     texts = materialise(once.join(asked, "rid"))
 
     place = F.min(F.struct("rid", "anchor", "low", "high")).alias("at")
-    wide = materialise(texts.mapInArrow(_block_rows, "rid binary, inner long, outer long, n int, anchor int, low int, high int"))
+    wide = materialise(texts.mapInArrow(_block_rows(of), "rid binary, inner long, outer long, n int, anchor int, low int, high int"))
     repeated, still = _decided(materialise(wide.groupBy("inner", "outer").agg(F.sum("n").alias("n"), place)))
     outers = wide.select("rid", "inner", "outer").join(repeated, ["inner", "outer"]).groupBy("rid").agg(F.collect_set("outer").alias("outers"))
 
     wanted = still.groupBy("rid").agg(F.collect_list(F.struct("anchor", "low", "high", "n")).alias("asked"))
     contexts = materialise(texts.select("rid", "data").join(wanted, "rid").mapInArrow(
-        _context_rows, "rid binary, anchor int, cell int, low int, high int, n long, context binary"))
+        _context_rows(of), "rid binary, anchor int, cell int, low int, high int, n long, context binary"))
     narrow = materialise(contexts.mapInArrow(
-        _narrow_rows, "rid binary, anchor int, cell int, n long, inner long, outer long, low int, high int"))
+        _narrow_rows(of), "rid binary, anchor int, cell int, n long, inner long, outer long, low int, high int"))
     repeated, still = _decided(narrow.groupBy("inner", "outer").agg(
         F.sum("n").alias("n"), F.min(F.struct("rid", "anchor", "cell", "low", "high")).alias("at")))
     some = narrow.where("n = 1").join(repeated, ["inner", "outer"]).select(
         "rid", (F.col("anchor") - F.col("high")).cast("long").alias("first"), (F.col("anchor") - F.col("low")).cast("long").alias("last"))
+    still = materialise(still)
+    open_suffixes = still.agg(F.coalesce(F.sum(F.col("high") - F.col("low") + 1), F.lit(0)).alias("n")).first().n
+    buckets = max(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-open_suffixes // BUCKET_SUFFIXES))
     suffixes = (still.join(contexts.select("rid", "anchor", "cell", F.col("high").alias("context_high"), "context"), ["rid", "anchor", "cell"])
-                .mapInArrow(_suffix_rows, "suffix binary, n long, rids array<binary>, places array<long>"))
-    single = suffixes.repartitionByRange("suffix").mapInArrow(_sorted_repeats, "rid binary, first long, last long")
+                .mapInArrow(_suffix_rows(of), "suffix binary, n long, rids array<binary>, places array<long>"))
+    single = suffixes.repartitionByRange(buckets, "suffix").mapInArrow(_sorted_repeats(of), "rid binary, first long, last long")
     ranges = some.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
     marks = outers.join(ranges, "rid", "full")
     return texts.select("rid", "data").join(marks, "rid").mapInArrow(
-        _cut_rows, "rid binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        _cut_rows(of), "rid binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def repeat_report(docs: DataFrame) -> DataFrame:
+def repeat_report(docs: DataFrame, of: Strings = STRINGS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Texts are UTF-8 bytes, null is empty; matches stay inside a document; a text
-    shorter than LENGTH loses nothing; of a text that occurs twice as a whole
+    shorter than the strings loses nothing; of a text that occurs twice as a whole
     nothing is left (if it is long enough). Extra columns are ignored; an empty
     table gives no rows.
     """
     named = _repeated_ids(docs.select("doc_id", "text"))
     slim = named.select("doc_id", "rid", "n_bytes", "whole_sha")
     copies = slim.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))
-    cut = cut_texts(named).drop("kept")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    cut = cut_texts(named, of).drop("kept")
+    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= of.length)
     return slim.join(copies, "rid").join(cut, "rid", "left").select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -328,7 +361,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha")).alias("kept_sha256"))
 
 
-def cut_documents(docs: DataFrame) -> DataFrame:
+def cut_documents(docs: DataFrame, of: Strings = STRINGS) -> DataFrame:
     """``docs`` without the repeated bytes: text and n_chars (if there) follow.
 
     A character of which only some bytes are left goes too, so that texts stay
@@ -344,10 +377,10 @@ def cut_documents(docs: DataFrame) -> DataFrame:
             kept = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["rid", "kept_text"])
 
-    cut = (cut_texts(named).where("n_removed > 0").select("rid", "kept")
+    cut = (cut_texts(named, of).where("n_removed > 0").select("rid", "kept")
            .mapInArrow(whole_characters, "rid binary, kept_text string"))
     twice = named.groupBy("rid", "n_bytes").agg(F.count(F.lit(1)).alias("copies")).where(
-        (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).select("rid", F.lit("").alias("nothing"))
+        (F.col("copies") > 1) & (F.col("n_bytes") >= of.length)).select("rid", F.lit("").alias("nothing"))
     marks = cut.join(twice, "rid", "full").select("rid", F.coalesce("nothing", "kept_text").alias("new_text"))
     joined = named.select("row", "rid").join(marks, "rid", "left").where("new_text IS NULL OR new_text <> ''")
     text = F.coalesce("new_text", "row.text")
