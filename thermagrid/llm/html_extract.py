@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import fit_trees, margins
+from .common import materialise
 
-#: The fit sees about this many pages, and at most this many labelled nodes of them.
+#: The fit sees about this many pages, and about this many labelled nodes of them.
 FIT_PAGES, FIT_NODES = 1500, 60_000
 #: A container may only be split between content and the rest for more evidence than this.
 SPLIT_COST = 25.0
@@ -56,6 +57,30 @@ class Dom(HTMLParser):
         self.tags, self.parents, self.good, self.bad = ["#page"], [-1], [0], [0]
         self.depths, self.pieces = [0], []
         self.stack: list[tuple[str, int, bool]] = [("#page", 0, False)]
+        #: Where in the stack each open tag stands, and the open elements that are no inline ones.
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def parse_marked_section(self, i, report=1):
+        """``<![ ...``: a comment, whatever it says."""
+        return self.parse_bogus_comment(i)
+
+    def _push(self, tag, node, link):
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node, link))
+
+    def _cut(self, size):
+        """Close the elements from place ``size`` of the stack on; each is closed once, so a page takes time in proportion to its length."""
+        while len(self.stack) > size:
+            tag, *_ = self.stack.pop()
+            self.open[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def _last(self, tags):
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -65,7 +90,7 @@ class Dom(HTMLParser):
         inline = tag in INLINE
         if not inline:
             self.pieces.append((-1, " ", False))
-            if any(open_tag == "p" for open_tag, *_ in self.stack):
+            if self.open.get("p"):
                 self._close({"p"}, {"table", "td", "button", "object"})
             if tag in CLOSES:
                 self._close(*CLOSES[tag])
@@ -83,28 +108,22 @@ class Dom(HTMLParser):
             self.good.append(good)
             self.bad.append(bad)
             node = len(self.tags) - 1
-        self.stack.append((tag, node, link or tag == "a"))
+        self._push(tag, node, link or tag == "a")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def _close(self, tags, until):
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in until:
-                return
+        at = self._last(tags)
+        if at > self._last(until):
+            self._cut(at)
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.pieces.append((-1, " ", False))
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
-                return  # an inline element does not end beyond its block
+        at = self._last((tag,))
+        if at and (tag not in INLINE or at > self.blocks[-1]):  # an inline element does not end beyond its block
+            self._cut(at)
 
     def handle_data(self, data):
         _, node, link = self.stack[-1]
@@ -233,24 +252,33 @@ def text_of(dom: Dom, keep: np.ndarray) -> str:
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, fit_nodes: int = FIT_NODES) -> dict | None:
     """Trees fitted on weakly labelled nodes of a bounded sample of pages, or None
     where the sample lacks one of the classes. Features of node tokens and tags
-    carry the mark-up, densities and siblings the pages that have none."""
-    rows = pages.where("html IS NOT NULL").count()
-    ratio = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    carry the mark-up, densities and siblings the pages that have none.
+
+    About ``fit_pages`` rows are chosen by a hash of id and html and equal pages of them
+    taken once; about ``fit_nodes`` of their labelled nodes (all, if fewer) are chosen by
+    a hash inside Spark, so the driver gets no more, however large or common a page is.
+    """
+    some = pages.where("html IS NOT NULL").select("page_id", "html")
+    rows = some.count()
+    share = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = some.where(share * F.lit(float(max(rows, 1))) < fit_pages).select("html").distinct()
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for html in batch.column(0):
                 x, _, _, y = node_table(parse(html.as_py()))
-                known = y >= 0
-                yield pa.RecordBatch.from_arrays([pa.array([x[known].tobytes()], pa.binary()),
-                                                  pa.array([y[known].astype(np.int8).tobytes()], pa.binary())], ["x", "y"])
-
-    got = (pages.where("html IS NOT NULL").where(ratio * F.lit(float(max(rows, 1))) < fit_pages).select("html")
-           .mapInArrow(label, "x binary, y binary").orderBy(F.xxhash64("x"), "y").collect())
+                known = np.flatnonzero(y >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[known]], pa.binary()), pa.array(y[known].astype(np.int8)),
+                                                  pa.array(known.astype(np.int32))], ["x", "y", "place"])
+
+    nodes = materialise(sample.mapInArrow(label, "x binary, y tinyint, place int"))
+    many = nodes.count()
+    kept = F.pmod(F.xxhash64("x", "y", "place"), F.lit(max(many, 1))) < fit_nodes
+    got = nodes.where(kept).orderBy(F.xxhash64("x", "place"), "x", "y", "place").collect()
     if not got:
         return None
-    x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got])[:fit_nodes]
-    y = np.concatenate([np.frombuffer(r.y, np.int8) for r in got])[:fit_nodes].astype(float)
+    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, FEATURES)
+    y = np.array([r.y for r in got], float)
     return fit_trees(x, y) if 0 < y.sum() < len(y) else None
 
 
