@@ -61,21 +61,36 @@ class Lattice:
         return out
 
     @staticmethod
-    def forward(arcs: dict, table: np.ndarray, size: int, count: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Scaled probabilities of every prefix (count x columns) and their common logarithmic scale."""
+    def forward(arcs: dict, table: np.ndarray, size: int, count: int, longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scaled probabilities of every prefix (count x columns) and their logarithmic scales.
+
+        Only starts within the longest piece are tried: time grows with the length of a word.
+        """
         alpha = [np.ones((count, table.shape[1]))]
-        scale = np.zeros(count)
-        scales = [scale]
+        scales = [np.zeros(count)]
         for end in range(1, size + 1):
             total = np.zeros((count, table.shape[1]))
-            for start in range(end):
+            for start in range(max(0, end - longest), end):
                 ids = arcs.get((start, end))
                 if ids is not None:
                     total += alpha[start] * np.exp(scales[start] - scales[end - 1])[:, None] * table[ids]
             peak = np.maximum(total.max(axis=1), 1e-300)
             alpha.append(total / peak[:, None])
             scales.append(scales[end - 1] + np.log(peak))
-        return alpha, scales[-1]
+        return alpha, scales
+
+    @staticmethod
+    def backward(arcs: dict, table: np.ndarray, size: int, count: int, longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The same for every suffix, by its start, for the first column of ``table``."""
+        beta, scales = [np.ones(count)] * (size + 1), [np.zeros(count)] * (size + 1)
+        for start in range(size - 1, -1, -1):
+            total = np.zeros(count)
+            for end in range(start + 1, min(size, start + longest) + 1):
+                if (ids := arcs.get((start, end))) is not None:
+                    total += beta[end] * np.exp(scales[end] - scales[start + 1]) * table[ids, 0]
+            peak = np.maximum(total, 1e-300)
+            beta[start], scales[start] = total / peak, scales[start + 1] + np.log(peak)
+        return beta, scales
 
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Logarithm of the summed probability of every word, by column of ``table``."""
@@ -86,8 +101,8 @@ class Lattice:
         for size, members in by_size.items():
             for at in range(0, len(members), 4096):
                 some = members[at:at + 4096]
-                alpha, scale = self.forward(self.arcs([words[k] for k in some]), table, size, len(some))
-                out[some] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[:, None]
+                alpha, scales = self.forward(self.arcs([words[k] for k in some]), table, size, len(some), self.longest)
+                out[some] = np.log(np.maximum(alpha[-1], 1e-300)) + scales[-1][:, None]
         return out
 
     def fit(self, counts: dict[str, int], rounds: int) -> np.ndarray:
@@ -95,7 +110,7 @@ class Lattice:
         size = len(self.pieces)
         groups: dict[int, list[str]] = {}
         for word in counts:
-            if 0 < len(word) <= 24:
+            if word:
                 groups.setdefault(len(word), []).append(word)
         made = []
         uses = np.zeros(size + 2)
@@ -110,19 +125,12 @@ class Lattice:
             table = p[:, None]
             for length, arcs, weight in made:
                 n = len(weight)
-                alpha = [np.ones(n)] + [np.zeros(n) for _ in range(length)]
-                beta = [np.zeros(n) for _ in range(length)] + [np.ones(n)]
-                for end in range(1, length + 1):
-                    for start in range(end):
-                        if (ids := arcs.get((start, end))) is not None:
-                            alpha[end] += alpha[start] * table[ids, 0]
-                for start in range(length - 1, -1, -1):
-                    for end in range(start + 1, length + 1):
-                        if (ids := arcs.get((start, end))) is not None:
-                            beta[start] += beta[end] * table[ids, 0]
-                whole = weight / np.maximum(alpha[length], 1e-300)
+                alpha, ahead = self.forward(arcs, table, length, n, self.longest)
+                beta, back = self.backward(arcs, table, length, n, self.longest)
+                whole = weight / np.maximum(alpha[length][:, 0], 1e-300)
                 for (start, end), ids in arcs.items():
-                    np.add.at(uses, ids, alpha[start] * table[ids, 0] * beta[end] * whole)
+                    level = np.exp(ahead[start] + back[end] - ahead[length])
+                    np.add.at(uses, ids, alpha[start][:, 0] * table[ids, 0] * beta[end] * level * whole)
         return self._probabilities(uses)
 
     def _probabilities(self, uses: np.ndarray) -> np.ndarray:
