@@ -1,6 +1,6 @@
 """SQL of the queries that SQL can express, for DuckDB on the same tables."""
 
-from .quality import BANDS, RULES
+from .quality import BANDS, levels
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -23,7 +23,7 @@ SELECT doc_id, size, source_size, target, (
 FROM p
 """
 
-_STEPS = ", ".join(f"('{rule}', {k}, {cut!r}::DOUBLE)" for rule, cuts in RULES.items() for k, cut in enumerate(cuts))
+_LEVELS = levels()
 _SHARES = {"symbol_share": ("n_symbols", "word_chars"), "shout_share": ("n_shouts", "word_chars"),
            "repeat_share": ("n_repeat_words", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"),
            "run_share": ("n_runs", "n_words"), "capital_share": ("n_capitals", "word_chars")}
@@ -53,13 +53,14 @@ f AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, length(text) - len(regexp_extr
       FROM t LEFT JOIN covered USING (doc_id)),
 one AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 held AS (SELECT f.doc_id, any_value(quality) AS quality, {", ".join(f"max({c}) AS {c}" for c in _COLUMNS)} FROM f JOIN one USING (doc_id) GROUP BY f.doc_id),
-good AS (SELECT {_BAND} AS band, sh.rule, sh.share FROM held, {_shares('held')} WHERE quality = 1),
-steps(rule, step, cut) AS (VALUES {_STEPS}),
-k AS (SELECT band, steps.rule, step, cut, count(*) AS n, count(*) FILTER (share > cut) AS k FROM good JOIN steps USING (rule) GROUP BY ALL),
-tail AS (SELECT *, CASE WHEN k > n * (0.02 / {len(RULES)}) THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-        + i * ln(0.02 / {len(RULES)}) + (n - i) * ln(1 - 0.02 / {len(RULES)}))) FROM range(0, k + 1) r(i)) END AS p FROM k),
-passed AS (SELECT *, min((p <= 0.05 / {len(RULES) * (len(BANDS) + 1)})::INT) OVER (PARTITION BY band, rule ORDER BY step) AS ok FROM tail),
-cuts AS (SELECT band, rule, min(cut) AS cut FROM passed WHERE ok = 1 GROUP BY ALL),
+good AS (SELECT doc_id, {_BAND} AS band, sh.rule, sh.share FROM held, {_shares('held')} WHERE quality = 1),
+steps(step, rule, cut) AS (VALUES {", ".join(f"({k}, '{rule}', {cut!r}::DOUBLE)" for k, cuts in enumerate(_LEVELS) for rule, cut in cuts.items())}),
+hits AS (SELECT doc_id, band, step, max((share > cut)::INT) AS hit FROM good JOIN steps USING (rule) GROUP BY ALL),
+k AS (SELECT band, step, count(*) AS n, sum(hit)::BIGINT AS k FROM hits GROUP BY ALL),
+tail AS (SELECT *, CASE WHEN k > n * 0.02 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+        + i * ln(0.02) + (n - i) * ln(1 - 0.02))) FROM range(0, k + 1) r(i)) END AS p FROM k),
+passed AS (SELECT *, min((p <= 0.05 / {len(BANDS) + 1})::INT) OVER (PARTITION BY band ORDER BY step) AS ok FROM tail),
+cuts AS (SELECT band, rule, cut FROM (SELECT band, max(step) AS step FROM passed WHERE ok = 1 GROUP BY band) JOIN steps USING (step)),
 broken AS (SELECT DISTINCT x.doc_id FROM (SELECT f.doc_id, {_BAND} AS band, sh.rule, sh.share FROM f, {_shares('f')}) x
            JOIN cuts USING (band, rule) WHERE x.share > cuts.cut),
 base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thermagrid.session import cut_lineage
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, materialise
 
 WINDOW = 8
 #: Rule -> cutoffs, from lenient to strict; a document breaks a rule when the value exceeds the cutoff.
@@ -98,30 +98,41 @@ def binomial_tail(n: str, k: str, risk: float) -> Column:
         "a -> a.total)) END")
 
 
+def levels() -> list[dict[str, float]]:
+    """One nested family of cutoff vectors, from lenient to strict: a rule that has run out of cutoffs keeps its strictest."""
+    return [{rule: cuts[min(k, len(cuts) - 1)] for rule, cuts in RULES.items()} for k in range(max(map(len, RULES.values())))]
+
+
 def thresholds(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(band, cut_<rule>...) from labelled features (``quality`` 1 is good).
 
-    In a stratum, rule and cutoff, k of the n good held-out documents would be
-    rejected; the cutoff is certified when P(Bin(n, r) <= k) is at most the
-    level, so with r the true false-rejection rate is no higher. Each rule gets
-    r = risk / rules, hence all rules together stay within ``risk``. Multiple
-    testing: ``delta`` is split over strata and rules (Bonferroni); within one of
-    them cutoffs are tested from lenient to strict and testing stops at the
-    first that fails (fixed sequence), so the family-wise error is ``delta``.
-    The strictest certified cutoff is used, none (null) where none is certified.
+    In a stratum, the rules are certified together: at each level of ``levels``, k
+    of the n good held-out documents would be rejected by any rule. The level is
+    certified when P(Bin(n, risk) <= k) is at most delta / strata, so the true
+    false-rejection rate of all rules together is then no higher than ``risk``.
+    Multiple testing: ``delta`` is split over the strata (Bonferroni); within one
+    the levels are tested from lenient to strict and testing stops at the first
+    that fails (fixed sequence), so the family-wise error is ``delta``. The
+    strictest certified level is used, none (null) where none is certified: about
+    200 good labels of a stratum certify a level that rejects none of them.
     """
-    each, level = risk / len(RULES), delta / (len(RULES) * (len(BANDS) + 1))
+    family, each = levels(), delta / (len(BANDS) + 1)
     values = rule_values()
     good = labelled.where("quality = 1").select(band().alias("band"), *[v.alias(n) for n, v in values.items()])
-    counts = good.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[
-        F.count(F.when(F.col(rule) > c, 1)).alias(f"{rule}_{i}") for rule, cuts in RULES.items() for i, c in enumerate(cuts)])
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"),
-                               F.col(f"{rule}_{i}").alias("k")) for rule, cuts in RULES.items() for i, c in enumerate(cuts)])
+
+    def broken(cuts: dict[str, float]) -> Column:
+        out = F.lit(False)
+        for rule, cut in cuts.items():
+            out = out | (F.col(rule) > cut)
+        return out
+
+    counts = good.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(broken(c)).alias(f"k_{i}") for i, c in enumerate(family)])
+    tests = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"k_{i}").alias("k")) for i in range(len(family))])
     rows = counts.select("band", "n", F.inline(tests))
-    passed = rows.withColumn("ok", (binomial_tail("n", "k", each) <= level).cast("int"))
-    sofar = F.min("ok").over(Window.partitionBy("band", "rule").orderBy("step"))
-    return (passed.withColumn("ok", sofar).groupBy("band").agg(*[
-        F.min(F.when((F.col("rule") == rule) & (F.col("ok") == 1), F.col("cut"))).alias(f"cut_{rule}") for rule in RULES]))
+    passed = rows.withColumn("ok", (binomial_tail("n", "k", risk) <= each).cast("int"))
+    sofar = F.min("ok").over(Window.partitionBy("band").orderBy("step"))
+    level = (passed.withColumn("ok", sofar).groupBy("band").agg(F.max(F.when(F.col("ok") == 1, F.col("step"))).alias("level")))
+    return level.select("band", *[F.get(F.array(*[F.lit(c[rule]) for c in family]), F.col("level")).alias(f"cut_{rule}") for rule in RULES])
 
 
 def labelled_features(feats: DataFrame, labels: DataFrame) -> DataFrame:
@@ -161,9 +172,10 @@ def quality_report(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns. Rows are written once beside
+    their counts, so the counts are taken once for the thresholds and the verdicts."""
     columns = docs.columns
-    feats = features(docs.select("doc_id", "text"), ["doc_id"])
-    cuts = cut_lineage(thresholds(labelled_features(feats, labels), risk, delta))
     packed = docs.select(F.struct(*columns).alias("q_row"), "doc_id", "text")
-    return apply_rules(features(packed, ["q_row"]), cuts).where("kept").select("q_row.*")
+    feats = materialise(features(packed, ["q_row", "doc_id"]))
+    cuts = cut_lineage(thresholds(labelled_features(feats, labels), risk, delta))
+    return apply_rules(feats, cuts).where("kept").select("q_row.*")
