@@ -10,7 +10,10 @@
 4. Groups that still hold more than one component are searched by signature
    trees: nodes hold OR-combined token bitmaps and size ranges, and a dual
    traversal drops node pairs that are one component already, cannot reach the
-   similarity by size, or cannot by their largest possible overlap.
+   similarity by size, or cannot by their largest possible overlap. Of the pairs
+   that remain the best few of each set are checked on the whole sets and joined;
+   groups that have pairs left over are then searched once more for whatever is
+   still apart.
 5. The pairs that remain are checked on the whole sets; components are closed.
 
 Steps 3 to 5 lose no link: a pair is left out only if a bound excludes it or if
@@ -44,7 +47,10 @@ SPARE = 32
 #: Bits of the bitmaps that thin rows before a shuffle.
 FILTER_BITS = 1 << 25
 FANOUT = 16
-CACHED_WORDS = 400_000
+#: Bits a token that the trees see, bytes of bitmaps that a search gathers at a time, and candidates
+#: of a set in a group that are checked before the rest of the group is searched.
+TREE_BITS, GATHER_BYTES, FIRST_BEST = 4, 16 << 20, 6
+CACHED_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -302,18 +308,27 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
                                 np.minimum.reduceat(least, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
 
-    def possible(self, other: SignatureTree, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether any two sets under nodes x (of self) and y (of other) may be similar and apart."""
-        bx, lowx, highx, leastx, firstx, lastx = (c[x] for c in self.levels[level])
-        by, lowy, highy, leasty, firsty, lasty = (c[y] for c in other.levels[level])
-        apart = ~((firstx == lastx) & (firsty == lasty) & (firstx == firsty))
-        sized = (100 * highx >= SIMILAR * lowy) & (100 * highy >= SIMILAR * lowx)
-        common = np.bitwise_count(bx & by).sum(axis=1).astype(np.int64)
-        overlap = np.minimum(highx - np.maximum(leastx - common, 0), highy - np.maximum(leasty - common, 0))
-        return apart & sized & ((100 + SIMILAR) * overlap >= SIMILAR * (lowx + lowy))
-
-    def pairs(self, other: SignatureTree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Member pairs that the bounds leave, by dual traversal from the roots."""
+    def possible(self, other: SignatureTree, level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in x and y, largest possible overlap) of the node pairs whose sets may be similar and apart.
+
+        Components and sizes are compared first; bitmaps are gathered for what is left only, in blocks of bounded bytes.
+        """
+        bits, low, high, least, first, last = self.levels[level]
+        bits_, low_, high_, least_, first_, last_ = other.levels[level]
+        apart = ~((first[x] == last[x]) & (first_[y] == last_[y]) & (first[x] == first_[y]))
+        sized = (100 * high[x] >= SIMILAR * low_[y]) & (100 * high_[y] >= SIMILAR * low[x])
+        at = np.flatnonzero(apart & sized)
+        overlap = np.empty(len(at), np.int64)
+        step = max(1, GATHER_BYTES // (8 * bits.shape[1]))
+        for begin in range(0, len(at), step):
+            i, j = x[at[begin:begin + step]], y[at[begin:begin + step]]
+            common = np.bitwise_count(bits[i] & bits_[j]).sum(axis=1).astype(np.int64)
+            overlap[begin:begin + step] = np.minimum(high[i] - np.maximum(least[i] - common, 0), high_[j] - np.maximum(least_[j] - common, 0))
+        good = (100 + SIMILAR) * overlap >= SIMILAR * (low[x[at]] + low_[y[at]])
+        return at[good], overlap[good]
+
+    def pairs(self, other: SignatureTree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Member pairs that the bounds leave, with the overlap they may have, by dual traversal from the roots."""
         top = max(len(self.levels), len(other.levels)) - 1
         for tree in (self, other):
             while len(tree.levels) <= top:
@@ -324,14 +339,15 @@ class SignatureTree:
             if len(x) > 1 << 14:
                 stack += [(level, x[1 << 14:], y[1 << 14:])]
                 x, y = x[:1 << 14], y[:1 << 14]
-            keep = self.possible(other, level, x, y)
             if same:
-                keep &= x < y if level == 0 else x <= y
-            x, y = x[keep], y[keep]
+                ahead = x < y if level == 0 else x <= y
+                x, y = x[ahead], y[ahead]
+            at, overlap = self.possible(other, level, x, y)
+            x, y = x[at], y[at]
             if not len(x):
                 continue
             if level == 0:
-                yield x, y
+                yield x, y, overlap
                 continue
             below = [len(t.levels[level - 1][0]) if len(t.levels[level - 1][0]) > len(t.levels[level][0]) else None for t in (self, other)]
             for side, many in enumerate(below):
@@ -345,27 +361,33 @@ class SignatureTree:
             stack.append((level - 1, x, y))
 
 
-def _tree_pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row numbers of one group (or of two pieces of it) that signature trees leave."""
+def _tree_pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of row numbers of one group (or of two pieces of it) that signature trees leave, with their possible overlap.
+
+    Sets are taken by the width of their bitmaps: similar sets have equal widths or
+    neighbouring ones, so no bitmap is folded to less than half of its bits.
+    """
     n, comp, piece = (rows.column(c).to_numpy() for c in ("n", "comp", "piece"))
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     maps = rows.column("bits").to_pylist()
-    width = min(map(len, maps))
-    bits = np.stack([folded(b, width) for b in maps])
-    sides = []
-    for number in dict.fromkeys((i, j)):
-        at = np.flatnonzero(piece == number)
+    width = np.array([len(b) for b in maps])
+
+    def tree(number: int, own: int, width_: int) -> tuple[np.ndarray, SignatureTree] | None:
+        at = np.flatnonzero((piece == number) & (width == own))
         at = at[np.lexsort((n[at], comp[at]))]
-        if not len(at):
-            return
-        sides.append((at, SignatureTree(bits[at], n[at], comp[at])))
-    (left, one), (right, two) = sides[0], sides[-1]
-    for x, y in one.pairs(two, i == j):
-        yield left[x], right[y]
+        return (at, SignatureTree(np.stack([folded(maps[k], width_) for k in at]), n[at], comp[at])) if len(at) else None
 
+    for own in np.unique(width).tolist():
+        for other in (own, 2 * own):
+            for one, two in {(i, j), (j, i)} if other != own else {(i, j)}:
+                left, right = tree(one, own, own), tree(two, other, own)
+                if left and right:
+                    for x, y, overlap in left[1].pairs(left[1] if one == two and other == own else right[1], one == two and other == own):
+                        yield left[0][x], right[0][y], overlap
 
-def _small_pairs(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers inside many small groups that one level of bounds leaves."""
+
+def _small_pairs(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of row numbers inside many small groups that one level of bounds leaves, with their possible overlap."""
     n, comp, sid = (rows.column(c).to_numpy() for c in ("n", "comp", "sid"))
     first, second = [], []
     for size in np.unique(sizes):
@@ -384,53 +406,90 @@ def _small_pairs(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray) -> tuple
     maps = rows.column("bits")
     width = np.array([len(b) for b in maps.to_pylist()])
     common = np.minimum(width[x], width[y])
-    good = np.zeros(len(x), np.bool_)
+    overlap = np.zeros(len(x), np.int64)
     for size in np.unique(common):
         some = np.flatnonzero(common == size)
-        for at in range(0, len(some), 1 << 15):
-            part = some[at:at + (1 << 15)]
+        step = max(1, GATHER_BYTES // (2 * int(size)))
+        for at in range(0, len(some), step):
+            part = some[at:at + step]
             used, back = np.unique(np.concatenate((x[part], y[part])), return_inverse=True)
             bits = np.stack([folded(b, size) for b in maps.take(pa.array(used)).to_pylist()])
-            bx, by = bits[back[:len(part)]], bits[back[len(part):]]
-            both = np.bitwise_count(bx & by).sum(axis=1, dtype=np.int64)
+            both = np.bitwise_count(bits[back[:len(part)]] & bits[back[len(part):]]).sum(axis=1, dtype=np.int64)
             alone = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)[back]
-            overlap = np.minimum(n[x[part]] - alone[:len(part)] + both, n[y[part]] - alone[len(part):] + both)
-            good[part] = (100 + SIMILAR) * overlap >= SIMILAR * (n[x[part]] + n[y[part]])
-    return x[good], y[good]
-
-
-def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that the bounds leave, from rows (token, i, j, piece, sid, n, comp, bits)
-    sorted by group; a last group that may go on is kept for the next batch."""
+            overlap[part] = np.minimum(n[x[part]] - alone[:len(part)] + both, n[y[part]] - alone[len(part):] + both)
+    good = (100 + SIMILAR) * overlap >= SIMILAR * (n[x] + n[y])
+    return x[good], y[good], overlap[good]
+
+
+def _best_of_each(a: np.ndarray, b: np.ndarray, estimate: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` of largest estimate of either end."""
+    keep = np.zeros(len(a), bool)
+    for end, other in ((a, b), (b, a)):
+        order = np.lexsort((other, -estimate, end))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = end[order][1:] != end[order][:-1]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        keep[order[np.arange(len(order)) - first < most]] = True
+    return keep
+
+
+def _candidate_rows(most: int | None):
+    """Pairs (a, b) that the bounds leave, from rows (token, i, j, piece, sid, n, comp, bits)
+    sorted by group; a last group that may go on is kept for the next batch.
+
+    With ``most`` only the best few pairs of each set in a group, by the share of both sets
+    that they may have in common, and a row with the group's token (a and b null) where
+    some were put off.
+    """
     def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = np.stack([rows.column(k).to_numpy() for k in range(3)])
         begins = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
         sizes = np.diff(np.append(begins, rows.num_rows))
-        sid = rows.column("sid").to_numpy()
+        sid, n = rows.column("sid").to_numpy(), rows.column("n").to_numpy()
         small = (sizes <= SMALL) & (sizes > 1)
-        found = [_small_pairs(rows, begins[small], sizes[small])] if small.any() else []
-        for begin, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            found += [(begin + x, begin + y) for x, y in _tree_pairs(rows.slice(begin, size).combine_chunks())]
-        if found:
-            a, b = (sid[np.concatenate(side)] for side in zip(*found))
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = pa.concat_tables([held, table]) if held is not None else table
-        keys = [batch.column(k) for k in range(3)]
-        if all(k[0] == k[-1] for k in keys):
-            continue  # one group so far
-        keys = np.stack([c.to_numpy() for c in held.select([0, 1, 2]).columns])
-        cut = int(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[-1]) + 1
-        yield from search(held.slice(0, cut).combine_chunks())
-        held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield from search(held.combine_chunks())
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            if small.any():
+                yield _small_pairs(rows, begins[small], sizes[small])
+            for begin, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                held, count = [], 0
+                for x, y, overlap in _tree_pairs(rows.slice(begin, size).combine_chunks()):
+                    held.append((begin + x, begin + y, overlap))
+                    count += len(x)
+                    if most is None and count > 200_000:  # all pairs go on as they are met
+                        yield tuple(np.concatenate(c) for c in zip(*held))
+                        held, count = [], 0
+                if held:
+                    yield tuple(np.concatenate(c) for c in zip(*held))
+
+        for x, y, overlap in found():
+            low, high = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
+            if most is not None and len(x):
+                keep = _best_of_each(low, high, overlap / (n[x] + n[y] - overlap), most)
+                late = np.unique(keys[0][x[~keep]])
+                if len(late):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(late), pa.int64()), pa.nulls(len(late), pa.int64()), pa.array(late)], ["a", "b", "token"])
+                low, high = low[keep], high[keep]
+            pairs = np.unique(np.stack((low, high)), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["a", "b", "token"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            keys = [batch.column(k) for k in range(3)]
+            if all(k[0] == k[-1] for k in keys):
+                continue  # one group so far
+            keys = np.stack([c.to_numpy() for c in held.select([0, 1, 2]).columns])
+            cut = int(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[-1]) + 1
+            yield from search(held.slice(0, cut).combine_chunks())
+            held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from search(held.combine_chunks())
+    return groups
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -483,27 +542,38 @@ def link_components(docs: DataFrame) -> DataFrame:
                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comps = components(first)
 
-    labelled = materialise(members.select("token", "sid", "n").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
-    # Tokens of one passage mostly have the same members: of groups with equal member hashes one is searched.
-    member_hash = [F.bit_xor(F.xxhash64("sid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    still = (labelled.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *member_hash)
-             .where("lo <> hi").groupBy("g", "x1", "x2").agg(F.min("token").alias("token"))
-             .select("token", (F.ceil(F.col("g") / PIECE)).cast("int").alias("pieces")))
-    placed = (labelled.join(still, "token").withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-              .withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other")))
-
-    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tree_view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = [max(min(128, len(b)), len(b) // 8) for b in batch.column(1).to_pylist()]
+            size = [max(min(128, len(b)), len(b) * TREE_BITS // 8) for b in batch.column(1).to_pylist()]
             bits = [folded(b, k).tobytes() for b, k in zip(batch.column(1).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["sid", "bits"])
 
-    candidates = (placed.join(maps.select("sid", "bits").mapInArrow(coarse, "sid long, bits binary"), "sid")
-                  .select("token", "i", "j", "piece", "sid", "n", "comp", "bits")
-                  .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-                  .mapInArrow(_candidate_rows, "a long, b long").distinct())
-    closed = components(first.unionByName(links_among(candidates)))
+    views = maps.select("sid", "bits").mapInArrow(tree_view, "sid long, bits binary")
+
+    def candidates(groups: DataFrame, comps: DataFrame, most: int | None) -> DataFrame:
+        """Candidate rows of the groups of ``groups`` (token, sid, n) that hold more than one component."""
+        labelled = materialise(groups.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")))
+        # Tokens of one passage mostly have the same members: of groups with equal member hashes one is searched.
+        member_hash = [F.bit_xor(F.xxhash64("sid", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+        still = (labelled.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *member_hash)
+                 .where("lo <> hi").groupBy("g", "x1", "x2").agg(F.min("token").alias("token"))
+                 .select("token", (F.ceil(F.col("g") / PIECE)).cast("int").alias("pieces")))
+        placed = (labelled.join(still, "token").withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
+                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+                  .withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other")))
+        return (placed.join(views, "sid").select("token", "i", "j", "piece", "sid", "n", "comp", "bits")
+                .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+                .mapInArrow(_candidate_rows(most), "a long, b long, token long"))
+
+    # The best few pairs of every set first: their links join most of a family, so that the rest of its pairs need no look.
+    members = members.select("token", "sid", "n")
+    some = materialise(candidates(members, comps, FIRST_BEST))
+    second = first.unionByName(links_among(some.where("a IS NOT NULL").select("a", "b").distinct()))
+    comps = components(second)
+    late = some.where("token IS NOT NULL").select("token").distinct()
+    rest = candidates(members.join(late, "token"), comps, None).select("a", "b").distinct()
+    tried = some.where("a IS NOT NULL").select("a", "b").distinct()
+    closed = components(second.unionByName(links_among(rest.join(tried, ["a", "b"], "left_anti"))))
 
     whole = rows.join(closed, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
