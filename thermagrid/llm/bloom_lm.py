@@ -23,8 +23,6 @@ LEVEL_BASE = 1.5
 BITS_PER_KEY, PROBES = 10, 4
 #: Weight of the pair estimate and its absolute discount.
 PAIR_WEIGHT, DISCOUNT = 0.25, 0.75
-#: No longer read: every word's exact count comes back with its level. A test still sets it.
-TOP_WORDS = 200_000
 END, START = 1, 2
 
 
