@@ -103,9 +103,15 @@ def quality_report(df: DataFrame, *, purpose: str = "lst_downscaling",
     row = row.withColumns({
         "nodes": df.where(F.col(node).isNotNull()).select(*keys).distinct().agg(F.count(F.lit(1))).scalar(),
         "dates": df.where(F.col(day).isNotNull()).select(day).distinct().agg(F.count(F.lit(1))).scalar()})
+    return report_of_counts(row, len(science), purpose, failed_items)
+
+
+def report_of_counts(row: DataFrame, columns: int, purpose: str, failed_items: int) -> DataFrame:
+    """The report from one row of rows, nodes, dates, training_ready_rows and ``_gaps``:
+    (order, column, count) of the missing values of ``columns`` columns."""
     gaps = F.array_sort(F.filter("_gaps", lambda g: g["count"] > 0))
     total = F.aggregate("_gaps", F.lit(0).cast("long"), lambda acc, g: acc + g["count"])
-    cells = F.col("rows") * F.lit(len(science))
+    cells = F.col("rows") * F.lit(columns)
     share = F.try_divide(total.cast("double"), cells.cast("double"))
     status = F.when(F.lit(purpose == "lst_downscaling") & (F.col("training_ready_rows") == 0),
                     F.lit("insufficient"))

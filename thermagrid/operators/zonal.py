@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.core import col, finite
 from ..functions.geo import clipped_area, ring_bounds
@@ -117,39 +120,65 @@ def sample_raster(points: DataFrame, raster: DataFrame, *, x: str, y: str, x0: f
     return keyed.join(pixels, ["_prow", "_pcol"], how).drop("_prow", "_pcol")
 
 
+#: Nodes of a tile that one task takes at most, about.
+TILE_NODES = 20_000
+
+
 def sky_view_factor(nodes: DataFrame, raster: DataFrame, *, node_id: str, x0: float, y0: float,
                     resolution: float, height: str, max_radius: float = 200.0, step: float = 5.0,
                     azimuths: int = 36, observer: float = 1.5, nodata: float | None = None,
                     out: str = "sky_view_factor") -> DataFrame:
     """Mean over directions of cos2 of the highest horizon angle.
 
-    Rays are short arrays unfolded per node (azimuths x radii samples); samples
-    meet pixels by an equi-join; per (node, direction) only a maximum is kept.
-    Off-raster and missing samples count as ground level.
+    The raster is cut in square tiles with a border as wide as the radius. A tile's
+    nodes meet its pixels once; the rays are marched on the dense tile, so neither
+    rays nor samples are ever rows. Only pixels above the observer travel, to the
+    tiles whose border holds them; tiles with very many nodes are dealt to several
+    tasks. Off-raster and missing samples count as ground level; of pixels or
+    nodes that are there twice the highest horizon counts.
     """
-    radii = F.sequence(F.lit(1), F.lit(int(round(max_radius / step))))
-    turn = 2.0 * math.pi / azimuths
-    rays = (
-        nodes.select(node_id, "x", "y")
-        .withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(azimuths - 1))))
-        .withColumn("_d", F.explode(radii)).withColumn("_d", F.col("_d") * F.lit(float(step)))
-    )
-    angle = F.col("_a") * F.lit(turn)
-    sx = F.col("x") + F.col("_d") * F.sin(angle)
-    sy = F.col("y") + F.col("_d") * F.cos(angle)
-    index = pixel_index(sx, sy, x0, y0, resolution)
+    reach = math.ceil(max_radius / resolution) + 1
+    side = max(64, 4 * reach)
     value = finite(height)
     if nodata is not None:
         value = F.when(value != F.lit(float(nodata)), value)
-    # Only what stands above the observer can raise a horizon.
-    tall = raster.select(F.col("row").alias("_r"), F.col("col").alias("_c"),
-                         (value - F.lit(float(observer))).alias("_h")).where(F.col("_h") > 0)
-    hit = rays.withColumn("_r", index["row"]).withColumn("_c", index["col"]).join(
-        tall, ["_r", "_c"], "inner")
-    horizon = hit.groupBy(node_id, "_a").agg(F.max(F.atan2("_h", "_d")).alias("_t"))
-    # A free direction adds cos2(0) = 1, so only blocked ones are summed.
-    lost = horizon.groupBy(node_id).agg(
-        F.sum(F.lit(1.0) - F.cos("_t") * F.cos("_t")).alias("_lost"))
-    open_share = F.lit(1.0) - F.coalesce("_lost", F.lit(0.0)) / F.lit(float(azimuths))
-    return nodes.select(node_id).distinct().join(lost, node_id, "left").select(
-        node_id, F.least(F.greatest(open_share, F.lit(0.0)), F.lit(1.0)).alias(out))
+
+    def tiles(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / side).cast("int"), F.floor(last / side).cast("int")))
+
+    index = pixel_index("x", "y", x0, y0, resolution)
+    placed = (nodes.select(node_id, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["x", "y"])
+              .withColumns({"_tr": F.floor(index["row"] / side).cast("int"), "_tc": F.floor(index["col"] / side).cast("int")}))
+    shares = placed.groupBy("_tr", "_tc").agg(F.ceil(F.count(F.lit(1)) / TILE_NODES).cast("int").alias("_shares"))
+    placed = placed.join(shares, ["_tr", "_tc"]).withColumn("_share", F.pmod(F.xxhash64(node_id, "x", "y"), "_shares").cast("int"))
+    r, c = F.col("_r"), F.col("_c")
+    tall = (raster.select(F.col("row").cast("int").alias("_r"), F.col("col").cast("int").alias("_c"),
+                          (value - F.lit(float(observer))).alias("_h")).where("_h > 0")
+            .withColumn("_tr", tiles(r - reach, r + reach)).withColumn("_tc", tiles(c - reach, c + reach))
+            .join(shares, ["_tr", "_tc"]).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))))
+    distances = np.arange(1, int(round(max_radius / step)) + 1) * float(step)
+    turns = np.arange(azimuths) * (2.0 * math.pi / azimuths)
+
+    def march(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What each node loses of its sky, by direction."""
+        size = side + 2 * reach
+        top, first = (left.column(k)[0].as_py() * side - reach for k in ("_tr", "_tc"))
+        dense = np.zeros((size, size))
+        if right.num_rows:
+            np.maximum.at(dense, (right.column("_r").to_numpy() - top, right.column("_c").to_numpy() - first), right.column("_h").to_numpy())
+        x, y = left.column("x").to_numpy()[:, None], left.column("y").to_numpy()[:, None]
+        lost = np.zeros(len(x))
+        for turn in turns:
+            i = np.floor((y0 - (y + distances * np.cos(turn))) / resolution).astype(np.int64) - top
+            j = np.floor(((x + distances * np.sin(turn)) - x0) / resolution).astype(np.int64) - first
+            horizon = np.arctan2(dense[i, j], distances).max(axis=1)
+            lost += 1.0 - np.cos(horizon) ** 2
+        return pa.table({node_id: left.column(node_id), "_lost": pa.array(lost)})
+
+    schema = StructType([nodes.schema[node_id], StructField("_lost", DoubleType())])
+    keys = ["_tr", "_tc", "_share"]
+    lost = (placed.select(*keys, node_id, "x", "y").groupBy(*keys)
+            .cogroup(tall.select(*keys, "_r", "_c", "_h").groupBy(*keys)).applyInArrow(march, schema))
+    open_share = F.lit(1.0) - F.coalesce(F.max("_lost"), F.lit(0.0)) / F.lit(float(azimuths))
+    return nodes.select(node_id).distinct().join(lost, node_id, "left").groupBy(node_id).agg(
+        F.least(F.greatest(open_share, F.lit(0.0)), F.lit(1.0)).alias(out))

@@ -8,7 +8,7 @@ from ..operators.lookups import (attach_attributes, every_node, map_values, matc
                                  stack_tables, suffixed_inner)
 from ..operators.ranking import numbered_slugs
 from ..plans.multi_area import combined_report, combined_rows
-from ..plans.unified import unified_table
+from ..plans.unified import unified_report, unified_table
 from .base import (day, events, lat_of, lon_of, long, query, r, s_haversine, s_lat, s_lon, s_r,
                    table)
 
@@ -113,7 +113,8 @@ SELECT CASE WHEN ready = 0 THEN 'insufficient' WHEN m1 + m2 + m3 + m4 + m5 > 0 T
 FROM u WHERE missing > 0
 """)
 def panel_quality_report(spark, sf):
-    out = reports.quality_report(unified(spark, sf))
+    fine, coarse, nodes = unified_inputs(spark, sf)
+    out = unified_report(fine, coarse, nodes, tolerance_days=2)
     return out.withColumn("m", F.explode("missing_by_column")).select(
         "status", "rows", "nodes", "dates", "training_ready_rows",
         F.col("training_ready_percent").alias("ready_percent"),
@@ -273,8 +274,8 @@ def improvement_over_baseline(spark, sf):
 
 
 AGREE_SQL = """
-WITH a AS (SELECT date_trunc('hour', ts) AS t, user_id % 10 AS cell, avg(value) AS t2m, max(value) AS tp FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
-b AS (SELECT date_trunc('hour', ts) AS t, user_id % 10 AS cell, avg(value) + 1 AS t2m, min(value) AS tp FROM events WHERE event_type IN ('view', 'error') GROUP BY 1, 2),
+WITH a AS (SELECT date_trunc('hour', ts) AS t, user_id % 10 AS cell, avg(value) AS t2m, max(value) AS tp FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2),
+b AS (SELECT date_trunc('hour', ts) AS t, user_id % 10 AS cell, avg(value) + 1 AS t2m, min(value) AS tp FROM events WHERE event_type IN ('view', 'error', 'signup') GROUP BY 1, 2),
 j AS (SELECT coalesce(a.t, b.t) AS t, coalesce(a.cell, b.cell) AS cell, a.t2m AS t2m_a, b.t2m AS t2m_b, a.tp AS tp_a, b.tp AS tp_b,
   CASE WHEN a.t IS NOT NULL AND b.t IS NOT NULL THEN 'both' WHEN a.t IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS merge_state
   FROM a FULL JOIN b ON a.t = b.t AND a.cell = b.cell)
@@ -284,9 +285,9 @@ j AS (SELECT coalesce(a.t, b.t) AS t, coalesce(a.cell, b.cell) AS cell, a.t2m AS
 def two_sources(spark, sf):
     e = events(spark, sf).withColumn("t", F.date_trunc("hour", "ts")).withColumn(
         "cell", F.col("user_id") % 10)
-    a = e.where(F.col("event_type").isin("view", "click")).groupBy("t", "cell").agg(
+    a = e.where(F.col("event_type").isin("view", "click", "purchase")).groupBy("t", "cell").agg(
         F.avg("value").alias("t2m"), F.max("value").alias("tp"))
-    b = e.where(F.col("event_type").isin("view", "error")).groupBy("t", "cell").agg(
+    b = e.where(F.col("event_type").isin("view", "error", "signup")).groupBy("t", "cell").agg(
         (F.avg("value") + 1).alias("t2m"), F.min("value").alias("tp"))
     return a, b
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality, spectral, weather
 from ..operators.reports import source_counters
-from ..sources.tables import covariate_scenes, gridded_weather, spread_scan, wide_hours
+from ..sources.tables import covariate_scenes, gridded_weather, wide_hours
 from .base import day, events, long, query, r, s_r, table
 
 # Digital numbers derived from line items: integer-valued band columns.
@@ -35,7 +35,7 @@ COVARIATE_EXTRA = [*["reflectance_" + b for b in spectral.COVARIATE_BANDS], "NDW
 def band_rows(spark, sf, bands):
     li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                "l_quantity", "l_discount", "l_tax")
-    return spread_scan(li).select(
+    return li.select(
         "l_orderkey", long("l_linenumber").alias("l_linenumber"),
         *[F.expr(f"cast({e} as double)").alias(b) for b, e in bands.items()])
 
@@ -116,7 +116,7 @@ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {s_r('t')} AS Tair_C, {
 """)
 def weather_formulas(spark, sf):
     li = table(spark, sf, "lineitem", *KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    w = spread_scan(li).select("l_orderkey", long("l_linenumber").alias("l_linenumber"),
+    w = li.select("l_orderkey", long("l_linenumber").alias("l_linenumber"),
                                *[F.expr(f"cast({e} as double)").alias(c) for c, e in WEATHER_IN.items()])
     out = weather.with_weather_outputs(w)
     names = ["Tair_C", "dewpoint_C", "RH", "VPD_kPa", "wind_u10", "wind_v10", "wind_speed",
@@ -143,7 +143,7 @@ def _extra_sql() -> str:
 @query("weather_extra_fields", _extra_sql())
 def weather_extra_fields(spark, sf):
     li = table(spark, sf, "lineitem", *KEY, "l_quantity")
-    w = spread_scan(li).select("l_orderkey", long("l_linenumber").alias("l_linenumber"), *[
+    w = li.select("l_orderkey", long("l_linenumber").alias("l_linenumber"), *[
         (F.col("l_quantity") + F.lit(i)).alias(f[2]) for i, f in enumerate(EXTRA_FIELDS)])
     out = weather.with_weather_outputs(w)
     return out.select(*KEY, *[r(f[3], 8).alias(f[3]) for f in EXTRA_FIELDS])
@@ -209,19 +209,23 @@ def pixel_masks(spark, sf):
 
 
 @query("wide_to_long_hours", f"""
-SELECT user_id, ts::DATE AS day, epoch_us(date_trunc('hour', ts)) AS t_us, {s_r('sum(value)', 4)} AS t2m, {s_r('max(value)', 4)} AS tp
-FROM events WHERE event_type <> 'error' GROUP BY 1, 2, 3
+WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), h AS (SELECT *, unnest(range(24)) AS h FROM d),
+v AS (SELECT user_id, ts::DATE AS day, hour(ts) AS h, sum(CASE WHEN event_type <> 'error' THEN value END) AS t2m,
+  max(CASE WHEN event_type <> 'error' THEN value END) AS tp FROM events GROUP BY 1, 2, 3)
+SELECT user_id, day, epoch_us(day::TIMESTAMP) + h * 3600000000 AS t_us, {s_r('t2m', 4)} AS t2m, {s_r('tp', 4)} AS tp
+FROM h LEFT JOIN v USING (user_id, day, h)
 """)
 def wide_to_long_hours(spark, sf):
-    e = events(spark, sf).where("event_type <> 'error'").select(
-        "user_id", day("ts").alias("day"), F.hour("ts").alias("h"), "value")
+    """All events; values of errors are unknown, so hours without others are gaps."""
+    e = events(spark, sf).select("user_id", day("ts").alias("day"), F.hour("ts").alias("h"),
+                                 F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
     aggs = []
     for h in range(24):
         v = F.when(F.col("h") == h, F.col("value"))
         aggs += [F.sum(v).alias(f"h{h:03d}_t2m"), F.max(v).alias(f"h{h:03d}_tp")]
     wide = e.groupBy("user_id", "day").agg(*aggs)
     out = wide_hours(wide, ["user_id", "day"], ["t2m", "tp"], F.col("day"))
-    return out.where("t2m is not null").select(
+    return out.select(
         "user_id", "day", F.unix_micros("datetime_utc").alias("t_us"), r("t2m", 4).alias("t2m"),
         r("tp", 4).alias("tp"))
 

@@ -36,8 +36,8 @@ def deaccumulate_hourly(spark, sf):
 
 
 RAIN_SQL = """
-WITH e AS (SELECT event_type, (ts - INTERVAL 1 MICROSECOND)::DATE AS d, sum(value) AS v FROM events
-           WHERE event_type IN ('error', 'view') OR hour(ts) < 6 GROUP BY 1, 2),
+WITH e AS (SELECT event_type, (ts - INTERVAL 1 MICROSECOND)::DATE AS d, 
+             coalesce(sum(CASE WHEN event_type IN ('error', 'view') OR hour(ts) < 6 THEN value END), 0) AS v FROM events GROUP BY 1, 2),
 cal AS (SELECT event_type, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM e GROUP BY 1),
 dense AS (SELECT cal.event_type, cal.d, coalesce(e.v, 0) AS v FROM cal LEFT JOIN e USING (event_type, d)),
 roll AS (SELECT event_type, d, v, sum(v) OVER (PARTITION BY event_type ORDER BY d ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v3 FROM dense)
@@ -49,9 +49,8 @@ SELECT event_type, d AS day, {s_r('v', 4)} AS rain_1d, {s_r('v3', 4)} AS rain_3d
        {s_r('ln(1 + greatest(v3, 0))')} AS rain_3d_log, (v3 > 0)::BIGINT AS is_rainy FROM roll
 """)
 def daily_rain_rolling(spark, sf):
-    e = events(spark, sf).where(
-        F.col("event_type").isin("error", "view") | (F.hour("ts") < 6)).withColumn(
-        "precip_mm", F.col("value"))
+    known = F.col("event_type").isin("error", "view") | (F.hour("ts") < 6)
+    e = events(spark, sf).withColumn("precip_mm", F.when(known, F.col("value")))
     out = ops.daily_rain(e, time="ts", by=["event_type"])
     return out.select("event_type", "day", r("rain_1d", 4).alias("rain_1d"),
                       r("rain_3d", 4).alias("rain_3d"), r("rain_3d_log").alias("rain_3d_log"),

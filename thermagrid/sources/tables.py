@@ -79,15 +79,6 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return clean_missing(spark.read.parquet(*paths))
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread the rows of an input that fits one split over the cores, for work that
-    is heavy per row. Anything larger is split by the scan itself and stays."""
-    spark = df.sparkSession
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= split else df
-
-
 def node_table(raw: DataFrame, zone: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Nodes from ``node_id`` and either name of the coordinates; projected
     position and, when absent, row and column by coordinate rank."""
