@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thermagrid.session import cut_lineage
 
-from .common import materialise, mix64
+from .common import arrow_batches, materialise, mix64
 
 SHINGLE, SIMILAR = 5, 80
 #: A token in this many prefixes is frequent; at most FREQUENT_MOST of them (8 bytes each) are broadcast.
@@ -51,6 +51,8 @@ FANOUT = 16
 #: of a set in a group that are checked before the rest of the group is searched.
 TREE_BITS, GATHER_BYTES, FIRST_BEST = 4, 16 << 20, 6
 CACHED_WORDS = 200_000
+#: Rows of a batch that carry whole texts, sets or bitmaps.
+BATCH_ROWS = 1000
 
 
 class _WordHashes(dict):
@@ -492,16 +494,8 @@ def _candidate_rows(most: int | None):
     return groups
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and component (its own key, null
-    without shingles) for every row of ``docs``.
-
-    Two documents link when 100 * intersection >= 80 * union of their shingle
-    sets; component_id is the smallest doc_id reachable. A null or empty text has
-    no shingles and links with nothing; rows with equal texts are linked; repeated
-    doc_ids are rows of their own; extra columns are ignored; an empty table gives
-    no rows. Sets are told apart by 64-bit hashes of their hashed shingles.
-    """
+def _closed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of every document with its set's id, component of every linked set); both are written."""
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     rows = materialise(named.mapInArrow(
@@ -558,7 +552,13 @@ def link_components(docs: DataFrame) -> DataFrame:
         still = (labelled.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *member_hash)
                  .where("lo <> hi").groupBy("g", "x1", "x2").agg(F.min("token").alias("token"))
                  .select("token", (F.ceil(F.col("g") / PIECE)).cast("int").alias("pieces")))
-        placed = (labelled.join(still, "token").withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
+        grouped = labelled.join(still, "token")
+        # In a group that is one piece, sets without another of fitting size go before bitmaps are fetched.
+        by_size = Window.partitionBy("token").orderBy("n", "sid")
+        alone = grouped.where("pieces = 1").withColumns({"lower": F.lag("n").over(by_size), "upper": F.lead("n").over(by_size)})
+        alone = alone.where(f"100 * lower >= {SIMILAR} * n OR 100 * n >= {SIMILAR} * upper").drop("lower", "upper")
+        grouped = grouped.where("pieces > 1").unionByName(alone)
+        placed = (grouped.withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
                   .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
                   .withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other")))
         return (placed.join(views, "sid").select("token", "i", "j", "piece", "sid", "n", "comp", "bits")
@@ -575,6 +575,21 @@ def link_components(docs: DataFrame) -> DataFrame:
     tried = some.where("a IS NOT NULL").select("a", "b").distinct()
     closed = components(second.unionByName(links_among(rest.join(tried, ["a", "b"], "left_anti"))))
 
+    return rows, closed
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and component (its own key, null
+    without shingles) for every row of ``docs``.
+
+    Two documents link when 100 * intersection >= 80 * union of their shingle
+    sets; component_id is the smallest doc_id reachable. A null or empty text has
+    no shingles and links with nothing; rows with equal texts are linked; repeated
+    doc_ids are rows of their own; extra columns are ignored; an empty table gives
+    no rows. Sets are told apart by 64-bit hashes of their hashed shingles.
+    """
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        rows, closed = _closed(docs)
     whole = rows.join(closed, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return whole.join(least, "comp", "left").select(
