@@ -1,5 +1,5 @@
 """Imports every query module so that the registry is complete."""
 
-from . import (grids, landing, matching, modelling, panels, payload_queries, sensors,  # noqa: F401
+from . import (chains, grids, landing, matching, modelling, panels, payload_queries, sensors,  # noqa: F401
                series)
 from .base import ORACLES, REGISTRY  # noqa: F401

@@ -1,10 +1,13 @@
 """Sources and sinks: whole given tables written to a fresh folder and read back."""
 
+import json
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import fresh_path
-from ..sources import sinks, tables
+from ..sources import runs, sinks, tables
 from .base import long, query, r, table
 
 
@@ -115,3 +118,140 @@ def missing_keys(spark, sf):
     sinks.append_table(o.where("o_orderkey % 3 = 1"), path)
     sinks.append_table(o.where("o_orderkey % 3 = 2"), path)
     return sinks.missing_partitions(spark, o, path, "o_orderkey").select("o_orderkey")
+
+
+@query("landing_in_batches", """
+SELECT o_orderdate::DATE AS date, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1
+""")
+def landing_in_batches(spark, sf):
+    """Dates landed in three runs. The second breaks off between rows and keys and is run again; the third
+    is offered dates that are there already."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_totalprice").withColumn("date", F.to_date("o_orderdate"))
+    third = F.pmod(F.xxhash64("date"), F.lit(3))
+    to = sinks.Landing(spark, fresh_path(spark), ["date"])
+    to.land(o.where(third == 0), "one")
+    to.write_rows(to.missing(o.where(third == 1)), "two")  # broken off here: nothing of it counts
+    to = sinks.Landing(spark, to.path, ["date"])
+    to.land(o.where(third <= 1), "two")
+    to.land(o, "three")
+    to.land(o, "three")
+    return to.read().groupBy("date").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double"), 2).alias("price"))
+
+
+@query("node_csv", """
+WITH n AS (SELECT c_custkey::VARCHAR AS node_id, 37.0 + (c_custkey // 40) / 100.0::DOUBLE AS latitude, -6.0 + (c_custkey % 40) / 100.0::DOUBLE AS longitude,
+  c_custkey // 40 AS "row", c_custkey % 40 AS col FROM customer)
+SELECT node_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, "row", col,
+  round("row" / greatest(max("row") OVER (), 1)::DOUBLE, 9) AS row_norm, round(col / greatest(max(col) OVER (), 1)::DOUBLE, 9) AS col_norm FROM n
+""")
+def node_csv(spark, sf):
+    """Node files under either name of the coordinates, every second node twice; a later copy lies elsewhere."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer", "c_custkey").select(
+        k.alias("node_id"), (F.lit(37.0) + F.floor(k / 40) / F.lit(100.0)).alias("lat"), (F.lit(-6.0) + k % 40 / F.lit(100.0)).alias("lon"),
+        F.floor(k / 40).alias("row"), (k % 40).alias("col"))
+    one, two = fresh_path(spark), fresh_path(spark)
+    sinks.write_csv(c, one)
+    copies = c.where("node_id % 2 = 0").select("node_id", F.lit(1.0).alias("longitude"), F.lit(2.0).alias("latitude"), (F.col("row") + 1000).alias("row"), "col")
+    sinks.write_csv(copies, two)
+    other = tables.read_csv(spark, two).withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
+    nodes = tables.node_table(tables.read_csv(spark, one).unionByName(other, allowMissingColumns=True))
+    return nodes.select("node_id", r("latitude").alias("latitude"), r("longitude").alias("longitude"), long("row").alias("row"),
+                        long("col").alias("col"), r("row_norm", 9).alias("row_norm"), r("col_norm", 9).alias("col_norm"))
+
+
+@query("fine_scene_rows", """
+SELECT l_orderkey::VARCHAR || '-' || l_linenumber AS node_id, 'S' || l_suppkey AS scene_id, epoch_us(l_shipdate) + l_linenumber * 3600000000 AS acquired_us,
+  l_partkey % 900 AS SR_B1, 0 AS technical FROM lineitem
+""")
+def fine_scene_rows(spark, sf):
+    """Scene samples as they are landed, without their technical columns."""
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
+    raw = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("node_id"), F.concat(F.lit("S"), "l_suppkey").alias("scene_id"),
+                    (F.unix_millis(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") * 3_600_000).alias("time_start"),
+                    F.to_date("l_shipdate").alias("date"), (F.col("l_partkey") % 900).alias("SR_B1"), F.lit("{}").alias(".geo"), F.lit("x").alias("geo"))
+    path = fresh_path(spark)
+    sinks.write_table(raw.withColumnRenamed(".geo", "dot_geo"), path)
+    out = tables.fine_scenes(tables.read_parquet(spark, path).withColumnRenamed("dot_geo", ".geo"), ["SR_B1"])
+    technical = sum(c in (".geo", "geo") for c in out.columns)
+    return out.select("node_id", "scene_id", F.unix_micros("acquisition_dt_utc").alias("acquired_us"), long("SR_B1").alias("SR_B1"),
+                      F.lit(technical).cast("int").alias("technical"))
+
+
+@query("json_report", """
+SELECT o_orderpriority AS label, count(*) AS rows, count(DISTINCT o_orderdate::DATE) AS dates, min(o_orderdate)::DATE::VARCHAR AS first_date,
+  count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders GROUP BY 1
+""")
+def json_report(spark, sf):
+    """A nested report of the table written as JSON and read back."""
+    o = table(spark, sf, "orders", "o_orderpriority", "o_orderdate", "o_orderstatus").withColumn("date", F.to_date("o_orderdate"))
+    parts = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("date").alias("dates"), F.min("date").alias("first_date"),
+                                             F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    report = parts.agg(F.collect_list(F.struct("*")).alias("parts"), F.sum("rows").alias("rows")).select(  # five priorities
+        F.struct(F.lit("complete").alias("status"), "rows").alias("quality"), "parts")
+    path = fresh_path(spark)
+    sinks.write_report(report, path)
+    back = spark.read.json(path).where("quality.status = 'complete'").select(F.inline("parts"))
+    return back.select(F.col("o_orderpriority").alias("label"), long("rows").alias("rows"), long("dates").alias("dates"), "first_date",
+                       long("finished").alias("finished"))
+
+
+@query("sorted_csv", """
+SELECT count(*) AS rows, 0::BIGINT AS out_of_order, (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_totalprice, o_orderkey LIMIT 1) AS first_key,
+  (SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_totalprice DESC, o_orderkey DESC LIMIT 1) AS last_key FROM orders
+""")
+def sorted_csv(spark, sf):
+    """The order of the final files: line by line inside a file, and from file to file."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
+    path = fresh_path(spark)
+    sinks.write_csv(o, path, order=[F.col("o_orderdate").desc(), "o_totalprice", "o_orderkey"])
+    order = F.struct((-F.unix_micros(F.col("o_orderdate").try_cast("timestamp"))).alias("a"), F.col("o_totalprice").try_cast("double").alias("b"),
+                     F.col("o_orderkey").try_cast("long").alias("c"))
+    rows = spark.read.option("header", True).csv(path).select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), order.alias("at"), F.col("o_orderkey").try_cast("long").alias("k"))
+    inside = Window.partitionBy("file", "block").orderBy("line")  # a file's lines keep their order in a split
+    parts = rows.withColumn("before", F.lag("at").over(inside)).groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") > F.col("at")).alias("bad"), F.min("at").alias("lo"), F.max("at").alias("hi"),
+        F.min_by("k", "at").alias("k0"), F.max_by("k", "at").alias("k1"))
+    across = Window.orderBy("file", "block")  # one row for each file
+    joined = parts.withColumn("late", F.coalesce((F.lag("hi").over(across) > F.col("lo")).cast("long"), F.lit(0)))
+    place = F.struct("file", "block")
+    return joined.agg(F.sum("n").alias("rows"), F.sum(F.col("bad") + F.col("late")).alias("out_of_order"),
+                      F.min_by("k0", place).alias("first_key"), F.max_by("k1", place).alias("last_key"))
+
+
+def put_file(spark, path, text, millis):
+    """A small file with a given time of change."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(target)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.setTimes(target, millis, -1)
+
+
+@query("latest_runs", """
+WITH n AS (SELECT n_nationkey AS k, 1700000000 + (n_nationkey * 7 % 25) * 60 AS t FROM nation)
+SELECT 'dataset' AS kind, (SELECT 'run_' || arg_max(k, (t, 'run_' || k)) FROM n WHERE k % 2 = 0 AND k % 3 <> 0) AS run, (SELECT max(t) FROM n WHERE k % 2 = 0 AND k % 3 <> 0)::BIGINT AS changed
+UNION ALL SELECT 'areas', (SELECT 'run_' || arg_max(k, (t, 'run_' || k)) FROM n WHERE k % 3 < 2 AND k % 4 > 0 AND k % 5 > 0), (SELECT max(t) FROM n WHERE k % 3 < 2 AND k % 4 > 0 AND k % 5 > 0)::BIGINT
+""")
+def latest_runs(spark, sf):
+    """A run folder for each nation: of some the purpose is another, the quality file lacks, or no area is done."""
+    root = fresh_path(spark)
+    for (k,) in table(spark, sf, "nation", "n_nationkey").collect():  # 25 nations
+        millis = 1000 * (1_700_000_000 + (k * 7 % 25) * 60)
+        at, both = f"{root}/runs/run_{k}/data_downloads", f"{root}/runs/run_{k}/combined"
+        put_file(spark, f"{at}/{runs.DATASET_FILES['table']}", "node_id\n", millis)
+        purpose = "lst_downscaling" if k % 2 == 0 else "general_download"
+        put_file(spark, f"{at}/{runs.DATASET_FILES['metadata']}", json.dumps({"request": {"dataset_purpose": purpose}}), millis)
+        if k % 3:
+            put_file(spark, f"{at}/{runs.DATASET_FILES['quality']}", "{}", millis)
+        status = ("complete", "partial", "error")[k % 3]
+        put_file(spark, f"{both}/{runs.AREA_FILES['quality']}", json.dumps({"status": status, "areas_completed": k % 4}), millis)
+        put_file(spark, f"{both}/{runs.AREA_FILES['metadata']}", "{}", millis)
+        if k % 5:
+            put_file(spark, f"{both}/{runs.AREA_FILES['table']}", "node_id\n", millis)
+    found = runs.latest_dataset(spark, root).withColumn("kind", F.lit("dataset")).unionByName(
+        runs.latest_area_run(spark, root).withColumn("kind", F.lit("areas")))
+    return found.select("kind", F.regexp_extract("path", r"/(run_\d+)", 1).alias("run"), F.unix_seconds("modified").alias("changed"))

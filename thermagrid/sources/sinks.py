@@ -100,6 +100,75 @@ def normalise_output(spark: SparkSession, path: str, backup: str, transform) ->
     return len(result.columns)
 
 
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, none where it is absent."""
+    if not _exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(target))
+
+
+class Landing:
+    """A table that grows by batches and can be run again after any break.
+
+    A batch is written in two phases: its rows to a folder of their own, then its
+    keys to a manifest entry that appears under its name all at once (a rename).
+    Rows count only when their manifest entry is there, so a run that breaks off
+    between the two leaves nothing that is read, and its keys are still missing for
+    the next run. What has landed is known from the manifest alone: looking for
+    missing keys reads no data.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    def batches(self) -> list[str]:
+        """Names of the finished batches."""
+        return [n for n in _listed(self.spark, f"{self.path}/manifest") if not n.startswith(("_", "."))]
+
+    def landed_keys(self) -> DataFrame | None:
+        """Distinct keys of the finished batches (None before the first)."""
+        names = self.batches()
+        if not names:
+            return None
+        return self.spark.read.parquet(*[f"{self.path}/manifest/{n}" for n in names]).select(*self.keys).distinct()
+
+    def missing(self, wanted: DataFrame) -> DataFrame:
+        """Rows of ``wanted`` whose keys have not landed; rows with a null key never land."""
+        wanted = wanted.dropna(subset=self.keys)
+        landed = self.landed_keys()
+        return wanted if landed is None else wanted.join(landed, self.keys, "left_anti")
+
+    def write_rows(self, rows: DataFrame, batch: str) -> None:
+        """Phase one; an unfinished attempt at the batch is replaced."""
+        if batch in self.batches():
+            raise ValueError(f"batch {batch!r} has landed already")
+        clustered(rows, self.keys).write.mode("overwrite").parquet(f"{self.path}/data/{batch}")
+
+    def finish(self, batch: str) -> None:
+        """Phase two: the keys of the rows as they were written become visible at once."""
+        rows = self.spark.read.parquet(f"{self.path}/data/{batch}")
+        part = f"{self.path}/manifest/.{batch}.part"
+        rows.select(*self.keys).distinct().write.mode("overwrite").parquet(part)
+        here, there = (self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in (part, f"{self.path}/manifest/{batch}"))
+        if not here.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(here, there):
+            raise RuntimeError(f"could not finish batch {batch!r}")
+
+    def land(self, rows: DataFrame, batch: str) -> None:
+        """Both phases for the rows whose keys are missing; a batch that has landed is left alone."""
+        if batch not in self.batches():
+            self.write_rows(self.missing(rows), batch)
+            self.finish(batch)
+
+    def read(self) -> DataFrame:
+        """Rows of all finished batches."""
+        names = self.batches()
+        if not names:
+            raise ValueError(f"nothing has landed under {self.path}")
+        return self.spark.read.parquet(*[f"{self.path}/data/{n}" for n in names])
+
+
 def missing_partitions(spark: SparkSession, wanted: DataFrame, path: str, key: str) -> DataFrame:
     """Keys of ``wanted`` that have not been landed under ``path`` yet."""
     if not _exists(spark, path):
