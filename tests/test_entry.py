@@ -25,7 +25,8 @@ def test_registry_is_consistent():
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["nearest_date_tolerance", "daily_rain_rolling", "quality_cascade", "grid_edges"])
+@pytest.mark.parametrize("name", ["nearest_date_tolerance", "daily_rain_rolling", "quality_cascade", "grid_edges",
+                                  "scope_by_area", "landing_in_batches"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
     con = duckdb.connect()
@@ -38,32 +39,6 @@ def test_queries_match_their_sql(spark, name):
     assert got == want
 
 
-@needs_data
-@pytest.mark.parametrize("name, called", [("residual_model", "residual_downscaling"), ("residual_importances", "fit_regressor"),
-                                          ("model_compare", "compare_candidates"), ("scope_by_area", "scope_by_area")])
-def test_model_queries_run_the_whole_job(spark, monkeypatch, name, called):
-    from thermagrid.models.regressors import RESIDUAL_SETTINGS
-    from thermagrid.models.translation import CANDIDATES
-    from thermagrid.queries import modelling
-
-    class Called(Exception):
-        pass
-
-    def record(rows, *args, **options):
-        raise Called(rows, args, options)
-    monkeypatch.setattr(modelling, called, record)
-    with pytest.raises(Called) as call:
-        entry.queries()[name](spark, SMALL)
-    rows, args, options = call.value.args
-    assert not options  # trees, folds and seeds are the operators' own
-    if name == "residual_importances":
-        assert args[-1] == RESIDUAL_SETTINGS and RESIDUAL_SETTINGS["trees"] == 500
-    if name == "model_compare":
-        assert set(CANDIDATES) <= set(args[0])
-    if name == "scope_by_area":
-        assert rows.select("area_id").distinct().count() == 5
-
-
 def test_land_new_files_sees_each_file_once(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
 

@@ -2,6 +2,7 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from thermagrid.operators.near_time import nearest_time, preferred_day
 from thermagrid.operators.ranking import (exact_medians, first_value_per_column, median_by,
                                           running_number)
 from thermagrid.plans.coarse import daily_products, products_near
+from thermagrid.sources import sinks
 
 
 def plan_of(df):
@@ -337,6 +339,72 @@ def test_grid_operators(spark):
     assert row.far == pytest.approx(0, abs=1e-6) and row.same == pytest.approx(100)
 
 
+def test_sky_view_of_tiles_equals_every_ray(spark):
+    """Nodes in and at the edges of several tiles; missing pixels, pixels that are there twice, one nodata value."""
+    rng = np.random.default_rng(3)
+    high = np.round(rng.uniform(0, 30, (300, 290)) * (rng.random((300, 290)) < 0.2), 3)
+    cells = [(i, j, float(high[i, j])) for i in range(300) for j in range(290) if (i * 7 + j) % 11]
+    cells += [(5, 5, 25.0), (5, 5, 3.0), (6, 6, -99.0), (7, 7, None)]
+    raster = spark.createDataFrame(cells, "row int, col int, h double")
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-20, 620, (60, 2)))] + [(60, 127.9, 60.0), (61, 128.0, 472.0)]
+    nodes = spark.createDataFrame(points, "k int, x double, y double")
+    got = {r.k: r.svf for r in zonal.sky_view_factor(nodes, raster, node_id="k", x0=0.0, y0=600.0, resolution=2.0, height="h", max_radius=30.0,
+                                                     step=3.0, azimuths=12, nodata=-99.0, out="svf").collect()}
+    tall = {}
+    for i, j, h in cells:
+        if h is not None and h != -99.0:
+            tall[i, j] = max(h - 1.5, tall.get((i, j), 0.0))
+    for k, x, y in points:
+        total = 0.0
+        for a in range(12):
+            turn = a * 2 * math.pi / 12
+            top = max(math.atan2(max(tall.get((math.floor((600 - (y + d * math.cos(turn))) / 2), math.floor((x + d * math.sin(turn)) / 2)), 0.0), 0.0), d)
+                      for d in (3.0 * s for s in range(1, 11)))
+            total += math.cos(top) ** 2
+        assert got[k] == pytest.approx(total / 12, abs=1e-12)
+
+
+def test_boxes_of_all_sizes_meet_once_in_few_rows(spark):
+    rng = np.random.default_rng(2)
+    sizes = [0.0, 0.5, 1.0, 3.0, 40.0, 1000.0]
+    def boxes(n, seed):
+        g = np.random.default_rng(seed)
+        w = g.choice(sizes, (n, 2))
+        low = np.round(g.uniform(-500, 500, (n, 2)), 1)
+        return [(k, "g" if k % 3 else "h", float(a), float(b), float(a + u), float(b + v)) for k, ((a, b), (u, v)) in enumerate(zip(low, w))]
+    left, right = boxes(120, 1), boxes(150, 2)
+    schema = "{0} int, by string, {0}x0 double, {0}y0 double, {0}x1 double, {0}y1 double"
+    l, r = (spark.createDataFrame(rows, schema.format(c)) for rows, c in ((left, "l"), (right, "r")))
+    side = [[f"{c}{e}" for e in ("x0", "y0", "x1", "y1")] for c in "lr"]
+    got = sorted((p.l, p.r) for p in zonal.overlapping_boxes(l, r, *side, 1.0, ["by"]).select("l", "r").collect())
+    want = sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5])
+    assert got == want
+    # A polygon over a million tiles is four rows for each level of the other side.
+    huge = spark.createDataFrame([(0, 0.0, 0.0, 1000.0, 1000.0)], "l int, lx0 double, ly0 double, lx1 double, ly1 double")
+    own = huge.withColumn("_own", zonal._level(side[0], 1.0))
+    assert zonal._covered(own, side[0], 1.0, F.array(F.lit(0), F.lit(3))).count() <= 4
+    small = spark.createDataFrame([(0, 5.0, 5.0, 6.0, 6.0)], "l int, lx0 double, ly0 double, lx1 double, ly1 double")
+    assert zonal._covered(small.withColumn("_own", zonal._level(side[0], 1.0)), side[0], 1.0, F.array(F.lit(0), F.lit(10))).count() <= 8
+
+
+def test_a_batch_that_breaks_off_neither_repeats_nor_loses_rows(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("v"), (F.col("id") % 10).alias("k"), F.when(F.col("id") == 99, None).otherwise(F.col("id") % 10).alias("key"))
+    to = sinks.Landing(spark, str(tmp_path / "t"), ["key"])
+    assert to.batches() == [] and to.missing(rows).count() == 99  # a null key never lands
+    with pytest.raises(ValueError):
+        to.read()
+    to.land(rows.where("k < 3"), "a")
+    to.write_rows(rows.where("k < 7"), "b")  # rows without keys: as if the run had died here
+    assert to.read().count() == 30 and to.missing(rows).where("k < 3").count() == 0
+    to.land(rows.where("k < 6"), "b")
+    to.land(rows, "c")
+    to.land(rows, "c")
+    assert sorted(r.v for r in to.read().collect()) == [v for v in range(99)]
+    assert to.batches() == ["a", "b", "c"] and to.missing(rows).isEmpty()
+    with pytest.raises(ValueError):
+        to.write_rows(rows, "a")
+
+
 def test_sky_view_flat_and_walled(spark):
     nodes = spark.createDataFrame([(1, 50.0, 50.0)], "n int, x double, y double")
     flat = spark.range(10000).select((F.col("id") / 100).cast("int").alias("row"), (F.col("id") % 100).cast("int").alias("col"), F.lit(0.0).alias("h"))

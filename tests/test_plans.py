@@ -17,7 +17,7 @@ from thermagrid.plans.downscaling import (coincident_rows, feature_set_compariso
                                           ranked_importances, residual_downscaling, training_rows)
 from thermagrid.plans.multi_area import area_identities, combined_report, combined_rows
 from thermagrid.plans.pairs import same_day_pairs
-from thermagrid.plans.unified import unified_table
+from thermagrid.plans.unified import panel_parts, unified_report, unified_table
 from thermagrid.plans.weather import weather_tables
 from thermagrid.sources import payloads, runs, sinks, tables
 
@@ -92,6 +92,29 @@ def test_unified_general_purpose_and_tolerance(unified_inputs):
     assert len(rows) == 2 and all(r.sentinel3_pixel_id is None and r.s3_day_difference is None for r in rows)
 
 
+def test_report_from_factors_equals_the_report_of_the_panel(unified_inputs):
+    fine, coarse, nodes = unified_inputs
+    gappy = coarse.withColumn("LST_1km", F.when(F.col("node_id") != "p2", F.col("LST_1km"))).unionByName(
+        coarse.withColumn("date", F.date_add("date", 9)).withColumn("NDVI", F.lit(None).cast("double")))
+    for how in ({}, {"tolerance_days": 0}, {"purpose": "general_download", "requested": ["NDVI"]}):
+        want = quality_report(unified_table(fine, gappy, nodes, **how), purpose=how.get("purpose", "lst_downscaling")).first()
+        assert unified_report(fine, gappy, nodes, **how).first() == want
+
+
+def test_equal_layouts_are_searched_once(spark, unified_inputs):
+    """Dates with the same places in another order share a search; another place is another layout."""
+    fine, coarse, nodes = unified_inputs
+    near = coarse.where("area_id = 'z'")
+    many = near
+    for k in range(1, 20):
+        many = many.unionByName(near.withColumn("date", F.date_add("date", 10 * k)).orderBy(F.desc("node_id")))
+    moved = near.withColumn("date", F.date_add("date", 300)).withColumn("latitude", F.col("latitude") + 0.01)
+    parts = panel_parts(fine, many.unionByName(moved), nodes)
+    assert parts.match.select("_layout").distinct().count() == 2 and parts.match.count() == 4
+    out = unified_table(fine, many.unionByName(moved), nodes).where("sentinel3_pixel_id IS NOT NULL")
+    assert out.groupBy("date").agg(F.collect_set("sentinel3_pixel_id").alias("p")).where("size(p) = 2").count() == 21
+
+
 def test_weather_tables(spark):
     rows = [(h, c, 300.0 + c, 290.0, float(h), 0.001 * h, 1.0, 2.0) for h in range(1, 5) for c in (0, 2)]
     raw = spark.createDataFrame(rows, "h int, c int, t2m double, d2m double, ssrd double, tp double, u10 double, v10 double").withColumn(

@@ -20,30 +20,51 @@ from ..functions.core import col, finite
 from ..functions.geo import clipped_area, ring_bounds
 
 
-def _tiles(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / F.lit(size)).cast("long"),
-                      F.floor(high / F.lit(size)).cast("long"))
+def _level(box: Sequence[str], size: float) -> Column:
+    """The level whose tiles (``size`` times 2^level) are no smaller than the box: it meets four of them at most."""
+    xmin, ymin, xmax, ymax = map(F.col, box)
+    extent = F.greatest(xmax - xmin, ymax - ymin) / F.lit(float(size))
+    return F.when(extent > 1, F.ceil(F.log2(extent) - F.lit(1e-12))).otherwise(0).cast("int")
 
 
-def _tiled(df: DataFrame, box: Sequence[str], size: float) -> DataFrame:
+def _covered(df: DataFrame, box: Sequence[str], size: float, others: Column) -> DataFrame:
+    """Rows by the tiles (``_m``, ``_tx``, ``_ty``) where they may meet a box of one of the levels ``others``:
+    four at most for each of these levels that is not below the row's own."""
     xmin, ymin, xmax, ymax = map(F.col, box)
-    return (df.withColumn("_tx", F.explode(_tiles(xmin, xmax, size)))
-            .withColumn("_ty", F.explode(_tiles(ymin, ymax, size))))
+    tile = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_m"))
+
+    def tiles(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / tile).cast("long"), F.floor(high / tile).cast("long")))
+
+    meets = F.array_distinct(F.transform("_others", lambda x: F.greatest(x, F.col("_own"))))
+    return (df.withColumn("_others", others).withColumn("_m", F.explode(meets)).drop("_others").withColumn("_tx", tiles(xmin, xmax)).withColumn("_ty", tiles(ymin, ymax)))
 
 
 def overlapping_boxes(left: DataFrame, right: DataFrame, left_box: Sequence[str],
                       right_box: Sequence[str], size: float,
                       by: Sequence[str] = ()) -> DataFrame:
-    """Pairs of rows whose boxes touch, each pair once: it counts only in the
-    tile that holds the lower-left corner of the shared box."""
-    pairs = _tiled(left, left_box, size).join(
-        _tiled(right, right_box, size), [*by, "_tx", "_ty"], "inner")
+    """Pairs of rows whose boxes touch, each pair once.
+
+    Tiles have several sizes: a box lives on the level whose tiles are as large as
+    it is, and looks for smaller boxes there and for larger ones on their levels. A
+    box as large as a million of the smallest tiles still makes a handful of rows. A
+    pair meets on the coarser of its two levels and counts only in the tile that
+    holds the lower-left corner of the shared box.
+    """
+    left, right = left.withColumn("_own", _level(left_box, size)), right.withColumn("_own", _level(right_box, size))
+
+    def levels(df: DataFrame) -> Column:
+        """Levels that occur: a few numbers."""
+        return F.coalesce(df.agg(F.collect_set("_own")).scalar(), F.array().cast("array<int>"))
+
+    pairs = _covered(left, left_box, size, levels(right)).withColumnRenamed("_own", "_lown").join(
+        _covered(right, right_box, size, levels(left)).withColumnRenamed("_own", "_rown"), [*by, "_m", "_tx", "_ty"], "inner")
     lx0, ly0, lx1, ly1 = map(F.col, left_box)
     rx0, ry0, rx1, ry1 = map(F.col, right_box)
-    touch = (lx0 <= rx1) & (rx0 <= lx1) & (ly0 <= ry1) & (ry0 <= ly1)
-    corner = (F.floor(F.greatest(lx0, rx0) / F.lit(size)) == F.col("_tx")) & (
-        F.floor(F.greatest(ly0, ry0) / F.lit(size)) == F.col("_ty"))
-    return pairs.where(touch & corner).drop("_tx", "_ty")
+    tile = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_m"))
+    touch = (lx0 <= rx1) & (rx0 <= lx1) & (ly0 <= ry1) & (ry0 <= ly1) & (F.col("_m") == F.greatest("_lown", "_rown"))
+    corner = (F.floor(F.greatest(lx0, rx0) / tile) == F.col("_tx")) & (F.floor(F.greatest(ly0, ry0) / tile) == F.col("_ty"))
+    return pairs.where(touch & corner).drop("_m", "_tx", "_ty", "_lown", "_rown")
 
 
 def footprint_by_cell(polygons: DataFrame, cells: DataFrame, *, ring: str, cell_id: Sequence[str],

@@ -356,13 +356,18 @@ def feature_sets_query(spark, sf):
 
 
 @query("numeric_feature_names", """
-SELECT unnest(['LST_1km', 'l_discount', 'l_extendedprice', 'l_quantity', 'l_tax', 'rain_3d_log']) AS feature, (SELECT count(*) FROM lineitem) AS rows
+WITH x AS (SELECT l_quantity, l_discount, l_tax, l_extendedprice, l_quantity AS LST_1km, l_tax AS rain_3d, ln(1 + l_tax) AS rain_3d_log,
+  CASE WHEN l_linenumber > 1000 THEN 1.0 END AS empty, CASE WHEN l_returnflag = 'R' THEN l_tax END AS partly FROM lineitem),
+c AS (UNPIVOT (SELECT count(l_quantity) AS l_quantity, count(l_discount) AS l_discount, count(l_tax) AS l_tax, count(l_extendedprice) AS l_extendedprice,
+  count(LST_1km) AS LST_1km, count(rain_3d) AS rain_3d, count(rain_3d_log) AS rain_3d_log, count(empty) AS empty, count(partly) AS partly FROM x) ON COLUMNS(*) INTO NAME feature VALUE known)
+SELECT feature, known FROM c WHERE known > 0 AND NOT (feature = 'rain_3d' AND (SELECT known FROM c WHERE feature = 'rain_3d_log') > 0)
 """)
 def numeric_feature_names(spark, sf):
-    li = table(spark, sf, "lineitem", "l_quantity", "l_discount", "l_tax", "l_extendedprice").withColumns({
-        "LST_1km": F.col("l_quantity"), "LST_K": F.col("l_tax"), "rain_3d": F.col("l_tax"),
-        "rain_3d_log": F.log1p("l_tax"), "empty": F.lit(None).cast("double"),
-        "label": F.lit("text")})
+    """Predictors of a table: numbers with values, without the target, text, and rain that has its logarithm."""
+    li = table(spark, sf, "lineitem", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag", "l_linenumber").select(
+        "l_quantity", "l_discount", "l_tax", "l_extendedprice", F.col("l_quantity").alias("LST_1km"), F.col("l_tax").alias("LST_K"),
+        F.col("l_tax").alias("rain_3d"), F.log1p("l_tax").alias("rain_3d_log"), F.when(F.col("l_linenumber") > 1000, 1.0).alias("empty"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("partly"), F.lit("text").alias("label"))
     names = sorted(numeric_features(li))
-    counted = li.agg(F.count(F.lit(1)).alias("rows"))
-    return counted.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"), "rows")
+    counts = li.agg(*[F.count(n).alias(n) for n in names])
+    return counts.unpivot([], names, "feature", "known")

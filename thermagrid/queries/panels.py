@@ -191,19 +191,19 @@ def temporal_split_one_year(spark, sf):
 
 
 @query("group_folds", """
-WITH n AS (SELECT count(DISTINCT o_orderdate::DATE) AS n FROM orders), f AS (SELECT unnest(range(1, 6)) AS fold)
-SELECT fold::BIGINT AS fold, ((n - fold) // 5 + 1)::BIGINT AS dates, 0::BIGINT AS shared_dates, (SELECT count(*) FROM orders) AS all_rows FROM f, n
+WITH d AS (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders GROUP BY 1),
+f AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || d::VARCHAR), d) - 1) % 5 + 1 AS fold FROM d)
+SELECT fold::BIGINT AS fold, count(*) AS dates, 0::BIGINT AS shared_dates, sum(n)::BIGINT AS rows, min(d) AS first_date, max(d) AS last_date FROM f GROUP BY 1
 """)
 def group_folds(spark, sf):
-    """Sizes of the folds and the dates that sit in more than one (none)."""
+    """Dates and rows of the folds, and the dates that sit in more than one (none)."""
     o = table(spark, sf, "orders", "o_orderdate").select(day("o_orderdate").alias("date"))
     out = splits.with_date_folds(o)
     per_date = out.groupBy("date").agg(F.count_distinct("fold").alias("k"),
                                        F.min("fold").alias("fold"), F.count(F.lit(1)).alias("n"))
-    total = per_date.agg(F.sum("n")).scalar()
     return per_date.groupBy(long("fold").alias("fold")).agg(
-        F.count(F.lit(1)).alias("dates"), F.count_if(F.col("k") > 1).alias("shared_dates"),
-    ).withColumn("all_rows", total)
+        F.count(F.lit(1)).alias("dates"), F.count_if(F.col("k") > 1).alias("shared_dates"), F.sum("n").alias("rows"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 @query("zscore_train", f"""
