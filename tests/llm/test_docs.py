@@ -402,6 +402,18 @@ def test_licenses_are_found_with_their_spans(spark, empty):
     assert license_scan.find_licenses(empty).count() == 0
 
 
+def test_short_notices_match_word_for_word():
+    hashes = license_scan._WordHashes()
+    index = license_scan.Index(license_scan.TEMPLATES, hashes)
+    names = lambda t: [r[0] for r in license_scan.scan(t, index, hashes, license_scan.COVERAGE)]
+    assert names("x. Licensed under CC BY-ND 4.0. y") == ["CC-BY-ND notice"]
+    assert names("Licensed under CC BY-NC-SA 4.0, see there") == ["CC-BY-NC-SA notice"]
+    assert names("Released under the BSD License.") == ["BSD notice"] and names("Released under the XYZ License.") == []
+    assert names("Licensed under CC BY 4.0.") == ["CC-BY-4.0 notice"] and names("Licensed under the fine MIT License") == []
+    for name, text in license_scan.TEMPLATES.items():  # every text is its own best match
+        assert names("before " + text + " after") == [name]
+
+
 def test_stages_take_nulls_in_every_column(spark):
     """A row of nulls, a text of nulls' neighbours and clashing names go through every stage."""
     rows = [(None, None, None, None, None), (None, prose(70, 30), "en", "a", 1), (1, None, "en", None, 2), (2, prose(71, 30), None, "a", None),
