@@ -27,20 +27,40 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Folders of intermediate tables, by the ``scratch`` blocks that are open.
+_SCRATCH: list[list[str]] = []
+
+
+def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back.
 
     Columnar and compressed, so cheaper than a row checkpoint for wide tables.
-    Readers survive lost executors: the files are in the folder all share.
+    Readers survive lost executors: the files are in the folder all share. Inside
+    a ``scratch`` block the files go when the block ends, unless ``keep``.
     """
     spark = df.sparkSession
     cut_lineage(spark.range(0))  # makes sure a checkpoint folder is set
     folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside go at the end: nothing that leaves the block may still
+    read them (what leaves is kept, or a checkpoint)."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Batches of at most ``rows`` rows to Python in the jobs that run inside: their

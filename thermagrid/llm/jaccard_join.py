@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from thermagrid.session import cut_lineage
 
-from .common import arrow_batches, materialise, mix64
+from .common import arrow_batches, materialise, mix64, scratch
 
 SHINGLE, SIMILAR = 5, 80
 #: A token in this many prefixes is frequent; at most FREQUENT_MOST of them (8 bytes each) are broadcast.
@@ -575,7 +575,7 @@ def _closed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = some.where("a IS NOT NULL").select("a", "b").distinct()
     closed = components(second.unionByName(links_among(rest.join(tried, ["a", "b"], "left_anti"))))
 
-    return rows, closed
+    return materialise(rows.select("doc_id", "text_key", "n_shingles", "sid"), keep=True), closed
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -588,7 +588,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     doc_ids are rows of their own; extra columns are ignored; an empty table gives
     no rows. Sets are told apart by 64-bit hashes of their hashed shingles.
     """
-    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+    with arrow_batches(docs.sparkSession, BATCH_ROWS), scratch(docs.sparkSession):
         rows, closed = _closed(docs)
     whole = rows.join(closed, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = whole.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
