@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64
+from .common import materialise, mix64, scratch
 
 WIDE, NARROW = 32, 4
 #: Suffixes that a bucket is meant to hold in memory: their number sets that of the buckets.
@@ -304,15 +304,14 @@ def _repeated_ids(docs: DataFrame) -> DataFrame:
             .withColumn("rid", F.unhex(F.substring("whole_sha", 1, 24))))
 
 
-def cut_texts(named: DataFrame, of: Strings = STRINGS) -> DataFrame:
-    """(rid, n_removed, n_spans, kept_sha256, kept) of every distinct text that loses
-    bytes to another text or to itself; copies of whole texts are left to the caller."""
+def _marked(named: DataFrame, of: Strings) -> tuple[DataFrame, DataFrame]:
+    """(texts with a repeated anchor, what goes of each: hashes of whole blocks and ranges of places); both are written."""
     long_rows = named.where(F.col("n_bytes") >= of.length).select("rid", F.col("text").cast("binary").alias("data"))
     keys = long_rows.mapInArrow(_anchor_rows(of), "rid binary, key long, n int")
     twice = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2").select("key")
     asked = keys.select("rid", "key").join(twice, "key").groupBy("rid").agg(F.collect_set("key").alias("keys"))
     once = long_rows.groupBy("rid").agg(F.first("data").alias("data"))
-    texts = materialise(once.join(asked, "rid"))
+    texts = materialise(once.join(asked, "rid"), keep=True)
 
     place = F.min(F.struct("rid", "anchor", "low", "high")).alias("at")
     wide = materialise(texts.mapInArrow(_block_rows(of), "rid binary, inner long, outer long, n int, anchor int, low int, high int"))
@@ -336,7 +335,14 @@ def cut_texts(named: DataFrame, of: Strings = STRINGS) -> DataFrame:
     single = suffixes.repartitionByRange(buckets, "suffix").mapInArrow(_sorted_repeats(of), "rid binary, first long, last long")
     ranges = some.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
-    marks = outers.join(ranges, "rid", "full")
+    return texts, materialise(outers.join(ranges, "rid", "full"), keep=True)
+
+
+def cut_texts(named: DataFrame, of: Strings = STRINGS) -> DataFrame:
+    """(rid, n_removed, n_spans, kept_sha256, kept) of every distinct text that loses
+    bytes to another text or to itself; copies of whole texts are left to the caller."""
+    with scratch(named.sparkSession):
+        texts, marks = _marked(named, of)
     return texts.select("rid", "data").join(marks, "rid").mapInArrow(
         _cut_rows(of), "rid binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
