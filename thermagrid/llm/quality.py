@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thermagrid.session import cut_lineage
 
-from .common import SPACE, WORD, materialise
+from .common import SPACE, WORD
 
 WINDOW = 8
 #: Rule -> cutoffs, from lenient to strict; a document breaks a rule when the value exceeds the cutoff.
@@ -172,10 +172,11 @@ def quality_report(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, with their own columns. Rows are written once beside
-    their counts, so the counts are taken once for the thresholds and the verdicts."""
+    """The documents that pass, with their own columns. Counts are taken once for the
+    thresholds and once for the verdicts: keeping them beside the whole texts would
+    write the corpus once more."""
     columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("q_row"), "doc_id", "text")
-    feats = materialise(features(packed, ["q_row", "doc_id"]))
+    feats = features(docs.select("doc_id", "text"), ["doc_id"])
     cuts = cut_lineage(thresholds(labelled_features(feats, labels), risk, delta))
-    return apply_rules(feats, cuts).where("kept").select("q_row.*")
+    packed = docs.select(F.struct(*columns).alias("q_row"), "doc_id", "text")
+    return apply_rules(features(packed, ["q_row"]), cuts).where("kept").select("q_row.*")
