@@ -11,7 +11,7 @@ from thermagrid.functions import geo
 from thermagrid.operators import contract, fusion, grid, groups, reports, series, splits, zonal
 from thermagrid.operators.catalogue import alias_table, canonical_names, variable_cards
 from thermagrid.operators.impute import fill_from_nearest_time
-from thermagrid.operators.near_space import nearest_site, radius_mean
+from thermagrid.operators.near_space import _disc_cells, nearest_site, radius_mean
 from thermagrid.operators.near_time import nearest_time, preferred_day
 from thermagrid.operators.ranking import (exact_medians, first_value_per_column, median_by,
                                           running_number)
@@ -71,17 +71,23 @@ def test_nearest_site_ties_groups_and_gaps(spark):
     assert [(r.qid, r.sid, r.distance) for r in out] == [(1, 4, 1.0)]
 
 
-def test_radius_mean_equals_brute_force(spark):
+@pytest.mark.parametrize("leaf,shift", [(1, 0.0), (16, -300.0), (64, 4.2e6)])
+def test_radius_mean_equals_brute_force(spark, leaf, shift):
     rng = random.Random(3)
-    targets = [(i, rng.uniform(0, 600), rng.uniform(0, 600)) for i in range(25)]
-    nodes = [(i, rng.uniform(0, 400) if i % 3 else 200 + rng.uniform(0, 9),
-              rng.uniform(0, 400) if i % 3 else 200 + rng.uniform(0, 9),
+    targets = [(i, shift + rng.uniform(0, 600), shift + rng.uniform(0, 600)) for i in range(25)]
+    targets += [(25, shift + 100.0, shift + 100.0)]
+    nodes = [(i, shift + (rng.uniform(0, 400) if i % 3 else 200 + rng.uniform(0, 9)),
+              shift + (rng.uniform(0, 400) if i % 3 else 200 + rng.uniform(0, 9)),
               float(i % 11) if i % 5 else None) for i in range(300)]
-    t = spark.createDataFrame(targets, "t int, x double, y double")
-    n = spark.createDataFrame(nodes, "n int, x double, y double, v double")
+    # On the circle, twice at one place, and in the middle.
+    nodes += [(300, shift + 160.0, shift + 100.0, 1.0), (301, shift + 100.0, shift + 40.0, 2.0),
+              (302, shift + 100.0, shift + 40.0, None), (303, shift + 100.0, shift + 100.0, 3.0)]
+    t = spark.createDataFrame([*targets, (99, None, 1.0)], "t int, x double, y double")
+    n = spark.createDataFrame([*nodes, (999, None, 0.0, 1.0)], "n int, x double, y double, v double")
     out = radius_mean(t, n, target_id=["t"], target_xy=("x", "y"), source_xy=("x", "y"),
-                      source_id=["n"], values=["v"], radius=60.0, leaf=16)
+                      source_id=["n"], values=["v"], radius=60.0, leaf=leaf)
     got = {r.t: (r.v_mean, r.n_sources) for r in out.collect()}
+    assert set(got) == {i for i, _, _ in targets}
     for i, x, y in targets:
         near = sorted((math.hypot(x - a, y - b), k, v) for k, a, b, v in nodes)
         inside = [v for d, _, v in near if d <= 60]
@@ -92,6 +98,38 @@ def test_radius_mean_equals_brute_force(spark):
         assert got[i][0] == (pytest.approx(want[0]) if want[0] is not None else None)
 
 
+def test_disc_cells_cover_each_point_once(spark):
+    rng = random.Random(8)
+    radius, base, deepest = 10.0, 10.01, 5
+    middles = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50), i % (deepest + 1)) for i in range(36)]
+    t = spark.createDataFrame(middles, "t int, _tx double, _ty double, _depth int")
+    cells = _disc_cells(t, ["t", "_tx", "_ty"], radius, base).collect()
+    of = {}
+    for c in cells:
+        of.setdefault(c.t, []).append(c)
+    for i, x, y, depth in middles:
+        for _ in range(400):
+            a, b = x + rng.uniform(-11, 11), y + rng.uniform(-11, 11)
+            d = math.hypot(a - x, b - y)
+            held = [c for c in of[i] if (math.floor(a / (base / 2 ** c._level)), math.floor(b / (base / 2 ** c._level))) == (c._cx, c._cy)]
+            if d <= radius:
+                assert len(held) == 1
+            else:
+                assert len(held) <= 1 and all(c._edge for c in held)
+            assert all(c._level == depth for c in held if c._edge)
+        assert len(of[i]) <= 60 * 2 ** depth  # the edge of the disc, not its area
+
+
+def test_radius_mean_without_sources_or_targets(spark):
+    t = spark.createDataFrame([("a", 1, 0.0, 0.0), ("b", 1, 0.0, 0.0)], "g string, t int, x double, y double")
+    n = spark.createDataFrame([("a", 1, 500.0, 0.0, 7.0)], "g string, n int, x double, y double, v double")
+    how = dict(target_id=["t"], target_xy=("x", "y"), source_xy=("x", "y"), source_id=["n"],
+               values=["v"], radius=60.0, by=["g"])
+    assert [(r.g, r.v_mean, r.n_sources) for r in radius_mean(t, n, **how).collect()] == [("a", 7.0, 1)]
+    assert radius_mean(t, n.limit(0), **how).count() == 0
+    assert radius_mean(t.limit(0), n, **how).count() == 0
+
+
 @pytest.mark.parametrize("exclude", [False, True])
 def test_nearest_time_equals_brute_force(spark, exclude):
     rng = random.Random(5)

@@ -333,96 +333,143 @@ def radius_mean(
     by: Sequence[str] = (),
     suffix: str = "_mean",
     count: str = "n_sources",
-    leaf: int = 256,
+    leaf: int = 64,
 ) -> DataFrame:
     """Mean of every value over the sources within ``radius`` of each target,
     and their number; an empty disc takes its single nearest source.
 
-    Sources are summed per place and per grid cell first. A cell wholly inside
-    the disc adds its sums; only cells that the circle crosses are opened, down
-    to the places themselves. Work follows the circle, not the disc's content.
+    Sources are summed per place and in a pyramid of square cells, one table with
+    a row for each (level, cell). A disc is covered by the largest cells that lie
+    inside it, whose sums are added, and by the smallest cells that its edge
+    crosses, whose places are tested one by one; both come out of one join. The
+    block of 3 x 3 first cells around a target holds its disc; the number of
+    places there sets the levels, four times as many add one, so that work follows
+    the square root of the disc's content. Blocks of at most ``leaf`` places have
+    the first level only.
     """
     by = list(by)
     tx, ty = target_xy
     sx, sy = source_xy
     ids = list(dict.fromkeys([*by, *target_id]))
-    t = targets.select(*ids, F.col(tx).alias("_tx"), F.col(ty).alias("_ty")).dropna(
+    t = targets.select(*ids, F.col(tx).cast("double").alias("_tx"), F.col(ty).cast("double").alias("_ty")).dropna(
         subset=[*by, "_tx", "_ty"])
+    # First cells are a little wider than the radius, so that 3 x 3 of them hold the disc and its margin.
+    base = radius * 1.001 or 1.0
+    corner = [*by, "_bx", "_by"]
+    parts = [c for i in range(len(values)) for c in (f"_s{i}", f"_n{i}")] + ["_n"]
     sums = [x for i, v in enumerate(values) for x in
             (F.sum(v).alias(f"_s{i}"), F.count(v).alias(f"_n{i}"))]
     places = (
         sources.dropna(subset=[*by, sx, sy])
-        .groupBy(*by, F.col(sx).alias("_x"), F.col(sy).alias("_y"))
+        .groupBy(*by, F.col(sx).cast("double").alias("_x"), F.col(sy).cast("double").alias("_y"))
         .agg(*sums, F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_bx": F.floor(F.col("_x") / F.lit(base)), "_by": F.floor(F.col("_y") / F.lit(base))})
     )
-    add_up = [F.sum(c).alias(c) for c in
-              [*[f"_{k}{i}" for i in range(len(values)) for k in "sn"], "_n"]]
-    parts = [c for i in range(len(values)) for c in (f"_s{i}", f"_n{i}")] + ["_n"]
-    # Surveyed, read per level and once more for the crossed cells: write once.
-    places = cut_lineage(places)
-    extent, bits = _survey(places, [], by, "_x", "_y", leaf)
-    fine = min(extent[1], extent[3]) / (1 << bits)  # such cells hold few places
-    base = radius * (1.0 + SLACK)       # first cells: the disc touches at most 3 x 3
-    rounds, side = 0, base
-    while bits and side > fine and rounds < MAX_BITS:
-        side, rounds = side / 2.0, rounds + 1
-
-    def cell(c: str, level: int) -> Column:
-        return F.floor(F.col(c) / F.lit(base / (1 << level))).cast("long")
-
-    def cells_at(level: int) -> DataFrame:
-        return (places.withColumn("_cx", cell("_x", level)).withColumn("_cy", cell("_y", level))
-                .groupBy(*by, "_cx", "_cy")
-                .agg(*add_up, F.min("_x").alias("_x0"), F.max("_x").alias("_x1"),
-                     F.min("_y").alias("_y0"), F.max("_y").alias("_y1")))
-
-    r2 = radius * radius
-    # First level: the 3 x 3 block of radius-sized cells around the target.
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    open_cells = (
-        t.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-        .select(*ids, "_tx", "_ty",
-                (cell("_tx", 0) + F.col("_dx")).alias("_cx"),
-                (cell("_ty", 0) + F.col("_dy")).alias("_cy")))
-    inside_parts: list[DataFrame] = []
-    for level in range(rounds + 1):
-        met = open_cells.join(cells_at(level), [*by, "_cx", "_cy"], "inner")
-        gx = F.greatest(F.col("_x0") - F.col("_tx"), F.col("_tx") - F.col("_x1"), F.lit(0.0))
-        gy = F.greatest(F.col("_y0") - F.col("_ty"), F.col("_ty") - F.col("_y1"), F.lit(0.0))
-        fx = F.greatest(F.col("_x1") - F.col("_tx"), F.col("_tx") - F.col("_x0"))
-        fy = F.greatest(F.col("_y1") - F.col("_ty"), F.col("_ty") - F.col("_y0"))
-        met = (met.withColumn("_near", gx * gx + gy * gy).withColumn("_far", fx * fx + fy * fy)
-               .where(F.col("_near") <= r2 * (1.0 + SLACK)))
-        whole = F.col("_far") < r2 * (1.0 - SLACK)
-        inside_parts.append(met.where(whole).select(*ids, *parts))
-        crossing = met.where(~whole).select(*ids, "_tx", "_ty", "_cx", "_cy")
-        if level == rounds:
-            keyed = places.withColumn("_cx", cell("_x", level)).withColumn("_cy", cell("_y", level))
-            exact = crossing.join(keyed, [*by, "_cx", "_cy"], "inner").where(
-                planar_m("_tx", "_ty", "_x", "_y") <= F.lit(radius))
-            inside_parts.append(exact.select(*ids, *parts))
-        else:
-            halves = F.array(F.lit(0), F.lit(1))
-            open_cells = (
-                crossing.withColumn("_dx", F.explode(halves)).withColumn("_dy", F.explode(halves))
-                .select(*ids, "_tx", "_ty", (F.col("_cx") * 2 + F.col("_dx")).alias("_cx"),
-                        (F.col("_cy") * 2 + F.col("_dy")).alias("_cy")))
-            # Two consumers (this round's whole cells and the next rounds).
-            open_cells = cut_lineage(open_cells)
-    gathered = inside_parts[0]
-    for part in inside_parts[1:]:
-        gathered = gathered.unionByName(part)
-    disc = cut_lineage(gathered.groupBy(*ids).agg(*add_up))  # a row per target, used twice
+    places = cut_lineage(places)  # counted by block, summed by cell and tested one by one
+
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"))
+                                 for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_d")
+
+    def neighbours(cells: DataFrame, *kept: str) -> DataFrame:
+        return cells.select(*corner, *kept, around).withColumns(
+            {"_bx": F.col("_bx") + F.col("_d.x"), "_by": F.col("_by") + F.col("_d.y")}).drop("_d")
+
+    # Levels of a block by the places in it, and for each first cell the levels of the blocks it belongs to: at most nine.
+    counted = places.groupBy(*corner).agg(F.count(F.lit(1)).alias("_held"))
+    blocks = neighbours(counted, "_held").groupBy(*corner).agg(F.sum("_held").alias("_held")).select(
+        *corner, F.greatest(F.lit(0), F.least(F.lit(MAX_BITS), F.floor(
+            F.log(F.col("_held") / F.lit(float(leaf))) / F.lit(math.log(4.0))))).cast("int").alias("_depth"))
+    used = neighbours(blocks, "_depth").groupBy(*corner).agg(F.collect_set("_depth").alias("_used"))
+
+    keyed = places.join(used, corner, "inner")
+    cell = {f"_c{a}": F.floor(F.col(f"_{a}") / (F.lit(base) / F.pow(F.lit(2.0), "_level"))) for a in "xy"}
+    key = [*by, "_level", "_cx", "_cy"]
+    inner = (
+        keyed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.array_max("_used")))).withColumns(cell)
+        .groupBy(*key).agg(*[F.sum(c).alias(c) for c in parts])
+        .select(*key, F.lit(False).alias("_edge"), *parts,
+                F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"))
+    )
+    edge = keyed.withColumn("_level", F.explode("_used")).withColumns(cell).select(
+        *key, F.lit(True).alias("_edge"), *parts, "_x", "_y")
+    found = (
+        _disc_cells(_with_depth(t, blocks, corner, base), [*ids, "_tx", "_ty"], radius, base)
+        .join(inner.unionByName(edge), [*key, "_edge"], "inner")
+        .where(~F.col("_edge") | (planar_m("_tx", "_ty", "_x", "_y") <= F.lit(radius)))
+    )
+    # Every target also brings a row of its own without sums: what has nothing else is alone.
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in parts]
+    disc = cut_lineage(
+        found.select(*ids, "_tx", "_ty", *parts).unionByName(t.select(*ids, "_tx", "_ty", *nothing))
+        .groupBy(*ids).agg(F.min("_tx").alias("_tx"), F.min("_ty").alias("_ty"),
+                           *[F.sum(c).alias(c) for c in parts]))  # a row per target, used twice
     means = [F.try_divide(F.col(f"_s{i}"), F.col(f"_n{i}")).alias(v + suffix)
              for i, v in enumerate(values)]
-    full = disc.select(*ids, *means, F.col("_n").cast("long").alias(count))
-    lonely = t.join(disc.select(*ids), ids, "left_anti")
-    if lonely.isEmpty():
-        return full
+    full = disc.where("_n > 0").select(*ids, *means, F.col("_n").cast("long").alias(count))
     fallback = nearest_site(
-        lonely, sources, query_id=target_id, query_uv=("_tx", "_ty"), site_uv=(sx, sy),
-        payload=list(values), tie=list(source_id), by=by, metric="planar", distance="_d")
+        disc.where("_n is null").select(*ids, "_tx", "_ty"), sources, query_id=target_id, query_uv=("_tx", "_ty"),
+        site_uv=(sx, sy), payload=list(values), tie=list(source_id), by=by, metric="planar", distance="_d")
     fallback = fallback.select(
         *ids, *[F.col(v).cast("double").alias(v + suffix) for v in values],
         F.lit(1).cast("long").alias(count))
     return full.unionByName(fallback)
+
+
+def _with_depth(targets: DataFrame, blocks: DataFrame, corner: list[str], base: float) -> DataFrame:
+    """Targets with the number of levels of their block; 0 where no source is near."""
+    at = targets.withColumns({"_bx": F.floor(F.col("_tx") / F.lit(base)), "_by": F.floor(F.col("_ty") / F.lit(base))})
+    return at.join(blocks, corner, "left").withColumn("_depth", F.coalesce("_depth", F.lit(0)))
+
+
+def _disc_cells(targets: DataFrame, kept: list[str], radius: float, base: float) -> DataFrame:
+    """``kept``, _level, _cx, _cy, _edge: the cells that make up each target's disc.
+
+    A row of cells meets the disc in one range, and lies inside it in a smaller
+    one. Of the cells inside, those whose parent is inside too are left out; of
+    the cells that the edge crosses, only those of the last level (_edge) stay. A
+    parent's bounds come from the same numbers as its children's, doubled exactly,
+    so that each place is in one cell of the cover.
+    """
+    rows = targets.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_depth"))))
+    side = F.lit(base) / F.pow(F.lit(2.0), "_level")
+    # Rounding of coordinates and cell edges stays inside the margin.
+    margin = F.least(F.lit(radius * SLACK) + (F.abs("_tx") + F.abs("_ty") + F.lit(radius)) * F.lit(1e-14),
+                     F.lit(base * 5e-4))
+    rows = rows.withColumns({"_side": side, "_in": F.lit(radius) - margin, "_out": F.lit(radius) + margin})
+    rows = rows.withColumn("_cy", F.explode(F.sequence(
+        F.floor((F.col("_ty") - F.col("_out")) / F.col("_side")), F.floor((F.col("_ty") + F.col("_out")) / F.col("_side")))))
+
+    def half(reach: str, gap: Column) -> Column:
+        """Half the disc's width at ``gap`` from its middle, NULL beyond."""
+        return F.when(gap <= F.col(reach), F.sqrt(F.col(reach) * F.col(reach) - gap * gap))
+
+    def inside(level_up: int) -> tuple[Column, Column]:
+        row, size = F.shiftright("_cy", level_up), F.col("_side") * F.lit(float(1 << level_up))
+        y0, y1 = row * size, (row + F.lit(1)) * size
+        h = half("_in", F.greatest(F.abs(F.col("_ty") - y0), F.abs(y1 - F.col("_ty"))))
+        return F.ceil((F.col("_tx") - h) / size), F.floor((F.col("_tx") + h) / size) - F.lit(1)
+
+    y0, y1 = F.col("_cy") * F.col("_side"), (F.col("_cy") + F.lit(1)) * F.col("_side")
+    touch = half("_out", F.greatest(y0 - F.col("_ty"), F.col("_ty") - y1, F.lit(0.0)))
+    bounds = {"_a": inside(0)[0], "_b": inside(0)[1], "_pa": inside(1)[0], "_pb": inside(1)[1],
+              "_lo": F.floor((F.col("_tx") - touch) / F.col("_side")),
+              "_hi": F.floor((F.col("_tx") + touch) / F.col("_side"))}
+    rows = rows.withColumns(bounds)
+    any_in, parent_in = F.col("_a") <= F.col("_b"), (F.col("_level") > 0) & (F.col("_pa") <= F.col("_pb"))
+    any_in, parent_in = F.coalesce(any_in, F.lit(False)), F.coalesce(parent_in, F.lit(False))
+    last = F.col("_level") == F.col("_depth")
+
+    def span(when: Column, lo: Column, hi: Column, edge: bool) -> Column:
+        return F.when(when & (lo <= hi), F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(edge).alias("edge")))
+
+    one = F.lit(1)
+    spans = F.array(
+        span(any_in & ~parent_in, F.col("_a"), F.col("_b"), False),
+        span(any_in & parent_in, F.col("_a"), F.col("_pa") * 2 - one, False),
+        span(any_in & parent_in, F.col("_pb") * 2 + 2, F.col("_b"), False),
+        span(last & ~any_in, F.col("_lo"), F.col("_hi"), True),
+        span(last & any_in, F.col("_lo"), F.col("_a") - one, True),
+        span(last & any_in, F.col("_b") + one, F.col("_hi"), True))
+    return (rows.select(*kept, "_level", "_cy", F.explode(F.array_compact(spans)).alias("_span"))
+            .select(*kept, "_level", "_cy", F.col("_span.edge").alias("_edge"),
+                    F.explode(F.sequence("_span.lo", "_span.hi")).alias("_cx")))
