@@ -194,6 +194,16 @@ def test_pairs_seen_once_count(spark):
         assert math.isclose(r.score, want, rel_tol=1e-9), r
 
 
+def test_rows_in_no_fixed_order_are_scored(docs):
+    want = {r.doc_id: r for r in bloom_lm.score_folds(docs).collect()}
+    loose = docs.repartition(3, F.rand()).sortWithinPartitions(F.rand())
+    got = bloom_lm.score_folds(loose).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.n_known, r.train_tokens) == (want[r.doc_id].n_known, want[r.doc_id].train_tokens)
+        assert math.isclose(r.score, want[r.doc_id].score, rel_tol=1e-9)
+
+
 def test_log_bloom_has_no_false_miss():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))

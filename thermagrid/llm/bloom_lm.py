@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, mix64
+from .common import arrow_batches, fold, materialise, mix64
 
 #: Bytes of text that one slice of the n-gram space stands for, tokens gathered before a flush.
 SLICE_BYTES, FLUSH_TOKENS = 8 << 20, 2_000_000
@@ -93,56 +94,23 @@ def from_planes(planes: np.ndarray, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def gather_chunks(rows: DataFrame, slices: int) -> DataFrame:
-    """(kind, slice, chunk, blob) from rows of doc_id, asked, learnt, text.
-
-    Each task takes a few million tokens at a time, a chunk. With ``slices`` it
-    emits one compressed sorted run for each slice of the key space, of words (kind
-    'w') and of word pairs (kind 'p'), with the uses in rows to learn from (0 for
-    keys only asked for); a frequent word is one entry of each run, so no key is
-    hot. With no slices it emits the token numbers of its texts (kind 't'). Both
-    read the rows, which is cheaper than to keep either; a chunk is named by its
-    place and content, so rows that come in another order the second time are
-    noticed. A chunk with nothing asked has no name and no texts.
+def gather_chunks(rows: DataFrame) -> DataFrame:
+    """(chunk, size, blob) from rows of doc_id, asked, learnt, text: each task takes a
+    few million tokens at a time, a chunk, and keeps their numbers, its words' hashes
+    and the rows they stand in. ``size`` is the chunk's bytes of text; a chunk with
+    nothing asked has no number. Whoever needs the chunks twice writes them once:
+    rows that come in another order a second time would be numbered otherwise.
     """
-    bounds = slice_bounds(slices)
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "slice", "chunk", "blob"])
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, total = Vocabulary(), [], 0
+        vocabulary, held, total, size = Vocabulary(), [], 0, 0
         chunk = TaskContext.get().partitionId() << 32
 
-        def name(*arrays: np.ndarray) -> int:
-            made = xxhash.xxh3_64(chunk.to_bytes(8, "little"))
-            for x in arrays:
-                made.update(x)
-            return int.from_bytes(made.digest(), "big", signed=True)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            hashes = np.array(vocabulary.hashes, np.uint64)
+        def flush() -> pa.RecordBatch:
             ids, known, asked, learnt, numbers, sizes = map(np.concatenate, zip(*held))
-            number = name(hashes, numbers, sizes, asked, learnt) if asked.any() else None
-            if not slices:
-                if number is not None:
-                    yield batch_of([("t", 0, number, pack_arrays(ids, known, asked, sizes, to_planes(numbers.astype(np.uint32)), hashes))])
-                return
-            learns = np.repeat(learnt, sizes)
-            uses = np.bincount(numbers[learns], minlength=len(hashes))
-            order = np.argsort(hashes, kind="stable")
-            # The lowest bit of a pair's key is free: it tells the uses to learn from.
-            keys = np.sort((pair_keys(hashes[numbers], sizes) ^ np.uint64(1)) | learns.astype(np.uint64))
-            counts, keys = (keys & np.uint64(1)).astype(np.int64), keys | np.uint64(1)
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            out = []
-            for kind, every, n in (("w", hashes[order], uses[order]), ("p", keys[first], np.add.reduceat(counts, first))):
-                cuts = [0, *np.searchsorted(every, bounds), len(every)]
-                out += [(kind, k, number, pack_sorted(every[cuts[k]:cuts[k + 1]], n[cuts[k]:cuts[k + 1]]))
-                        for k in range(slices) if cuts[k + 1] > cuts[k]]
-            for at in range(0, len(out), 64):
-                yield batch_of(out[at:at + 64])
+            blob = pack_arrays(ids, known, asked, learnt, sizes, to_planes(numbers.astype(np.uint32)),
+                               np.array(vocabulary.hashes, np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array([chunk if asked.any() else None], pa.int64()), pa.array([size], pa.int64()),
+                                               pa.array([blob], pa.binary())], ["chunk", "size", "blob"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -152,13 +120,45 @@ def gather_chunks(rows: DataFrame, slices: int) -> DataFrame:
                 held.append((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False),
                              *(part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)), numbers, sizes))
                 total += len(numbers)
+                size += pc.sum(pc.binary_length(part.column(3))).as_py() or 0
                 if total >= FLUSH_TOKENS:
-                    yield from flush()
-                    vocabulary, held, total, chunk = Vocabulary(), [], 0, chunk + 1
+                    yield flush()
+                    vocabulary, held, total, size, chunk = Vocabulary(), [], 0, 0, chunk + 1
         if total:
-            yield from flush()
+            yield flush()
 
-    return rows.select("doc_id", "asked", "learnt", "text").mapInArrow(gather, "kind string, slice int, chunk long, blob binary")
+    return rows.select("doc_id", "asked", "learnt", "text").mapInArrow(gather, "chunk long, size long, blob binary")
+
+
+def runs_of_chunks(chunks: DataFrame, slices: int) -> DataFrame:
+    """(kind, slice, chunk, blob): of each chunk one compressed sorted run for each
+    slice of the key space, of words (kind 'w') and of word pairs (kind 'p'), with
+    the uses in rows to learn from (0 for keys only asked for). A frequent word is
+    one entry of each run, so no key is hot."""
+    bounds = slice_bounds(slices)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, _, _, learnt, sizes, planes, hashes = unpack_arrays(blob.as_py())
+                numbers = from_planes(planes, np.uint32).astype(np.int64)
+                learns = np.repeat(learnt, sizes)
+                uses = np.bincount(numbers[learns], minlength=len(hashes))
+                order = np.argsort(hashes, kind="stable")
+                # The lowest bit of a pair's key is free: it tells the uses to learn from.
+                keys = np.sort((pair_keys(hashes[numbers], sizes) ^ np.uint64(1)) | learns.astype(np.uint64))
+                counts, keys = (keys & np.uint64(1)).astype(np.int64), keys | np.uint64(1)
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                out = []
+                for kind, every, n in (("w", hashes[order], uses[order]), ("p", keys[first], np.add.reduceat(counts, first))):
+                    cuts = [0, *np.searchsorted(every, bounds), len(every)]
+                    out += [(kind, k, number, pack_sorted(every[cuts[k]:cuts[k + 1]], n[cuts[k]:cuts[k + 1]]))
+                            for k in range(slices) if cuts[k + 1] > cuts[k]]
+                for at in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                        zip(*out[at:at + 64]), (pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "slice", "chunk", "blob"])
+
+    return chunks.select("chunk", "blob").mapInArrow(split, "kind string, slice int, chunk long, blob binary")
 
 
 def starts_of_levels(most: int = 1 << 62) -> np.ndarray:
@@ -273,8 +273,10 @@ def answer_runs(runs: DataFrame) -> DataFrame:
 
 def score_rows(rows: DataFrame) -> DataFrame:
     """``score`` of the rows with ``asked``, learnt from those with ``learnt``."""
-    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    answers = materialise(answer_runs(gather_chunks(rows, max(4, -(-size // SLICE_BYTES)))))
+    chunks = materialise(gather_chunks(rows))
+    size = chunks.agg(F.sum("size").alias("b")).first().b or 0
+    with arrow_batches(rows.sparkSession, 16):  # a chunk has some megabytes
+        answers = materialise(answer_runs(runs_of_chunks(chunks, max(4, -(-size // SLICE_BYTES)))))
     totals = answers.where("kind = 'w' AND chunk IS NULL").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens = totals.n or 0
     below = float(tokens + (totals.v or 0) + 1)
@@ -282,9 +284,7 @@ def score_rows(rows: DataFrame) -> DataFrame:
     def rate(table: pa.Table) -> pa.Table:
         found = sorted(zip(table.column("kind").to_pylist(), table.column("slice").to_pylist(), range(table.num_rows)))
         blobs = {kind: [table.column("blob")[at].as_py() for x, _, at in found if x == kind] for kind in "twp"}
-        if len(blobs["t"]) != 1 or not blobs["w"]:
-            raise RuntimeError("the rows to score came in another order when they were read again")
-        ids, valid, asked, sizes, planes, hashes = unpack_arrays(blobs["t"][0])
+        ids, valid, asked, _, sizes, planes, hashes = unpack_arrays(blobs["t"][0])
         numbers = from_planes(planes, np.uint32).astype(np.int64)
         order, levels, exact = np.argsort(hashes, kind="stable"), [], []
         for blob in blobs["w"]:
@@ -311,7 +311,8 @@ def score_rows(rows: DataFrame) -> DataFrame:
             "score": pa.array(np.add.reduceat(logs, begins))}).filter(pa.array(asked))
 
     columns = ["kind", "slice", "chunk", "blob"]
-    return (gather_chunks(rows, 0).select(columns).union(answers.where("chunk IS NOT NULL").select(columns))
+    texts = chunks.select(F.lit("t").alias("kind"), F.lit(0).alias("slice"), "chunk", "blob")
+    return (texts.where("chunk IS NOT NULL").union(answers.where("chunk IS NOT NULL").select(columns))
             .groupBy("chunk").applyInArrow(rate, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
