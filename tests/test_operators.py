@@ -486,3 +486,30 @@ def test_nearest_site_prunes_queries_outside_the_sites(spark, metric):
     assert nearest_work(q, s, **how).first().evaluations < 2500 * 1000 / 8
     got = {r.qid: r.sid for r in nearest_site(q, s, **how).collect()}
     assert got == dict.fromkeys(range(1000), 49 + 50 * 49)
+
+
+def test_footprints_are_summed_in_blocks(spark, monkeypatch):
+    """Polygons meet cells as blocks of arrays: no row a pair, same sums as pair by pair."""
+    monkeypatch.setattr(zonal, "TILE_POLYGONS", 7)
+    monkeypatch.setattr(zonal, "TILE_CELLS", 3)
+    monkeypatch.setattr(zonal, "PAIRS_AT_ONCE", 16)
+    rng = random.Random(5)
+    shapes = []
+    for k in range(60):
+        x, y, w = rng.uniform(0, 40), rng.uniform(0, 40), rng.choice([1.0, 4.0, 30.0])
+        ring = [(x, y), (x + w, y + w / 3), (x + w / 2, y + w / 2), (x + w / 3, y + w)][:rng.choice([3, 4])]
+        shapes.append(([Row(x=a, y=b) for a, b in (ring + ring[:1] if k % 2 else ring)],))
+    polygons = spark.createDataFrame(shapes, "ring array<struct<x: double, y: double>>")
+    cells = spark.createDataFrame([(k, float(k % 5 * 10), float(k // 5 * 10), float(k % 5 * 10 + 10), float(k // 5 * 10 + 10)) for k in range(25)]
+                                  + [(99, 900.0, 900.0, 910.0, 910.0)], "cell int, x0 double, y0 double, x1 double, y1 double")
+    box = ["x0", "y0", "x1", "y1"]
+    found = zonal.footprint_by_cell(polygons, cells, ring="ring", cell_id=["cell"], cell_box=box, size=10.0)
+    got = {r.cell: (r.footprint_m2, r.building_count) for r in found.collect()}
+    bounds = geo.ring_bounds("ring")
+    touch = (bounds["xmin"] <= F.col("x1")) & (bounds["xmax"] >= F.col("x0")) & (bounds["ymin"] <= F.col("y1")) & (bounds["ymax"] >= F.col("y0"))
+    pairs = polygons.crossJoin(cells).where(touch).withColumn("a", geo.clipped_area("ring", *box)).where("a > 0")
+    want = {r.cell: (r.s, r.n) for r in pairs.groupBy("cell").agg(F.sum("a").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+    assert {k for k, v in got.items() if v[1]} == set(want) and 99 not in got
+    for k, (area, count) in want.items():
+        assert got[k][1] == count and got[k][0] == pytest.approx(area, rel=1e-9)
+    assert "FlatMapCoGroupsInArrow" in plan_of(found)

@@ -8,16 +8,16 @@ through equi-joins on integer tile keys.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.core import col, finite
-from ..functions.geo import clipped_area, ring_bounds
+from ..functions.geo import ring_bounds
 
 
 def _level(box: Sequence[str], size: float) -> Column:
@@ -67,19 +67,112 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, left_box: Sequence[str]
     return pairs.where(touch & corner).drop("_m", "_tx", "_ty", "_lown", "_rown")
 
 
+#: Polygons and cells of a tile that one task takes at most, about, and pairs that it looks at together.
+TILE_POLYGONS, TILE_CELLS, PAIRS_AT_ONCE = 16_384, 4_096, 1 << 17
+
+
+def clipped_areas(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """``clipped_area`` of many pairs: edges from (ax, ay) to (bx, by) as (pairs, edges), boxes as (pairs, 4)."""
+    xmin, ymin = box[:, 0, None], box[:, 1, None]
+    width, height = box[:, 2, None] - xmin, box[:, 3, None] - ymin
+    ax, ay, bx, by = ax - xmin, ay - ymin, bx - xmin, by - ymin
+    y0, y1 = np.minimum(np.maximum(ay, 0.0), height), np.minimum(np.maximum(by, 0.0), height)
+
+    def antiderivative(v: np.ndarray) -> np.ndarray:
+        return np.where(v < 0, 0.0, np.where(v <= width, v * v / 2.0, width * v - width * width / 2.0))
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = (bx - ax) / (by - ay)
+        x0, x1 = ax + slope * (y0 - ay), ax + slope * (y1 - ay)
+        flat = np.abs(x1 - x0) <= 1e-9 * width
+        mean = np.where(flat, np.minimum(np.maximum((x0 + x1) / 2.0, 0.0), width), (antiderivative(x1) - antiderivative(x0)) / (x1 - x0))
+        return np.abs(np.where(y0 == y1, 0.0, (y1 - y0) * mean).cumsum(axis=1)[:, -1])  # edge by edge, as the column function adds
+
+
+def _ring_edges(rings: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, starts, ends) of the rings with equally many edges, points as (rows, edges, 2); open rings are closed."""
+    rings = rings.combine_chunks()
+    points = rings.flatten()
+    xy = np.stack([points.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("x", "y")], axis=1)
+    counts = rings.value_lengths().to_numpy(zero_copy_only=False)
+    begins = np.cumsum(counts) - counts
+    for count in np.unique(counts[counts > 0]).tolist():
+        rows = np.flatnonzero(counts == count)
+        start = xy[begins[rows][:, None] + np.arange(count)]
+        yield rows, start, np.roll(start, -1, axis=1)  # a closed ring gets one more edge, of no length
+
+
 def footprint_by_cell(polygons: DataFrame, cells: DataFrame, *, ring: str, cell_id: Sequence[str],
                       cell_box: Sequence[str], size: float, by: Sequence[str] = ()) -> DataFrame:
-    """Per cell: summed intersection area and number of polygons with area."""
+    """Per cell: summed intersection area and number of polygons with area.
+
+    Polygons and cells meet by tile as in ``overlapping_boxes``, but as two blocks of
+    bounded size: their pairs are arrays inside a task and never rows. A tile with
+    many of both is dealt to as many tasks as it has pairs of blocks.
+    """
     bounds = ring_bounds(ring)
-    boxed = polygons.select(*by, F.col(ring).alias("_ring"),
+    left_box = ["_pxmin", "_pymin", "_pxmax", "_pymax"]
+    boxed = polygons.select(*by, F.col(ring).alias("_ring"), F.xxhash64(*polygons.columns).alias("_deal"),
                             *[bounds[k].alias(f"_p{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
-    slim = cells.select(*dict.fromkeys([*by, *cell_id, *cell_box]))
-    pairs = overlapping_boxes(boxed, slim, ["_pxmin", "_pymin", "_pxmax", "_pymax"],
-                              cell_box, size, by)
-    shared = pairs.withColumn("_area", clipped_area("_ring", *cell_box))
-    return shared.groupBy(*dict.fromkeys([*by, *cell_id])).agg(
-        F.sum("_area").alias("footprint_m2"),
-        F.count_if(F.col("_area") > 0).alias("building_count"))
+    keys = list(dict.fromkeys([*by, *cell_id]))
+    slim = cells.select(*dict.fromkeys([*keys, *cell_box])).withColumn("_deal", F.xxhash64(*keys, *cell_box))
+    left, right = boxed.withColumn("_own", _level(left_box, size)), slim.withColumn("_own", _level(cell_box, size))
+
+    def levels(df: DataFrame) -> Column:
+        return F.coalesce(df.agg(F.collect_set("_own")).scalar(), F.array().cast("array<int>"))
+
+    tile = [*by, "_m", "_tx", "_ty"]
+    left, right = _covered(left, left_box, size, levels(right)), _covered(right, cell_box, size, levels(left))
+
+    def blocks(df: DataFrame, most: int, name: str) -> DataFrame:
+        return df.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+
+    dealt = blocks(left, TILE_POLYGONS, "_lefts").join(blocks(right, TILE_CELLS, "_rights"), tile)
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows with the number of their block, once for each block of the other side."""
+        number, copies = ("_i", "_j") if own == "_lefts" else ("_j", "_i")
+        return (df.join(dealt, tile).withColumn(number, F.pmod("_deal", own).cast("int"))
+                .withColumn(copies, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_deal", "_lefts", "_rights"))
+
+    def overlay(some: pa.Table, met: pa.Table) -> pa.Table:
+        """Sums of the cells of one block over the polygons of another."""
+        total, count, known, touched = (np.zeros(met.num_rows) for _ in range(4))
+        if some.num_rows and met.num_rows:
+            level, tx, ty = (some.column(k)[0].as_py() for k in ("_m", "_tx", "_ty"))
+            side = float(size) * 2.0 ** level
+            box = np.stack([met.column(k).cast(pa.float64()).to_numpy() for k in cell_box], axis=1)
+            outer = np.stack([some.column(k).cast(pa.float64()).to_numpy() for k in left_box], axis=1)
+            own, others = some.column("_own").to_numpy(), met.column("_own").to_numpy()
+            for rows, start, end in _ring_edges(some.column("_ring")):
+                for first in range(0, len(rows), PAIRS_AT_ONCE):
+                    at = slice(first, first + PAIRS_AT_ONCE)
+                    p = outer[rows[at]]
+                    step = max(1, PAIRS_AT_ONCE // len(p))
+                    for begin in range(0, len(box), step):
+                        c = box[begin:begin + step, None]
+                        x, y = np.maximum(p[:, 0], c[..., 0]), np.maximum(p[:, 1], c[..., 1])
+                        meets = (x <= np.minimum(p[:, 2], c[..., 2])) & (y <= np.minimum(p[:, 3], c[..., 3]))
+                        meets &= np.maximum(own[rows[at]], others[begin:begin + step, None]) == level
+                        meets &= (np.floor(x / side) == tx) & (np.floor(y / side) == ty)
+                        j, i = np.nonzero(meets)
+                        for low in range(0, len(i), PAIRS_AT_ONCE // 4):
+                            k, cell = i[low:low + PAIRS_AT_ONCE // 4] + first, j[low:low + PAIRS_AT_ONCE // 4] + begin
+                            area = clipped_areas(start[k, :, 0], start[k, :, 1], end[k, :, 0], end[k, :, 1], box[cell])
+                            missing = np.isnan(area)
+                            total += np.bincount(cell, np.where(missing, 0.0, area), met.num_rows)
+                            count += np.bincount(cell, area > 0, met.num_rows)
+                            known += np.bincount(cell, ~missing, met.num_rows)
+                            touched += np.bincount(cell, minlength=met.num_rows)
+        kept = np.flatnonzero(touched)
+        return pa.table({**{k: met.column(k).take(pa.array(kept)) for k in keys},
+                         "_area": pa.array(total[kept], mask=known[kept] == 0), "_count": pa.array(count[kept].astype(np.int64))})
+
+    schema = StructType([*[slim.schema[k] for k in keys], StructField("_area", DoubleType()), StructField("_count", LongType())])
+    meeting = [*tile, "_i", "_j"]
+    parts = (spread(left, "_lefts", "_rights").groupBy(*meeting).cogroup(spread(right, "_rights", "_lefts").groupBy(*meeting))
+             .applyInArrow(overlay, schema))
+    return parts.groupBy(*keys).agg(F.sum("_area").alias("footprint_m2"), F.sum("_count").alias("building_count"))
 
 
 def street_canyon(height: str, footprint: str, count: str, cell_area: float) -> dict[str, Column]:
