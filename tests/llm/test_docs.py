@@ -486,3 +486,32 @@ def test_a_family_under_the_threshold_makes_few_candidates(spark):
     made = sum(b.num_rows - b.column(0).null_count for b in jaccard_join._candidate_rows(jaccard_join.FIRST_BEST)(iter([table])))
     everything = sum(b.num_rows for b in jaccard_join._candidate_rows(None)(iter([table])))
     assert made <= 2 * jaccard_join.FIRST_BEST * 500 and near <= everything < 124_750
+
+
+def test_a_pair_of_many_groups_comes_once():
+    """Sets that share many tokens are candidates of one group only, in small groups and in trees, whatever is held back."""
+    import numpy as np
+    import pyarrow as pa
+
+    from thermagrid.llm import jaccard_join as J
+
+    rng = np.random.default_rng(3)
+    shared = [set(rng.choice(12, 6, replace=False).tolist()) | ({100} if k < 90 else {200}) for k in range(120)]
+    tokens = [np.unique(np.concatenate((np.arange(60), 60 + rng.integers(0, 30, 4)))).astype(np.uint64) for _ in shared]
+    rows = [(t, 0, 0, 0, k, len(tokens[k]), k, J.bitmap(tokens[k]), sorted(s)) for t in sorted({t for s in shared for t in s})
+            for k, s in enumerate(shared) if t in s]
+    names = ["token", "i", "j", "piece", "sid", "n", "comp", "bits", "tokens"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    met = {(a, b) for a in range(120) for b in range(a + 1, 120) if shared[a] & shared[b]}
+
+    def found(most):
+        out = [r for b in J._candidate_rows(most)(iter(table.to_batches(100))) for r in b.to_pylist()]
+        return [(r["a"], r["b"]) for r in out if r["a"] is not None], {r["token"] for r in out if r["a"] is None}
+
+    every, none = found(None)
+    assert len(every) == len(set(every)) and set(every) == met and not none
+    few, late = found(2)
+    assert len(few) == len(set(few)) and set(few) < met and late
+    for a, b in met - set(few):  # what is put off is in a group that is searched again
+        assert shared[a] & shared[b] & late

@@ -50,6 +50,10 @@ FANOUT = 16
 #: Bits a token that the trees see, bytes of bitmaps that a search gathers at a time, and candidates
 #: of a set in a group that are checked before the rest of the group is searched.
 TREE_BITS, GATHER_BYTES, FIRST_BEST = 4, 16 << 20, 6
+#: Node pairs of a tree that are opened together, and pairs held before the best of each set are taken.
+OPENED, HELD = 1 << 11, 200_000
+#: Tokens of a set, and bits of a group, by which a pair is known to meet in an earlier group too.
+EARLIER_TOKENS, EARLIER_BITS = 64, 1 << 15
 CACHED_WORDS = 200_000
 #: Rows of a batch that carry whole texts, sets or bitmaps.
 BATCH_ROWS = 1000
@@ -338,9 +342,9 @@ class SignatureTree:
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, x, y = stack.pop()
-            if len(x) > 1 << 14:
-                stack += [(level, x[1 << 14:], y[1 << 14:])]
-                x, y = x[:1 << 14], y[:1 << 14]
+            if len(x) > OPENED:
+                stack += [(level, x[OPENED:], y[OPENED:])]
+                x, y = x[:OPENED], y[:OPENED]
             if same:
                 ahead = x < y if level == 0 else x <= y
                 x, y = x[ahead], y[ahead]
@@ -388,8 +392,8 @@ def _tree_pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
                         yield left[0][x], right[0][y], overlap
 
 
-def _small_pairs(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of row numbers inside many small groups that one level of bounds leaves, with their possible overlap."""
+def _small_pairs(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray, first_met) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of row numbers inside many small groups that ``first_met`` and one level of bounds leave, with their possible overlap."""
     n, comp, sid = (rows.column(c).to_numpy() for c in ("n", "comp", "sid"))
     first, second = [], []
     for size in np.unique(sizes):
@@ -400,6 +404,8 @@ def _small_pairs(rows: pa.Table, begins: np.ndarray, sizes: np.ndarray) -> tuple
     x, y = np.concatenate(first), np.concatenate(second)
     keep = (comp[x] != comp[y]) & (100 * n[x] >= SIMILAR * n[y]) & (100 * n[y] >= SIMILAR * n[x])
     x, y = x[keep], y[keep]
+    keep = first_met(x, y)
+    x, y = x[keep], y[keep]
     low, high = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
     order = np.lexsort((high, low))
     fresh = np.ones(len(order), np.bool_)
@@ -435,9 +441,39 @@ def _best_of_each(a: np.ndarray, b: np.ndarray, estimate: np.ndarray, most: int)
     return keep
 
 
+def _earlier_groups(rows: pa.Table, own: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """(rows, words): a bit for each group with a smaller token that several rows of this one are in too.
+
+    Bits and tokens are bounded: a bit that is lacking only lets a pair come once more.
+    """
+    if "tokens" not in rows.column_names:
+        return np.zeros((rows.num_rows, 1), np.uint64)
+    tokens = rows.column("tokens").combine_chunks()
+    flat, counts = tokens.flatten().to_numpy(), tokens.value_lengths().to_numpy()
+    row = np.repeat(np.arange(rows.num_rows), counts)
+    at = np.flatnonzero(flat < own[row])
+    at = at[np.lexsort((flat[at], group[row[at]]))]
+    row, flat, place = row[at], flat[at], group[row[at]]
+    fresh = np.ones(len(at), np.bool_)
+    fresh[1:] = (flat[1:] != flat[:-1]) | (place[1:] != place[:-1])
+    met = np.cumsum(fresh) - 1
+    several = np.bincount(met)[met] > 1 if len(met) else fresh
+    row, place, fresh = row[several], place[several], fresh[several]
+    column = np.cumsum(fresh) - 1
+    first = np.ones(len(place), np.bool_)
+    first[1:] = place[1:] != place[:-1]
+    column -= np.maximum.accumulate(np.where(first, column, 0)) if len(column) else 0
+    some = column < EARLIER_BITS
+    row, column = row[some], column[some]
+    out = np.zeros((rows.num_rows, int(column.max()) // 64 + 1 if len(column) else 1), np.uint64)
+    np.bitwise_or.at(out, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return out
+
+
 def _candidate_rows(most: int | None):
-    """Pairs (a, b) that the bounds leave, from rows (token, i, j, piece, sid, n, comp, bits)
-    sorted by group; a last group that may go on is kept for the next batch.
+    """Pairs (a, b) that the bounds leave, from rows (token, i, j, piece, sid, n, comp, bits, tokens)
+    sorted by group; a last group that may go on is kept for the next batch. A pair comes from the
+    first of the searched groups that both sets are in (``tokens``: the first of each set's groups, if given).
 
     With ``most`` only the best few pairs of each set in a group, by the share of both sets
     that they may have in common, and a row with the group's token (a and b null) where
@@ -449,31 +485,51 @@ def _candidate_rows(most: int | None):
         sizes = np.diff(np.append(begins, rows.num_rows))
         sid, n = rows.column("sid").to_numpy(), rows.column("n").to_numpy()
         small = (sizes <= SMALL) & (sizes > 1)
+        earlier = _earlier_groups(rows, keys[0], np.repeat(np.arange(len(sizes)), sizes))
+        step = max(1, GATHER_BYTES // (8 * earlier.shape[1]))
+
+        def first_met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Which pairs no earlier group has."""
+            return np.concatenate([np.zeros(0, np.bool_), *[~(earlier[x[at:at + step]] & earlier[y[at:at + step]]).any(axis=1) for at in range(0, len(x), step)]])
+
+        def best(x: np.ndarray, y: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+            return _best_of_each(np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y]), overlap / (n[x] + n[y] - overlap), most)
+
+        late: set[int] = set()
 
         def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             if small.any():
-                yield _small_pairs(rows, begins[small], sizes[small])
+                yield _small_pairs(rows, begins[small], sizes[small], first_met)
             for begin, size in zip(begins[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
                 held, count = [], 0
                 for x, y, overlap in _tree_pairs(rows.slice(begin, size).combine_chunks()):
-                    held.append((begin + x, begin + y, overlap))
-                    count += len(x)
-                    if most is None and count > 200_000:  # all pairs go on as they are met
-                        yield tuple(np.concatenate(c) for c in zip(*held))
-                        held, count = [], 0
+                    keep = first_met(begin + x, begin + y)
+                    held.append((begin + x[keep], begin + y[keep], overlap[keep]))
+                    count += len(held[-1][0])
+                    if count > HELD:
+                        pairs = tuple(np.concatenate(c) for c in zip(*held))
+                        if most is None:  # all pairs go on as they are met
+                            yield pairs
+                            held, count = [], 0
+                        else:  # what is not among the best of these is not among the best of more
+                            keep = best(*pairs)
+                            if not keep.all():
+                                late.add(int(keys[0][begin]))
+                            held = [tuple(c[keep] for c in pairs)]
+                            count = 0
                 if held:
                     yield tuple(np.concatenate(c) for c in zip(*held))
 
         for x, y, overlap in found():
             low, high = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
             if most is not None and len(x):
-                keep = _best_of_each(low, high, overlap / (n[x] + n[y] - overlap), most)
-                late = np.unique(keys[0][x[~keep]])
-                if len(late):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(late), pa.int64()), pa.nulls(len(late), pa.int64()), pa.array(late)], ["a", "b", "token"])
+                keep = best(x, y, overlap)
+                late.update(np.unique(keys[0][x[~keep]]).tolist())
                 low, high = low[keep], high[keep]
             pairs = np.unique(np.stack((low, high)), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], ["a", "b", "token"])
+        if late:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(late), pa.int64()), pa.nulls(len(late), pa.int64()), pa.array(sorted(late), pa.int64())], ["a", "b", "token"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -553,6 +609,8 @@ def _closed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                  .where("lo <> hi").groupBy("g", "x1", "x2").agg(F.min("token").alias("token"))
                  .select("token", (F.ceil(F.col("g") / PIECE)).cast("int").alias("pieces")))
         grouped = labelled.join(still, "token")
+        # The first groups of every set, so that a pair that shares many of them comes once.
+        listed = views.join(grouped.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("token")), 1, EARLIER_TOKENS).alias("tokens")), "sid")
         # In a group that is one piece, sets without another of fitting size go before bitmaps are fetched.
         by_size = Window.partitionBy("token").orderBy("n", "sid")
         alone = grouped.where("pieces = 1").withColumns({"lower": F.lag("n").over(by_size), "upper": F.lead("n").over(by_size)})
@@ -561,7 +619,7 @@ def _closed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         placed = (grouped.withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")).cast("int"))
                   .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
                   .withColumn("i", F.least("piece", "other")).withColumn("j", F.greatest("piece", "other")))
-        return (placed.join(views, "sid").select("token", "i", "j", "piece", "sid", "n", "comp", "bits")
+        return (placed.join(listed, "sid").select("token", "i", "j", "piece", "sid", "n", "comp", "bits", "tokens")
                 .repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
                 .mapInArrow(_candidate_rows(most), "a long, b long, token long"))
 
