@@ -76,12 +76,32 @@ def central_meridian(zone: int) -> float:
 
 def utm_forward(lat, lon, zone: int = 30) -> tuple[Column, Column]:
     """Easting and northing in metres (northern hemisphere)."""
-    phi = F.radians(col(lat))
-    dl = F.radians(col(lon) - F.lit(central_meridian(zone)))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(ECC) * F.atanh(s * F.lit(ECC)))
-    xi = F.atan2(t, F.cos(dl))
-    eta = F.atanh(F.sin(dl) / F.sqrt(t * t + F.lit(1.0)))
+    t, dl = _conformal_tangent(lat), _off_meridian(lon, zone)
+    return _forward_sums(F.atan2(t, F.cos(dl)), _forward_eta(t, dl))
+
+
+# The steps of the projection one by one: inside a lambda an expression is computed again wherever it stands, so
+# the rings below bind each step (``let``) instead of nesting all of them.
+
+def _off_meridian(lon, zone: int) -> Column:
+    return F.radians(col(lon) - F.lit(central_meridian(zone)))
+
+
+def _conformal_tangent(lat) -> Column:
+    s = F.sin(F.radians(col(lat)))
+    return F.sinh(F.atanh(s) - F.lit(ECC) * F.atanh(s * F.lit(ECC)))
+
+
+def _forward_eta(t: Column, dl: Column) -> Column:
+    return F.atanh(F.sin(dl) / F.sqrt(t * t + F.lit(1.0)))
+
+
+def _forward_angles(lat, lon, zone: int) -> Column:
+    start = F.struct(_conformal_tangent(lat).alias("t"), _off_meridian(lon, zone).alias("dl"))
+    return let(start, lambda a: F.struct(F.atan2(a["t"], F.cos(a["dl"])).alias("xi"), _forward_eta(a["t"], a["dl"]).alias("eta")))
+
+
+def _forward_sums(xi: Column, eta: Column) -> tuple[Column, Column]:
     east, north = eta, xi
     for j, a in enumerate(ALPHA, start=1):
         k = F.lit(2.0 * j)
@@ -94,19 +114,43 @@ def utm_forward(lat, lon, zone: int = 30) -> tuple[Column, Column]:
 def utm_inverse(x, y, zone: int = 30) -> tuple[Column, Column]:
     """Latitude and longitude in degrees."""
     scale = F.lit(UTM_SCALE * RECTIFYING_RADIUS)
-    xi0 = col(y) / scale
-    eta0 = (col(x) - F.lit(UTM_FALSE_EASTING)) / scale
+    xi, eta = _inverse_sums(col(y) / scale, (col(x) - F.lit(UTM_FALSE_EASTING)) / scale)
+    return _latitude(_conformal(xi, eta)), _longitude(xi, eta, zone)
+
+
+def _inverse_angles(x, y) -> Column:
+    scale = F.lit(UTM_SCALE * RECTIFYING_RADIUS)
+    start = F.struct((col(y) / scale).alias("xi"), ((col(x) - F.lit(UTM_FALSE_EASTING)) / scale).alias("eta"))
+
+    def sums(a: Column) -> Column:
+        xi, eta = _inverse_sums(a["xi"], a["eta"])
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    return let(start, sums)
+
+
+def _inverse_sums(xi0: Column, eta0: Column) -> tuple[Column, Column]:
     xi, eta = xi0, eta0
     for j, b in enumerate(BETA, start=1):
         k = F.lit(2.0 * j)
         xi = xi - F.lit(b) * F.sin(k * xi0) * F.cosh(k * eta0)
         eta = eta - F.lit(b) * F.cos(k * xi0) * F.sinh(k * eta0)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    return xi, eta
+
+
+def _conformal(xi: Column, eta: Column) -> Column:
+    return F.asin(F.sin(xi) / F.cosh(eta))
+
+
+def _latitude(chi: Column) -> Column:
     phi = chi
     for j, d in enumerate(DELTA, start=1):
         phi = phi + F.lit(d) * F.sin(F.lit(2.0 * j) * chi)
-    lon = F.lit(central_meridian(zone)) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
-    return F.degrees(phi), lon
+    return F.degrees(phi)
+
+
+def _longitude(xi: Column, eta: Column, zone: int) -> Column:
+    return F.lit(central_meridian(zone)) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
 
 
 def half_side_from_area(area_km2) -> Column:
@@ -231,17 +275,14 @@ def ring_bounds(ring: str | Column) -> dict[str, Column]:
 
 def ring_to_utm(ring: str | Column, zone: int = 30) -> Column:
     """Ring of (x = longitude, y = latitude) to metres."""
-    def project(p: Column) -> Column:
-        x, y = utm_forward(p["y"], p["x"], zone)
-        return point(x, y)
-    return F.transform(col(ring), project)
+    return F.transform(col(ring), lambda p: let(_forward_angles(p["y"], p["x"], zone), lambda a: point(*_forward_sums(a["xi"], a["eta"]))))
 
 
 def ring_to_degrees(ring: str | Column, zone: int = 30) -> Column:
-    def unproject(p: Column) -> Column:
-        lat, lon = utm_inverse(p["x"], p["y"], zone)
-        return point(lon, lat)
-    return F.transform(col(ring), unproject)
+    def degrees(a: Column) -> Column:
+        return let(_conformal(a["xi"], a["eta"]), lambda chi: point(_longitude(a["xi"], a["eta"], zone), _latitude(chi)))
+
+    return F.transform(col(ring), lambda p: let(_inverse_angles(p["x"], p["y"]), degrees))
 
 
 def edge_rotation_deg(ring: str | Column) -> Column:
