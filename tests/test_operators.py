@@ -513,3 +513,25 @@ def test_footprints_are_summed_in_blocks(spark, monkeypatch):
     for k, (area, count) in want.items():
         assert got[k][1] == count and got[k][0] == pytest.approx(area, rel=1e-9)
     assert "FlatMapCoGroupsInArrow" in plan_of(found)
+
+
+def test_areas_are_dealt_out_before_their_nodes_are_made(spark, monkeypatch):
+    areas = spark.range(60).coalesce(1).select(
+        F.col("id").alias("area_id"), F.lit(37.0).alias("center_lat"), F.lit(-6.0).alias("center_lon"),
+        F.when(F.col("id") != 7, 300.0).otherwise(10.0).alias("half_side_m"), F.lit(20.0).alias("rotation_deg"))
+    monkeypatch.setattr(grid, "NODES_AT_ONCE", 500)
+    nodes = grid.node_grid(areas, 100.0)
+    tasks = nodes.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(t.n for t in tasks) == 59 * 36 and max(t.n for t in tasks) <= 20 * 36 and len(tasks) >= 4
+    assert grid.node_grid(areas.where("area_id = 7"), 100.0).count() == 0
+
+
+def test_rings_project_like_points_and_bind_each_step_once(spark):
+    row = spark.range(1).select(F.array(*[geo.point(F.lit(x), F.lit(y)) for x, y in ((-6.1, 37.2), (-2.9, -41.0), (0.5, 0.0))]).alias("ring"))
+    row = row.withColumn("metres", geo.ring_to_utm("ring")).withColumn("back", geo.ring_to_degrees("metres"))
+    got = row.select(F.inline(F.arrays_zip("ring", "metres", "back")))
+    x, y = geo.utm_forward("ring.y", "ring.x")
+    lat, lon = geo.utm_inverse("metres.x", "metres.y")
+    for r in got.select("metres", "back", x.alias("x"), y.alias("y"), lat.alias("lat"), lon.alias("lon")).collect():
+        assert tuple(r.metres) == (r.x, r.y) and tuple(r.back) == (r.lon, r.lat)
+    assert str(geo.ring_to_utm("ring")).lower().count("sinh(") < 30 and str(geo.ring_to_degrees("ring")).lower().count("sinh(") < 30

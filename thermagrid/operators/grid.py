@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.core import col, let
+from ..session import dealt_evenly
+
+#: Nodes that one task makes, about.
+NODES_AT_ONCE = 500_000
 
 
 def node_grid(areas: DataFrame, spacing_m: float, zone: int = 30) -> DataFrame:
@@ -17,9 +21,10 @@ def node_grid(areas: DataFrame, spacing_m: float, zone: int = 30) -> DataFrame:
     cx, cy = geo.utm_forward("center_lat", "center_lon", zone)
     s = float(spacing_m)
     count = F.ceil((F.col("half_side_m") * 2 - F.lit(s / 2)) / F.lit(s)).cast("int")
-    base = areas.withColumn("_cx", cx).withColumn("_cy", cy).withColumn("_n", count)
+    base = areas.withColumn("_cx", cx).withColumn("_cy", cy).withColumn("_n", count).where(F.col("_n") > 0)
     index = F.sequence(F.lit(0), F.col("_n") - 1)
-    cells = (base.where(F.col("_n") > 0)
+    nodes = areas.select(count.cast("long").alias("_n")).where("_n > 0").agg(F.sum(F.col("_n") * F.col("_n"))).first()[0]
+    cells = (dealt_evenly(base, nodes or 0, NODES_AT_ONCE)
              .withColumn("row", F.explode(index)).withColumn("col", F.explode(index)))
     dx = -F.col("half_side_m") + F.lit(s / 2) + F.col("col") * F.lit(s)
     dy = F.col("half_side_m") - F.lit(s / 2) - F.col("row") * F.lit(s)
