@@ -402,3 +402,11 @@ def test_out_of_fold_covers_every_row(spark):
     pairs = training_pairs(unified, scenes)
     out = out_of_fold(pairs, "bias+ridge", folds=3)
     assert out.count() == pairs.count() and out.where("LST_predicted_K is null").count() == 0
+
+
+def test_geocoder_answers_are_dealt_out_before_they_unfold(spark, monkeypatch):
+    docs = spark.range(40).coalesce(1).select("id", F.lit('[{"display_name": "a"}, {"display_name": "b"}]').alias("doc"))
+    monkeypatch.setattr(payloads, "ANSWERS_AT_ONCE", 10)
+    found = payloads.geocoder_candidates(docs, "doc", ["id"])
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(t.n for t in tasks) == 80 and len(tasks) == 4 and max(t.n for t in tasks) <= 26

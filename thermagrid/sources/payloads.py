@@ -11,6 +11,10 @@ from .. import schemas
 from ..functions.calendar import millis_to_time, parse_time
 from ..functions.core import number
 from ..functions.geo import point
+from ..session import dealt_evenly
+
+#: Search answers that one task unfolds, about.
+ANSWERS_AT_ONCE = 20_000
 
 # Band order of the coarse product.
 COARSE_BANDS = ["LST", "LST_uncertainty", "NDVI", "CLOUD", "BAYES", "POINTING", "CONFIDENCE"]
@@ -66,7 +70,7 @@ def headed_rows(df: DataFrame, text: str, fields: Sequence[str], keys: Sequence[
 
 def geocoder_candidates(df: DataFrame, text: str, keys: Sequence[str] = ()) -> DataFrame:
     """Search answers to candidates; box order becomes west, south, east, north."""
-    items = df.select(*keys, F.posexplode(
+    items = dealt_evenly(df, df.count(), ANSWERS_AT_ONCE).select(*keys, F.posexplode(
         F.from_json(F.col(text), schemas.GEOCODER_JSON)).alias("position", "c"))
     box = F.transform("c.boundingbox", lambda v: v.try_cast("double"))
     return items.select(
