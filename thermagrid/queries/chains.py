@@ -11,7 +11,7 @@ from ..plans.coarse import coarse_table, nearest_product_times, raster_pixels, v
 from ..plans.downscaling import ranked_importances, training_rows
 from ..plans.unified import unified_table
 from ..plans.weather import weather_tables
-from ..session import cut_lineage, fresh_path
+from ..session import cut_lineage, fresh_path, stored
 from .base import day, events, lat_of, lon_of, long, query, r, s_lat, s_lon, s_r, s_scaled, table
 from .modelling import (S_ROWS, SPATIAL, line_rows, s_day_sizes, s_pixels, s_translated, translation_rows)
 from .panels import UNIFIED_SQL, unified_inputs
@@ -256,7 +256,7 @@ SELECT date, count(*) AS rows, {s_r('avg(p)', 4)} AS predicted, {s_r('max(p)', 4
 """)
 def bundle_round_trip(spark, sf):
     """A fitted bundle written, read again and used."""
-    rows = cut_lineage(translation_rows(spark, sf))
+    rows = stored(translation_rows(spark, sf))
     path = fresh_path(spark)
     save_bundle(fit_bundle(rows, "linear+ridge"), spark, path, purpose="translation")
     out = predict_bundle(load_bundle(spark, path), rows)
@@ -270,6 +270,6 @@ UNION ALL SELECT 'gap_ALBEDO_S2_delta', {s_r('b_8', 6)} FROM spa
 """)
 def ridge_importances(spark, sf):
     """Coefficients of the standardised inputs, largest first."""
-    rows = cut_lineage(translation_rows(spark, sf))
+    rows = stored(translation_rows(spark, sf))
     model = fit_regressor(rows, SPATIAL, "LST_spatial_anomaly_K", {"kind": "ridge", "alpha": 10.0})
     return ranked_importances(spark, model).withColumn("importance", r("importance", 6))
