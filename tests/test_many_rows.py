@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from thermagrid.models import translation
-from thermagrid.operators import ranking
+from thermagrid.operators import near_space, ranking
 from thermagrid.operators.ranking import fold_medians
 from thermagrid.session import stored
 
@@ -55,3 +55,32 @@ def test_pixel_means_day_sizes_and_models_join_without_a_shuffle_of_the_rows(spa
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_discs_and_leaves_join_by_size(spark, monkeypatch):
+    """Discs unfold over as many tasks as their cells need, and neither their cells nor the arrays of
+    sites are broadcast by an estimate made before they grew; the means stay those of all pairs."""
+    rng = np.random.default_rng(11)
+    at, places = rng.random((90, 2)) * 100, rng.random((2500, 2)) * 70
+    t = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "t long, x double, y double").coalesce(1)
+    n = spark.createDataFrame([(i, *map(float, p), float(i % 17)) for i, p in enumerate(places)], "n long, x double, y double, v double")
+    how = dict(target_id=["t"], target_xy=("x", "y"), source_xy=("x", "y"), source_id=["n"], values=["v"], radius=9.0)
+
+    def found():
+        return {r.t: (round(r.v_mean, 9), r.n_sources) for r in near_space.radius_mean(t, n, **how).collect()}
+
+    want = {}
+    for i, p in enumerate(at):
+        d = np.hypot(*(places - p).T)
+        near = np.flatnonzero(d <= 9.0) if (d <= 9.0).any() else np.array([d.argmin()])
+        want[i] = (round(float(np.mean(near % 17)), 9), len(near))
+    assert found() == want
+    monkeypatch.setattr(near_space, "COVER_ROWS", 200)
+    monkeypatch.setattr(near_space, "fits", lambda *_: False)
+    joins, sides = [], near_space._cover_by_size
+    monkeypatch.setattr(near_space, "_cover_by_size", lambda *a: joins.append(sides(*a)) or joins[-1])
+    assert found() == want
+    cover, cells = joins[0]
+    assert cover.rdd.getNumPartitions() > 8
+    plan = cover.join(cells, ["_level", "_cx", "_cy", "_edge"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -35,12 +35,16 @@ def maybe_broadcast(df: DataFrame, limit: int = SIZE_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if small_enough(df, limit) else df
 
 
+def fits(side: DataFrame, row_bytes: int | None = None, limit: int = SIZE_LIMIT_BYTES) -> bool:
+    """Whether the counted rows of a table that is cheap to count stay under ``limit``.
+    ``row_bytes`` is needed where rows hold arrays."""
+    return side.count() * (row_bytes or side._jdf.schema().defaultSize()) <= limit
+
+
 def counted_side(side: DataFrame, row_bytes: int | None = None, limit: int = SIZE_LIMIT_BYTES) -> DataFrame:
     """A broadcast hint for a table that is cheap to count, when its rows fit ``limit``: the many rows of
-    the other side of a join then need no shuffle. A larger one joins by shuffle.
-    ``row_bytes`` is needed where rows hold arrays."""
-    width = row_bytes or side._jdf.schema().defaultSize()
-    return F.broadcast(side) if side.count() * width <= limit else side
+    the other side of a join then need no shuffle. A larger one joins by shuffle."""
+    return F.broadcast(side) if fits(side, row_bytes, limit) else side
 
 
 def written_side(df: DataFrame, row_bytes: int | None = None, limit: int = SIZE_LIMIT_BYTES) -> DataFrame:

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions.core import let
 from ..functions.geo import EARTH_RADIUS_M, haversine_m, planar_m, scaled_degrees_sq
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
+from .lookups import fits
 
 STEP_BITS = 2          # each level splits a cell in 4 x 4
 MAX_BITS = 30          # cells of a 2^-30th of the extent, centimetres on Earth
+COVER_ROWS = 500_000   # cells of discs that a task of radius_mean unfolds, about
 SLACK = 1e-9           # bounds are relaxed by this share, the final test is exact
 
 
@@ -255,8 +257,13 @@ def _nearest(queries, sites, query_id, query_uv, site_uv, payload, tie, by, metr
         leaves = frontier.select(
             *by, F.col("q_kx").alias("_kx"), F.col("q_ky").alias("_ky"),
             F.col("s_kx").alias("_skx"), F.col("s_ky").alias("_sky"))
-        loaded = leaves.join(arrays, [*by, "_skx", "_sky"], "inner")
-        met = qk.select(*point, "_kx", "_ky").join(loaded, [*by, "_kx", "_ky"], "inner")
+        # Points meet the keys of their site leaves first: an array is in one row before
+        # the last join, not in as many as there are query cells around it.
+        aimed = qk.select(*point, "_kx", "_ky").join(leaves, [*by, "_kx", "_ky"], "inner")
+        # The estimate of an aggregate of arrays is far below its size: sites are counted instead
+        # (nested rows take about twice the bytes of their values).
+        small = fits(s, 2 * (s._jdf.schema().defaultSize() + 8 * m.n_axes))
+        met = aimed.join(F.broadcast(arrays) if small else arrays.hint("merge"), [*by, "_skx", "_sky"], "inner")
         if count_work:
             return met.agg(F.sum(F.size("_sites")).alias("evaluations"))
         pairs = met.select(*ids, _nearest_of_array(m).alias("_best"))
@@ -392,9 +399,10 @@ def radius_mean(
     )
     edge = keyed.withColumn("_level", F.explode("_used")).withColumns(cell).select(
         *key, F.lit(True).alias("_edge"), *parts, "_x", "_y")
+    at = stored(_with_depth(t, blocks, corner, base))
+    cover, cells = _cover_by_size(at, ids, radius, base, inner.unionByName(edge), [*key, "_edge"])
     found = (
-        _disc_cells(_with_depth(t, blocks, corner, base), [*ids, "_tx", "_ty"], radius, base)
-        .join(inner.unionByName(edge), [*key, "_edge"], "inner")
+        cover.join(cells, [*key, "_edge"], "inner")
         .where(~F.col("_edge") | (planar_m("_tx", "_ty", "_x", "_y") <= F.lit(radius)))
     )
     # Every target also brings a row of its own without sums: what has nothing else is alone.
@@ -421,6 +429,24 @@ def _with_depth(targets: DataFrame, blocks: DataFrame, corner: list[str], base:
     return at.join(blocks, corner, "left").withColumn("_depth", F.coalesce("_depth", F.lit(0)))
 
 
+def _cover_by_size(at: DataFrame, ids: list[str], radius: float, base: float, cells: DataFrame,
+                   key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join of discs and summed cells, over so many tasks that each unfolds and
+    joins about ``COVER_ROWS`` cells of discs, in however few tasks the targets were read.
+
+    A disc has some 20 * 2 ** depth cells. The size of a side that unfolds is not seen before it
+    has unfolded, so it is never left to be broadcast: the summed cells are, when they are
+    few, and both sides meet by a sorted shuffle else.
+    """
+    rows = at.agg(F.sum(F.pow(F.lit(2.0), "_depth") * F.lit(20.0))).first()[0] or 0.0
+    tasks = max(1, math.ceil(rows / COVER_ROWS))
+    cover = _disc_cells(at.repartition(tasks, *ids), [*ids, "_tx", "_ty"], radius, base)
+    cells = stored(cells)
+    if fits(cells):
+        return cover, F.broadcast(cells)
+    return cover.repartition(tasks, *key).hint("merge"), cells.repartition(tasks, *key)
+
+
 def _disc_cells(targets: DataFrame, kept: list[str], radius: float, base: float) -> DataFrame:
     """``kept``, _level, _cx, _cy, _edge: the cells that make up each target's disc.
 
