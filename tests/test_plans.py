@@ -410,3 +410,27 @@ def test_geocoder_answers_are_dealt_out_before_they_unfold(spark, monkeypatch):
     found = payloads.geocoder_candidates(docs, "doc", ["id"])
     tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
     assert sum(t.n for t in tasks) == 80 and len(tasks) == 4 and max(t.n for t in tasks) <= 26
+
+
+def test_pixel_ids_of_a_day_do_not_part_equal_layouts(spark):
+    """Ids that hold the time of the day (as the coarse chain makes them) made every date a layout and a search of its own.
+    Rows and columns still settle equal distances, and the panel is never joined as a whole with what was observed."""
+    fine = spark.createDataFrame([("z", "n1", "2024-07-04", 300.0), ("z", "n1", "2024-07-09", 301.0), ("z", "gone", "2024-07-05", 302.0)],
+                                 "area_id string, node_id string, date string, LST_K double")
+    rows = [("z", f"2024070{d}_{r}", f"2024-07-0{d}", -0.01 if r else 0.01, 0.0, 1 - r, 0, 300.0 + 10 * d + r) for d in range(1, 8) for r in (0, 1)]
+    rows += [("z", "lost", "2024-07-03", None, -5.98, 9, 9, 1.0), ("z", "nan", "2024-07-04", float("nan"), -5.98, 9, 9, 2.0)]
+    coarse = spark.createDataFrame(rows, "area_id string, node_id string, date string, latitude double, longitude double, row int, col int, LST_1km double")
+    middle = spark.createDataFrame([("z", "mid", 0.0, 0.0), ("z", "nowhere", None, None), ("z", "n1", 0.002, 0.0)],
+                                   "area_id string, node_id string, latitude double, longitude double")
+    parts = panel_parts(fine, coarse, middle)
+    assert parts.match.select("_layout").distinct().count() == 1 and parts.match.count() == 2
+    out = unified_table(fine, coarse, middle, tolerance_days=1)
+    found = {(r.node_id, r.date.day): r for r in out.collect()}
+    assert len(found) == out.count() == 3 * 8
+    for d in range(1, 8):
+        assert found["mid", d].sentinel3_pixel_id == f"2024070{d}_1" and found["n1", d].sentinel3_pixel_id == f"2024070{d}_0"
+        assert found["nowhere", d].sentinel3_pixel_id is None and found["nowhere", d].LST_K is None
+    assert found["mid", 9].sentinel3_pixel_id is None
+    assert {k: r.LST_K for k, r in found.items() if r.LST_K is not None} == {("n1", 4): 300.0, ("n1", 9): 301.0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan.split("Exchange")[0]

@@ -87,25 +87,66 @@ def attach_weather(df: DataFrame, time: str, hourly: DataFrame, daily: DataFrame
     )
 
 
-def dense_panel(nodes: DataFrame, days: DataFrame, day: str, area: str,
-                key: str = "node_id", spread: int | None = None) -> DataFrame:
-    """Every node of an area on every reference day of that area.
-
-    The days of an area are gathered into one array (its length is bounded by
-    the calendar) and unfolded per node: no cross join, no shuffle of the
-    panel. An area's nodes are spread over ``spread`` salts, as many as there are
-    shuffle partitions unless given, so a huge area fills the cluster; the
-    partition count is fixed because the rows multiply here and sizes seen
-    before the unfolding would merge tasks wrongly.
-    """
+def days_beside(nodes: DataFrame, days: DataFrame, day: str, area: str, key: str = "node_id", spread: int | None = None) -> DataFrame:
+    """``nodes`` with the days of their area as a sorted array ``_days`` (its length is bounded
+    by the calendar). An area's nodes are spread over ``spread`` salts, as many as there are
+    shuffle partitions unless given, so a huge area fills the cluster; the partition count is
+    fixed because rows multiply when the days unfold."""
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = spread or partitions
     salted = nodes.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(spread)).cast("int"))
-    calendar = (days.where(F.col(day).isNotNull()).groupBy(area)
-                .agg(F.sort_array(F.collect_set(day)).alias("_days")))
-    copies = calendar.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return (salted.repartition(partitions, area, "_salt").join(copies, [area, "_salt"], "inner")
-            .drop("_salt").withColumn(day, F.explode("_days")).drop("_days"))
+    copies = _day_arrays(days, day, area).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return salted.repartition(partitions, area, "_salt").join(copies, [area, "_salt"], "inner").drop("_salt")
+
+
+def _day_arrays(days: DataFrame, day: str, area: str) -> DataFrame:
+    return (days.where(F.col(day).isNotNull()).groupBy(area)
+            .agg(F.sort_array(F.collect_set(day)).alias("_days")))
+
+
+def dense_panel(nodes: DataFrame, days: DataFrame, day: str, area: str,
+                key: str = "node_id", spread: int | None = None) -> DataFrame:
+    """Every node of an area on every reference day of that area: no cross join, no shuffle of
+    the panel, as the days are unfolded beside the nodes."""
+    return days_beside(nodes, days, day, area, key, spread).withColumn(day, F.explode("_days")).drop("_days")
+
+
+def observed_panel(nodes: DataFrame, calendar: DataFrame, observed: DataFrame, carried: DataFrame, day: str, area: str,
+                   key: str = "node_id", rows_a_task: int = 1_000_000) -> DataFrame:
+    """Every node on every day of its area with the values ``observed`` there, and the columns
+    of ``carried`` (one row a node).
+
+    ``calendar`` has one row for each (area, day), among them all days of ``observed``, which has one row at
+    most for each (area, key, day). Observations are gathered by node, at most the calendar's
+    length of them; the days without one come from the difference of two arrays. Only
+    observations are shuffled, the panel never is: its rows come out of the rows of nodes,
+    about ``rows_a_task`` in a task.
+    """
+    values = [c for c in observed.columns if c not in (area, key, day)]
+    type_of = {f.name: f.dataType for f in observed.schema.fields}
+    size = nodes.groupBy(area).agg(F.count(F.lit(1)).alias("_n")).join(
+        calendar.groupBy(area).agg(F.count(F.lit(1)).alias("_d")), area).agg(F.sum(F.col("_n") * F.col("_d"))).first()[0] or 0
+    tasks = max(1, -(-size // rows_a_task))
+
+    def by_node(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, area, key)
+
+    def entry(date: Column, known: bool) -> Column:
+        return F.struct(date.alias(day), *[(F.col(c) if known else F.lit(None).cast(type_of[c])).alias(c) for c in values])
+
+    seen = by_node(observed).groupBy(area, key).agg(F.collect_list(entry(F.col(day), True)).alias("_seen"))
+    beside = (by_node(nodes).join(seen.hint("merge"), [area, key], "left")
+              .join(by_node(carried).hint("merge"), [area, key], "left"))
+    if fits(calendar, 16):
+        beside = beside.join(F.broadcast(_day_arrays(calendar, day, area)), area, "inner")
+    else:
+        beside = days_beside(beside, calendar, day, area, key)
+    known = F.coalesce("_seen", F.array().cast(seen.schema["_seen"].dataType))
+    gaps = F.array_except("_days", F.transform(known, lambda e: e[day]))
+    rows = F.concat(known, F.transform(gaps, lambda d: entry(d, False)))
+    # The array is a column of its own before it unfolds: what computes it would keep the unfolding out of compiled code.
+    return (beside.withColumn("_rows", rows).drop("_seen", "_days").withColumn("_row", F.explode("_rows"))
+            .drop("_rows").select("*", "_row.*").drop("_row"))
 
 
 def match_indicator(left: DataFrame, right: DataFrame, keys: Sequence[str],

@@ -13,12 +13,12 @@ from ..functions.core import number
 from ..operators.contract import (IDENTITY_COLUMNS, MATCH_COLUMNS, QUALITY_COLUMNS, STATIC_COLUMNS, collision_names,
                                   purpose_columns, require_columns)
 from ..operators.groups import first_static_value
-from ..operators.lookups import dense_panel
+from ..operators.lookups import dense_panel, observed_panel, written_side
 from ..operators.near_space import nearest_site
 from ..operators.near_time import nearest_day
 from ..operators.ranking import keep_first
 from ..operators.reports import report_of_counts
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 GEOMETRY = ["latitude", "longitude", "x", "y", "row", "col", "row_norm", "col_norm"]
 CALENDAR = ["day_of_year", "sin_doy", "cos_doy"]
@@ -50,11 +50,22 @@ def panel_parts(fine: DataFrame, coarse: DataFrame, nodes: DataFrame, *, area: s
     require_columns(fine, [area, "node_id", "date"], "fine table")
     require_columns(coarse, [area, "node_id", "date", "latitude", "longitude"], "coarse table")
     fine = fine.withColumn("date", parse_day("date")).where(F.col("date").isNotNull())
-    coarse = cut_lineage(coarse.withColumn("date", parse_day("date")).where(F.col("date").isNotNull()))
+    # A pixel's place is its position and its rank among the day's places in the order that settles equal
+    # distances, so that ids that differ from day to day (a time in the id) do not tell places apart.
+    science_of = coarse.columns
+    tie_order = [c for c in ("row", "col") if c in coarse.columns]
+    known = F.lit(True)
+    for c in ("latitude", "longitude"):
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    of_day = Window.partitionBy(area, "date", "_known").orderBy(*tie_order, "node_id")  # the pixels of a day
+    coarse = cut_lineage(
+        coarse.withColumn("date", parse_day("date")).where(F.col("date").isNotNull()).withColumn("_known", F.coalesce(known, F.lit(False)))
+        .withColumn("_rank", F.dense_rank().over(of_day))
+        .withColumn("_place", F.when(F.col("_known"), F.xxhash64("latitude", "longitude", "_rank"))).drop("_known"))
     order = ["acquisition_dt_utc"] if "acquisition_dt_utc" in fine.columns else []
     values = [c for c in fine.columns if c not in {area, "date", "node_id", *GEOMETRY, *CALENDAR}]
     tie = [c for c in values if c not in order]
-    first = cut_lineage(keep_first(fine.select(area, "node_id", "date", *values), [area, "node_id", "date"], [*order, *tie] or ["date"]))
+    first = stored(keep_first(fine.select(area, "node_id", "date", *values), [area, "node_id", "date"], [*order, *tie] or ["date"]))
     if "acquisition_dt_utc" in values:
         first = first.withColumnRenamed("acquisition_dt_utc", "landsat_datetime_utc")
     statics = [c for c in static_columns if c in first.columns]
@@ -73,12 +84,9 @@ def panel_parts(fine: DataFrame, coarse: DataFrame, nodes: DataFrame, *, area: s
     day_match = nearest_day(days, coarse, day="date", candidate_day="date", by=[area],
                             tolerance_days=tolerance_days, match="_coarse_date",
                             gap="s3_day_difference")
-    # Places of a date's pixels, whatever their values: dates whose places are the same
-    # (by a hash of the set, in any order) share one search, that of their first date.
-    tie_order = [c for c in ("row", "col") if c in coarse.columns]
-    place = F.xxhash64("latitude", "longitude", *tie_order, "node_id").alias("_place")
-    located = coarse.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(
-        area, F.col("date").alias("_coarse_date"), place, "latitude", "longitude", *tie_order, "node_id").distinct()
+    # Dates whose places are the same (by a hash of the set, in any order) share one search, that of their first date.
+    located = coarse.where("_place IS NOT NULL").select(
+        area, F.col("date").alias("_coarse_date"), "_place", "_rank", "latitude", "longitude").distinct()
     layouts = located.groupBy(area, "_coarse_date").agg(
         F.count(F.lit(1)).alias("_n"), *[F.bit_xor(F.xxhash64("_place", F.lit(k))).alias(f"_h{k}") for k in (1, 2)])
     same = Window.partitionBy(area, "_n", "_h1", "_h2")  # dates only
@@ -87,21 +95,20 @@ def panel_parts(fine: DataFrame, coarse: DataFrame, nodes: DataFrame, *, area: s
                            .select(area, "date", "_coarse_date", "s3_day_difference", "_layout"))
     used = calendar.where("_layout IS NOT NULL").select(area, "_layout").distinct()
     sites = located.withColumnRenamed("_coarse_date", "_layout").join(used, [area, "_layout"], "left_semi").select(
-        area, "_layout", "_place", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
-        *[F.col(c).alias("_tie_" + c) for c in tie_order], F.col("node_id").alias("_pixel"))
+        area, "_layout", "_place", "_rank", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
     searches = dense_panel(unique_nodes.select(area, "node_id", "latitude", "longitude"), used, "_layout", area)
-    match = cut_lineage(nearest_site(
+    match = stored(nearest_site(
         searches, sites, query_id=["node_id"], query_uv=("latitude", "longitude"), site_uv=("_lat", "_lon"), payload=["_place"],
-        tie=[*["_tie_" + c for c in tie_order], "_pixel"], by=[area, "_layout"], metric="haversine", distance="sentinel3_distance_m"))
+        tie=["_rank"], by=[area, "_layout"], metric="haversine", distance="sentinel3_distance_m"))
 
     skip = {area, "date", "node_id", "latitude", "longitude", "row", "col", "row_norm",
             "col_norm", *CALENDAR, "acquisition_dt_utc"}
-    science = [c for c in coarse.columns if c not in skip]
+    science = [c for c in science_of if c not in skip]
     occupied = [area, "node_id", "date", *keep, *statics, *[c for c in first.columns if c not in statics]]
     names = collision_names(science, occupied)
-    acquired = (parse_time("acquisition_dt_utc") if "acquisition_dt_utc" in coarse.columns else F.col("date").cast("timestamp"))
-    pixels = coarse.select(
-        area, F.col("date").alias("_coarse_date"), place, F.col("node_id").alias("sentinel3_pixel_id"),
+    acquired = (parse_time("acquisition_dt_utc") if "acquisition_dt_utc" in science_of else F.col("date").cast("timestamp"))
+    pixels = coarse.where("_place IS NOT NULL").select(
+        area, F.col("date").alias("_coarse_date"), "_place", F.col("node_id").alias("sentinel3_pixel_id"),
         acquired.alias("sentinel3_datetime_utc"), F.col("latitude").alias("sentinel3_latitude"),
         F.col("longitude").alias("sentinel3_longitude"), *[F.col(c).alias("s_" + c) for c in science])
     taken = [c for c in pixels.columns if c not in (area, "_coarse_date", "_place")]
@@ -121,14 +128,21 @@ def unified_table(fine: DataFrame, coarse: DataFrame, nodes: DataFrame, *,
     part of every key.
     """
     parts = panel_parts(fine, coarse, nodes, area=area, tolerance_days=tolerance_days, static_columns=static_columns)
-    calendar = parts.calendar.select(area, F.struct("date", "_coarse_date", "s3_day_difference", "_layout").alias("_d"))
-    panel = dense_panel(parts.nodes, calendar, "_d", area).select("*", "_d.*").drop("_d")
-    panel = panel.join(parts.first, [area, "node_id", "date"], "left")
-    matched = (panel.join(parts.match, [area, "_layout", "node_id"], "left")
-               .join(parts.pixels, [area, "_coarse_date", "_place"], "left")
+    # The layouts of an area are numbered, so that a node's nearest places are one array in that order:
+    # every layout has places, so a node with a position has one in each of them.
+    number_of = F.dense_rank().over(Window.partitionBy(area).orderBy("_layout"))  # dates only
+    numbers = written_side(parts.calendar.where("_layout IS NOT NULL").select(area, "_layout").distinct().withColumn("_number", number_of))
+    nearest = parts.match.join(numbers, [area, "_layout"]).groupBy(area, "node_id").agg(
+        F.sort_array(F.collect_list(F.struct("_number", "_place", "sentinel3_distance_m"))).alias("_nearest"))
+    calendar = written_side(parts.calendar.join(numbers, [area, "_layout"], "left").drop("_layout"))
+    panel = observed_panel(parts.nodes, parts.calendar, parts.first, nearest, "date", area)
+    found = F.when(F.col("_number").isNotNull(), F.try_element_at("_nearest", F.col("_number")))
+    matched = (panel.join(calendar, [area, "date"], "left")
+               .withColumns({"_place": found["_place"], "sentinel3_distance_m": found["sentinel3_distance_m"]}).drop("_nearest")
+               .join(written_side(parts.pixels), [area, "_coarse_date", "_place"], "left")
                .withColumn("s3_day_difference", F.when(
                    F.col("sentinel3_pixel_id").isNotNull(), F.col("s3_day_difference")))
-               .drop("_coarse_date", "_layout", "_place")
+               .drop("_coarse_date", "_number", "_place")
                .withColumnsRenamed({"s_" + c: n for c, n in parts.names.items()}))
     finished = _with_validity(matched, purpose)
     return finished.select(*dict.fromkeys(
