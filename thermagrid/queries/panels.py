@@ -9,7 +9,7 @@ from ..operators.lookups import (attach_attributes, every_node, map_values, matc
 from ..operators.ranking import numbered_slugs
 from ..plans.multi_area import combined_report, combined_rows
 from ..plans.unified import unified_report, unified_table
-from .base import (day, events, lat_of, lon_of, long, query, r, s_haversine, s_lat, s_lon, s_r,
+from .base import (day, events, lat_of, lon_of, long, query, r, r_many, s_haversine, s_lat, s_lon, s_r,
                    table)
 
 UNIFIED_SQL = f"""
@@ -86,18 +86,18 @@ FROM panel
 def unified_panel(spark, sf):
     out = unified(spark, sf)
     return out.select(
-        long("area_id").alias("area_id"), "node_id", "date", r("latitude").alias("latitude"),
-        r("longitude").alias("longitude"), long("sentinel3_pixel_id").alias("sentinel3_pixel_id"),
-        r("sentinel3_distance_m", 3).alias("sentinel3_distance_m"),
-        r("sentinel3_latitude").alias("sentinel3_latitude"),
+        long("area_id").alias("area_id"), "node_id", "date", r_many("latitude").alias("latitude"),
+        r_many("longitude").alias("longitude"), long("sentinel3_pixel_id").alias("sentinel3_pixel_id"),
+        r_many("sentinel3_distance_m", 3).alias("sentinel3_distance_m"),
+        r_many("sentinel3_latitude").alias("sentinel3_latitude"),
         long("s3_day_difference").alias("s3_day_difference"),
         micros("sentinel3_datetime_utc").alias("sentinel3_us"),
         micros("timestamp_utc").alias("timestamp_us"),
-        *[r(c, 9).alias(c) for c in ("LST_K", "LST_1km", "NDVI")],
-        r("NDVI_1km", 10).alias("NDVI_1km"), r("DEM").alias("DEM"),
+        *[r_many(c, 9).alias(c) for c in ("LST_K", "LST_1km", "NDVI")],
+        r_many("NDVI_1km", 10).alias("NDVI_1km"), r_many("DEM").alias("DEM"),
         "landsat_valid", "sentinel3_valid", "training_ready",
-        r("lst_time_difference_hours").alias("hours_apart"),
-        long("day_of_year").alias("day_of_year"), r("sin_doy").alias("sin_doy"))
+        r_many("lst_time_difference_hours").alias("hours_apart"),
+        long("day_of_year").alias("day_of_year"), r_many("sin_doy").alias("sin_doy"))
 
 
 @query("panel_quality_report", UNIFIED_SQL + """
