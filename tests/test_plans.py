@@ -331,6 +331,12 @@ def test_residual_job(spark):
         coincident_rows(rows.withColumn("s3_day_difference", F.lit(2)))
 
 
+def test_residual_predictions_are_written_once(spark):
+    run = residual_downscaling(residual_rows(spark), trees=2)
+    assert run.predictions.inputFiles() and run.model.table.inputFiles()  # a row checkpoint has no files and computes its last stage twice
+    assert run.predictions.count() == 600
+
+
 def test_feature_sets_and_importances(spark):
     rows = residual_rows(spark).withColumn("Tair_C", F.lit(20.0))
     ready = with_temporal_split(coincident_rows(rows)).where("training_ready")
