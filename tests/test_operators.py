@@ -515,6 +515,34 @@ def test_footprints_are_summed_in_blocks(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan_of(found)
 
 
+def test_clipped_areas_equal_the_column_function(spark):
+    """Sloped, upright and level edges, corners without number, boxes beside, across and around the polygon."""
+    rng, nan = random.Random(3), float("nan")
+    shapes = [[(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (2.0, 2.0), (2.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (2.0, 5.0), (1.0, 3.0), (0.5, 2.0)],
+              [(0.0, 0.0), (1.0, nan), (2.0, 2.0), (1.0, 3.0), (0.0, 3.0), (0.0, 1.0)]]
+    boxes = [(-9.0, -9.0, 9.0, 9.0), (2.0, 2.0, 4.0, 4.0), (5.0, 0.0, 6.0, 1.0)] + [
+        (x := rng.uniform(-3, 4), y := rng.uniform(-3, 4), x + rng.uniform(0.5, 5), y + rng.uniform(0.5, 5)) for _ in range(40)]
+    pairs = [(i, j) for i in range(len(shapes)) for j in range(len(boxes))]
+    got = zonal.clipped_areas(np.array(shapes).transpose(1, 2, 0), np.array([i for i, _ in pairs]), list(np.array(boxes).T), np.array([j for _, j in pairs]))
+    table = spark.createDataFrame([(k, [Row(x=a, y=b) for a, b in shapes[i]], *boxes[j]) for k, (i, j) in enumerate(pairs)],
+                                  "k int, ring array<struct<x: double, y: double>>, x0 double, y0 double, x1 double, y1 double")
+    want = {r.k: r.a for r in table.select("k", geo.clipped_area("ring", "x0", "y0", "x1", "y1").alias("a")).collect()}
+    for k, (i, _) in enumerate(pairs):
+        assert np.isnan(got[k]) if i == 2 else got[k] == pytest.approx(want[k], abs=1e-12)
+
+
+def test_many_pairs_of_few_bytes_are_dealt_to_many_tasks(spark, monkeypatch):
+    """800 polygons and 200 cells on 16 tiles are some kB, which would be put together in one task."""
+    monkeypatch.setattr(zonal, "TASK_PAIRS", 100)
+    i = F.col("id")
+    x, y = (i * 37 % 40).cast("double"), (i * 11 % 40).cast("double")
+    ring = F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    polygons = spark.range(800).select(ring.alias("ring"))
+    cells = spark.range(200).select(F.col("id").alias("cell"), x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 10).alias("y1"))
+    found = zonal.footprint_by_cell(polygons, cells, ring="ring", cell_id=["cell"], cell_box=["x0", "y0", "x1", "y1"], size=10.0)
+    assert found.collect() and "REPARTITION_BY_NUM" in plan_of(found)
+
+
 def test_areas_are_dealt_out_before_their_nodes_are_made(spark, monkeypatch):
     areas = spark.range(60).coalesce(1).select(
         F.col("id").alias("area_id"), F.lit(37.0).alias("center_lat"), F.lit(-6.0).alias("center_lon"),

@@ -18,6 +18,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.core import col, finite
 from ..functions.geo import ring_bounds
+from ..session import stored
+from .lookups import counted_side
 
 
 def _level(box: Sequence[str], size: float) -> Column:
@@ -68,38 +70,58 @@ def overlapping_boxes(left: DataFrame, right: DataFrame, left_box: Sequence[str]
 
 
 #: Polygons and cells of a tile that one task takes at most, about, and pairs that it looks at together.
-TILE_POLYGONS, TILE_CELLS, PAIRS_AT_ONCE = 16_384, 4_096, 1 << 17
+TILE_POLYGONS, TILE_CELLS, PAIRS_AT_ONCE = 16_384, 16_384, 1 << 17
+#: Pairs that are clipped together (their arrays stay in a core's cache); pairs looked at that are worth a task; tasks at most.
+CLIPPED_AT_ONCE, TASK_PAIRS, MOST_TASKS = 1 << 13, 1 << 24, 512
 
 
-def clipped_areas(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, box: np.ndarray) -> np.ndarray:
-    """``clipped_area`` of many pairs: edges from (ax, ay) to (bx, by) as (pairs, edges), boxes as (pairs, 4)."""
-    xmin, ymin = box[:, 0, None], box[:, 1, None]
-    width, height = box[:, 2, None] - xmin, box[:, 3, None] - ymin
-    ax, ay, bx, by = ax - xmin, ay - ymin, bx - xmin, by - ymin
-    y0, y1 = np.minimum(np.maximum(ay, 0.0), height), np.minimum(np.maximum(by, 0.0), height)
+def clipped_areas(points: np.ndarray, polygon: np.ndarray, box: Sequence[np.ndarray], cell: np.ndarray) -> np.ndarray:
+    """``clipped_area`` of the pairs (polygon, cell): corners as (corners, x and y, polygons), boxes as four arrays.
 
-    def antiderivative(v: np.ndarray) -> np.ndarray:
-        return np.where(v < 0, 0.0, np.where(v <= width, v * v / 2.0, width * v - width * width / 2.0))
-
-    with np.errstate(divide="ignore", invalid="ignore"):
-        slope = (bx - ax) / (by - ay)
-        x0, x1 = ax + slope * (y0 - ay), ax + slope * (y1 - ay)
-        flat = np.abs(x1 - x0) <= 1e-9 * width
-        mean = np.where(flat, np.minimum(np.maximum((x0 + x1) / 2.0, 0.0), width), (antiderivative(x1) - antiderivative(x0)) / (x1 - x0))
-        return np.abs(np.where(y0 == y1, 0.0, (y1 - y0) * mean).cumsum(axis=1)[:, -1])  # edge by edge, as the column function adds
+    Corner by corner, so that every step runs along one array; an edge that is level, or above or
+    below all boxes at hand, takes no further step."""
+    out = np.empty(len(polygon))
 
+    def antiderivative(v: np.ndarray, width: np.ndarray) -> np.ndarray:
+        return np.where(v < 0, 0.0, np.where(v <= width, v * v / 2.0, width * v - width * width / 2.0))
 
-def _ring_edges(rings: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, starts, ends) of the rings with equally many edges, points as (rows, edges, 2); open rings are closed."""
+    for low in range(0, len(polygon), CLIPPED_AT_ONCE):
+        at = slice(low, low + CLIPPED_AT_ONCE)
+        xmin, ymin, xmax, ymax = (b.take(cell[at]) for b in box)
+        width, height = xmax - xmin, ymax - ymin
+        x, y = ([p.take(polygon[at]) - first for p in corner] for corner, first in ((points[:, 0], xmin), (points[:, 1], ymin)))
+        inside = [np.minimum(np.maximum(v, 0.0), height) for v in y]
+        total = np.zeros(len(xmin))
+        for e in range(len(points)):  # edge by edge, as the column function adds
+            f = (e + 1) % len(points)
+            rise = inside[f] - inside[e]
+            if not rise.any():
+                continue
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                across = x[f] - x[e]
+                if across.any():
+                    slope = across / (y[f] - y[e])
+                    x0, x1 = x[e] + slope * (inside[e] - y[e]), x[e] + slope * (inside[f] - y[e])
+                    run = x1 - x0
+                    mean = np.where(np.abs(run) <= 1e-9 * width, np.minimum(np.maximum((x0 + x1) / 2.0, 0.0), width),
+                                    (antiderivative(x1, width) - antiderivative(x0, width)) / run)
+                else:  # all are upright
+                    mean = np.minimum(np.maximum(x[e], 0.0), width)
+                total += np.where(rise == 0.0, 0.0, rise * mean)
+        out[at] = np.abs(total)
+    return out
+
+
+def _ring_points(rings: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, corners) of the rings with equally many corners, as (corners, x and y, rows)."""
     rings = rings.combine_chunks()
     points = rings.flatten()
-    xy = np.stack([points.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("x", "y")], axis=1)
+    xy = np.stack([points.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("x", "y")])
     counts = rings.value_lengths().to_numpy(zero_copy_only=False)
     begins = np.cumsum(counts) - counts
     for count in np.unique(counts[counts > 0]).tolist():
         rows = np.flatnonzero(counts == count)
-        start = xy[begins[rows][:, None] + np.arange(count)]
-        yield rows, start, np.roll(start, -1, axis=1)  # a closed ring gets one more edge, of no length
+        yield rows, xy[:, begins[rows] + np.arange(count)[:, None]].transpose(1, 0, 2).copy()  # a closed ring has one more edge, of no length
 
 
 def footprint_by_cell(polygons: DataFrame, cells: DataFrame, *, ring: str, cell_id: Sequence[str],
@@ -122,54 +144,65 @@ def footprint_by_cell(polygons: DataFrame, cells: DataFrame, *, ring: str, cell_
         return F.coalesce(df.agg(F.collect_set("_own")).scalar(), F.array().cast("array<int>"))
 
     tile = [*by, "_m", "_tx", "_ty"]
+    meeting = [*tile, "_i", "_j"]
     left, right = _covered(left, left_box, size, levels(right)), _covered(right, cell_box, size, levels(left))
 
     def blocks(df: DataFrame, most: int, name: str) -> DataFrame:
-        return df.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+        count = F.count(F.lit(1))
+        return df.groupBy(*tile).agg(F.ceil(count / most).cast("int").alias(name), count.cast("double").alias(f"{name}_n"))
 
-    dealt = blocks(left, TILE_POLYGONS, "_lefts").join(blocks(right, TILE_CELLS, "_rights"), tile)
+    dealt = stored(blocks(left, TILE_POLYGONS, "_lefts").join(blocks(right, TILE_CELLS, "_rights"), tile))
+    groups, pairs = dealt.agg(F.sum(F.col("_lefts") * F.col("_rights")), F.sum(F.col("_lefts_n") * F.col("_rights_n"))).first()
+    tasks = int(min(MOST_TASKS, 4 * (groups or 0), (pairs or 0) // TASK_PAIRS))
+    dealt = counted_side(dealt.drop("_lefts_n", "_rights_n"))
 
     def spread(df: DataFrame, own: str, other: str) -> DataFrame:
         """Rows with the number of their block, once for each block of the other side."""
         number, copies = ("_i", "_j") if own == "_lefts" else ("_j", "_i")
-        return (df.join(dealt, tile).withColumn(number, F.pmod("_deal", own).cast("int"))
-                .withColumn(copies, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_deal", "_lefts", "_rights"))
+        out = (df.join(dealt, tile).withColumn(number, F.pmod("_deal", own).cast("int"))
+               .withColumn(copies, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_deal", "_lefts", "_rights"))
+        return out.repartition(tasks, *meeting) if tasks > 1 else out  # few bytes may be much work: not put together by size
+
+    def placed(table: pa.Table, columns: Sequence[str], level: int, tx: int, ty: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Boxes as (4, rows), without number where they have no inside; whether a row is of the tile's own level and begins in it, by axis."""
+        box = np.stack([table.column(k).cast(pa.float64()).to_numpy() for k in columns])
+        box[:, ~((box[0] <= box[2]) & (box[1] <= box[3]))] = np.nan
+        side = float(size) * 2.0 ** level
+        return box, [table.column("_own").to_numpy() == level, np.floor(box[0] / side) == tx, np.floor(box[1] / side) == ty]
 
     def overlay(some: pa.Table, met: pa.Table) -> pa.Table:
         """Sums of the cells of one block over the polygons of another."""
         total, count, known, touched = (np.zeros(met.num_rows) for _ in range(4))
         if some.num_rows and met.num_rows:
-            level, tx, ty = (some.column(k)[0].as_py() for k in ("_m", "_tx", "_ty"))
-            side = float(size) * 2.0 ** level
-            box = np.stack([met.column(k).cast(pa.float64()).to_numpy() for k in cell_box], axis=1)
-            outer = np.stack([some.column(k).cast(pa.float64()).to_numpy() for k in left_box], axis=1)
-            own, others = some.column("_own").to_numpy(), met.column("_own").to_numpy()
-            for rows, start, end in _ring_edges(some.column("_ring")):
+            tile_at = [some.column(k)[0].as_py() for k in ("_m", "_tx", "_ty")]
+            (outer, own), (box, others) = placed(some, left_box, *tile_at), placed(met, cell_box, *tile_at)
+            for rows, points in _ring_points(some.column("_ring")):
                 for first in range(0, len(rows), PAIRS_AT_ONCE):
-                    at = slice(first, first + PAIRS_AT_ONCE)
-                    p = outer[rows[at]]
-                    step = max(1, PAIRS_AT_ONCE // len(p))
-                    for begin in range(0, len(box), step):
-                        c = box[begin:begin + step, None]
-                        x, y = np.maximum(p[:, 0], c[..., 0]), np.maximum(p[:, 1], c[..., 1])
-                        meets = (x <= np.minimum(p[:, 2], c[..., 2])) & (y <= np.minimum(p[:, 3], c[..., 3]))
-                        meets &= np.maximum(own[rows[at]], others[begin:begin + step, None]) == level
-                        meets &= (np.floor(x / side) == tx) & (np.floor(y / side) == ty)
-                        j, i = np.nonzero(meets)
-                        for low in range(0, len(i), PAIRS_AT_ONCE // 4):
-                            k, cell = i[low:low + PAIRS_AT_ONCE // 4] + first, j[low:low + PAIRS_AT_ONCE // 4] + begin
-                            area = clipped_areas(start[k, :, 0], start[k, :, 1], end[k, :, 0], end[k, :, 1], box[cell])
-                            missing = np.isnan(area)
-                            total += np.bincount(cell, np.where(missing, 0.0, area), met.num_rows)
-                            count += np.bincount(cell, area > 0, met.num_rows)
-                            known += np.bincount(cell, ~missing, met.num_rows)
-                            touched += np.bincount(cell, minlength=met.num_rows)
+                    at = rows[first:first + PAIRS_AT_ONCE]
+                    x0, y0, x1, y1 = outer[:, at]
+                    corners, marks = points[:, :, first:first + PAIRS_AT_ONCE], [o[at] for o in own]
+                    step = max(1, PAIRS_AT_ONCE // len(at))
+                    for begin in range(0, len(met), step):
+                        part = slice(begin, begin + step)
+                        c = box[:, part, None]
+                        meets = (x0 <= c[2]) & (x1 >= c[0]) & (y0 <= c[3]) & (y1 >= c[1])
+                        for mark, other in zip(marks, others):  # the coarser level's, and the tile of the shared box's corner
+                            meets &= mark | other[part, None]
+                        cell, polygon = np.nonzero(meets)
+                        if not len(cell):
+                            continue
+                        area = clipped_areas(corners, polygon, box[:, part], cell)
+                        missing, cells_ = np.isnan(area), meets.shape[0]
+                        met_by = np.bincount(cell, minlength=cells_)
+                        total[part] += np.bincount(cell, np.where(missing, 0.0, area), cells_)
+                        count[part] += np.bincount(cell, area > 0, cells_)
+                        known[part] += met_by - np.bincount(cell[missing], minlength=cells_)
+                        touched[part] += met_by
         kept = np.flatnonzero(touched)
         return pa.table({**{k: met.column(k).take(pa.array(kept)) for k in keys},
                          "_area": pa.array(total[kept], mask=known[kept] == 0), "_count": pa.array(count[kept].astype(np.int64))})
 
     schema = StructType([*[slim.schema[k] for k in keys], StructField("_area", DoubleType()), StructField("_count", LongType())])
-    meeting = [*tile, "_i", "_j"]
     parts = (spread(left, "_lefts", "_rights").groupBy(*meeting).cogroup(spread(right, "_rights", "_lefts").groupBy(*meeting))
              .applyInArrow(overlay, schema))
     return parts.groupBy(*keys).agg(F.sum("_area").alias("footprint_m2"), F.sum("_count").alias("building_count"))
